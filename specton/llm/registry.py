@@ -32,6 +32,12 @@ def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
 
 
+def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from specton.llm import neardup
+
+    return neardup.classes(table(spark, sf_dir, "documents"))
+
+
 def op5_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from specton.llm import licences
 
