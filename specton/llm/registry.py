@@ -38,6 +38,12 @@ def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.classes(table(spark, sf_dir, "documents"))
 
 
+def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from specton.llm import decontaminate
+
+    return decontaminate.links(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from specton.llm import licences
 
@@ -83,6 +89,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from specton.llm import licences
+    from specton.llm import decontaminate, licences
 
-    return {"op5_licence_scan": licences.sql(), "op10_exact_top_k": OP10_SQL}
+    return {"op4_benchmark_decontamination": decontaminate.SQL, "op5_licence_scan": licences.sql(), "op10_exact_top_k": OP10_SQL}
