@@ -147,11 +147,11 @@ wt AS (
 ), itot AS (
   SELECT item_id, sum(c * weight) AS t FROM ic JOIN wt USING (s) GROUP BY item_id
 ), sim AS (
-  SELECT wc.doc_id, wc.item_id, wc.start, CAST(sum(CASE WHEN ic.c IS NULL THEN 0 ELSE least(wc.c, ic.c) * weight END) AS DOUBLE) AS both,
+  SELECT wc.doc_id, wc.item_id, wc.start, CAST(sum(CASE WHEN ic.c IS NULL THEN 0 ELSE least(wc.c, ic.c) * weight END) AS DOUBLE) AS inter,
          CAST(sum(wc.c * coalesce(weight, {FULL})) AS DOUBLE) AS t
   FROM wc LEFT JOIN wt USING (s) LEFT JOIN ic ON ic.item_id = wc.item_id AND ic.s = wc.s GROUP BY ALL
 ), r AS (
-  SELECT doc_id, item_id, start, both / (sim.t + itot.t - both) AS similarity FROM sim JOIN itot USING (item_id)
+  SELECT doc_id, item_id, start, inter / (sim.t + itot.t - inter) AS similarity FROM sim JOIN itot USING (item_id)
 ), best AS (
   SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC, start) AS k FROM r WHERE similarity >= {THRESHOLD}
 )

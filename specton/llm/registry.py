@@ -50,6 +50,14 @@ def op5_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
 
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from specton.llm import lm
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    vocab = lm.vocabulary(docs)
+    return lm.score(docs, vocab, lm.fit(docs, vocab)).drop("text")
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from specton.llm import langid
 
