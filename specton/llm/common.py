@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 import numpy as np
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
 MASK = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -39,6 +40,11 @@ def mix64(x: np.ndarray, seed: int = 0) -> np.ndarray:
         return z ^ (z >> np.uint64(31))
 
 
+def hash_text(text: str) -> int:
+    """64-bit XXH3 of the UTF-8 bytes: stable across processes and machines."""
+    return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass"))
+
+
 def _powers(base: int, n: int) -> np.ndarray:
     out = np.full(n, base, np.uint64)
     out[:1] = 1

@@ -120,6 +120,11 @@ def links(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -
     return best.select("doc_id", "item_id", F.col("m.start").cast("int").alias("start_word"), F.round(-F.col("m.s"), 6).alias("similarity"))
 
 
+def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs that hold no item, with all their columns."""
+    return docs.join(links(docs, benchmark, threshold).select("doc_id").distinct(), "doc_id", "left_anti")
+
+
 SQL = f"""
 WITH w AS (
   SELECT doc_id, string_split(trim(regexp_replace(lower(text), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')), ' ') AS w FROM documents WHERE text IS NOT NULL
