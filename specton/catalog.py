@@ -1,15 +1,23 @@
-"""Registered queries of the engine proper."""
+"""Registered queries of the engine proper, and their SQL for the oracle."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+from pyspark.sql import DataFrame, SparkSession
 
+from specton.plans import tables, vectors
 
-def queries() -> dict:
-    return {}
+MODULES = [vectors, tables]
 
 
-def oracle_sql() -> dict:
-    return {}
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.classify_by_distance(spark, sf_dir)
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {name: f for m in MODULES for name, (f, _) in m.QUERIES.items()}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {name: sql for m in MODULES for name, (_, sql) in m.QUERIES.items() if sql}
