@@ -6,10 +6,12 @@ sampling draws one element for each of ``SLOTS`` slots; every shingle takes part
 of slots (bin-wise sampling), and slots that stay empty in short texts borrow from a hashed other slot. Bands of slots
 are the search keys; weighted Jaccard similarity of the whole texts decides.
 
-Only texts are compared, not copies: equal texts share one key. In a bucket a pair is proposed by how it ranks among
-the bucket's estimated similarities; rounds propose lower ranks until no pair from two classes is left, so a large
-group costs a few partners a text and not all its pairs, while no candidate between different classes goes unseen.
-Buckets over ``BLOCK`` texts are compared block by block.
+Only texts are compared, not copies: equal texts share one key. First each text of a bucket is proposed with the
+partner its sketch agrees with best, which costs at most one pair a row, and the pairs that hold merge classes. Buckets
+that still hold two classes with pairs of close sketches are then gone through with the texts at hand: in the order of
+the sketches' agreement, whatever isn't connected yet is compared in full, so that no candidate between two classes
+goes unseen and a large group gives a link a text and not all its pairs. A pair counts only in the first band that it
+shares. Buckets over ``BLOCK`` texts are compared block by block.
 
 Defined results: a null text is a class of its own; texts without words are alike only if equal; a text of fewer than
 five words has one shingle; repeated rows are copies of each other; an empty table gives no rows. class_id is the
@@ -22,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from specton.llm.common import Words, mix64, shingles, staged
@@ -36,11 +38,9 @@ GROUPS, BINS = 10, 10
 SLOTS = GROUPS * BINS
 ROWS = 4
 BANDS = SLOTS // ROWS
-#: Pairs whose sketches agree in fewer slots aren't verified: five deviations below the threshold at 0.8.
+#: Pairs whose sketches agree in fewer slots aren't compared: five deviations below the threshold of 0.8.
 LEAST = THRESHOLD - 5 * (THRESHOLD * (1 - THRESHOLD) / SLOTS) ** 0.5
 BLOCK = 1024
-#: Ranks up to which each round proposes pairs; the last has no bound.
-ROUNDS = (1, 8, 64, 1024, 1 << 60)
 CHUNK = 200
 
 
@@ -80,8 +80,20 @@ def inverse_frequencies(docs: DataFrame) -> np.ndarray:
     return (1 + np.clip(np.log((n + 1) / (df + 1)), 0, None) / np.log(n + 2)).astype(np.float32)
 
 
+def _layers(e: np.ndarray, d: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Elements cut into layers that weigh 2 at most. Minima and maxima of weights are the sums of those of the layers,
+    so weighted Jaccard similarity stays the same, and no element outweighs a whole slot."""
+    size = np.maximum(np.ceil(weight / 2), 1).astype(np.int64)
+    if not len(e) or size.max() == 1:
+        return e, d, weight
+    level = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+    e, d, weight = (np.repeat(x, size) for x in (e, d, weight))
+    return np.where(level > 0, mix64(e ^ mix64(level.astype(np.uint64), 55)), e), d, np.minimum(weight - 2 * level, 2.0)
+
+
 def sketch(e: np.ndarray, d: np.ndarray, weight: np.ndarray, n: int) -> np.ndarray:
     """n rows of SLOTS sampled elements (as hashes); rows without elements are zero."""
+    e, d, weight = _layers(e, d, weight)
     out, best = np.zeros(n * SLOTS, np.uint64), np.full(n * SLOTS, np.inf)
     log_w = np.log(weight)
     unit = 1.0 / (1 << 32)
@@ -115,7 +127,7 @@ def sketch(e: np.ndarray, d: np.ndarray, weight: np.ndarray, n: int) -> np.ndarr
 
 
 def sketched(docs: DataFrame, idf: np.ndarray) -> DataFrame:
-    """doc_id, key (of the text), bands and sig (one byte a slot), null without words."""
+    """doc_id, key (of the text), bands and sig (a byte a slot, then the bands again), null without words."""
     shared = docs.sparkSession.sparkContext.broadcast(idf)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -134,79 +146,186 @@ def sketched(docs: DataFrame, idf: np.ndarray) -> DataFrame:
                 yield pd.DataFrame({
                     "doc_id": part["doc_id"], "key": part["key"],
                     "bands": [b if x else None for b, x in zip(band.astype(np.int64), some, strict=True)],
-                    "sig": [(b.astype(np.uint8)).tobytes() if x else None for b, x in zip(s >> np.uint64(8), some, strict=True)],
+                    "sig": [b.tobytes() + c.tobytes() if x else None for b, c, x in zip((s >> np.uint64(8)).astype(np.uint8), band, some, strict=True)],
                 })
 
     return docs.mapInPandas(run, "doc_id long, key binary, bands array<long>, sig binary")
 
 
-def _ranks(est: np.ndarray, ok: np.ndarray) -> np.ndarray:
-    """For each pair of a row and a column text, its rank in the row or the column, whichever is better."""
-    order = np.argsort(np.where(ok, -est, np.inf), axis=1, kind="stable")
-    by_row = np.empty_like(order)
-    np.put_along_axis(by_row, order, np.arange(est.shape[1])[None, :].repeat(est.shape[0], 0), 1)
-    order = np.argsort(np.where(ok, -est, np.inf), axis=0, kind="stable")
-    by_column = np.empty_like(order)
-    np.put_along_axis(by_column, order, np.arange(est.shape[0])[:, None].repeat(est.shape[1], 1), 0)
-    return np.minimum(by_row, by_column)
-
-
-def _propose(low: int, high: int):
-    """Pairs from two classes with ranks from low to high; a row of nulls if there are more beyond."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("key").reset_index(drop=True)
-        comp = pd.factorize(pdf["comp"])[0]
-        out: list[tuple[bytes | None, bytes | None]] = []
-        if comp.max() > 0:
-            whole = pdf["lo"].iloc[0] == pdf["hi"].iloc[0]
-            left = np.arange(len(pdf)) if whole else np.flatnonzero(pdf["blk"] == pdf["lo"])
-            right = left if whole else np.flatnonzero(pdf["blk"] == pdf["hi"])
+def _close(sigs: list[bytes], band: int, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How far the sketches of left and right rows agree, and whether that is near and ``band`` the first they share."""
+    raw = np.frombuffer(b"".join(sigs), np.uint8).reshape(len(sigs), -1)
+    sig, bands = raw[:, :SLOTS], np.ascontiguousarray(raw[:, SLOTS:]).view(np.uint64)
+    est = np.empty((len(left), len(right)), np.float32)
+    ok = np.empty(est.shape, bool)
+    for k in range(0, len(left), 32):
+        rows = left[k : k + 32]
+        est[k : k + 32] = (sig[rows, None, :] == sig[None, right, :]).sum(2, dtype=np.int16)
+        ok[k : k + 32] = ~(bands[rows, None, :band] == bands[None, right, :band]).any(2) if band else True
+    est /= SLOTS
+    return est, ok & (est >= LEAST)
+
+
+def _groups(batches: Iterator[pd.DataFrame], by: list[str]) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
+    """Batches of sorted rows, cut so that a group is never split, with the begin of each group and the end."""
+    held: list[pd.DataFrame] = []
+
+    def cuts(pdf: pd.DataFrame) -> np.ndarray:
+        new = np.zeros(len(pdf), bool)
+        for c in by:
+            x = pdf[c].to_numpy()
+            new[1:] |= x[1:] != x[:-1]
+        return np.concatenate([[0], np.flatnonzero(new), [len(pdf)]])
+
+    for pdf in batches:
+        if not len(pdf):
+            continue
+        if held and any(held[-1][c].iloc[-1] != pdf[c].iloc[-1] for c in by) or not held:
+            pdf = pd.concat([*held, pdf], ignore_index=True) if held else pdf.reset_index(drop=True)
+            at = cuts(pdf)
+            if len(at) > 2:
+                yield pdf.iloc[: at[-2]], at[:-1]
+            held = [pdf.iloc[at[-2] :]]
+        else:
+            held.append(pdf)
+    if held:
+        pdf = pd.concat(held, ignore_index=True)
+        yield pdf, cuts(pdf)
+
+
+def _sides(part: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, bool]:
+    lo, hi = part["lo"].iloc[0], part["hi"].iloc[0]
+    if lo == hi:
+        own = np.arange(len(part))
+        return own, own, True
+    blk = part["blk"].to_numpy()
+    return np.flatnonzero(blk == lo), np.flatnonzero(blk == hi), False
+
+
+def _nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Each row's best partner as a pair a, b; and the buckets that hold further close pairs."""
+    for pdf, at in _groups(batches, ["bucket", "lo", "hi"]):
+        keys, sigs, bands, n, buckets = (pdf[c].tolist() for c in ("key", "sig", "band", "n", "bucket"))
+        out: list[tuple] = []
+        for begin, end in zip(at[:-1], at[1:], strict=True):
+            size = end - begin
+            if size == 2 and n[begin] == 2:
+                x, y = np.frombuffer(sigs[begin], np.uint8), np.frombuffer(sigs[begin + 1], np.uint8)
+                same = x == y
+                k = bands[begin]
+                if same[:SLOTS].sum() >= LEAST * SLOTS and not (k and same[SLOTS : SLOTS + 8 * k].reshape(k, 8).all(1).any()):
+                    out.append((keys[begin], keys[begin + 1], None))
+                continue
+            left, right, whole = _sides(pdf.iloc[begin:end])
+            pairs = np.zeros((0, 2), np.int64)
             if len(left) and len(right):
-                sig = np.frombuffer(b"".join(pdf["sig"]), np.uint8).reshape(len(pdf), SLOTS)
-                est = np.concatenate([(sig[left[k : k + 32], None, :] == sig[None, right, :]).sum(2, dtype=np.int16) for k in range(0, len(left), 32)]).astype(np.float32) / SLOTS
-                ok = est >= LEAST
+                est, ok = _close(sigs[begin:end], bands[begin], left, right)
                 if whole:
                     np.fill_diagonal(ok, False)
-                rank = _ranks(est, ok)
-                cross = ok & (comp[left][:, None] != comp[right][None, :])
-                if whole:
-                    cross = np.triu(cross, 1)
-                start = low if pdf["n"].iloc[0] <= BLOCK else 0
-                i, j = np.nonzero(cross & (rank >= start) & (rank < high))
-                keys = pdf["key"].to_numpy()
-                out = [(a, b) if a < b else (b, a) for a, b in zip(keys[left[i]], keys[right[j]], strict=True)]
-                if (cross & (rank >= high)).any():
-                    out.append((None, None))
-        return pd.DataFrame(out, columns=["a", "b"])
+                est = np.where(ok, est, -1)
+                i, j = np.flatnonzero(ok.any(1)), np.flatnonzero(ok.any(0))
+                pairs = np.concatenate([np.stack([left[i], right[est[i].argmax(1)]], 1), np.stack([left[est[:, j].argmax(0)], right[j]], 1)])
+                pairs = np.unique(np.sort(pairs, 1), axis=0)
+                further = ok.sum() // (2 if whole else 1) > len(pairs)
+            if n[begin] > BLOCK or len(left) and len(right) and further:
+                out.append((None, None, buckets[begin]))
+            out += [(keys[begin + i], keys[begin + j], None) for i, j in pairs]
+        a, b, bucket = zip(*out, strict=True) if out else ((), (), ())
+        yield pd.DataFrame({"a": a, "b": b, "bucket": pd.array(bucket, dtype="Int64")})
+
+
+def _linked(idf, threshold: float):
+    """All close pairs of two classes, best first, compared in full unless they are connected by then: the links found."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        words = Words()
+        for pdf, at in _groups(batches, ["bucket", "lo", "hi"]):
+            for begin, end in zip(at[:-1], at[1:], strict=True):
+                part = pdf.iloc[begin:end].reset_index(drop=True)
+                comp = pd.factorize(part["comp"])[0]
+                left, right, whole = _sides(part)
+                if comp.max() == 0 or not len(left) or not len(right):
+                    continue
+                est, ok = _close(part["sig"].tolist(), part["band"].iloc[0], left, right)
+                ok &= comp[left][:, None] != comp[right][None, :]
+                i, j = np.nonzero(np.triu(ok, 1) if whole else ok)
+                if not len(i):
+                    continue
+                order = np.argsort(-est[i, j], kind="stable")
+                i, j = left[i[order]], right[j[order]]
+                e, d, tf = _bags(words, part["text"].tolist())
+                w = tf * idf.value[_bucket(e)]
+                cut = np.searchsorted(d, np.arange(len(part) + 1))
+                total = np.bincount(d, w, len(part))
+                by = np.argsort(e, kind="stable")
+                se, sd, sw = e[by], d[by], w[by]
+
+                def alike(x: int) -> np.ndarray:
+                    """The similarity of row x to every row."""
+                    own, weight = e[cut[x] : cut[x + 1]], w[cut[x] : cut[x + 1]]
+                    first, last = np.searchsorted(se, own), np.searchsorted(se, own, side="right")
+                    size = last - first
+                    where = np.repeat(first - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
+                    both = np.bincount(sd[where], np.minimum(sw[where], np.repeat(weight, size)), len(part))
+                    return both / np.maximum(total[x] + total - both, 1e-12)
+
+                root = list(range(comp.max() + 1))
+
+                def top(c: int) -> int:
+                    while root[c] != c:
+                        root[c] = root[root[c]]
+                        c = root[c]
+                    return c
+
+                # A pair is looked up from its side with more such pairs, so few rows are compared with all others.
+                times = np.bincount(np.concatenate([i, j]), minlength=len(part))
+                found, keys, out = {}, part["key"].tolist(), []
+                for x, y in zip(i.tolist(), j.tolist(), strict=True):
+                    a, b = top(comp[x]), top(comp[y])
+                    if a != b:
+                        x, y = (x, y) if (times[x], -x) >= (times[y], -y) else (y, x)
+                        if x not in found:
+                            if len(found) > 4096:
+                                found.clear()
+                            found[x] = alike(x)
+                        if found[x][y] >= threshold - 1e-9:
+                            root[max(a, b)] = min(a, b)
+                            out.append((keys[x], keys[y]))
+                if out:
+                    yield pd.DataFrame(out, columns=["a", "b"])
 
     return run
 
 
-def _candidates(members: DataFrame, comps: DataFrame | None, number: int) -> DataFrame:
-    """Proposed pairs a < b of one round over the buckets that still hold two classes."""
-    rows = members.withColumn("comp", F.col("key")) if comps is None else members.join(comps, "key", "left").withColumn("comp", F.coalesce("comp", "key"))
-    if comps is None:
-        sizes = rows.groupBy("bucket").agg(F.count("*").alias("n")).select("bucket", "n", F.lit(1).cast("long").alias("most"), F.lit(None).cast("binary").alias("major"))
-    else:
-        by = rows.groupBy("bucket", "comp").agg(F.count("*").alias("c"))
-        sizes = by.groupBy("bucket").agg(F.sum("c").alias("n"), F.max("c").alias("most"), F.max_by("comp", F.struct("c", "comp")).alias("major")).where("n > most")
-    # Texts of the bucket's largest class fill blocks 0 to m - 1, the rest blocks m to m + k - 1; the former aren't compared with each other.
+def _dealt(rows: DataFrame) -> DataFrame:
+    """Groups of (bucket, lo, hi) whole and sorted in one partition each."""
+    return rows.repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi", "key")
+
+
+def _place(n: Column) -> Column:
+    return F.pmod(F.xxhash64("key", "bucket"), F.greatest(n, F.lit(1)).cast("long")).cast("int")
+
+
+def _first_blocks(members: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Each block of a bucket with itself and with the next."""
+    rows = members.join(sizes, "bucket").withColumn("k", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("blk", _place(F.col("k")))
+    partners = F.array_distinct(F.array("blk", F.pmod(F.col("blk") + 1, F.col("k")), F.pmod(F.col("blk") - 1, F.col("k"))))
+    return rows.withColumn("with", F.explode(partners)).withColumn("lo", F.least("blk", "with")).withColumn("hi", F.greatest("blk", "with"))
+
+
+def _further_blocks(members: DataFrame, comps: DataFrame) -> DataFrame:
+    """The buckets that hold two classes. Texts of a bucket's largest class fill blocks 0 to m - 1 and the rest blocks m
+    to m + k - 1; the former aren't compared with each other."""
+    rows = members.join(comps, "key", "left").withColumn("comp", F.coalesce("comp", "key"))
+    by = rows.groupBy("bucket", "comp").agg(F.count("*").alias("c"))
+    sizes = by.groupBy("bucket").agg(F.sum("c").alias("n"), F.max("c").alias("most"), F.max_by("comp", F.struct("c", "comp")).alias("major")).where("n > most")
     m = F.when(F.col("n") <= BLOCK, 0).otherwise(F.ceil(F.col("most") / BLOCK)).cast("int")
     k = F.when(F.col("n") <= BLOCK, 1).otherwise(F.ceil((F.col("n") - F.col("most")) / BLOCK)).cast("int")
-    if comps is None:
-        m, k = F.lit(0), F.ceil(F.col("n") / BLOCK).cast("int")
     rows = rows.join(sizes.withColumn("m", m).withColumn("k", k), "bucket")
-    place = lambda n: F.pmod(F.xxhash64("key", "bucket"), F.greatest(n, F.lit(1)).cast("long")).cast("int")
-    rows = rows.withColumn("blk", F.when((F.col("m") > 0) & (F.col("comp") == F.col("major")), place(F.col("m"))).otherwise(F.col("m") + place(F.col("k"))))
+    rows = rows.withColumn("blk", F.when((F.col("m") > 0) & (F.col("comp") == F.col("major")), _place(F.col("m"))).otherwise(F.col("m") + _place(F.col("k"))))
     last = F.col("m") + F.col("k") - 1
-    if comps is None:  # at first each block with itself and the next
-        partners = F.array_distinct(F.array("blk", F.pmod(F.col("blk") + 1, F.col("k")), F.pmod(F.col("blk") - 1, F.col("k"))))
-    else:
-        partners = F.when(F.col("blk") < F.col("m"), F.sequence(F.col("m"), last)).otherwise(F.sequence(F.lit(0), last))
-    rows = rows.withColumn("with", F.explode(partners)).withColumn("lo", F.least("blk", "with")).withColumn("hi", F.greatest("blk", "with"))
-    low, high = (ROUNDS[number - 1] if number else 0), ROUNDS[number]
-    return rows.select("bucket", "lo", "hi", "key", "comp", "sig", "blk", "n").groupBy("bucket", "lo", "hi").applyInPandas(_propose(low, high), "a binary, b binary").distinct()
+    partners = F.when(F.col("blk") < F.col("m"), F.sequence(F.col("m"), last)).otherwise(F.sequence(F.lit(0), last))
+    return rows.withColumn("with", F.explode(partners)).withColumn("lo", F.least("blk", "with")).withColumn("hi", F.greatest("blk", "with"))
 
 
 def similar(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, threshold: float) -> DataFrame:
@@ -267,30 +386,30 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     sketches = staged(sketched(keyed.where(F.col("text").isNotNull()), idf))
     texts = sketches.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
     texts = staged(texts)
-    bands = texts.select("key", F.posexplode("bands").alias("band", "h")).select("key", F.xxhash64("band", "h").alias("bucket"))
-    shared = bands.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
-    bands = staged(bands.join(shared, "bucket"))
+    bands = texts.select("key", F.posexplode("bands").alias("band", "h")).select("key", "band", F.xxhash64("band", "h").alias("bucket"))
+    sizes = staged(bands.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"))
+    bands = staged(bands.join(sizes.select("bucket"), "bucket"))
     members = staged(bands.join(texts.select("key", "sig"), "key"))
     wanted = texts.join(bands.select("key").distinct(), "key", "left_semi").select("key", "doc_id")
     bodies = staged(keyed.join(wanted, ["key", "doc_id"]).dropDuplicates(["key"]).select("key", "text"))
-    comps = None
-    for number in range(len(ROUNDS)):
-        proposed = staged(_candidates(members, comps, number))
-        left = proposed.agg(F.count("a").alias("pairs"), F.count("*").alias("rows")).first()
-        if left["pairs"]:
-            links = staged(similar(proposed.where("a is not null"), bodies, idf, threshold))
-            if links.limit(1).count():
-                comps = components(links, comps)
-        if comps is None and not left["rows"]:
-            break
-        if number and left["rows"] == left["pairs"]:
-            break
-        if comps is None:
-            comps = bands.select("key", F.col("key").alias("comp")).limit(0)
-    named = texts.select("key", "doc_id") if comps is None else texts.select("key", "doc_id").join(comps, "key", "left")
-    comp = F.col("key") if comps is None else F.coalesce("comp", "key")
-    named = staged(named.select("key", "doc_id", comp.alias("comp")))
+    columns = ["bucket", "lo", "hi", "blk", "n", "key", "band", "sig"]
+    first = staged(_dealt(_first_blocks(members, sizes).select(*columns)).mapInPandas(_nearest, "a binary, b binary, bucket long"))
+    links = staged(similar(first.where("a is not null").select("a", "b").distinct(), bodies, idf, threshold))
+    comps = components(links)
+    still = members.join(first.where("bucket is not null").select("bucket").distinct(), "bucket")
+    further = _further_blocks(still, comps).select(*columns, "comp").join(bodies, "key")
+    shared = docs.sparkSession.sparkContext.broadcast(idf)
+    more = staged(_dealt(further).mapInPandas(_linked(shared, threshold), "a binary, b binary"))
+    if more.limit(1).count():
+        comps = components(more, comps)
+    named = staged(texts.select("key", "doc_id").join(comps, "key", "left").select("key", "doc_id", F.coalesce("comp", "key").alias("comp")))
     ids = named.groupBy("comp").agg(F.min("doc_id").alias("class_id"))
     of_key = named.join(ids, "comp").select("key", "class_id")
     found = sketches.select("doc_id", "key").join(of_key, "key").select("doc_id", "class_id")
     return found.union(docs.where(F.col("text").isNull()).select("doc_id", F.col("doc_id").alias("class_id")))
+
+
+def distinct_documents(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs but one document of each class, the one with the smallest doc_id, with all their columns."""
+    first = classes(docs, threshold).where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_kept")).distinct()
+    return docs.join(first, docs["doc_id"].eqNullSafe(first["_kept"]), "left_semi").dropDuplicates(["doc_id", "text"])
