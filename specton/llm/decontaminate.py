@@ -5,7 +5,7 @@ a document, the document is cut to a window of the item's size, placed as the it
 similar enough shares a shingle with the item, so none is missed. Distinct windows get a 128-bit SimHash of weighted
 shingles. Items are indexed under 16 blocks of 8 bits, each value with every single bit flipped as well: by the
 pigeonhole principle all fingerprints within 31 bits meet in a block. Pairs within that radius are verified by the exact
-weighted Jaccard similarity of their shingles, a shingle weighing 1 to 2 by how few items hold it.
+weighted Jaccard similarity of their shingles, a shingle weighing 1 to 2 by how few items hold it (none counts as one).
 
 The items' shingles are broadcast while they are at most ``ANCHORS``; a larger benchmark is taken in parts by a hash of
 the item, with a pass over the documents for each.
@@ -29,8 +29,8 @@ RADIUS = 31
 BLOCKS = 16
 #: Item shingles that one pass broadcasts: some 60 bytes each.
 ANCHORS = 500_000
-#: Weight of a shingle that no item holds; one that all hold weighs half.
-FULL = 2000
+#: Shingles weigh this at least, when all items hold them, and less than twice as much when few do.
+LEAST = 1000
 
 
 def _words(text: Column) -> Column:
@@ -52,18 +52,24 @@ def _items(benchmark: DataFrame) -> DataFrame:
     return _shingles(benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text")).groupBy("sh").agg(F.min("item_id").alias("item_id")).where(F.size("sh") > 0).select("item_id", "sh")
 
 
+def _weight(df: Column, n: Column) -> Column:
+    return (LEAST + F.floor(LEAST * F.log((n + 1) / (df + 1)) / F.log(n + 1.0) + 0.5)).cast("long")
+
+
 def _weights(items: DataFrame) -> DataFrame:
-    """s, weight of each shingle of the items, as an integer."""
+    """s, weight of each shingle of the items, as an integer; and a row with s null for shingles that no item holds,
+    which weigh like those of a single one."""
     df = items.select("item_id", F.explode(F.array_distinct("sh")).alias("s")).groupBy("s").agg(F.count("*").alias("df"))
-    n = items.agg(F.count("*").alias("n"))
-    weight = FULL // 2 + F.floor(FULL // 2 * F.log((F.col("n") + 1) / (F.col("df") + 1)) / F.log(F.col("n") + 1.0) + 0.5)
-    return df.join(F.broadcast(n)).select("s", weight.cast("long").alias("weight"))
+    n = items.agg(F.count("*").alias("n")).where("n > 0")
+    rare = n.select(F.lit(None).cast("long").alias("s"), F.lit(1).cast("long").alias("df"))
+    return df.unionByName(rare).join(F.broadcast(n)).select("s", _weight(F.col("df"), F.col("n")).alias("weight"))
 
 
 def _counted(rows: DataFrame, key: str, weights: DataFrame) -> DataFrame:
     """key, s, c, weight: how often each shingle occurs under the key."""
     counts = rows.select(key, F.explode("sh").alias("s")).groupBy(key, "s").agg(F.count("*").alias("c"))
-    return counts.join(weights, "s", "left").select(key, "s", "c", F.coalesce("weight", F.lit(FULL).cast("long")).alias("weight"))
+    rare = weights.where("s IS NULL").select(F.col("weight").alias("_rare"))
+    return counts.join(weights, "s", "left").join(F.broadcast(rare)).select(key, "s", "c", F.coalesce("weight", "_rare").alias("weight"))
 
 
 def _fingerprints(counted: DataFrame, key: str) -> DataFrame:
@@ -138,7 +144,9 @@ WITH w AS (
   SELECT item_id, len(sh) AS n, unnest(sh) AS s, generate_subscripts(sh, 1) - 1 AS o FROM it
 ), n AS (SELECT count(*) AS n FROM it),
 wt AS (
-  SELECT s, {FULL // 2} + CAST(floor({FULL // 2} * ln((max(n.n) + 1) / (count(DISTINCT item_id) + 1)) / ln(max(n.n) + 1.0) + 0.5) AS BIGINT) AS weight FROM isn, n GROUP BY s
+  SELECT s, {LEAST} + CAST(floor({LEAST} * ln((max(n.n) + 1) / (count(DISTINCT item_id) + 1)) / ln(max(n.n) + 1.0) + 0.5) AS BIGINT) AS weight FROM isn, n GROUP BY s
+), rare AS (
+  SELECT {LEAST} + CAST(floor({LEAST} * ln((n + 1) / 2) / ln(n + 1.0) + 0.5) AS BIGINT) AS rare FROM n
 ), dsn AS (
   SELECT doc_id, sh, unnest(sh) AS s, generate_subscripts(sh, 1) - 1 AS p FROM dw
 ), starts AS (
@@ -153,8 +161,8 @@ wt AS (
   SELECT item_id, sum(c * weight) AS t FROM ic JOIN wt USING (s) GROUP BY item_id
 ), sim AS (
   SELECT wc.doc_id, wc.item_id, wc.start, CAST(sum(CASE WHEN ic.c IS NULL THEN 0 ELSE least(wc.c, ic.c) * weight END) AS DOUBLE) AS inter,
-         CAST(sum(wc.c * coalesce(weight, {FULL})) AS DOUBLE) AS t
-  FROM wc LEFT JOIN wt USING (s) LEFT JOIN ic ON ic.item_id = wc.item_id AND ic.s = wc.s GROUP BY ALL
+         CAST(sum(wc.c * coalesce(weight, rare)) AS DOUBLE) AS t
+  FROM wc CROSS JOIN rare LEFT JOIN wt USING (s) LEFT JOIN ic ON ic.item_id = wc.item_id AND ic.s = wc.s GROUP BY ALL
 ), r AS (
   SELECT doc_id, item_id, start, inter / (sim.t + itot.t - inter) AS similarity FROM sim JOIN itot USING (item_id)
 ), best AS (
