@@ -39,8 +39,14 @@ ROUNDS = 3
 #: Pseudo-labels of one round: at most this share of the pool for each side, and only from this probability on.
 EXCHANGE = 0.05
 SURE = 0.95
+#: A view labels for the other only if its log-loss is under this share of the prior's entropy.
+GAIN = 0.7
+#: Standard errors by which a text feature's means have to differ to be learned from.
+TELLING = 4.0
 CHUNK = 200
 TARGETS = ("quality", "toxic")
+#: Log-odds of toxic above which a document isn't kept: a score of 0.5.
+TOXIC_LIMIT = 0.0
 
 _KIND = np.zeros(256, np.uint8)  # 1 lower, 2 upper, 3 digit, 4 space, 5 line end, 6 bar, 7 other ASCII; 0 beyond ASCII
 _KIND[:128] = 7
@@ -85,7 +91,9 @@ def metadata_features(texts: list[str | None], langs: list, sources: list) -> np
 
 @dataclass
 class Linear:
-    """Logistic regression on sparse rows, by steps on small batches that each feature's own past gradients slow down."""
+    """Logistic regression on sparse rows, by steps on small batches that each feature's own past gradients slow down.
+
+    Only features whose means differ between the classes by over TELLING standard errors take part."""
 
     w: np.ndarray
 
@@ -97,6 +105,13 @@ class Linear:
     def fit(cls, rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, weight: np.ndarray, epochs: int = 15, rate: float = 0.1, batch: int = 32) -> Linear:
         w, seen, total = np.zeros(WIDTH + 1), np.full(WIDTH + 1, 1e-4), np.zeros(WIDTH + 1)
         weight, rng, steps = weight / weight.mean(), np.random.default_rng(3), 0
+        at, x, side = np.concatenate([r[0] for r in rows]), np.concatenate([r[1] for r in rows]), np.repeat(y, [len(r[0]) for r in rows]) > 0.5
+        mean, error = [], np.full(WIDTH, 1e-12)
+        for own, n in ((side, max((y > 0.5).sum(), 1)), (~side, max((y <= 0.5).sum(), 1))):
+            mean.append(np.bincount(at[own], x[own], WIDTH) / n)
+            error += np.maximum(np.bincount(at[own], x[own] ** 2, WIDTH) / n - mean[-1] ** 2, 0) / n
+        telling = np.abs(mean[0] - mean[1]) > TELLING * np.sqrt(error)
+        rows = [(c[keep], v[keep]) for c, v in rows for keep in [telling[c]]]
         for epoch in range(epochs):
             mixed = rng.permutation(len(y))
             for k in range(0, len(mixed), batch):
@@ -123,11 +138,23 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarr
     p = np.append(np.ones(x.shape[1]), 0.0)
     w = weight / weight.sum() * len(x)
     ridge = np.append(np.full(x.shape[1], 0.5), 1e-3)
-    for _ in range(40):
+
+    def loss(p: np.ndarray) -> float:
+        return float((w * (np.logaddexp(0, z @ p) - y * (z @ p))).sum() + 0.5 * (ridge * p * p).sum())
+
+    for _ in range(60):
         q = 1 / (1 + np.exp(-np.clip(z @ p, -30, 30)))
-        step = np.linalg.solve((z * (w * q * (1 - q))[:, None]).T @ z + np.diag(ridge), z.T @ (w * (y - q)) - ridge * p)
-        p = p + step * min(1.0, 2.0 / max(np.abs(step).max(), 1e-12))
-        p[:-1] = np.maximum(p[:-1], 0.0)
+        step = np.linalg.solve((z * (w * np.maximum(q * (1 - q), 1e-4))[:, None]).T @ z + np.diag(ridge), z.T @ (w * (y - q)) - ridge * p)
+        now = loss(p)
+        for _ in range(30):  # shorter steps until one helps
+            after = p + step
+            after[:-1] = np.maximum(after[:-1], 0.0)
+            if loss(after) < now:
+                p = after
+                break
+            step = step / 2
+        else:
+            break
     return p[:-1] / scale, float(p[-1])
 
 
@@ -155,6 +182,18 @@ class CoTrained:
         b = v.meta_scale[0][0] * v.trees.log_odds(meta) + v.meta_scale[1]
         return a, b, np.stack([a, b], 1) @ v.both[0] + v.both[1]
 
+    def keeps(self, *x: np.ndarray) -> np.ndarray:
+        """Of sufficient quality and not toxic; a target that couldn't be learned rejects nothing."""
+        quality, toxic = (self.log_odds(t, *x)[2] for t in TARGETS)
+        return (quality >= 0) & ((toxic <= TOXIC_LIMIT) | ("toxic" not in self.views))
+
+
+def teaches(log_odds: np.ndarray, y: np.ndarray, weight: np.ndarray, prior: float) -> bool:
+    """Whether a view tells enough to label for the other: its log-loss is under GAIN of what the prior alone gives."""
+    p = np.clip(1 / (1 + np.exp(-np.clip(log_odds, -30, 30))), 1e-9, 1 - 1e-9)
+    loss = -(weight * np.where(y > 0, np.log(p), np.log(1 - p))).sum() / weight.sum()
+    return loss < GAIN * -(prior * np.log(prior) + (1 - prior) * np.log(1 - prior))
+
 
 def cotrain(sparse: list[tuple[np.ndarray, np.ndarray]], meta: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = ROUNDS) -> View | None:
     """Learn one target. y is 0, 1, or -1 for the pool; sparse holds columns and values of each row."""
@@ -183,6 +222,8 @@ def cotrain(sparse: list[tuple[np.ndarray, np.ndarray]], meta: np.ndarray, y: np
         f, taken = on(pool), np.zeros(len(pool), bool)
         most = max(1, int(EXCHANGE * len(pool)))
         for view, other in (("text", "meta"), ("meta", "text")):
+            if not teaches(scale[view][0][0] * on(check)[view] + scale[view][1], y[check], weight[check], prior):
+                continue
             p = 1 / (1 + np.exp(-np.clip(scale[view][0][0] * f[view] + scale[view][1], -30, 30)))
             up = [i for i in np.argsort(-p, kind="stable")[: max(1, int(most * prior))] if p[i] >= SURE]
             down = [i for i in np.argsort(p, kind="stable")[: max(1, int(most * (1 - prior)))] if p[i] <= 1 - SURE]
@@ -256,7 +297,7 @@ def score(docs: DataFrame, model: CoTrained) -> DataFrame:
                 x = (*text_features(words, texts), metadata_features(texts, part["lang"].tolist(), part["source"].tolist()))
                 a, b, both = m.log_odds("quality", *x)
                 toxic = m.log_odds("toxic", *x)[2]
-                yield pd.DataFrame({"doc_id": part["doc_id"], "quality_score": share(both), "text_score": share(a), "metadata_score": share(b), "toxic_score": share(toxic), "keep": (both >= 0) & (toxic <= 0)})
+                yield pd.DataFrame({"doc_id": part["doc_id"], "quality_score": share(both), "text_score": share(a), "metadata_score": share(b), "toxic_score": share(toxic), "keep": m.keeps(*x)})
 
     return _columns(docs).mapInPandas(run, SCORED)
 
@@ -272,7 +313,7 @@ def kept(docs: DataFrame, model: CoTrained) -> DataFrame:
             for k in range(0, len(text), CHUNK):
                 texts = [t if isinstance(t, str) else None for t in text.iloc[k : k + CHUNK]]
                 x = (*text_features(words, texts), metadata_features(texts, lang.iloc[k : k + CHUNK].tolist(), source.iloc[k : k + CHUNK].tolist()))
-                out[k : k + CHUNK] = (m.log_odds("quality", *x)[2] >= 0) & (m.log_odds("toxic", *x)[2] <= 0)
+                out[k : k + CHUNK] = m.keeps(*x)
             yield pd.Series(out)
 
     fit_to_train_on = F.pandas_udf(run, "boolean")
