@@ -43,7 +43,7 @@ def running_maximum(stream: DataFrame, session: str, value: str) -> DataFrame:
 
 def by_event_time(stream: DataFrame, at: str, key: str, value: str, width: str, late: str) -> DataFrame:
     """window, key, n, mean over event-time windows; rows later than ``late`` are dropped with the state they'd need."""
-    w = stream.withWatermark(at, late).groupBy(F.window(at, width), key)
+    w = stream.withColumn(at, F.col(at).cast("timestamp")).withWatermark(at, late).groupBy(F.window(at, width), key)
     return w.agg(F.count(value).alias("n"), F.avg(value).alias("mean")).select(F.col("window.start").alias("start"), key, "n", "mean")
 
 
