@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from specton.plans import tables, vectors
+from specton.plans import analysis, tables, vectors
 
-MODULES = [vectors, tables]
+MODULES = [vectors, tables, analysis]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

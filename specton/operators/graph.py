@@ -120,6 +120,7 @@ def walk_distributions(transitions: DataFrame, starts: DataFrame, steps: int = S
         step, node = np.nonzero(every > 0)
         return pd.DataFrame({"query": query, "step": step.astype(np.int32), "node": nodes[node], "p": every[step, node]})
 
+    transitions, starts = transitions.select("query", "src", "dst", "p").toDF("query", "src", "dst", "p"), starts.select("query", "node").toDF("query", "node")
     return transitions.groupBy("query").cogroup(starts.groupBy("query")).applyInPandas(lambda a, b: run(a, b) if len(b) else pd.DataFrame({"query": [], "step": [], "node": [], "p": []}).astype({"query": "int64", "step": "int32", "node": "int64", "p": float}), "query long, step int, node long, p double")
 
 

@@ -75,8 +75,8 @@ def score_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def l2_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = V.l2_normalize(F.col("vector"))
-    return _rows(spark, sf_dir).select("id", F.round(V.norm(F.col("vector")), 6).alias("norm"), F.transform(v, lambda x: F.round(x, 6)).alias("v")).select("id", "norm", F.array_join(F.transform("v", lambda x: F.format_string("%.4f", x + 0.0)), " ").alias("text")).select("id", "norm", F.length("text").alias("chars"))
+    v = F.col("vector")
+    return _rows(spark, sf_dir).select("id", F.round(V.norm(v), 6).alias("norm"), F.round(V.norm(V.l2_normalize(v)), 6).alias("unit"))
 
 
 def compact_features(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -273,6 +273,7 @@ QUERIES = {
     "classify_by_distance": (classify_by_distance, CLASSIFY_SQL),
     "standardizer": (standardizer, f"WITH {_HOLD} SELECT dim::INTEGER AS dim, round(mean, 6) AS mean, round(sd, 6) AS sd, round(weight, 6) AS weight FROM p"),
     "score_entropy": (score_entropy, f"WITH {_HOLD} SELECT query_id, round(-sum(score * log2(score)), 6) AS bits FROM sc WHERE score > 0 GROUP BY query_id"),
+    "l2_normalized": (l2_normalized, f"WITH {_E} SELECT id, round(sqrt(list_inner_product(v, v)), 6) AS norm, CAST(CASE WHEN list_inner_product(v, v) = 0 THEN 0 ELSE 1 END AS DOUBLE) AS unit FROM e"),
     "compact_features": (compact_features, f"WITH {_E} SELECT id, round(list_sum(list_transform(v, lambda x: CAST(printf('%.4e', x) AS DOUBLE))), 9) AS total FROM e"),
     "cosine_neighbours": (cosine_neighbours, _pairs_sql(_COS, 7)),
     "euclidean_neighbours": (euclidean_neighbours, _pairs_sql("CAST(-list_distance(a.v, b.v) AS FLOAT)", 5)),
