@@ -209,7 +209,7 @@ def cotrain(sparse: list[tuple[np.ndarray, np.ndarray]], meta: np.ndarray, y: np
 
     def flat(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         sizes = [len(sparse[i][0]) for i in rows]
-        return np.repeat(np.arange(len(rows)), sizes), np.concatenate([np.zeros(0, np.int64), *[sparse[i][0] for i in rows]]), np.concatenate([np.zeros(0), *[sparse[i][1] for i in rows]])
+        return np.repeat(np.arange(len(rows)), sizes), np.concatenate([np.zeros(0, np.int32), *[sparse[i][0] for i in rows]]), np.concatenate([np.zeros(0, np.float32), *[sparse[i][1] for i in rows]])
 
     for number in range(rounds + 1):
         linear = Linear.fit([sparse[i] for i in given["text"][0]], *given["text"][1:])
@@ -271,7 +271,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_stratum: int = PER_STRATUM, pool
         sizes = {r[0]: r[1] for r in marks.groupBy(stratum.alias("s")).count().collect()}
         seen = got["stratum"].value_counts()
         weight = np.array([sizes[s] / seen[s] if isinstance(s, str) else 1.0 for s in got["stratum"]])
-        sparse = [(np.frombuffer(c, np.int32).astype(np.int64), np.frombuffer(v, np.float32).astype(float)) for c, v in zip(got["column"], got["value"], strict=True)]
+        sparse = [(np.frombuffer(c, np.int32), np.frombuffer(v, np.float32)) for c, v in zip(got["column"], got["value"], strict=True)]
         meta = np.stack([np.frombuffer(m, np.float32) for m in got["meta"]]).astype(float)
         for target in TARGETS:
             view = cotrain(sparse, meta, got[target].fillna(-1).to_numpy(int), weight)
