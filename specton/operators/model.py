@@ -61,9 +61,9 @@ def fit(rows: DataFrame, metric: str = "euclidean", k: int = 5, share: float = 0
     return Model(params, refs, conformal.by_specimen(scores), metric, k)
 
 
-def _nonconformity(rows: DataFrame, refs: DataFrame, metric: str, nearest: int = 50) -> DataFrame:
-    near = similarity.neighbours(rows, refs, nearest, metric).join(refs.select(F.col("id").alias("ref_id"), "label", F.col("group").alias("ref_group")), "ref_id")
-    scores = conformal.nonconformity(near.withColumnRenamed("ref_group", "group"))
+def _nonconformity(rows: DataFrame, refs: DataFrame, metric: str) -> DataFrame:
+    """query_id, label, score, group, truth: each row's nonconformity to every label, over all references."""
+    scores = conformal.nonconformity(similarity.group_similarities(rows, refs, conformal.NEAREST, metric))
     return scores.join(rows.select(F.col("id").alias("query_id"), "group", F.col("label").alias("truth")), "query_id")
 
 

@@ -75,6 +75,45 @@ def neighbours(queries: DataFrame, references: DataFrame, k: int, metric: str =
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def group_similarities(queries: DataFrame, references: DataFrame, m: int, metric: str = "cosine") -> DataFrame:
+    """query_id, label, group, similarity (single precision): of all references, enough to know each label's m best
+    groups by their best similarity. Queries have id and vector, references label and group too; a reference with the
+    query's id is left out.
+
+    Each pair of blocks keeps the m best groups of each label by their best similarity there. A group among the m best
+    of all is among them in the block of its best reference, so the blocks' lists hold its best similarity, however
+    references are dealt."""
+    n, k = references.count(), queries.count()
+    blocks, batches = max(1, -(-n // BLOCK)), max(1, -(-k // BLOCK))
+    deal = lambda count: F.pmod(F.xxhash64("id"), F.lit(count)).cast("int")
+    every = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
+    refs = references.select(F.col("id").cast("long").alias("id"), doubles("vector").alias("vector"), "label", "group").withColumn("b", deal(blocks)).withColumn("q", every(batches))
+    asks = queries.select(F.col("id").cast("long").alias("id"), doubles("vector").alias("vector")).withColumn("q", deal(batches)).withColumn("b", every(blocks))
+
+    def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        parts = [pd.DataFrame({"query_id": [], "label": [], "group": [], "similarity": []}).astype({"query_id": "int64", "label": object, "group": object, "similarity": "float32"})]
+        if len(left) and len(right):
+            right = right.sort_values(["label", "group"])
+            s = _similarities(np.stack(left["vector"]), np.stack(right["vector"]), metric)
+            asked, labels, groups = left["id"].to_numpy(), right["label"].to_numpy(object), right["group"].to_numpy(object)
+            s[asked[:, None] == right["id"].to_numpy()[None, :]] = -np.inf
+            label, group = pd.factorize(labels, use_na_sentinel=False)[0], pd.factorize(groups, use_na_sentinel=False)[0]
+            first = np.flatnonzero(np.concatenate([[True], (np.diff(label) != 0) | (np.diff(group) != 0)]))
+            s = np.fmax.reduceat(s, first, axis=1)
+            bounds = np.concatenate([np.flatnonzero(np.concatenate([[True], np.diff(label[first]) != 0])), [len(first)]])
+            for low, high in zip(bounds[:-1], bounds[1:], strict=True):
+                order = low + np.argsort(-s[:, low:high], axis=1, kind="stable")[:, :m]
+                value = np.take_along_axis(s, order, 1)
+                rows, at = np.nonzero(value > -np.inf)
+                of = first[order[rows, at]]
+                parts.append(pd.DataFrame({"query_id": asked[rows], "label": labels[of], "group": groups[of], "similarity": value[rows, at]}))
+        return pd.concat(parts[1:] or parts)
+
+    kinds = {f.name: f.dataType.simpleString() for f in references.schema.fields}
+    found = asks.groupBy("b", "q").cogroup(refs.groupBy("b", "q")).applyInPandas(best, f"query_id long, label {kinds['label']}, `group` {kinds['group']}, similarity float")
+    return found.groupBy("query_id", "label", "group").agg(F.max("similarity").alias("similarity"))
+
+
 def label_scores(votes: DataFrame, labels: DataFrame, weight: Column, balanced: bool = True) -> DataFrame:
     """query_id, label, score. votes: query_id, ref_id and what weight reads; labels: ref_id, label of all available
     references. A label's sum is divided by its number of references if balanced, and scores are scaled to 1 a query;

@@ -131,6 +131,27 @@ def test_model_on_clusters(spark):
         model.assert_external(m, df, df)
 
 
+def test_nonconformity_is_over_all_references(spark, monkeypatch):
+    monkeypatch.setattr(similarity, "BLOCK", 64)
+    r = np.random.default_rng(3)
+    rows = [(i, "a" if i < 300 else "b" if i < 340 else "c", f"g{i // 2 if i < 300 else i // 3}", [float(x) for x in r.normal(0, 0.1, 4) + (0 if i < 300 else 5)]) for i in range(345)]
+    refs = frame(spark, rows, "id long, label string, group string, vector array<double>")
+    asks = frame(spark, [(1000 + i, "c" if i else "a", f"q{i}", [float(x) for x in r.normal(0, 0.1, 4)]) for i in range(5)], "id long, label string, group string, vector array<double>")
+    for metric in ("euclidean", "cosine"):
+        got = {(x.query_id, x.label): x.score for x in model._nonconformity(asks, refs, metric).collect()}
+        want = {}
+        for q in asks.collect():
+            for label in "abc":
+                best = {}
+                for _, own, group, v in rows:
+                    if own == label:
+                        a, b = np.array(q.vector), np.array(v)
+                        s = -np.sqrt(((a - b) ** 2).sum()) if metric == "euclidean" else a @ b / np.sqrt((a @ a) * (b @ b))
+                        best[group] = max(best.get(group, -np.inf), s)
+                want[q.id, label] = 1 - np.mean(sorted(best.values())[-3:])
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-5 for k in want)
+
+
 def test_shapes():
     r = np.random.default_rng(1)
     a = r.normal(size=(19, 2))
