@@ -174,6 +174,23 @@ def test_shapes():
     assert np.allclose(shape.apply_affine(shape.inverse_affine(mtx), shape.apply_affine(mtx, a)), a)
 
 
+def test_mean_shapes_are_of_all_rows(spark, tmp_path):
+    from specton.plans import analysis
+
+    r = np.random.default_rng(2)
+    a, b = r.normal(size=(2, 38))
+    rows = [(i, 1 if i < 600 else 2, [float(x) for x in r.normal(0, 0.05, 38) + (a if i < 500 else b)]) for i in range(620)]
+    frame(spark, rows, "vec_id long, label int, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {x.id: x.distance for x in analysis.shape_distances(spark, str(tmp_path)).collect()}
+    for label in (1, 2):
+        own = {i: np.array(v, np.float32).astype(float).reshape(19, 2) for i, x, v in rows if x == label}
+        turned = [shape.centre_and_scale(v) for v in own.values()]
+        mean = turned[0]
+        for _ in range(20):
+            mean = shape.centre_and_scale(np.mean([shape.rotate_onto(v, mean) for v in turned], 0))
+        assert all(abs(got[i] - shape.procrustes_distance(v, mean)) < 2e-6 for i, v in own.items())
+
+
 def test_projections(spark):
     p = projection.sparse_projection(20, 100)
     assert all(len(set(row)) == 6 for row in p)
