@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 import uuid
 
 import numpy as np
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 
 MASK = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -15,22 +18,59 @@ BASE_INVERSE = pow(BASE, -1, 1 << 64)
 #: Texts are hashed in runs of about so many bytes, which bounds memory; a longer text is a run of its own.
 RUN_BYTES = 1 << 21
 
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names in spark.checkpoint.dir; /tmp/checkpoints where it is unset (tests)."""
-    return spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
+    """The shared folder the cluster names in spark.checkpoint.dir. Only a local session may do without: it has one machine."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{tempfile.gettempdir()}/specton-checkpoints"
 
 
-def staged(df: DataFrame) -> DataFrame:
+def staged(df: DataFrame, folder: str | None = None) -> DataFrame:
     """Cut the lineage: write the rows to the shared folder as Parquet and read them again."""
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/staged-{uuid.uuid4().hex}"
+    path = f"{folder or shared_dir(df.sparkSession)}/staged-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Staged tables and broadcasts of one computation; all go when it is closed, so nothing lazy may read them then."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.folder, self.shared = spark, f"{shared_dir(spark)}/scratch-{uuid.uuid4().hex}", []
+
+    def staged(self, df: DataFrame) -> DataFrame:
+        return staged(df, self.folder)
+
+    def broadcast(self, value: object) -> Broadcast:
+        self.shared.append(self.spark.sparkContext.broadcast(value))
+        return self.shared[-1]
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        for b in self.shared:
+            b.destroy()
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """The name, with underscores in front until the table has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def mix64(x: np.ndarray, seed: int = 0) -> np.ndarray:
     """The splitmix64 finaliser, elementwise on uint64."""
     with np.errstate(over="ignore"):

@@ -1,38 +1,42 @@
 """Near-duplicate classes by consistent weighted sampling over TF-IDF shingles.
 
 Texts become bags of five-word shingles weighted by count times inverse document frequency. Document frequencies are
-counted over all documents in ``BUCKETS`` hashed buckets, so the table has a fixed size. Improved consistent weighted
-sampling draws one element for each of ``SLOTS`` slots; every shingle takes part in one slot of each of ``GROUPS`` groups
-of slots (bin-wise sampling), and slots that stay empty in short texts borrow from a hashed other slot. Bands of slots
-are the search keys; weighted Jaccard similarity of the whole texts decides.
-
-Only texts are compared, not copies: equal texts share one key. First each text of a bucket is proposed with the
-partner its sketch agrees with best, which costs at most one pair a row, and the pairs that hold merge classes. Buckets
-that still hold two classes with pairs of close sketches are then gone through with the texts at hand: in the order of
-the sketches' agreement, whatever isn't connected yet is compared in full, so that no candidate between two classes
-goes unseen and a large group gives a link a text and not all its pairs. A pair counts only in the first band that it
-shares. Buckets over ``BLOCK`` texts are compared block by block.
-
-Defined results: a null text is a class of its own; texts without words are alike only if equal; a text of fewer than
-five words has one shingle; repeated rows are copies of each other; an empty table gives no rows. class_id is the
-smallest doc_id of the class. Extra columns are not read.
+counted over all documents in a signed count sketch of fixed size: three rows of ``BUCKETS`` counters, to which each
+shingle adds with a hashed sign, so that what other shingles add cancels out and the median of three is near its own
+frequency however many shingles there are. Improved consistent weighted sampling draws one element for each of
+``SLOTS`` slots; every shingle takes part in one slot of each of ``GROUPS`` groups of slots (bin-wise sampling), and
+slots that stay empty in short texts borrow from a hashed other slot. Bands of slots are the search keys; weighted
+Jaccard similarity of the whole texts decides.
+
+Only texts are compared, not copies: equal texts are one row from the start. First each text of a bucket is proposed
+with the partner its sketch agrees with best, which costs at most one pair a row, and the pairs that hold merge
+classes. Buckets that still hold two classes with pairs of close sketches are then gone through again: the texts of such
+rows are fetched, and in the order of the sketches' agreement whatever isn't connected yet is compared in full, so that
+no candidate between two classes goes unseen and a large group gives a link a text and not all its pairs. A pair counts
+only in the first band that it shares. Buckets over ``BLOCK`` texts are compared block by block.
+
+Defined results: a null text is a class of its own, each row of it; texts without words are alike only if equal; a text
+of fewer than five words has one shingle; repeated rows are copies of each other; an empty table gives no rows. class_id
+is the smallest doc_id of the class, null if all are null. Extra columns are not read.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from specton.llm.common import Words, mix64, shingles, staged
+from specton.llm.common import Scratch, Words, mix64, shingles, staged, unused
 
 THRESHOLD = 0.8
 SHINGLE = 5
-#: Hashed buckets of the document frequencies: 2 MB wherever they go.
-BUCKETS = 1 << 18
+#: Counters of each of the three rows of the document frequencies: 1.5 MB in all, wherever they go.
+BUCKETS = 1 << 17
 #: Slots of a sketch: GROUPS times BINS; bands of ROWS slots.
 GROUPS, BINS = 10, 10
 SLOTS = GROUPS * BINS
@@ -55,29 +59,47 @@ def _bags(words: Words, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray
     return e[at], d[at], np.diff(np.append(at, len(e))).astype(float)
 
 
-def _bucket(e: np.ndarray) -> np.ndarray:
-    return (e >> np.uint64(40)).astype(np.int64) % BUCKETS
+def _cells(e: np.ndarray, row: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each shingle's counter in a row of the sketch, and the sign it adds with."""
+    h = mix64(e, 70 + row)
+    return (h >> np.uint64(40)).astype(np.int64) % BUCKETS, np.where(h & np.uint64(1), 1.0, -1.0)
 
 
-def inverse_frequencies(docs: DataFrame) -> np.ndarray:
-    """A weight from 1 to 2 for each bucket: 1 + log((n + 1) / (df + 1)) / log(n + 1), over all documents with words."""
+@dataclass
+class Frequencies:
+    """Document frequencies of shingles: three rows of signed counters, and the number of documents with words."""
+
+    rows: np.ndarray
+    n: float
+
+    def weights(self, e: np.ndarray) -> np.ndarray:
+        """From 1 to 2: 1 + log((n + 1) / (df + 1)) / log(n + 2)."""
+        a, b, c = (sign * self.rows[k][at] for k in range(3) for at, sign in [_cells(e, k)])
+        df = np.clip(np.maximum(np.minimum(a, b), np.minimum(np.maximum(a, b), c)), 1, max(self.n, 1))
+        return 1 + np.log((self.n + 1) / (df + 1)) / np.log(self.n + 2)
+
+
+def frequencies(texts: DataFrame) -> Frequencies:
+    """Counted over all documents. texts: text, and n, how many documents it is the text of."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words, df, n = Words(), np.zeros(BUCKETS, np.int64), 0
+        words, df, total = Words(), np.zeros((3, BUCKETS)), 0
         for pdf in batches:
-            for k in range(0, len(pdf), CHUNK):
-                e, d, _ = _bags(words, pdf["text"].iloc[k : k + CHUNK].tolist())
-                df += np.bincount(_bucket(e), minlength=BUCKETS)
-                n += len(np.unique(d))
+            for k in range(0, len(pdf), 1000):
+                n = pdf["n"].to_numpy(float)[k : k + 1000]
+                e, d, _ = _bags(words, pdf["text"].iloc[k : k + 1000].tolist())
+                for row in range(3):
+                    at, sign = _cells(e, row)
+                    df[row] += np.bincount(at, sign * n[d], BUCKETS)
+                total += int(n[np.unique(d)].sum())
         at = np.flatnonzero(df)
-        yield pd.DataFrame({"bucket": np.append(at, -1), "n": np.append(df[at], n)})
+        yield pd.DataFrame({"cell": np.append(at, -1), "n": np.append(df.ravel()[at], total).astype(np.int64)})
 
-    got = docs.select("text").where(F.col("text").isNotNull()).mapInPandas(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
-    df = np.zeros(BUCKETS)
-    own = got[got["bucket"] >= 0]
-    df[own["bucket"]] = own["n"]
-    n = float(got.loc[got["bucket"] < 0, "n"].sum())
-    return (1 + np.clip(np.log((n + 1) / (df + 1)), 0, None) / np.log(n + 2)).astype(np.float32)
+    got = texts.select("text", "n").mapInPandas(count, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    cell, n = got["cell"].to_numpy(), got["n"].to_numpy()
+    rows = np.zeros(3 * BUCKETS, np.float32)
+    rows[cell[cell >= 0]] = n[cell >= 0]
+    return Frequencies(rows.reshape(3, BUCKETS), float(n[cell < 0].sum()))
 
 
 def _layers(e: np.ndarray, d: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -126,9 +148,8 @@ def sketch(e: np.ndarray, d: np.ndarray, weight: np.ndarray, n: int) -> np.ndarr
     return out
 
 
-def sketched(docs: DataFrame, idf: np.ndarray) -> DataFrame:
-    """doc_id, key (of the text), bands and sig (a byte a slot, then the bands again), null without words."""
-    shared = docs.sparkSession.sparkContext.broadcast(idf)
+def sketched(texts: DataFrame, shared: Broadcast) -> DataFrame:
+    """key, bands and sig (a byte a slot, then the bands again) of the texts with words."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words = Words()
@@ -136,20 +157,17 @@ def sketched(docs: DataFrame, idf: np.ndarray) -> DataFrame:
             for k in range(0, len(pdf), CHUNK):
                 part = pdf.iloc[k : k + CHUNK]
                 e, d, tf = _bags(words, part["text"].tolist())
-                s = sketch(e, d, tf * shared.value[_bucket(e)], len(part))
+                s = sketch(e, d, tf * shared.value.weights(e), len(part))
                 band = np.zeros((len(part), BANDS), np.uint64)
                 with np.errstate(over="ignore"):
                     for j in range(ROWS):
                         band = mix64(band * np.uint64(31) + s[:, j * BANDS : (j + 1) * BANDS])
                     band = mix64(band ^ np.arange(BANDS, dtype=np.uint64))
-                some = s.any(1)
-                yield pd.DataFrame({
-                    "doc_id": part["doc_id"], "key": part["key"],
-                    "bands": [b if x else None for b, x in zip(band.astype(np.int64), some, strict=True)],
-                    "sig": [b.tobytes() + c.tobytes() if x else None for b, c, x in zip((s >> np.uint64(8)).astype(np.uint8), band, some, strict=True)],
-                })
+                some = np.flatnonzero(s.any(1))
+                short = (s >> np.uint64(8)).astype(np.uint8)
+                yield pd.DataFrame({"key": part["key"].iloc[some], "bands": list(band.astype(np.int64)[some]), "sig": [short[i].tobytes() + band[i].tobytes() for i in some]})
 
-    return docs.mapInPandas(run, "doc_id long, key binary, bands array<long>, sig binary")
+    return texts.select("key", "text").mapInPandas(run, "key binary, bands array<long>, sig binary")
 
 
 def _close(sigs: list[bytes], band: int, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -234,7 +252,23 @@ def _nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"a": a, "b": b, "bucket": pd.array(bucket, dtype="Int64")})
 
 
-def _linked(idf, threshold: float):
+def _crossing(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The rows that have a close pair with a row of another class: those whose texts have to be compared."""
+    for pdf, at in _groups(batches, ["bucket", "lo", "hi"]):
+        keep = np.zeros(len(pdf), bool)
+        for begin, end in zip(at[:-1], at[1:], strict=True):
+            part = pdf.iloc[begin:end]
+            comp = pd.factorize(part["comp"])[0]
+            left, right, _ = _sides(part)
+            if comp.max() > 0 and len(left) and len(right):
+                _, ok = _close(part["sig"].tolist(), part["band"].iloc[0], left, right)
+                ok &= comp[left][:, None] != comp[right][None, :]
+                keep[begin + left[ok.any(1)]] = keep[begin + right[ok.any(0)]] = True
+        if keep.any():
+            yield pdf[keep]
+
+
+def _linked(frequencies: Broadcast, threshold: float):
     """All close pairs of two classes, best first, compared in full unless they are connected by then: the links found."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -254,7 +288,7 @@ def _linked(idf, threshold: float):
                 order = np.argsort(-est[i, j], kind="stable")
                 i, j = left[i[order]], right[j[order]]
                 e, d, tf = _bags(words, part["text"].tolist())
-                w = tf * idf.value[_bucket(e)]
+                w = tf * frequencies.value.weights(e)
                 cut = np.searchsorted(d, np.arange(len(part) + 1))
                 total = np.bincount(d, w, len(part))
                 by = np.argsort(e, kind="stable")
@@ -306,9 +340,9 @@ def _place(n: Column) -> Column:
     return F.pmod(F.xxhash64("key", "bucket"), F.greatest(n, F.lit(1)).cast("long")).cast("int")
 
 
-def _first_blocks(members: DataFrame, sizes: DataFrame) -> DataFrame:
+def _first_blocks(members: DataFrame) -> DataFrame:
     """Each block of a bucket with itself and with the next."""
-    rows = members.join(sizes, "bucket").withColumn("k", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("blk", _place(F.col("k")))
+    rows = members.withColumn("k", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("blk", _place(F.col("k")))
     partners = F.array_distinct(F.array("blk", F.pmod(F.col("blk") + 1, F.col("k")), F.pmod(F.col("blk") - 1, F.col("k"))))
     return rows.withColumn("with", F.explode(partners)).withColumn("lo", F.least("blk", "with")).withColumn("hi", F.greatest("blk", "with"))
 
@@ -316,7 +350,7 @@ def _first_blocks(members: DataFrame, sizes: DataFrame) -> DataFrame:
 def _further_blocks(members: DataFrame, comps: DataFrame) -> DataFrame:
     """The buckets that hold two classes. Texts of a bucket's largest class fill blocks 0 to m - 1 and the rest blocks m
     to m + k - 1; the former aren't compared with each other."""
-    rows = members.join(comps, "key", "left").withColumn("comp", F.coalesce("comp", "key"))
+    rows = members.drop("n").join(comps, "key", "left").withColumn("comp", F.coalesce("comp", "key"))
     by = rows.groupBy("bucket", "comp").agg(F.count("*").alias("c"))
     sizes = by.groupBy("bucket").agg(F.sum("c").alias("n"), F.max("c").alias("most"), F.max_by("comp", F.struct("c", "comp")).alias("major")).where("n > most")
     m = F.when(F.col("n") <= BLOCK, 0).otherwise(F.ceil(F.col("most") / BLOCK)).cast("int")
@@ -328,9 +362,8 @@ def _further_blocks(members: DataFrame, comps: DataFrame) -> DataFrame:
     return rows.withColumn("with", F.explode(partners)).withColumn("lo", F.least("blk", "with")).withColumn("hi", F.greatest("blk", "with"))
 
 
-def similar(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, threshold: float) -> DataFrame:
+def similar(pairs: DataFrame, texts: DataFrame, shared: Broadcast, threshold: float) -> DataFrame:
     """The pairs a, b whose texts have at least this weighted Jaccard similarity."""
-    shared = pairs.sparkSession.sparkContext.broadcast(idf)
 
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words = Words()
@@ -339,7 +372,7 @@ def similar(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, threshold: floa
                 part = pdf.iloc[k : k + CHUNK]
                 own = list(dict.fromkeys([*part["text_a"], *part["text_b"]]))
                 e, d, tf = _bags(words, own)
-                w = tf * shared.value[_bucket(e)]
+                w = tf * shared.value.weights(e)
                 cut = np.searchsorted(d, np.arange(len(own) + 1))
                 at = {t: i for i, t in enumerate(own)}
                 keep = []
@@ -355,61 +388,100 @@ def similar(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, threshold: floa
     return pairs.join(a, "a").join(b, "b").mapInPandas(check, "a binary, b binary")
 
 
-def components(edges: DataFrame, comps: DataFrame | None = None) -> DataFrame:
-    """key, comp: the smallest key of the component, for every key in the edges or in the components so far."""
-    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    if comps is not None:  # edges between the components so far
-        c = lambda k, v: comps.select(F.col("key").alias(k), F.col("comp").alias(v))
-        both = both.join(c("a", "ca"), "a", "left").join(c("b", "cb"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).where("a <> b").distinct()
-    both = staged(both)
-    labels = staged(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("key"), F.least("a", "b").alias("comp")))
+def _contract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Of one partition's edges key, comp: each node with the smallest node it is connected to here, and whether that is
+    news. Connected components stay the same, and no node has two rows."""
+    root: dict[bytes, bytes] = {}
+    given: dict[bytes, bytes] = {}
+    changed: set[bytes] = set()
+
+    def top(x: bytes) -> bytes:
+        y = x
+        while (z := root.setdefault(y, y)) != y:
+            y = z
+        while root[x] != y:
+            root[x], x = y, root[x]
+        return y
+
+    for pdf in batches:
+        for x, m, news in zip(pdf["key"], pdf["comp"], pdf["news"], strict=True):
+            if given.setdefault(x, m) != m or news:
+                changed.add(x)
+            a, b = top(x), top(m)
+            if a != b:
+                root[max(a, b)] = min(a, b)
+    rows = [(x, y, x in changed or given.get(x) != y) for x in root if (y := top(x)) != x]
+    for k in range(0, len(rows), 100_000):
+        yield pd.DataFrame(rows[k : k + 100_000], columns=["key", "comp", "news"])
+
+
+_EDGES = "key binary, comp binary, news boolean"
+
+
+def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
+    """key, comp: the smallest key of the component, for every key of the edges (key, comp) but the smallest ones.
+
+    Each partition contracts its edges to stars around its smallest keys. Then in rounds every edge moves on to where its
+    comp is linked to, which halves the ways left, and the edges of one key meet in a partition and are contracted, until
+    all are stars. A key has at most one row for each partition, and none of its own in the end, so none is hot."""
+    now = scratch.staged(edges.select("key", "comp", F.lit(False).alias("news")).mapInPandas(_contract, _EDGES))
     while True:
-        reached = both.join(labels.select(F.col("key").alias("b"), "comp"), "b").groupBy(F.col("a").alias("key")).agg(F.min("comp").alias("near"))
-        step = labels.join(reached, "key").select("key", F.col("comp").alias("old"), F.least("comp", "near").alias("comp"))
-        step = staged(step)
-        up = step.select(F.col("key").alias("comp"), F.col("comp").alias("top"))
-        step = staged(step.join(up, "comp").select("key", "old", F.least("comp", "top").alias("comp")))
-        labels = step.select("key", "comp")
-        if step.where("comp <> old").limit(1).count() == 0:
-            break
-    if comps is None:
-        return labels
-    merged = comps.join(labels.select(F.col("key").alias("comp"), F.col("comp").alias("to")), "comp", "left").select("key", F.coalesce("to", "comp").alias("comp"))
-    return staged(merged.union(labels.join(comps.select("key"), "key", "left_anti")))
+        up = now.select(F.col("key").alias("comp"), F.col("comp").alias("up"))
+        moved = now.select("key", "comp").join(up, "comp", "left").select("key", F.coalesce("up", "comp").alias("comp"), F.col("up").isNotNull().alias("news"))
+        now = scratch.staged(moved.repartition("key").mapInPandas(_contract, _EDGES))
+        if not now.where("news").limit(1).count():
+            return now.select("key", "comp")
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    """key, doc_id (the smallest), n (documents) and text: a row for each distinct text."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.col("text").isNotNull())
+    return rows.groupBy(_key(F.col("text")).alias("key")).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"), F.first("text").alias("text"))
+
+
+def _key(text: Column) -> Column:
+    return F.unhex(F.md5(text.cast("binary")))
+
+
+def text_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """key, class_id, first: the class of each distinct text, and whether it stands for its class. Written when this returns."""
+    with Scratch(docs.sparkSession) as scratch:
+        texts = scratch.staged(_texts(docs))
+        shared = scratch.broadcast(frequencies(texts))
+        sketches = scratch.staged(sketched(texts, shared))
+        bands = sketches.select("key", F.posexplode("bands").alias("band", "h")).select("key", "band", F.xxhash64("band", "h").alias("bucket"))
+        sizes = scratch.staged(bands.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"))
+        members = scratch.staged(bands.join(sizes, "bucket").join(sketches.select("key", "sig"), "key"))
+        columns = ["bucket", "lo", "hi", "blk", "n", "key", "band", "sig"]
+        first = scratch.staged(_dealt(_first_blocks(members).select(*columns)).mapInPandas(_nearest, "a binary, b binary, bucket long"))
+        bodies = texts.select("key", "text")
+        edge = lambda pairs: pairs.select(F.greatest("a", "b").alias("key"), F.least("a", "b").alias("comp"))
+        comps = components(edge(similar(first.where("a is not null").select("a", "b").distinct(), bodies, shared, threshold)), scratch)
+        still = members.join(first.where("bucket is not null").select("bucket").distinct(), "bucket")
+        rows = _dealt(_further_blocks(still, comps).select(*columns, "comp"))
+        schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
+        crossing = scratch.staged(rows.mapInPandas(_crossing, schema)).join(bodies, "key")
+        more = scratch.staged(_dealt(crossing).mapInPandas(_linked(shared, threshold), "a binary, b binary"))
+        if more.limit(1).count():
+            comps = components(comps.unionByName(edge(more)), scratch)
+        named = texts.select("key", "doc_id").join(comps, "key", "left").select("key", "doc_id", F.coalesce("comp", "key").alias("comp"))
+        of = named.groupBy("comp").agg(F.min("doc_id").alias("class_id"), F.min(F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "key")).alias("m"))
+        return staged(named.join(of, "comp").select("key", "class_id", (F.col("key") == F.col("m.key")).alias("first")))
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, class_id for each row of docs (doc_id, text)."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    keyed = docs.withColumn("key", F.unhex(F.md5(F.col("text").cast("binary"))))
-    idf = inverse_frequencies(docs)
-    sketches = staged(sketched(keyed.where(F.col("text").isNotNull()), idf))
-    texts = sketches.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
-    texts = staged(texts)
-    bands = texts.select("key", F.posexplode("bands").alias("band", "h")).select("key", "band", F.xxhash64("band", "h").alias("bucket"))
-    sizes = staged(bands.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"))
-    bands = staged(bands.join(sizes.select("bucket"), "bucket"))
-    members = staged(bands.join(texts.select("key", "sig"), "key"))
-    wanted = texts.join(bands.select("key").distinct(), "key", "left_semi").select("key", "doc_id")
-    bodies = staged(keyed.join(wanted, ["key", "doc_id"]).dropDuplicates(["key"]).select("key", "text"))
-    columns = ["bucket", "lo", "hi", "blk", "n", "key", "band", "sig"]
-    first = staged(_dealt(_first_blocks(members, sizes).select(*columns)).mapInPandas(_nearest, "a binary, b binary, bucket long"))
-    links = staged(similar(first.where("a is not null").select("a", "b").distinct(), bodies, idf, threshold))
-    comps = components(links)
-    still = members.join(first.where("bucket is not null").select("bucket").distinct(), "bucket")
-    further = _further_blocks(still, comps).select(*columns, "comp").join(bodies, "key")
-    shared = docs.sparkSession.sparkContext.broadcast(idf)
-    more = staged(_dealt(further).mapInPandas(_linked(shared, threshold), "a binary, b binary"))
-    if more.limit(1).count():
-        comps = components(more, comps)
-    named = staged(texts.select("key", "doc_id").join(comps, "key", "left").select("key", "doc_id", F.coalesce("comp", "key").alias("comp")))
-    ids = named.groupBy("comp").agg(F.min("doc_id").alias("class_id"))
-    of_key = named.join(ids, "comp").select("key", "class_id")
-    found = sketches.select("doc_id", "key").join(of_key, "key").select("doc_id", "class_id")
-    return found.union(docs.where(F.col("text").isNull()).select("doc_id", F.col("doc_id").alias("class_id")))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    keyed = rows.where(F.col("text").isNotNull()).select("doc_id", _key(F.col("text")).alias("key"))
+    found = keyed.join(text_classes(docs, threshold), "key").select("doc_id", "class_id")
+    return found.union(rows.where(F.col("text").isNull()).select("doc_id", F.col("doc_id").alias("class_id")))
 
 
 def distinct_documents(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs but one document of each class, the one with the smallest doc_id, with all their columns."""
-    first = classes(docs, threshold).where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(first, docs["doc_id"].eqNullSafe(first["_kept"]), "left_semi").dropDuplicates(["doc_id", "text"])
+    """The rows of docs but one row of each class, with all their columns: one of its smallest doc_id (null ones last)
+    whose text is the smallest by hash. Every row with a null text stays."""
+    key, lone = unused(docs, "key"), unused(docs, "without")
+    first = text_classes(docs, threshold).where("first").select(F.col("key").alias(key), F.col("class_id").alias(lone))
+    rows = docs.where(F.col("text").isNotNull()).withColumn(key, _key(F.col("text").cast("string")))
+    same = (rows[key] == first[key]) & rows["doc_id"].cast("long").eqNullSafe(first[lone])
+    return rows.join(first, same, "left_semi").dropDuplicates([key]).drop(key).unionByName(docs.where(F.col("text").isNull()))

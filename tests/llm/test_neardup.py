@@ -9,10 +9,10 @@ from specton.llm.common import Words, shingles
 
 def brute(spark, rows):
     """doc_id -> class_id at weighted Jaccard similarity of 0.8, all pairs."""
-    idf = neardup.inverse_frequencies(spark.createDataFrame(rows, "doc_id long, text string"))
+    idf = neardup.frequencies(neardup._texts(spark.createDataFrame(rows, "doc_id long, text string")))
     texts = sorted({t for _, t in rows if t is not None})
     e, d, tf = neardup._bags(Words(), texts)
-    w = tf * idf[neardup._bucket(e)]
+    w = tf * idf.weights(e)
     bags = [dict(zip(e[d == i].tolist(), w[d == i].tolist())) for i in range(len(texts))]
     root = list(range(len(texts)))
 
@@ -86,6 +86,32 @@ def test_distinct_documents_keeps_columns(spark):
     assert out.columns == docs.columns and sorted(r.doc_id for r in out.collect()) == [1, 3, 4]
 
 
+def test_null_and_repeated_ids(spark):
+    text = [f"w{k}" for k in range(60)]
+    near = " ".join(["other", *text[1:]])
+    text = " ".join(text)
+    rows = [(None, near, "a"), (7, text, "b"), (7, "a text of its own with the id of another one", "c"), (9, None, "d"), (9, None, "e"), (None, "alone without any id at all here", "f"), (8, text, "g")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, key string")
+    found = sorted(((r.doc_id, r.class_id) for r in neardup.classes(docs).collect()), key=str)
+    assert found == sorted([(None, 7), (7, 7), (7, 7), (9, 9), (9, 9), (None, None), (8, 7)], key=str)
+    assert sorted(r.key for r in neardup.distinct_documents(docs).collect()) == ["b", "c", "d", "e", "f"]
+
+
+def test_components_of_chains_and_stars(spark):
+    from specton.llm.common import Scratch
+
+    r = random.Random(9)
+    name = lambda n: n.to_bytes(4, "big")
+    chain, star = r.sample(range(1000), 40), r.sample(range(1000, 2000), 50)
+    edges = [*zip(chain, chain[1:]), *((star[0], x) for x in star[1:]), (3000, 3001)]
+    r.shuffle(edges)
+    df = spark.createDataFrame([(name(max(e)), name(min(e))) for e in edges], "key binary, comp binary").repartition(16)
+    with Scratch(spark) as scratch:
+        got = {bytes(x.key): bytes(x.comp) for x in neardup.components(df, scratch).collect()}
+    want = {name(x): name(min(g)) for g in (chain, star, [3000, 3001]) for x in g if x != min(g)}
+    assert got == want
+
+
 @pytest.mark.parametrize("share", [0.5, 0.8, 0.95])
 def test_sketch_estimates_weighted_jaccard(share):
     r = np.random.default_rng(5)
