@@ -102,8 +102,9 @@ class Words:
     _is_word = np.zeros(256, bool)
     _is_word[[*range(48, 58), 95, *range(97, 123), *range(128, 256)]] = True
 
-    def __init__(self) -> None:
-        self.up = self.down = np.ones(1, np.uint64)
+    def __init__(self, stem: int = 0) -> None:
+        """stem: hash only so many first bytes of each word."""
+        self.up, self.down, self.stem = np.ones(1, np.uint64), np.ones(1, np.uint64), stem
 
     def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """The hashes of all words, and for each text where its words begin (one entry more than texts)."""
@@ -128,6 +129,8 @@ class Words:
         word = self._is_word[data]
         edge = np.flatnonzero(np.diff(word, prepend=False))
         begin, end = edge[0::2], edge[1::2]
+        if self.stem:
+            end = np.minimum(end, begin + self.stem)
         with np.errstate(over="ignore"):
             total = np.cumsum(data * self.up[: len(data)], dtype=np.uint64)
             before = np.where(begin > 0, total[begin - 1], np.uint64(0))

@@ -8,7 +8,9 @@ The classifiers learn from at most about ``per_language`` labelled texts of each
 every text is scored whole.
 
 Defined results: a null text, or one without letters, is ``und`` with score 0 and ambiguous; without labelled rows all
-are; repeated rows are scored each; an empty table gives none. lang, source and doc_id are no inputs of a prediction.
+are; repeated rows are scored each, and every text from itself alone, in whatever batch it comes; of languages that fit
+equally well the first by name is chosen; an empty table gives none. lang, source and doc_id are no inputs of a prediction.
+The caller's columns are kept, added ones of the same name replace them.
 """
 
 from __future__ import annotations
@@ -21,6 +23,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from specton.llm.common import unused
+
 #: Hashed n-gram features, n-gram lengths in bytes, and labelled texts of a language to learn from.
 FEATURES = 4096
 NGRAMS = (2, 3, 4)
@@ -62,7 +66,8 @@ def _counts(raw: list[bytes]) -> np.ndarray:
         h = h[: len(data) - n + 1] * np.uint32(0x01000193) + data[n - 1 :] + np.uint32(n)
         if n in NGRAMS:
             at = (h ^ (h >> np.uint32(13)) ^ (h >> np.uint32(21))) % np.uint32(FEATURES)
-            total += np.bincount(own[: len(h)] * FEATURES + at, minlength=len(raw) * FEATURES).reshape(total.shape)
+            within = own[: len(h)] == own[n - 1 :]  # no n-gram runs into the next text
+            total += np.bincount(own[: len(h)][within] * FEATURES + at[within], minlength=len(raw) * FEATURES).reshape(total.shape)
     total[[not r for r in raw]] = 0
     return np.sqrt(total / np.maximum(total.sum(1, keepdims=True), 1))
 
@@ -129,10 +134,10 @@ def fit(docs: DataFrame, learn_from: Column, per_language: int = PER_LANGUAGE) -
         for pdf in batches:
             x = features(pdf["text"].tolist())
             keep = x.any(1)
-            yield pd.DataFrame({"doc_id": pdf["doc_id"][keep], "lang": pdf["lang"][keep], "x": [r.tobytes() for r in x[keep]]})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64")[keep], "lang": pdf["lang"][keep], "x": [r.tobytes() for r in x[keep]]})
 
-    got = chosen.mapInPandas(vectors, "doc_id long, lang string, x binary").toPandas().sort_values(["lang", "doc_id", "x"])
-    return Ecoc(np.stack([np.frombuffer(b, np.float32) for b in got["x"]]), got["lang"].tolist()) if len(got) else None
+    got = sorted(chosen.mapInPandas(vectors, "doc_id long, lang string, x binary").toArrow().to_pylist(), key=lambda r: (r["lang"], r["doc_id"] is None, r["doc_id"], r["x"]))
+    return Ecoc(np.stack([np.frombuffer(r["x"], np.float32) for r in got]), [r["lang"] for r in got]) if got else None
 
 
 def predict(docs: DataFrame, model: Ecoc | None) -> DataFrame:
@@ -153,7 +158,8 @@ def predict(docs: DataFrame, model: Ecoc | None) -> DataFrame:
 
     predicted = F.pandas_udf(score, "lang_pred string, score double, ambiguous boolean")
     columns = [c for c in docs.columns if c not in ("lang_pred", "score", "ambiguous")]
-    return docs.select(*columns, predicted(F.col("text").cast("string")).alias("_p")).select(*columns, "_p.lang_pred", "_p.score", "_p.ambiguous")
+    p = unused(docs, "prediction")
+    return docs.select(*columns, predicted(F.col("text").cast("string")).alias(p)).select(*columns, f"{p}.lang_pred", f"{p}.score", f"{p}.ambiguous")
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
