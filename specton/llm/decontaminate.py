@@ -1,23 +1,26 @@
 """Benchmark decontamination by SimHash of item-sized windows, in DataFrame functions only.
 
-A document and an item are taken as five-word shingles, hashed to 64 bits. Where a run of shingles of an item begins in
-a document, the document is cut to a window of the item's size, placed as the item would lie there: any window that is
-similar enough shares a shingle with the item, so none is missed. Distinct windows get a 128-bit SimHash of weighted
-shingles. Items are indexed under 16 blocks of 8 bits, each value with every single bit flipped as well: by the
-pigeonhole principle all fingerprints within 31 bits meet in a block. Pairs within that radius are verified by the exact
-weighted Jaccard similarity of their shingles, a shingle weighing 1 to 2 by how few items hold it (none counts as one).
+A document and an item are taken as five-word shingles, hashed to 64 bits. Windows of documents have the sizes of items;
+they are placed where a run of an item's shingles begins, as the item would lie there: a window that is similar to an
+item shares a shingle with it, so this loses nothing and spares a fingerprint at every word for every size. Distinct
+windows get a 128-bit SimHash of weighted shingles, and what items they resemble is found by the fingerprints alone,
+whichever item they were placed by. Items are indexed under 8 blocks of 16 bits, each value with up to three bits
+flipped as well: by the pigeonhole principle all fingerprints within 31 bits meet in a block. Pairs within that radius
+and of total weights that can be similar are verified by the exact weighted Jaccard similarity of their shingles, a
+shingle weighing 1 to 2 by how few items hold it (none counts as one).
 
 The items' shingles are broadcast while they are at most ``ANCHORS``; a larger benchmark is taken in parts by a hash of
-the item, with a pass over the documents for each.
+the shingle, with a pass over the documents for each. Joins without a key here have one side of one row.
 
 Defined results: null, empty or short texts (under five words) have no shingles and match nothing, on either side; items
-of the same words are one, under the smallest item_id; repeated rows of a document give its links once; an empty table
-gives no rows. Extra columns are not read.
+of the same words are one, under the smallest item_id; repeated rows of a document give its links once; of equally
+similar windows the first is given; an empty table gives no rows. Extra columns are not read.
 """
 
 from __future__ import annotations
 
 from functools import reduce
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,7 +29,9 @@ from specton.llm.common import staged
 
 THRESHOLD = 0.8
 RADIUS = 31
-BLOCKS = 16
+#: Blocks of a fingerprint, and bits of one that an item is also found under if they differ: RADIUS is under BLOCKS * (FLIPS + 1).
+BLOCKS = 8
+FLIPS = 3
 #: Item shingles that one pass broadcasts: some 60 bytes each.
 ANCHORS = 500_000
 #: Shingles weigh this at least, when all items hold them, and less than twice as much when few do.
@@ -83,7 +88,7 @@ def _fingerprints(counted: DataFrame, key: str) -> DataFrame:
 
 def _blocks() -> Column:
     """The block values of a fingerprint, in order."""
-    return F.array(*[F.shiftrightunsigned(f"f{k // 8}", 8 * (k % 8)).bitwiseAND(F.lit(255)).cast("int") for k in range(BLOCKS)])
+    return F.array(*[F.shiftrightunsigned(f"f{k // 4}", 16 * (k % 4)).bitwiseAND(F.lit(0xFFFF)).cast("int") for k in range(BLOCKS)])
 
 
 def _windows(docs: DataFrame, items: DataFrame, parts: int) -> DataFrame:
@@ -113,11 +118,12 @@ def links(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -
     item_counts = staged(_counted(items, "item_id", weights))
     w = staged(_fingerprints(counted, "wid"))
     i = staged(_fingerprints(item_counts, "item_id"))
-    flips = F.array(F.lit(0), *[F.lit(1 << b) for b in range(8)])
+    flips = F.array(*[F.lit(sum(1 << b for b in own)) for n in range(FLIPS + 1) for own in combinations(range(16), n)])
     index = i.select("item_id", F.col("total").alias("item_total"), F.col("f0").alias("g0"), F.col("f1").alias("g1"), F.posexplode(_blocks()).alias("block", "value")).withColumn("value", F.explode(F.transform(flips, lambda x: F.col("value").bitwiseXOR(x))))
     probes = w.select("wid", "total", "f0", "f1", F.posexplode(_blocks()).alias("block", "value"))
     distance = F.bit_count(F.col("f0").bitwiseXOR(F.col("g0"))) + F.bit_count(F.col("f1").bitwiseXOR(F.col("g1")))
-    near = probes.join(index, ["block", "value"]).where(distance <= RADIUS).select("wid", "total", "item_id", "item_total").distinct()
+    alike = (F.least("total", "item_total") >= (threshold - 1e-9) * F.greatest("total", "item_total")) & (distance <= RADIUS)
+    near = probes.join(index, ["block", "value"]).where(alike).select("wid", "total", "item_id", "item_total").distinct()
     shared = near.join(counted, "wid").join(item_counts.select("item_id", "s", F.col("c").alias("item_c")), ["item_id", "s"])
     both = shared.groupBy("wid", "item_id", "total", "item_total").agg(F.sum(F.least("c", "item_c") * F.col("weight")).alias("both"))
     similarity = F.col("both") / (F.col("total") + F.col("item_total") - F.col("both"))
@@ -150,21 +156,21 @@ wt AS (
 ), dsn AS (
   SELECT doc_id, sh, unnest(sh) AS s, generate_subscripts(sh, 1) - 1 AS p FROM dw
 ), starts AS (
-  SELECT DISTINCT d.doc_id, i.item_id, i.n, d.p - i.o AS start, d.sh FROM dsn d JOIN isn i ON d.s = i.s
+  SELECT DISTINCT d.doc_id, i.n, d.p - i.o AS start, d.sh FROM dsn d JOIN isn i ON d.s = i.s
 ), win AS (
-  SELECT doc_id, item_id, greatest(start, 0) AS start, unnest(sh[greatest(start, 0) + 1 : start + n]) AS s FROM starts
+  SELECT DISTINCT doc_id, greatest(start, 0) AS start, sh[greatest(start, 0) + 1 : start + n] AS sh FROM starts
 ), wc AS (
-  SELECT doc_id, item_id, start, s, count(*) AS c FROM win GROUP BY ALL
+  SELECT doc_id, start, len(sh) AS size, s, count(*) AS c FROM (SELECT doc_id, start, sh, unnest(sh) AS s FROM win) GROUP BY ALL
 ), ic AS (
   SELECT item_id, s, count(*) AS c FROM isn GROUP BY ALL
 ), itot AS (
   SELECT item_id, sum(c * weight) AS t FROM ic JOIN wt USING (s) GROUP BY item_id
+), wtot AS (
+  SELECT doc_id, start, size, CAST(sum(c * coalesce(weight, rare)) AS DOUBLE) AS t FROM wc CROSS JOIN rare LEFT JOIN wt USING (s) GROUP BY ALL
 ), sim AS (
-  SELECT wc.doc_id, wc.item_id, wc.start, CAST(sum(CASE WHEN ic.c IS NULL THEN 0 ELSE least(wc.c, ic.c) * weight END) AS DOUBLE) AS inter,
-         CAST(sum(wc.c * coalesce(weight, rare)) AS DOUBLE) AS t
-  FROM wc CROSS JOIN rare LEFT JOIN wt USING (s) LEFT JOIN ic ON ic.item_id = wc.item_id AND ic.s = wc.s GROUP BY ALL
+  SELECT wc.doc_id, wc.start, wc.size, ic.item_id, CAST(sum(least(wc.c, ic.c) * weight) AS DOUBLE) AS inter FROM wc JOIN ic USING (s) JOIN wt USING (s) GROUP BY ALL
 ), r AS (
-  SELECT doc_id, item_id, start, inter / (sim.t + itot.t - inter) AS similarity FROM sim JOIN itot USING (item_id)
+  SELECT doc_id, item_id, start, inter / (wtot.t + itot.t - inter) AS similarity FROM sim JOIN wtot USING (doc_id, start, size) JOIN itot USING (item_id)
 ), best AS (
   SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC, start) AS k FROM r WHERE similarity >= {THRESHOLD}
 )
