@@ -2,11 +2,13 @@
 
 A text is cut into sentences, each is normalised to lower-case words and looked up among known licence sentences, and
 the sequence of the identifiers found is matched against ordered rules: a rule holds if its identifiers occur in that
-order. Everything is one projection of built-in functions, without a shuffle.
+order. Sentences end at a full stop and the like, at blank lines and at list marks, so lines may be wrapped anywhere and
+begin with comment marks; where a sentence isn't known, runs of up to ``LINES`` of its lines are looked up, which finds
+headings and lines without a full stop. Everything is one projection of built-in functions, without a shuffle.
 
 Defined results: a null or empty text has no identifiers and no licences; repeated rows are scanned each; a sentence
-found twice is listed twice; an empty table gives no rows. The caller's columns are kept; added ones of the same name
-replace them.
+found twice is listed twice; ``All rights reserved`` only counts where no other licence is found; an empty table gives no
+rows. The caller's columns are kept; added ones of the same name replace them.
 """
 
 from __future__ import annotations
@@ -14,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from specton.llm.common import unused
+
 #: Known licence sentences, normalised, by identifier.
 SENTENCES = {
     "mit-ref": "released under the mit license",
@@ -32,6 +36,7 @@ SENTENCES = {
     "apache-2-ref-3": "released under the apache license version 2 0",
     "apache-2-use": "you may not use this file except in compliance with the license",
     "apache-2-copy": "you may obtain a copy of the license at http www apache org licenses license 2 0",
+    "apache-2-url": "http www apache org licenses license 2 0",
     "apache-2-as-is": "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied",
     "apache-2-see": "see the license for the specific language governing permissions and limitations under the license",
     "gpl-3-ref": "this work is licensed under the gnu general public license version 3",
@@ -39,9 +44,9 @@ SENTENCES = {
     "gpl-3-ref-3": "released under the gnu general public license version 3",
     "gpl-2-ref": "this work is licensed under the gnu general public license version 2",
     "gpl-2-ref-2": "licensed under the gnu general public license version 2",
-    "gpl-3-modify": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version",
-    "gpl-2-modify": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version",
-    "gpl-hope": "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose",
+    "gpl-3-modify": "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "gpl-2-modify": "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version",
+    "gpl-hope": "this program is distributed in the hope that it will be useful but without any warranty",
     "gpl-see": "see the gnu general public license for more details",
     "gpl-copy": "you should have received a copy of the gnu general public license along with this program",
     "lgpl-3-ref": "licensed under the gnu lesser general public license version 3",
@@ -87,6 +92,7 @@ RULES = [
     ("Apache-2.0", "permissive", ["apache-2-ref-2"]),
     ("Apache-2.0", "permissive", ["apache-2-ref-3"]),
     ("Apache-2.0", "permissive", ["apache-2-use", "apache-2-copy"]),
+    ("Apache-2.0", "permissive", ["apache-2-use", "apache-2-url"]),
     ("GPL-3.0", "copyleft", ["gpl-3-ref"]),
     ("GPL-3.0", "copyleft", ["gpl-3-ref-2"]),
     ("GPL-3.0", "copyleft", ["gpl-3-ref-3"]),
@@ -123,20 +129,40 @@ RULES = [
 #: Rules of the first licence give way to those of the second where both hold.
 NARROWER = [("BSD-2-Clause", "BSD-3-Clause")]
 
-#: Every known sentence holds one of these, so only texts that do are taken apart.
-CUES = ["licen", "redistribut", "permission", "copyright", "the software is provided", "software released into", "program is distributed", "free to copy", "under cc", "a copy of", "rights reserved"]
+#: Only counts if nothing else is found.
+LAST = "Proprietary"
+#: Every known sentence has a word that holds one of these, so only texts that do are taken apart.
+CUES = ["licen", "redistribut", "permission", "copyright", "software", "program", "free", "cc0", "copy", "reserved", "mpl"]
+#: Lines of a run.
+LINES = 12
+#: What turns a lower-case text to sentences, bars between them, whose lines are words with single spaces.
+STEPS = [
+    ("\r\n?", "\n"), ("(^|\n)[ \t*#/;>-]*\\(?([0-9]{1,2}|[a-z]|[ivx]{1,4})\\)[ \t]+", "\n\n"), ("[^a-z0-9\n.!?;:]+", " "), (" *\n *", "\n"), ("\n\n+", "|"),
+    ("[.!?;:]+[ \n]+", "|"), ("[.!?;:]+", " "), (" +", " "), (" ?\n ?", "\n"), ("[ \n]*\\|[ \n|]*", "|"),
+]
 
 
 def _sequence(text: Column) -> Column:
-    lines = F.regexp_replace(F.lower(text), r"([.!?;:])[ \t\r\n]+", "$1\n")
-    words = F.trim(F.regexp_replace(F.regexp_replace(lines, "[^a-z0-9\n]+", " "), " ?\n ?", "\n"))
+    words = F.lower(text)
+    cue = F.lit(False)
+    for c in CUES:
+        cue = cue | words.contains(c)
+    for pattern, to in STEPS:
+        words = F.regexp_replace(words, pattern, to)
     known = F.create_map(*[F.lit(x) for i, s in SENTENCES.items() for x in (s, i)])
-    found = F.filter(F.transform(F.split(words, "\n"), lambda s: known[s]), lambda i: i.isNotNull())
-    lower = F.lower(text)
-    cue = lower.contains(CUES[0])
-    for c in CUES[1:]:
-        cue = cue | lower.contains(c)
-    return F.when(F.coalesce(cue, F.lit(False)), found).otherwise(F.array().cast("array<string>"))
+    joined = lambda lines: F.trim(F.array_join(lines, " "))
+
+    def runs(lines: Column) -> Column:
+        n = F.size(lines)
+        of = lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(LINES), n - i)), lambda k: known[joined(F.slice(lines, i + 1, k))])
+        return F.filter(F.flatten(F.transform(F.sequence(F.lit(0), n - 1), of)), lambda i: i.isNotNull())
+
+    def identifiers(sentence: Column) -> Column:
+        lines = F.split(sentence, "\n")
+        whole = known[joined(lines)]
+        return F.when(whole.isNotNull(), F.array(whole)).otherwise(runs(lines))
+
+    return F.when(F.coalesce(cue, F.lit(False)), F.flatten(F.transform(F.split(words, "\\|"), identifiers))).otherwise(F.array().cast("array<string>"))
 
 
 def _pattern(ids: list[str]) -> str:
@@ -145,17 +171,18 @@ def _pattern(ids: list[str]) -> str:
 
 def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     """The input with sentence_ids (in order), licences and kinds (sorted, comma-separated)."""
-    mark = F.concat(F.lit("|"), F.array_join("_ids", "||"), F.lit("|"))
-    held = F.array_compact(F.array(*[F.when(mark.like(_pattern(ids)), F.lit(n)) for n, (_, _, ids) in enumerate(RULES)]))
-    names = lambda k: F.array_sort(F.array_distinct(F.transform("_rules", lambda n: F.element_at(F.array(*[F.lit(r[k]) for r in RULES]), n + 1))))
-    keep = names(0)
+    ids, rules, found, kept = (unused(docs, c) for c in ("ids", "rules", "found", "kept"))
+    mark = F.concat(F.lit("|"), F.array_join(ids, "||"), F.lit("|"))
+    held = F.array_compact(F.array(*[F.when(mark.like(_pattern(own)), F.lit(n)) for n, (_, _, own) in enumerate(RULES)]))
+    names = F.array_sort(F.array_distinct(F.transform(rules, lambda n: F.element_at(F.array(*[F.lit(r[0]) for r in RULES]), n + 1))))
+    keep = F.when(F.size(found) > 1, F.array_remove(found, LAST)).otherwise(F.col(found))
     for less, more in NARROWER:
-        keep = F.when(F.array_contains("_names", more), F.array_remove("_names", less)).otherwise(F.col("_names"))
-    kinds = F.array_sort(F.array_distinct(F.transform("_kept", lambda n: F.element_at(F.create_map(*[F.lit(x) for name, kind in sorted({(r[0], r[1]) for r in RULES}) for x in (name, kind)]), n))))
+        keep = F.when(F.array_contains(found, more), F.array_remove(keep, less)).otherwise(keep)
+    kinds = F.array_sort(F.array_distinct(F.transform(kept, lambda n: F.element_at(F.create_map(*[F.lit(x) for name, kind in sorted({(r[0], r[1]) for r in RULES}) for x in (name, kind)]), n))))
     columns = [c for c in docs.columns if c not in ("sentence_ids", "licences", "kinds")]
-    step = docs.select(*columns, _sequence(F.col(text).cast("string")).alias("_ids"))
-    step = step.withColumn("_rules", held).withColumn("_names", names(0)).withColumn("_kept", keep)
-    return step.select(*columns, F.array_join("_ids", ",").alias("sentence_ids"), F.array_join("_kept", ",").alias("licences"), F.array_join(kinds, ",").alias("kinds"))
+    step = docs.select(*columns, _sequence(F.col(text).cast("string")).alias(ids))
+    step = step.withColumn(rules, held).withColumn(found, names).withColumn(kept, keep)
+    return step.select(*columns, F.array_join(ids, ",").alias("sentence_ids"), F.array_join(kept, ",").alias("licences"), F.array_join(kinds, ",").alias("kinds"))
 
 
 def sql(source: str = "documents") -> str:
@@ -164,16 +191,19 @@ def sql(source: str = "documents") -> str:
     known = "MAP {" + ", ".join(f"{q(s)}: {q(i)}" for i, s in SENTENCES.items()) + "}"
     kind = "MAP {" + ", ".join(f"{q(a)}: {q(b)}" for a, b in sorted({(r[0], r[1]) for r in RULES})) + "}"
     held = ", ".join(f"CASE WHEN mark LIKE {q(_pattern(ids))} THEN {q(name)} END" for name, _, ids in RULES)
-    keep = "names"
+    keep = f"CASE WHEN len(names) > 1 THEN list_filter(names, lambda x: x <> {q(LAST)}) ELSE names END"
     for less, more in NARROWER:
-        keep = f"CASE WHEN list_contains(names, {q(more)}) THEN list_filter(names, lambda x: x <> {q(less)}) ELSE names END"
+        keep = f"CASE WHEN list_contains(names, {q(more)}) THEN list_filter({keep}, lambda x: x <> {q(less)}) ELSE {keep} END"
+    words = "lower(coalesce(text, ''))"
+    for pattern, to in STEPS:
+        words = f"regexp_replace({words}, {q(pattern)}, {q(to)}, 'g')"
+    joined = lambda lines: f"{known}[trim(array_to_string({lines}, ' '))]"
     return f"""
-WITH lines AS (
-  SELECT doc_id, regexp_replace(lower(coalesce(text, '')), '([.!?;:])[ \\t\\r\\n]+', '\\1' || chr(10), 'g') AS t FROM {source}
-), sentences AS (
-  SELECT doc_id, string_split(trim(regexp_replace(regexp_replace(t, '[^a-z0-9\\n]+', ' ', 'g'), ' ?\\n ?', chr(10), 'g')), chr(10)) AS s FROM lines
+WITH sentences AS (
+  SELECT doc_id, string_split({words}, '|') AS s FROM {source}
 ), ids AS (
-  SELECT doc_id, list_filter(list_transform(s, lambda x: {known}[x]), lambda x: x IS NOT NULL) AS ids FROM sentences
+  SELECT doc_id, coalesce(flatten(list_transform(s, lambda x: CASE WHEN {joined("string_split(x, chr(10))")} IS NOT NULL THEN [{joined("string_split(x, chr(10))")}]
+    ELSE list_filter(flatten(list_transform(range(0, len(string_split(x, chr(10)))), lambda i: list_transform(range(1, least({LINES}, len(string_split(x, chr(10))) - i) + 1), lambda k: {joined("string_split(x, chr(10))[i + 1 : i + k]")}))), lambda y: y IS NOT NULL) END)), []) AS ids FROM sentences
 ), marks AS (
   SELECT doc_id, ids, '|' || array_to_string(ids, '||') || '|' AS mark FROM ids
 ), found AS (

@@ -166,7 +166,7 @@ class Linear:
         return np.bincount(row, value * self.w[column], len(x) if rows is None else len(rows)) + self.w[-1]  # figures weigh nothing
 
     @classmethod
-    def fit(cls, x: Sparse, rows: np.ndarray, y: np.ndarray, weight: np.ndarray, epochs: int = 10, rate: float = 0.15, batch: int = 32, l2: float = 1e-4) -> Linear:
+    def fit(cls, x: Sparse, rows: np.ndarray, y: np.ndarray, weight: np.ndarray, epochs: int = 8, rate: float = 0.15, batch: int = 32, l2: float = 1e-4) -> Linear:
         w, seen, total = np.zeros(END + 1), np.full(END + 1, 1e-4), np.zeros(END + 1)
         weight, rng, steps = weight / weight.mean(), np.random.default_rng(3), 0
         means, error = [], np.full(END, 1e-12)
@@ -372,8 +372,8 @@ def _fetched(rows: DataFrame) -> tuple[np.ndarray, Sparse, list[tuple]]:
     return ids[order], Sparse(np.concatenate([[0], np.cumsum(sizes[order])]).astype(np.int64), blob("column", np.int32), blob("value", np.float16)), names
 
 
-def _sure(docs: DataFrame, views: dict[str, View], most: int) -> DataFrame:
-    """doc_id, target, view, side: of all documents that a view is sure of, the ``most`` of each kind with the least hashes."""
+def _sure(docs: DataFrame, views: dict[str, View], most: int, number: int) -> DataFrame:
+    """doc_id, target, view, side: of all documents that a view is sure of, the ``most`` of each kind with the least hashes of this round."""
     shared = docs.sparkSession.sparkContext.broadcast(views)
     kinds = [(t, k, side) for t, v in views.items() for k in v.teaches for side in (0, 1)]
 
@@ -391,7 +391,7 @@ def _sure(docs: DataFrame, views: dict[str, View], most: int) -> DataFrame:
             if len(u):
                 yield pd.DataFrame({"doc_id": ids, "target": t, "view": k, "side": side, "u": u})
 
-    rows = docs.withColumn("u", F.pmod(F.xxhash64("doc_id", F.lit(29)), F.lit(1 << 52)).cast("double")).mapInPandas(run, "doc_id long, target string, view string, side int, u double")
+    rows = docs.withColumn("u", F.pmod(F.xxhash64("doc_id", F.lit(29 + number)), F.lit(1 << 52)).cast("double")).mapInPandas(run, "doc_id long, target string, view string, side int, u double")
     for by in (["target", "view", "side", F.pmod(F.col("u"), F.lit(64.0))], ["target", "view", "side"]):  # in two steps, so that no task gets all
         rows = rows.withColumn("k", F.row_number().over(Window.partitionBy(*by).orderBy("u", "doc_id"))).where(F.col("k") <= most).drop("k")
     return rows
@@ -423,7 +423,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_stratum: int = PER_STRATUM, roun
         teachers = {t: v for t, v in model.views.items() if v.teaches}
         if number == rounds or not teachers:
             break
-        told = _sure(free, teachers, exchange).select("doc_id", "target", "view", "side").toArrow().to_pylist()
+        told = _sure(free, teachers, exchange, number).select("doc_id", "target", "view", "side").toArrow().to_pylist()
         known = set(sample.ids.tolist())
         told = sorted((r for r in told if r["doc_id"] not in known), key=lambda r: (r["doc_id"], r["target"], r["view"], r["side"]))
         new = sorted({r["doc_id"] for r in told})

@@ -25,6 +25,37 @@ def test_licence_rules(spark, text, names, kinds):
     assert (row.licences, row.kinds) == (names, kinds)
 
 
+BSD = "Copyright (c) 2020, A. Person. All rights reserved.\n\nRedistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:\n\n1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.\n\n(2) Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.\n\n"
+APACHE = "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at\n\n    http://www.apache.org/licenses/LICENSE-2.0\n\nUnless required by applicable law or agreed to in writing, software is made."
+GPL = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.\n\nThis program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See more."
+
+
+def wrapped(text, width, mark=""):
+    import textwrap
+
+    return "\n".join("\n".join(mark + x for x in textwrap.wrap(p, width) or [""]) if p else mark.rstrip() for p in text.split("\n"))
+
+
+def test_wrapped_licences_equal_their_sql(spark):
+    import duckdb
+
+    whole = [(MIT, "MIT"), (BSD, "BSD-2-Clause"), (APACHE, "Apache-2.0"), (GPL, "GPL-3.0")]
+    rows = [(t, n) for text, n in whole for t in (text, wrapped(text, 78), wrapped(text, 40), wrapped(text, 70, " * "), wrapped(text, 70, "# "), wrapped(text, 60, "// ").replace("\n", "\r\n"), text.upper().replace(" ", "  "))]
+    rows += [("MIT License\n" + wrapped(MIT, 60), "MIT"), ("Some words\nReleased under the MIT License\nmore words without an end", "MIT"), ("THE  SOFTWARE IS\tPROVIDED as a gift", ""), ("(c) me. All rights reserved.", "Proprietary"), ("", ""), (None, ""), ("word " * 300_000 + ". Licensed under CC BY 4.0.", "CC-BY-4.0")]
+    rows += rows[:1]
+    docs = [(k, t) for k, (t, _) in enumerate(rows)]
+    names = ["_ids", "ids", "rules", "names", "kept"]
+    df = spark.createDataFrame(docs, "doc_id long, text string").select("*", *[F.lit(1).alias(n) for n in names])
+    scanned = licences.scan(df)
+    assert scanned.columns[:7] == ["doc_id", "text", *names] and licences.scan(df.limit(0)).count() == 0
+    got = {r.doc_id: (r.sentence_ids, r.licences, r.kinds) for r in scanned.collect()}
+    assert [got[k][1] for k in range(len(rows))] == [n for _, n in rows]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", docs)
+    assert {r[0]: r[1:] for r in con.execute(licences.sql()).fetchall()} == got
+
+
 def test_every_known_sentence_has_a_cue():
     assert all(any(c in s for c in licences.CUES) for s in licences.SENTENCES.values())
     assert all(i in licences.SENTENCES for _, _, ids in licences.RULES for i in ids)
@@ -91,6 +122,31 @@ def test_decontamination_edges(spark):
     assert decontaminate.links(d.limit(0), b).count() == 0 and decontaminate.links(d, b.limit(0)).count() == 0
 
 
+def test_links_equal_their_sql(spark):
+    """Items of several lengths that overlap each other, and windows of one that are similar to another."""
+    import duckdb
+
+    r = random.Random(8)
+    base = [f"w{r.randrange(10**6)}" for _ in range(90)]
+    bench = [(1, base[:60]), (2, base[:52]), (3, base[10:80]), (4, base[:60] * 2), (5, [f"v{k}" for k in range(25)]), (6, base[:5])]
+    docs = []
+    for k in range(60):
+        own = list(r.choice([base, base[:55], base[5:70], base[:60] * 2, bench[4][1], base[:5]]))
+        for _ in range(r.choice([0, 0, 1, 2])):
+            own[r.randrange(len(own))] = f"q{k}"
+        docs.append((k, " ".join([*("x y z " * r.randrange(3)).split(), *own, "end"])))
+    docs += [(70, None), (71, ""), (72, ("far " * 30_000) + " ".join(base[:60]))]
+    bench = [(i, " ".join(w)) for i, w in bench] + [(8, None)]
+    got = {(x.doc_id, x.item_id, x.start_word, x.similarity) for x in decontaminate.links(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")).collect()}
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.execute("CREATE TABLE benchmark (item_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", docs)
+    con.executemany("INSERT INTO benchmark VALUES (?, ?)", bench)
+    want = {tuple(x) for x in con.execute(decontaminate.SQL).fetchall()}
+    assert len(want) > 60 and got == want
+
+
 def test_radius_keeps_what_is_similar(spark):
     r = random.Random(4)
     base = [f"t{r.randrange(9**9)}" for _ in range(60)]
@@ -111,13 +167,38 @@ def test_language_accuracy_and_edges(spark, sf_dir):
     model = langid.fit(docs, ~langid.held_out())
     rows = langid.predict(docs, model).where(langid.held_out() & F.col("lang").isNotNull()).collect()
     assert np.mean([r.lang == r.lang_pred for r in rows]) > 0.95
-    odd = spark.createDataFrame([(1, None, "x"), (2, "", "x"), (3, "12 !!", "x"), (4, "the and of " * 3000, "x"), (4, "the and of " * 3000, "x")], "doc_id long, text string, score string")
+    odd = spark.createDataFrame([(1, None, "x"), (2, "", "x"), (3, "12 !!", "x"), (4, "the and of " * 3000, "x"), (4, "the and of " * 3000, "x")], "doc_id long, text string, score string").withColumn("prediction", F.lit(1))
     got = langid.predict(odd, model).orderBy("doc_id").collect()
     assert [r.lang_pred for r in got][:3] == ["und"] * 3 and [r.score for r in got][:3] == [0.0] * 3 and got[3].lang_pred == got[4].lang_pred == "en"
     assert langid.fit(docs.limit(0), ~langid.held_out()) is None
     assert [r.lang_pred for r in langid.predict(odd, None).collect()] == ["und"] * 5
 
 
+def test_a_text_is_judged_from_itself(spark):
+    r = random.Random(2)
+    texts = ["der", "si", "no", "", None, "a", "ein Haus am Meer", "x" * 3000, *["".join(r.choice("abc dé.") for _ in range(r.randrange(1, 60))) for _ in range(40)]]
+    alone = np.concatenate([langid.features([t]) for t in texts])
+    assert np.array_equal(langid.features(texts), alone) and np.array_equal(langid.features(texts[::-1])[::-1], alone)
+    take = quality.TextFeatures()
+    together = take(texts)
+    for i, t in enumerate(texts):
+        one, (_, column, value) = take([t]), together.take(np.array([i]))
+        assert np.array_equal(one.column, column) and np.array_equal(one.value.astype(np.float32), value)
+
+
+def test_decoding_is_the_nearest_codeword():
+    r = np.random.default_rng(3)
+    x = r.random((40, langid.FEATURES)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    model = langid.Ecoc(x, ["a", "b", "c", "d"] * 10, rounds=5)
+    got = model.scores(x)
+    for row, p in zip(x, got):
+        f = row @ model.w[:-1] + model.w[-1]
+        loss = [sum(w * np.logaddexp(0, -v * c) for w, v, c in zip(model.bits, f, code)) for code in model.codes]
+        e = np.exp(-len(model.bits) * (np.array(loss) - min(loss)))
+        assert np.allclose(p, e / e.sum(), atol=1e-5) and p.argmax() == np.argmin(loss)
+
+
 def test_held_out_is_crc32(spark):
     rows = spark.range(50).select(F.col("id").alias("doc_id")).select("doc_id", langid.held_out().alias("h")).collect()
     assert all(r.h == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in rows)
@@ -143,7 +224,23 @@ def test_quality_held_out(spark, sf_dir):
     bad = [r for r in rows if r.quality == 0]
     good = [r for r in rows if r.quality == 1 and r.toxic == 0]
     assert np.mean([r.quality_score < 0.5 for r in bad]) > 0.95 and np.mean([r.keep for r in good]) > 0.96
-    assert np.mean([r.toxic_score > 0.5 for r in rows if r.toxic == 1]) > 0.5
+    assert np.mean([r.toxic_score > 0.5 for r in rows if r.toxic == 1]) > 0.8
+    assert model.exchanged and all(0 < n <= 2 * quality.EXCHANGE for count in model.exchanged for n in count.values())
+
+
+def test_views_teach_each_other(spark):
+    """Here the source tells the quality as well as the words do, so both views label for the other one."""
+    r = random.Random(6)
+    words = lambda good: " ".join(r.choice(["fine", "sound", "clear"] if good else ["junk", "spam", "noise"]) if r.random() < 0.3 else f"w{r.randrange(50)}" for _ in range(60))
+    rows = [(i, words(i % 2), "en", f"{'good' if i % 2 else 'bad'}{r.randrange(3)}", 300) for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    labels = spark.createDataFrame([(i, i % 2, None) for i in range(300)], "doc_id long, quality int, toxic int")
+    model = quality.fit(docs, labels, exchange=20)
+    assert len(model.exchanged) == quality.ROUNDS and model.exchanged[0] == {("quality", "text"): 40, ("quality", "meta"): 40}
+    got = {x.doc_id: x for x in quality.score(docs, model).collect()}
+    assert all((got[i].quality_score >= 0.5) == bool(i % 2) == (got[i].metadata_score >= 0.5) for i in range(300, 900))
+    other = docs.where("doc_id >= 300").withColumn("text", F.lit("nothing known here"))
+    assert np.mean([(x.quality_score >= 0.5) == bool(x.doc_id % 2) for x in quality.score(other, model).collect()]) > 0.95
 
 
 def test_quality_edges(spark):
