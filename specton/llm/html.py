@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from specton.llm.boosting import BoostedTrees
+from specton.llm.common import unused
 
 #: Elements without an end tag, elements whose content is no markup, elements without main text, inline ones.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -38,7 +39,8 @@ BLOCKS_END_P = frozenset("address article aside blockquote details div dl fields
 #: The elements an implied end tag does not reach out of.
 SCOPE = {"li": ("ul", "ol"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("table", "tr"), "th": ("table", "tr"), "p": ("table", "td", "th", "button", "article", "section", "div", "body")}
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.DOTALL)
+_NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
+_TAG_STOP = re.compile(r">|=\s*([\"'])")
 _ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+))?""")
 _TAIL = {t: re.compile(rf"</{t}\s*>", re.IGNORECASE) for t in RAW}
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
@@ -55,39 +57,70 @@ class Page:
         self.parent, self.depth, self.tag, self.words, self.inline, self.marked = [-1], [0], ["#"], [()], [False], [0]
         self.runs: list[tuple[int, str, bool]] = []  # node, text, whether in a link; a node of -1 is a line break
         stack: list[tuple[str, int]] = [("#", 0)]
-        links, at, end = 0, 0, len(html)
+        opened: dict[str, int] = {}
+        gone: set[str] = set()  # quotes and end tags that don't come any more
+        links, at, end, text_from = 0, 0, len(html), 0
+
+        def close(k: int) -> int:
+            """Close the open elements from the kth on: how many of them are links."""
+            for name, _ in stack[k:]:
+                opened[name] -= 1
+            n = sum(s[0] == "a" for s in stack[k:])
+            del stack[k:]
+            return n
+
+        def imply(names: tuple, scope: tuple) -> int:
+            if any(opened.get(x) for x in names):
+                for k in range(len(stack) - 1, 0, -1):
+                    if stack[k][0] in names:
+                        return close(k)
+                    if stack[k][0] in scope:
+                        break
+            return 0
+
         while at < end:
-            m = _TOKEN.search(html, at)
-            stop = m.start() if m else end
-            if stop > at:
-                self.runs.append((stack[-1][1], html[at:stop], links > 0))
-            if not m:
+            begin = html.find("<", at)
+            if begin < 0:
                 break
-            at = m.end()
-            name = m[2]
-            if name is None:
+            m = _NAME.match(html, begin)
+            if m:
+                stop = self._tag_end(html, m.end(), gone)
+            elif html.startswith("<!--", begin):
+                stop = html.find("-->", begin) + 3
+                stop = stop if stop > 2 else end
+            elif html.startswith("<![CDATA[", begin):
+                stop = html.find("]]>", begin) + 3
+                stop = stop if stop > 2 else end
+            elif html.startswith(("<!", "<?", "</"), begin):
+                stop = html.find(">", begin) + 1 or end
+            else:  # a lone sign is text
+                at = begin + 1
                 continue
-            name = name.lower()
-            if m[1]:
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] == name:
-                        links -= sum(s[0] == "a" for s in stack[k:])
-                        del stack[k:]
-                        break
+            if begin > text_from:
+                self.runs.append((stack[-1][1], html[text_from:begin], links > 0))
+            at = text_from = stop
+            if not m:
+                continue
+            name = m[1].lower()
+            if html[begin + 1] == "/":
+                if opened.get(name):
+                    links -= close(next(k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == name))
                 continue
+            attributes = html[m.end() : stop - 1]
             if name in RAW:
-                tail = None if m[3].endswith("/") and name in ("svg", "math", "object") else _TAIL[name].search(html, at)
-                at = tail.end() if tail else (end if name in ("script", "style", "textarea", "title") else at)
+                tail = None if attributes.endswith("/") and name in ("svg", "math", "object") or name in gone else _TAIL[name].search(html, at)
+                if not tail:
+                    gone.add(name)
+                at = text_from = tail.end() if tail else (end if name in ("script", "style", "textarea", "title") else at)
                 continue
             if name in ("br", "hr"):
                 self.runs.append((-1, " ", False))
             if name in VOID:
                 continue
             if name in BLOCKS_END_P:
-                self._imply(stack, ("p",), SCOPE["p"])
+                links -= imply(("p",), SCOPE["p"])
             elif name in CLOSES:
-                self._imply(stack, CLOSES[name], SCOPE[name])
-            attributes = m[3]
+                links -= imply(CLOSES[name], SCOPE[name])
             words = self._attributes(attributes) if len(attributes) > 1 else ()
             if name in INLINE and not words:
                 stack.append((name, stack[-1][1]))
@@ -100,18 +133,26 @@ class Page:
                 self.inline.append(name in INLINE)
                 self.marked.append(1 if "data-main" in attributes else -1 if "data-not" in attributes else 0)
                 stack.append((name, len(self.tag) - 1))
+            opened[name] = opened.get(name, 0) + 1
             links += name == "a"
-        if len(stack) > 1:
-            del stack[1:]
+        if end > text_from:
+            self.runs.append((stack[-1][1], html[text_from:], links > 0))
 
     @staticmethod
-    def _imply(stack: list, names: tuple, scope: tuple) -> None:
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k][0] in names:
-                del stack[k:]
-                return
-            if stack[k][0] in scope:
-                return
+    def _tag_end(html: str, at: int, gone: set[str]) -> int:
+        """Where the tag ends: at the first > outside a quoted value; a quote that is never closed is none. Nothing is
+        looked for twice, so a page takes time in proportion to its length."""
+        while m := _TAG_STOP.search(html, at):
+            at = m.end()
+            if not m[1]:
+                return at
+            if m[1] not in gone:
+                close = html.find(m[1], at)
+                if close < 0:
+                    gone.add(m[1])
+                else:
+                    at = close + 1
+        return len(html)
 
     @staticmethod
     def _attributes(text: str) -> tuple:
@@ -146,8 +187,8 @@ def _text(page: Page, keep: np.ndarray) -> str:
     return " ".join(b for b in done if b)
 
 
-#: Names of the features, in their order; the tag's place in TAGS follows as one column a tag.
-FEATURES = ["words", "words_low", "above_low", "above_high", "tag_score", "above_tag_low", "above_tag_high", "depth", "children", "log_text", "log_own", "link_share", "stops", "density", "share", "siblings", "same_tag", "sibling_text", "place", "before", "log_subtree"]
+#: Names of the features, in their order.
+FEATURES = ["words", "words_low", "above_low", "above_high", "tag_score", "above_tag_low", "above_tag_high", "depth", "children", "log_text", "log_own", "link_share", "stops", "density", "share", "siblings", "same_tag", "sibling_text", "place", "before", "log_subtree", "parent_words", "parent_tag", "parent_text", "parent_link_share"]
 
 
 def features(pages: list[Page], evidence: dict[str, float]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -181,7 +222,7 @@ def features(pages: list[Page], evidence: dict[str, float]) -> tuple[np.ndarray,
         np.minimum.at(before, own_node, own_page_at)
     own = text.copy()
     nodes = np.ones(n)
-    levels = [np.flatnonzero(depth == d) for d in range(1, int(depth.max()) + 1)]
+    levels = _levels(depth)
     for at in reversed(levels):
         for x in (text, link, stop, nodes):
             np.add.at(x, parent[at], x[at])
@@ -212,19 +253,22 @@ def features(pages: list[Page], evidence: dict[str, float]) -> tuple[np.ndarray,
     before = np.where(np.isfinite(before), before, total)
     x = np.stack([
         words, low, above_low, above_high, tag, tag_low, tag_high, depth, children, np.log1p(text), np.log1p(own), link / np.maximum(text, 1), 100 * stop / np.maximum(text, 1), text / nodes, text / np.maximum(total, 1),
-        children[parent], count[inverse], (up_text - text) / np.maximum(children[parent], 1), before / np.maximum(total, 1), np.log1p(before), np.log1p(nodes),
+        children[parent], count[inverse], (up_text - text) / np.maximum(children[parent], 1), before / np.maximum(total, 1), np.log1p(before), np.log1p(nodes), words[parent], tag[parent], np.log1p(up_text), link[parent] / np.maximum(up_text, 1),
     ], 1)
-    onehot = np.zeros((n, len(TAGS)))
-    known = np.flatnonzero(kind < len(TAGS))
-    onehot[known, kind[known]] = 1
-    return np.hstack([x, onehot]), parent, depth, owner
+    return x, parent, depth, owner
+
+
+def _levels(depth: np.ndarray) -> list[np.ndarray]:
+    """The nodes of each depth from 1 on."""
+    order = np.argsort(depth, kind="stable")
+    return np.split(order, np.cumsum(np.bincount(depth))[:-1])[1:] if len(depth) else []
 
 
 def decode(log_odds: np.ndarray, weight: np.ndarray, parent: np.ndarray, depth: np.ndarray) -> np.ndarray:
     """The most likely labels in which no node below a left-out one is kept."""
     yes = -np.log1p(np.exp(-np.clip(log_odds, -30, 30))) * weight
     no = -np.log1p(np.exp(np.clip(log_odds, -30, 30))) * weight
-    levels = [np.flatnonzero(depth == d) for d in range(1, int(depth.max(initial=0)) + 1)]
+    levels = _levels(depth)
     for at in reversed(levels):
         np.add.at(no, parent[at], no[at])
         np.add.at(yes, parent[at], np.maximum(yes[at], no[at]))
@@ -246,7 +290,7 @@ class Extractor:
                     counts.setdefault(w, [0.0, 0.0])[y] += 1
         self.evidence = {w: float(np.log((yes + 1) / (no + 1))) for w, (no, yes) in counts.items() if yes + no >= 5}
         x, _, _, _ = features(pages, self.evidence)
-        self.trees = BoostedTrees().fit(x, np.concatenate(labels).astype(float))
+        self.trees = BoostedTrees(50, 5).fit(x, np.concatenate(labels).astype(float))
 
     @staticmethod
     def _labels(page: Page) -> list[int]:
@@ -290,4 +334,5 @@ def extract(pages: DataFrame, html: str = "html") -> DataFrame:
 
     main = F.pandas_udf(run, "text string, n_chars long")
     columns = [c for c in pages.columns if c not in (html, "text", "n_chars")]
-    return pages.select(*columns, main(F.col(html).cast("string")).alias("_m")).select(*columns, "_m.text", "_m.n_chars")
+    m = unused(pages, "main")
+    return pages.select(*columns, main(F.col(html).cast("string")).alias(m)).select(*columns, f"{m}.text", f"{m}.n_chars")
