@@ -1,7 +1,7 @@
 """Best-fit packing of documents into fixed-length training sequences, improved by a swap-based local search.
 
 A document becomes the ids of its whole text and an end id. One longer than a sequence is cut into full pieces from
-its end, so only the first piece may be shorter. Pieces are dealt by a hash to shards of a bounded size; in each shard
+its end, so only the first piece may be shorter. Pieces are dealt by a hash, of their place in the table too, to shards of a bounded size; in each shard
 best-fit decreasing gives the first bins, and a local search moves one piece, exchanges one for one or one for two
 between underfull bins. Every exchange makes the fuller bin fuller, so the sum of squared fills rises until a bin is
 empty, nothing improves, or the count meets the lower bound ceil(total / size).
@@ -29,7 +29,8 @@ SIZE = 1024
 END = 2
 #: Pieces of a shard, on average: the size of one packing task, whatever the table's size.
 SHARD = 16_384
-#: Emptiest bins that one round of the local search tries to empty before it gives up.
+#: Emptiest bins that a round of the local search tries to empty before it ends: it bounds the time a shard takes. On sf0.1
+#: the result is one sequence over the lower bound of the whole table.
 TRIES = 64
 #: Distinct chunks whose ids one Python worker keeps.
 CACHE = 400_000
@@ -54,7 +55,7 @@ class Encoder:
     Byte-level BPE takes a text apart before each space that a visible character follows, so the ids of those chunks
     are looked up in a cache. New ones are merged by ``tiktoken`` with the vocabulary of that same file, which gives the
     ids of ``tokenizers`` (tests hold them against each other) at a quarter of its time. Texts with a space before more
-    white space are encoded whole.
+    white space are encoded whole. A special token's string in a text is that token, as ``tokenizers`` has it.
     """
 
     def __init__(self, path: str) -> None:
@@ -63,13 +64,15 @@ class Encoder:
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        special = {t["content"] for t in spec.get("added_tokens", ())}
+        special = {t["content"]: t["id"] for t in spec.get("added_tokens", ())}
         letters = _byte_letters()
         ranks = {bytes(letters[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
         self.bpe = tiktoken.Encoding("bytes", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.width = np.zeros(max(ranks.values()) + 1, np.int64)
         self.width[list(ranks.values())] = [len(b) for b in ranks]
         self.known: dict[str, bytes] = {}
+        self.special = {t: np.array([i], "<u4").tobytes() for t, i in special.items()}
+        self.cut = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
 
     def _learn(self, chunks: list[str]) -> None:
         """Encode chunks in one string; each begins with a space, so none runs into the next."""
@@ -87,21 +90,27 @@ class Encoder:
     def __call__(self, texts: list[str]) -> list[bytes]:
         if len(self.known) > CACHE:
             self.known = {}
-        get, out = self.known.get, []
+        out = []
         for t in texts:
             t = t if t.isascii() else t.encode("utf-8", "replace").decode()
-            if not t or _AWKWARD.search(t):
-                out.append(self._whole(t))
-                continue
-            first, *rest = t.split(" ")
-            rest = [" " + x for x in rest]
-            ids = list(map(get, rest))
-            if None in ids:
-                self._learn(list({c for c, x in zip(rest, ids, strict=True) if x is None}))
-                ids = list(map(get, rest))
-            out.append(self._whole(first) + b"".join(ids))
+            if self.cut and any(x in t for x in self.special):
+                out.append(b"".join(self.special[x] if x in self.special else self._plain(x) for x in self.cut.split(t)))
+            else:
+                out.append(self._plain(t))
         return out
 
+    def _plain(self, t: str) -> bytes:
+        if not t or _AWKWARD.search(t):
+            return self._whole(t)
+        get = self.known.get
+        first, *rest = t.split(" ")
+        rest = [" " + x for x in rest]
+        ids = list(map(get, rest))
+        if None in ids:
+            self._learn(list({c for c, x in zip(rest, ids, strict=True) if x is None}))
+            ids = list(map(get, rest))
+        return self._whole(first) + b"".join(ids)
+
 
 def pieces(docs: DataFrame, tokenizer: str, size: int = SIZE, end: int = END) -> DataFrame:
     """One row for each piece of each document: where it starts, its length and the CRC-32 of its ids."""
@@ -154,7 +163,6 @@ def local_search(bins: list[list[int]], lengths: list[int], size: int = SIZE) ->
     least = -(-total // size)
     fill = [sum(lengths[i] for i in b) for b in bins]
     live = sorted((fill[b], b) for b in range(len(bins)))
-    n_live = len(live)
 
     def change(b: int, now: int) -> None:
         del live[bisect_left(live, (fill[b], b))]
@@ -196,10 +204,8 @@ def local_search(bins: list[list[int]], lengths: list[int], size: int = SIZE) ->
         return False
 
     while len(live) > least:
-        before = len(live)
         if not any(improve(b) for _, b in list(live[:TRIES])):
             break
-        n_live = min(n_live, before)
     return [b for b in bins if b]
 
 
@@ -223,7 +229,7 @@ def pack(rows: DataFrame, size: int = SIZE, shard: int = SHARD) -> DataFrame:
                 at += lengths[i]
         return pdf.drop(columns="shard").assign(sequence_id=sequence, offset=offset)
 
-    return rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(shards))).groupBy("shard").applyInPandas(fit, PACKED)
+    return rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.monotonically_increasing_id()), F.lit(shards))).groupBy("shard").applyInPandas(fit, PACKED)
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, size: int = SIZE, end: int = END, shard: int = SHARD) -> DataFrame:

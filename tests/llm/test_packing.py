@@ -14,9 +14,7 @@ from specton.llm.registry import tokenizer_path
 def reference():
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(tokenizer_path())
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(tokenizer_path())
 
 
 @pytest.fixture(scope="module")
@@ -30,8 +28,8 @@ def test_ids_are_those_of_the_tokenizer(encoder, reference, text):
     assert np.frombuffer(encoder([text])[0], "<u4").tolist() == reference.encode(text, add_special_tokens=False).ids
 
 
-def test_special_strings_are_text(encoder, reference):
-    text = "a <|endoftext|> b<|endoftext|>"
+def test_special_strings_are_tokens(encoder, reference):
+    text = "a <|endoftext|> b<|endoftext|><|endoftext|>  c <|endoftext"
     assert np.frombuffer(encoder([text])[0], "<u4").tolist() == reference.encode(text, add_special_tokens=False).ids
 
 
