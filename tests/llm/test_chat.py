@@ -6,10 +6,10 @@ from specton.llm import chat
 from specton.llm.registry import tokenizer_path
 
 
-def made(spark, rows):
+def made(spark, rows, part=3):
     turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, name string")
     members = chat.members(turns).cache()
-    return members, chat.tree(members, tokenizer_path(), part=3).cache()
+    return members, chat.tree(members, tokenizer_path(), part=part).cache()
 
 
 ROWS = [
@@ -47,24 +47,32 @@ def test_stream_positions_and_ancestors(spark):
     assert all(len(r.tokens) == r.length for r in nodes)
     by = {bytes(r.name): r for r in nodes}
     for r in nodes:
-        path, name = [], bytes(r.name)
-        while len(name) > chat.STEP:
-            name = name[: -chat.STEP]
-            path.insert(0, (by[name].start, by[name].start + by[name].length))
-        assert [(a.start, a.end) for a in r.ancestors] == path
-        assert r.position == sum(e - s for s, e in path)
-        below = [x for x in nodes if bytes(x.name).startswith(bytes(r.name))]
+        path, up = [], r.parent
+        while up is not None:
+            path.insert(0, by[bytes(up)])
+            up = by[bytes(up)].parent
+        attended = {k for a in r.ancestors for k in range(a.start, a.end)}
+        assert attended == {k for x in path for k in range(x.start, x.start + x.length)} and len(attended) == sum(a.end - a.start for a in r.ancestors)
+        assert r.position == len(attended) and len(r.name) == chat.STEP and r.depth == len(path)
+        below = [x for x in nodes if r is x or bytes(x.path).startswith(bytes(r.path)) and x.depth > r.depth]
         assert sum(x.length for x in below) == max(x.start + x.length for x in below) - r.start  # subtrees are contiguous
     shared = [r for r in nodes if r.conversations >= 4]
     assert shared and shared[0].chunk == "<|im_start|>user\nhi there<|im_end|>\n"
 
 
+def test_long_conversation_is_one_segment(spark):
+    rows = [(1, k, "user" if k % 2 else "assistant", f"turn {k}", "x") for k in range(3000)] + [(2, 0, "assistant", "turn 0", "x"), (2, 1, "user", "other", "x")]
+    members, tree = made(spark, rows, part=500)
+    got = {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for r in chat.digests(chat.conversations(members, tree)).collect()}
+    assert got == expected(rows)
+    assert tree.selectExpr("max(size(ancestors)) AS a", "max(length(path)) AS p", "count(*) AS n").first() == (2, 2 * chat.STEP, 3001)
+
+
 def test_tokens_are_those_of_the_chunks(spark):
     from tokenizers import Tokenizer
 
     _, tree = made(spark, ROWS)
     t = Tokenizer.from_file(tokenizer_path())
-    t.encode_special_tokens = True
     for r in tree.collect():
         assert list(r.tokens) == t.encode(r.chunk, add_special_tokens=False).ids
 
