@@ -3,7 +3,7 @@
 The text view reads the text alone: a logistic model on hashed words, word stems and byte trigrams of the whole text, and
 boosted trees on its log-odds and on layout figures. The metadata view never sees it: boosted trees on language, source and the size the table states, a source
 and a language standing for the share of labelled rows that they are right in. Both learn from a bounded sample of
-labelled documents. In rounds each scores all unlabelled documents in the cluster, and of those that it is sure of a
+labelled documents. In rounds each scores all documents outside that sample in the cluster, and of those that it is sure of a
 hashed ``EXCHANGE`` for each side are labelled for the other view, if it tells more than the prior does. Both are then
 calibrated on labelled rows that they didn't learn from, and so is the sum of their log-odds, a weight each.
 
@@ -372,18 +372,19 @@ def _fetched(rows: DataFrame) -> tuple[np.ndarray, Sparse, list[tuple]]:
     return ids[order], Sparse(np.concatenate([[0], np.cumsum(sizes[order])]).astype(np.int64), blob("column", np.int32), blob("value", np.float16)), names
 
 
-def _sure(docs: DataFrame, views: dict[str, View], most: int, number: int) -> DataFrame:
-    """doc_id, target, view, side: of all documents that a view is sure of, the ``most`` of each kind with the least hashes of this round."""
-    shared = docs.sparkSession.sparkContext.broadcast(views)
+def _sure(docs: DataFrame, views: dict[str, View], known: np.ndarray, most: int, number: int) -> DataFrame:
+    """doc_id, target, view, side: of all documents that a view is sure of and that aren't known yet, the ``most`` of each kind with the least hashes of this round."""
+    shared = docs.sparkSession.sparkContext.broadcast((views, np.sort(known)))
     kinds = [(t, k, side) for t, v in views.items() for k in v.teaches for side in (0, 1)]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         best = {kind: (np.zeros(0), np.zeros(0, np.int64)) for kind in kinds}
         limit = np.log(SURE / (1 - SURE))
         for part, x, names in _parts(batches):
-            f = {t: v.log_odds(x, names) for t, v in shared.value.items()}
+            f = {t: v.log_odds(x, names) for t, v in shared.value[0].items()}
+            new = ~np.isin(part["doc_id"], shared.value[1])
             for t, k, side in kinds:
-                ok = f[t][k] >= limit if side else f[t][k] <= -limit
+                ok = new & (f[t][k] >= limit if side else f[t][k] <= -limit)
                 u, ids = np.append(best[t, k, side][0], part["u"][ok]), np.append(best[t, k, side][1], part["doc_id"][ok])
                 u, first = np.unique(u, return_index=True)
                 best[t, k, side] = u[:most], ids[first][:most]
@@ -417,15 +418,14 @@ def fit(docs: DataFrame, labels: DataFrame, per_stratum: int = PER_STRATUM, roun
     mark = lambda t: np.array([-1 if of[i][t] is None else of[i][t] for i in ids.tolist()])
     weight = np.array([sizes[of[i]["stratum"]] / seen[of[i]["stratum"]] for i in ids.tolist()])
     sample = Sample(ids, x, names, {t: mark(t) for t in TARGETS}, weight)
-    free = docs.where("doc_id IS NOT NULL").join(marks.select("doc_id"), "doc_id", "left_anti")
+    free = docs.where("doc_id IS NOT NULL")
     for number in range(rounds + 1):
         model.views = {t: v for t in TARGETS if (v := sample.fit(t)) is not None}
         teachers = {t: v for t, v in model.views.items() if v.teaches}
         if number == rounds or not teachers:
             break
-        told = _sure(free, teachers, exchange, number).select("doc_id", "target", "view", "side").toArrow().to_pylist()
-        known = set(sample.ids.tolist())
-        told = sorted((r for r in told if r["doc_id"] not in known), key=lambda r: (r["doc_id"], r["target"], r["view"], r["side"]))
+        told = _sure(free, teachers, sample.ids, exchange, number).select("doc_id", "target", "view", "side").toArrow().to_pylist()
+        told = sorted(told, key=lambda r: (r["doc_id"], r["target"], r["view"], r["side"]))
         new = sorted({r["doc_id"] for r in told})
         if not new:
             break
