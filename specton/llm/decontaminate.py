@@ -123,7 +123,8 @@ def links(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -
     probes = w.select("wid", "total", "f0", "f1", F.posexplode(_blocks()).alias("block", "value"))
     distance = F.bit_count(F.col("f0").bitwiseXOR(F.col("g0"))) + F.bit_count(F.col("f1").bitwiseXOR(F.col("g1")))
     alike = (F.least("total", "item_total") >= (threshold - 1e-9) * F.greatest("total", "item_total")) & (distance <= RADIUS)
-    near = probes.join(index, ["block", "value"]).where(alike).select("wid", "total", "item_id", "item_total").distinct()
+    # The index has some 5600 rows an item: too many to broadcast.
+    near = probes.join(index.hint("merge"), ["block", "value"]).where(alike).select("wid", "total", "item_id", "item_total").distinct()
     shared = near.join(counted, "wid").join(item_counts.select("item_id", "s", F.col("c").alias("item_c")), ["item_id", "s"])
     both = shared.groupBy("wid", "item_id", "total", "item_total").agg(F.sum(F.least("c", "item_c") * F.col("weight")).alias("both"))
     similarity = F.col("both") / (F.col("total") + F.col("item_total") - F.col("both"))
