@@ -85,12 +85,12 @@ def frequencies(texts: DataFrame) -> Frequencies:
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words, df, total = Words(), np.zeros((3, BUCKETS)), 0
         for pdf in batches:
-            for k in range(0, len(pdf), 1000):
-                n = pdf["n"].to_numpy(float)[k : k + 1000]
-                e, d, _ = _bags(words, pdf["text"].iloc[k : k + 1000].tolist())
+            for k in range(0, len(pdf), CHUNK):
+                n = pdf["n"].to_numpy(float)[k : k + CHUNK]
+                e, d, _ = _bags(words, pdf["text"].iloc[k : k + CHUNK].tolist())
                 for row in range(3):
                     at, sign = _cells(e, row)
-                    df[row] += np.bincount(at, sign * n[d], BUCKETS)
+                    np.add.at(df[row], at, sign * n[d])
                 total += int(n[np.unique(d)].sum())
         at = np.flatnonzero(df)
         yield pd.DataFrame({"cell": np.append(at, -1), "n": np.append(df.ravel()[at], total).astype(np.int64)})
