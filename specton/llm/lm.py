@@ -2,12 +2,13 @@
 
 Words are counted over all documents. The most frequent ones are the vocabulary, the rest one unknown word; words are
 split into classes of about equal mass. The network sees WINDOW words on both sides of each position, not the word
-itself, and predicts its class; within a class words follow their counts. Each partition of the training part trains its
-own replica in numpy, and the replicas' mean, weighted by words, is the start of the next round. A document's score is
-the sum over its words of log P(word | both sides), and that sum by word.
+itself, and predicts the word: a softmax over classes, and one over the words of the class, both from the hidden state.
+Every document trains it, in one of ROUNDS rounds by a hash: each partition trains its own replica in numpy, and the
+replicas' mean, weighted by words, is the start of the next round. A document's score is the sum over its words of
+log P(word | both sides), and that sum by word.
 
-Training reads a hashed share of all documents, so it grows with the corpus; the vocabulary, its classes and the network
-have a fixed size.
+Counts and training read all documents; the vocabulary, its classes and the network have a fixed size. Words beyond the
+VOCABULARY most frequent ones share one id as context, and as targets the probability of the unknown word in equal parts.
 
 Defined results: a null text, or one without words, has no words and score 0; repeated rows are counted and scored each;
 an empty table gives no rows. Columns of the caller are kept, added ones of the same name replace them.
@@ -23,16 +24,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from specton.llm.common import Words, staged
+from specton.llm.common import Scratch, Words, unused
 
 VOCABULARY = 8192
 CLASSES = 96
 WINDOW = 2
 HIDDEN = 24
-#: One of so many documents trains the network, by a hash of doc_id.
-SHARE = 8
 ROUNDS = 2
-BATCH = 512
+BATCH = 4096
 CHUNK = 300
 
 
@@ -45,6 +44,18 @@ class Vocabulary:
     classes: np.ndarray
     within: np.ndarray
 
+    def __post_init__(self) -> None:
+        #: Ids are in order of class: where each class begins.
+        self.starts = np.searchsorted(self.classes, np.arange(CLASSES + 1))
+
+    def by_class(self, ids: np.ndarray) -> Iterator[tuple[np.ndarray, int, int]]:
+        """Rows whose words are of one class of several words, with the class's first id and its end."""
+        kinds = self.classes[ids]
+        order = np.argsort(kinds, kind="stable")
+        cuts = np.searchsorted(kinds[order], np.arange(CLASSES + 1))
+        for k in np.flatnonzero((np.diff(cuts) > 0) & (np.diff(self.starts) > 1)):
+            yield order[cuts[k] : cuts[k + 1]], self.starts[k], self.starts[k + 1]
+
     def of(self, hashes: np.ndarray) -> np.ndarray:
         if not len(self.hashes):
             return np.zeros(len(hashes), np.int32)
@@ -62,9 +73,10 @@ def vocabulary(docs: DataFrame, size: int = VOCABULARY) -> Vocabulary:
                 h, n = np.unique(words(pdf["text"].iloc[k : k + 2000].tolist())[0], return_counts=True)
                 yield pd.DataFrame({"h": h.astype(np.int64), "n": n})
 
-    counts = staged(docs.select("text").where(F.col("text").isNotNull()).mapInPandas(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")))
-    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("kinds")).first()
-    top = counts.orderBy(F.desc("n"), "h").limit(size - 2).toPandas()
+    with Scratch(docs.sparkSession) as scratch:
+        counts = scratch.staged(docs.select("text").where(F.col("text").isNotNull()).mapInPandas(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")))
+        total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("kinds")).first()
+        top = counts.orderBy(F.desc("n"), "h").limit(size - 2).toArrow().to_pandas()
     n = top["n"].to_numpy(float)
     rest, kinds = max(float(total["n"]) - n.sum(), 1.0), max(total["kinds"] - len(top), 1)
     mass = np.concatenate([[rest, 1.0], n])
@@ -91,17 +103,17 @@ def _contexts(ids: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 
 class Network:
-    """A table of hidden inputs for each word at each place, tanh, and a softmax over classes."""
+    """A table of hidden inputs for each word at each place, tanh, a softmax over classes and one over a class's words."""
 
     def __init__(self, flat: np.ndarray | None = None) -> None:
-        shapes = [(2 * WINDOW, VOCABULARY, HIDDEN), (HIDDEN,), (HIDDEN, CLASSES), (CLASSES,)]
+        shapes = [(2 * WINDOW, VOCABULARY, HIDDEN), (HIDDEN,), (HIDDEN, CLASSES), (CLASSES,), (VOCABULARY, HIDDEN), (VOCABULARY,)]
         sizes = [int(np.prod(s)) for s in shapes]
         if flat is None:
             r = np.random.default_rng(5)
-            flat = np.concatenate([r.normal(0, 0.1, sizes[0]), np.zeros(sizes[1]), r.normal(0, 0.1, sizes[2]), np.zeros(sizes[3])]).astype(np.float32)
+            flat = np.concatenate([r.normal(0, 0.1, sizes[0]), np.zeros(sizes[1]), r.normal(0, 0.1, sizes[2]), np.zeros(sum(sizes[3:]))]).astype(np.float32)
         self.flat = flat
         cuts = np.cumsum(sizes)[:-1]
-        self.table, self.bias, self.out, self.out_bias = (p.reshape(s) for p, s in zip(np.split(flat, cuts), shapes, strict=True))
+        self.table, self.bias, self.out, self.out_bias, self.word, self.word_bias = (p.reshape(s) for p, s in zip(np.split(flat, cuts), shapes, strict=True))
 
     def hidden(self, context: np.ndarray) -> np.ndarray:
         h = self.table[0][context[:, 0]]
@@ -109,41 +121,66 @@ class Network:
             h = h + self.table[k][context[:, k]]
         return np.tanh(h + self.bias)
 
-    def log_probabilities(self, context: np.ndarray, classes: np.ndarray) -> np.ndarray:
-        z = self.hidden(context) @ self.out + self.out_bias
+    def log_probabilities(self, context: np.ndarray, ids: np.ndarray, v: Vocabulary) -> np.ndarray:
+        h = self.hidden(context)
+        z = h @ self.out + self.out_bias
         z -= z.max(1, keepdims=True)
-        return z[np.arange(len(z)), classes] - np.log(np.exp(z).sum(1))
-
-    def train(self, context: np.ndarray, classes: np.ndarray, rate: float = 0.05) -> None:
+        out = z[np.arange(len(z)), v.classes[ids]] - np.log(np.exp(z).sum(1))
+        out[ids == 0] += v.within[0]
+        for rows, a, b in v.by_class(ids):
+            z = h[rows] @ self.word[a:b].T + (self.word_bias[a:b] + v.within[a:b])
+            z -= z.max(1, keepdims=True)
+            out[rows] += z[np.arange(len(rows)), ids[rows] - a] - np.log(np.exp(z).sum(1))
+        return out
+
+    def train(self, context: np.ndarray, ids: np.ndarray, v: Vocabulary, rate: float = 0.05) -> None:
         """One step on a batch, each weight (each row of the tables) slowed down by its squared gradients so far."""
         if not hasattr(self, "seen"):
-            self.seen = [np.full((2 * WINDOW, VOCABULARY), 1e-6), np.full(self.out.shape, 1e-6, np.float32), np.full(CLASSES, 1e-6, np.float32)]
+            full = lambda shape: np.full(shape, 1e-6, np.float32)
+            self.seen = [full((2 * WINDOW, VOCABULARY)), full(self.out.shape), full(CLASSES), full(self.word.shape), full(VOCABULARY)]
         rows, n = np.arange(len(context)), np.float32(len(context))
         h = self.hidden(context)
         z = h @ self.out + self.out_bias
         z -= z.max(1, keepdims=True)
         p = np.exp(z)
         p /= p.sum(1, keepdims=True)
-        p[rows, classes] -= 1
-        back = (p @ self.out.T) * (1 - h * h)
-        for weights, grad, seen in ((self.out, h.T @ p / n, self.seen[1]), (self.out_bias, p.mean(0), self.seen[2])):
+        p[rows, v.classes[ids]] -= 1
+        back = p @ self.out.T
+        steps = [(self.out, h.T @ p / n, self.seen[1]), (self.out_bias, p.mean(0), self.seen[2])]
+        for own, a, b in v.by_class(ids):
+            z = h[own] @ self.word[a:b].T + (self.word_bias[a:b] + v.within[a:b])
+            z -= z.max(1, keepdims=True)
+            p = np.exp(z)
+            p /= p.sum(1, keepdims=True)
+            p[np.arange(len(own)), ids[own] - a] -= 1
+            back[own] += p @ self.word[a:b]
+            steps += [(self.word[a:b], p.T @ h[own] / n, self.seen[3][a:b]), (self.word_bias[a:b], p.sum(0) / n, self.seen[4][a:b])]
+        for weights, grad, seen in steps:
             seen += grad * grad
             weights -= np.float32(rate) * grad / np.sqrt(seen)
+        back *= 1 - h * h
         for k in range(2 * WINDOW):
-            own, at = np.unique(context[:, k], return_inverse=True)
-            order = np.argsort(at, kind="stable")
-            grad = np.add.reduceat(back[order], np.searchsorted(at[order], np.arange(len(own))), axis=0)
+            order = np.argsort(context[:, k], kind="stable")
+            at = context[order, k]
+            first = np.flatnonzero(np.diff(at, prepend=-1))
+            own = at[first]
+            grad = np.add.reduceat(back[order], first, axis=0) / n
             self.seen[0][k, own] += (grad * grad).mean(1)
             self.table[k, own] -= (rate * grad / np.sqrt(self.seen[0][k, own])[:, None]).astype(np.float32)
 
 
-def fit(docs: DataFrame, vocab: Vocabulary, share: int = SHARE, rounds: int = ROUNDS) -> Network:
-    """Rounds of training on every partition and averaging. Blocks of the weights are averaged apart from each other."""
-    spark = docs.sparkSession
-    part = docs.where(F.col("text").isNotNull() & (F.pmod(F.xxhash64("doc_id", F.lit(23)), F.lit(share)) == 0)).select("doc_id", "text")
-    words, net, piece = spark.sparkContext.broadcast(vocab), Network(), 1 << 14
+def fit(docs: DataFrame, vocab: Vocabulary, rounds: int = ROUNDS) -> Network:
+    """Rounds of training on every partition's share of the round and averaging, until every document has taken part.
+    Blocks of the weights are averaged apart from each other."""
+    with Scratch(docs.sparkSession) as scratch:
+        return _rounds(docs.where(F.col("text").isNotNull()), vocab, rounds, scratch)
+
+
+def _rounds(docs: DataFrame, vocab: Vocabulary, rounds: int, scratch: Scratch) -> Network:
+    words, net, piece = scratch.broadcast(vocab), Network(), 1 << 14
     for number in range(rounds):
-        start = spark.sparkContext.broadcast(net.flat)
+        start = scratch.broadcast(net.flat)
+        part = docs.where(F.pmod(F.xxhash64("doc_id", "text", F.lit(23)), F.lit(rounds)) == number).select("text")
 
         def train(batches: Iterator[pd.DataFrame], start=start, number=number) -> Iterator[pd.DataFrame]:
             own, v, hashed, n = Network(start.value.copy()), words.value, Words(), 0
@@ -151,11 +188,11 @@ def fit(docs: DataFrame, vocab: Vocabulary, share: int = SHARE, rounds: int = RO
                 for k in range(0, len(pdf), CHUNK):
                     h, bounds = hashed(pdf["text"].iloc[k : k + CHUNK].tolist())
                     ids = v.of(h)
-                    context, classes = _contexts(ids, bounds), v.classes[ids]
+                    context = _contexts(ids, bounds)
                     mixed = np.random.default_rng(number).permutation(len(ids))
                     for b in range(0, len(ids), BATCH):
                         at = mixed[b : b + BATCH]
-                        own.train(context[at], classes[at])
+                        own.train(context[at], ids[at], v)
                     n += len(ids)
             if n:
                 flat = own.flat.astype(np.float32)
@@ -169,15 +206,15 @@ def fit(docs: DataFrame, vocab: Vocabulary, share: int = SHARE, rounds: int = RO
 
         schema = "block long, n long, w binary"
         # Means of means: no group holds more than some 16 replicas' blocks, however many partitions there are.
-        made = staged(part.mapInPandas(train, schema).withColumn("part", F.spark_partition_id()))
+        made = scratch.staged(part.mapInPandas(train, schema).withColumn("part", F.spark_partition_id()))
         parts = (made.agg(F.max("part")).first()[0] or 0) + 1
         while parts > 16:
             groups = -(-parts // 16)
-            made = staged(made.withColumn("part", F.pmod("part", F.lit(groups))).groupBy("block", "part").applyInPandas(lambda key, pdf: mean(pdf).assign(part=int(key[1])), f"{schema}, part int"))
+            made = scratch.staged(made.withColumn("part", F.pmod("part", F.lit(groups))).groupBy("block", "part").applyInPandas(lambda key, pdf: mean(pdf).assign(part=int(key[1])), f"{schema}, part int"))
             parts = groups
-        got = made.groupBy("block").applyInPandas(lambda pdf: mean(pdf[["block", "n", "w"]]), schema).toPandas().sort_values("block")
+        got = made.groupBy("block").applyInPandas(lambda pdf: mean(pdf[["block", "n", "w"]]), schema).toArrow().sort_by("block")
         if len(got):
-            net = Network(np.concatenate([np.frombuffer(b, np.float32) for b in got["w"]]).copy())
+            net = Network(np.frombuffer(b"".join(got["w"].to_pylist()), np.float32).copy())
     return net
 
 
@@ -193,8 +230,8 @@ def score(docs: DataFrame, vocab: Vocabulary, net: Network, text: str = "text")
             for k in range(0, len(s), CHUNK):
                 h, bounds = hashed([t if isinstance(t, str) else None for t in s.iloc[k : k + CHUNK]])
                 ids = v.of(h)
-                context, classes = _contexts(ids, bounds), v.classes[ids]
-                each = np.concatenate([np.zeros(0), *[own.log_probabilities(context[b : b + 8192], classes[b : b + 8192]) for b in range(0, len(ids), 8192)]]) + v.within[ids]
+                context = _contexts(ids, bounds)
+                each = np.concatenate([np.zeros(0), *[own.log_probabilities(context[b : b + 16384], ids[b : b + 16384], v) for b in range(0, len(ids), 16384)]])
                 sums = np.concatenate([[0.0], np.cumsum(each, dtype=float)])
                 size = len(bounds) - 1
                 n[k : k + size], total[k : k + size] = np.diff(bounds), sums[bounds[1:]] - sums[bounds[:-1]]
@@ -205,4 +242,5 @@ def score(docs: DataFrame, vocab: Vocabulary, net: Network, text: str = "text")
     likelihood = F.pandas_udf(run, "n_words long, log_likelihood double, mean_log_likelihood double")
     added = ("n_words", "log_likelihood", "mean_log_likelihood")
     columns = [c for c in docs.columns if c not in added]
-    return docs.select(*columns, likelihood(F.col(text).cast("string")).alias("_l")).select(*columns, *[f"_l.{c}" for c in added])
+    own = unused(docs, "likelihood")
+    return docs.select(*columns, likelihood(F.col(text).cast("string")).alias(own)).select(*columns, *[f"{own}.{c}" for c in added])

@@ -260,7 +260,7 @@ def test_quality_edges(spark):
 def test_scores_are_the_sum_of_conditionals(spark, monkeypatch):
     docs = spark.createDataFrame([(k, "the cat sat on the mat " * (k % 5 + 1), 1.5) for k in range(80)] + [(90, None, None), (91, "", None), (92, "zebra", None), (92, "zebra", None)], "doc_id long, text string, n_words double")
     vocab = lm.vocabulary(docs)
-    net = lm.fit(docs, vocab, share=1)
+    net = lm.fit(docs, vocab)
     rows = {r.doc_id: r for r in lm.score(docs, vocab, net).collect()}
     assert rows[90].n_words == 0 and rows[90].log_likelihood == 0 and rows[90].mean_log_likelihood is None and rows[92].n_words == 1
     from specton.llm.common import Words
@@ -272,16 +272,36 @@ def test_scores_are_the_sum_of_conditionals(spark, monkeypatch):
         ctx = [ids[i + d] if 0 <= i + d < len(ids) else 1 for d in (-2, -1, 1, 2)]
         hid = np.tanh(sum(net.table[k][c] for k, c in enumerate(ctx)) + net.bias)
         z = hid @ net.out + net.out_bias
-        total += z[vocab.classes[ids[i]]] - np.log(np.exp(z).sum()) + vocab.within[ids[i]]
+        total += z[vocab.classes[ids[i]]] - np.log(np.exp(z).sum())
+        own = np.flatnonzero(vocab.classes == vocab.classes[ids[i]])
+        u = net.word[own] @ hid + net.word_bias[own] + vocab.within[own]
+        total += vocab.within[0] if ids[i] == 0 else (u - np.log(np.exp(u).sum()))[ids[i] == own].item()
     assert abs(rows[2].log_likelihood - total) < 1e-2
 
 
-def test_network_learns_and_prefers_seen_order(spark):
+def test_probabilities_sum_to_one(spark):
+    """Over all words of the vocabulary, whatever the context: both levels see it."""
+    docs = spark.createDataFrame([(k, " ".join(f"w{(k * j * 7) % 401}" for j in range(60))) for k in range(80)], "doc_id long, text string")
+    vocab = lm.vocabulary(docs)
+    net = lm.fit(docs, vocab)
+    ids = np.arange(1, len(vocab.classes))
+    each = []
+    for c in ([2, 3, 4, 5], [5, 1, 1, 7]):
+        one = np.tile(np.array([c], np.int32), (len(ids), 1))
+        lp = net.log_probabilities(one, ids, vocab)
+        each.append(lp)
+        unknown = net.log_probabilities(one[:1], np.zeros(1, int), vocab)[0] - vocab.within[0]
+        assert abs(np.exp(lp).sum() + np.exp(unknown) - 1) < 1e-4
+    assert np.abs(each[0] - each[1]).max() > 1e-3
+
+
+def test_network_learns_and_prefers_seen_order(spark, monkeypatch):
     r = random.Random(0)
     texts = [" ".join(f"{a}{k} {b}{k}" for k in (r.randrange(20) for _ in range(40)) for a, b in [("left", "right")]) for _ in range(150)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     vocab = lm.vocabulary(docs)
-    untrained, net = lm.Network(), lm.fit(docs, vocab, share=1, rounds=4)
+    monkeypatch.setattr(lm, "BATCH", 64)
+    untrained, net = lm.Network(), lm.fit(docs, vocab, rounds=1)
     mean = lambda n: np.mean([x.mean_log_likelihood for x in lm.score(docs, vocab, n).collect()])
     assert mean(net) > mean(untrained) + 0.3
     flat = [x for t in texts[:1] for x in t.split()]
