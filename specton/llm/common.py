@@ -16,7 +16,9 @@ MASK = np.uint64(0xFFFFFFFFFFFFFFFF)
 BASE = 0x9E3779B97F4A7C15
 BASE_INVERSE = pow(BASE, -1, 1 << 64)
 #: Texts are hashed in runs of about so many bytes, which bounds memory; a longer text is a run of its own.
-RUN_BYTES = 1 << 21
+RUN_BYTES = 1 << 20
+#: Rows of an Arrow batch of texts.
+TEXTS = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,6 +65,14 @@ class Scratch:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """The same rows, which from now on come to Python in batches that fit whole texts: ten thousand long ones, in Spark's
+    own buffers, in Arrow's and as strings, take hundreds of MB of each executor. Sets the session's batch size."""
+    if int(df.sparkSession.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > TEXTS:
+        df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", TEXTS)
+    return df
+
+
 def unused(df: DataFrame, name: str) -> str:
     """The name, with underscores in front until the table has no such column."""
     taken = {c.lower() for c in df.columns}

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from specton.llm.boosting import BoostedTrees
-from specton.llm.common import unused
+from specton.llm.common import small_batches, unused
 
 #: Elements without an end tag, elements whose content is no markup, elements without main text, inline ones.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -335,4 +335,4 @@ def extract(pages: DataFrame, html: str = "html") -> DataFrame:
     main = F.pandas_udf(run, "text string, n_chars long")
     columns = [c for c in pages.columns if c not in (html, "text", "n_chars")]
     m = unused(pages, "main")
-    return pages.select(*columns, main(F.col(html).cast("string")).alias(m)).select(*columns, f"{m}.text", f"{m}.n_chars")
+    return small_batches(pages).select(*columns, main(F.col(html).cast("string")).alias(m)).select(*columns, f"{m}.text", f"{m}.n_chars")

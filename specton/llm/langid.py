@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from specton.llm.common import unused
+from specton.llm.common import small_batches, unused
 
 #: Hashed n-gram features, n-gram lengths in bytes, and labelled texts of a language to learn from.
 FEATURES = 4096
@@ -127,7 +127,7 @@ def sampled(rows: DataFrame, label: str, key: str, most: int) -> DataFrame:
 
 def fit(docs: DataFrame, learn_from: Column, per_language: int = PER_LANGUAGE) -> Ecoc | None:
     """Learn from the labelled rows that ``learn_from`` names. None without any."""
-    rows = docs.where(learn_from & F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id"), F.col("lang").cast("string").alias("lang"), "text")
+    rows = small_batches(docs).where(learn_from & F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id"), F.col("lang").cast("string").alias("lang"), "text")
     chosen = sampled(rows, "lang", "doc_id", per_language)
 
     def vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -159,7 +159,7 @@ def predict(docs: DataFrame, model: Ecoc | None) -> DataFrame:
     predicted = F.pandas_udf(score, "lang_pred string, score double, ambiguous boolean")
     columns = [c for c in docs.columns if c not in ("lang_pred", "score", "ambiguous")]
     p = unused(docs, "prediction")
-    return docs.select(*columns, predicted(F.col("text").cast("string")).alias(p)).select(*columns, f"{p}.lang_pred", f"{p}.score", f"{p}.ambiguous")
+    return small_batches(docs).select(*columns, predicted(F.col("text").cast("string")).alias(p)).select(*columns, f"{p}.lang_pred", f"{p}.score", f"{p}.ambiguous")
 
 
 def held_out(doc_id: str = "doc_id") -> Column:

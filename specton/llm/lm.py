@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from specton.llm.common import Scratch, Words, unused
+from specton.llm.common import Scratch, Words, small_batches, unused
 
 VOCABULARY = 8192
 CLASSES = 96
@@ -74,7 +74,7 @@ def vocabulary(docs: DataFrame, size: int = VOCABULARY) -> Vocabulary:
                 yield pd.DataFrame({"h": h.astype(np.int64), "n": n})
 
     with Scratch(docs.sparkSession) as scratch:
-        counts = scratch.staged(docs.select("text").where(F.col("text").isNotNull()).mapInPandas(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")))
+        counts = scratch.staged(small_batches(docs).select("text").where(F.col("text").isNotNull()).mapInPandas(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")))
         total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("kinds")).first()
         top = counts.orderBy(F.desc("n"), "h").limit(size - 2).toArrow().to_pandas()
     n = top["n"].to_numpy(float)
@@ -243,4 +243,4 @@ def score(docs: DataFrame, vocab: Vocabulary, net: Network, text: str = "text")
     added = ("n_words", "log_likelihood", "mean_log_likelihood")
     columns = [c for c in docs.columns if c not in added]
     own = unused(docs, "likelihood")
-    return docs.select(*columns, likelihood(F.col(text).cast("string")).alias(own)).select(*columns, *[f"{own}.{c}" for c in added])
+    return small_batches(docs).select(*columns, likelihood(F.col(text).cast("string")).alias(own)).select(*columns, *[f"{own}.{c}" for c in added])

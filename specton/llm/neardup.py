@@ -31,7 +31,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from specton.llm.common import Scratch, Words, mix64, shingles, staged, unused
+from specton.llm.common import Scratch, Words, mix64, shingles, small_batches, staged, unused
 
 THRESHOLD = 0.8
 SHINGLE = 5
@@ -435,7 +435,7 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
 
 def _texts(docs: DataFrame) -> DataFrame:
     """key, doc_id (the smallest), n (documents) and text: a row for each distinct text."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.col("text").isNotNull())
+    rows = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.col("text").isNotNull())
     return rows.groupBy(_key(F.col("text")).alias("key")).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"), F.first("text").alias("text"))
 
 

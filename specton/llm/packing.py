@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from specton.llm.common import staged
+from specton.llm.common import small_batches, staged
 
 SIZE = 1024
 END = 2
@@ -130,7 +130,7 @@ def pieces(docs: DataFrame, tokenizer: str, size: int = SIZE, end: int = END) ->
                         start = stop
                 yield pd.DataFrame(rows, columns=[c.split()[0] for c in PIECES.split(", ")])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(cut, PIECES)
+    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(cut, PIECES)
 
 
 def best_fit(lengths: list[int], size: int = SIZE) -> list[list[int]]:

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from specton.llm.boosting import BoostedTrees
-from specton.llm.common import Words
+from specton.llm.common import Words, small_batches
 from specton.llm.langid import sampled
 
 PER_STRATUM = 900
@@ -339,7 +339,7 @@ _FEATURES = "doc_id long, lang string, source string, n_chars double, size int,
 
 def _columns(docs: DataFrame) -> DataFrame:
     size = F.col("n_chars") if "n_chars" in docs.columns else F.lit(None)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), *[F.col(c).cast("string").alias(c) for c in ("text", "lang", "source")], size.cast("double").alias("n_chars"))
+    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), *[F.col(c).cast("string").alias(c) for c in ("text", "lang", "source")], size.cast("double").alias("n_chars"))
 
 
 def _names(pdf: pd.DataFrame) -> list[tuple]:
@@ -470,4 +470,4 @@ def kept(docs: DataFrame, model: CoTrained) -> DataFrame:
 
     fit_to_train_on = F.pandas_udf(run, "boolean")
     size = F.col("n_chars") if "n_chars" in docs.columns else F.lit(None)
-    return docs.where(fit_to_train_on(*[F.col(c).cast("string") for c in ("text", "lang", "source")], size.cast("double")))
+    return small_batches(docs).where(fit_to_train_on(*[F.col(c).cast("string") for c in ("text", "lang", "source")], size.cast("double")))
