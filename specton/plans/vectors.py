@@ -184,10 +184,8 @@ def _conformal(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """p-values of rows 0 modulo 5 against calibration rows 1 modulo 5, from the other rows."""
     rows = _grouped(_rows(spark, sf_dir))
     known = rows.where("id % 5 > 1")
-    # Each group's best view within the nearest 50 references of a query, per label.
-    near = similarity.neighbours(rows.where("id % 5 <= 1"), known, 50)
-    of = near.join(known.select(F.col("id").alias("ref_id"), "label", "group"), "ref_id")
-    scores = conformal.nonconformity(of)
+    # Each group's best view per label, over all references.
+    scores = conformal.nonconformity(similarity.group_similarities(rows.where("id % 5 <= 1"), known, conformal.NEAREST))
     asked = rows.select(F.col("id").alias("query_id"), F.col("label").alias("truth"), "group")
     own = scores.join(asked, "query_id")
     cal = conformal.by_specimen(own.where((F.col("query_id") % 5 == 1) & (F.col("label") == F.col("truth"))).select("group", "label", "score"))
@@ -195,8 +193,7 @@ def _conformal(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 
 _CONF = f"""{_G}, p AS (SELECT a.id AS query_id, b.id AS ref_id, b.label, b.grp, {_COS} AS similarity FROM g a JOIN g b ON a.id % 5 <= 1 AND b.id % 5 > 1),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, ref_id) AS rank FROM p),
-gb AS (SELECT query_id, label, grp, max(CAST(similarity AS DOUBLE)) AS s FROM r WHERE rank <= 50 GROUP BY ALL),
+gb AS (SELECT query_id, label, grp, max(CAST(similarity AS DOUBLE)) AS s FROM p GROUP BY ALL),
 gr AS (SELECT *, row_number() OVER (PARTITION BY query_id, label ORDER BY s DESC, grp) AS k FROM gb),
 nc AS (SELECT query_id, label, 1 - avg(s) AS score FROM gr WHERE k <= 3 GROUP BY ALL),
 cal AS (SELECT g.grp, min(nc.label) AS label, max(score) AS score FROM nc JOIN g ON g.id = query_id AND g.label = nc.label WHERE query_id % 5 = 1 GROUP BY g.grp),
