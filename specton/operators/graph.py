@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import tempfile
+
 import numpy as np
 import pandas as pd
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -124,6 +127,31 @@ def walk_distributions(transitions: DataFrame, starts: DataFrame, steps: int = S
     return transitions.groupBy("query").cogroup(starts.groupBy("query")).applyInPandas(lambda a, b: run(a, b) if len(b) else pd.DataFrame({"query": [], "step": [], "node": [], "p": []}).astype({"query": "int64", "step": "int32", "node": "int64", "p": float}), "query long, step int, node long, p double")
 
 
+def walk(base: DataFrame, own: DataFrame, starts: DataFrame, steps: int = STEPS, restart: float = RESTART, cut: int = 4) -> DataFrame:
+    """query, node, p after all steps, as joins and sums over a graph of any size.
+
+    base: src, dst, p, the graph that all queries share; own: query, src, dst, p, rows that for a query take the place of
+    the base's for the same source; starts: query, node. A node without a way out keeps its mass. The lineage is cut by a
+    checkpoint after every few steps, in the folder the session names in spark.checkpoint.dir."""
+    context = starts.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
+    base, own, starts = (x.checkpoint() for x in (base.select("src", "dst", "p"), own.select("query", "src", "dst", "p"), starts.select("query", "node")))
+    changed = own.select("query", "src").distinct().withColumn("is_own", F.lit(True))
+    mass = starts.withColumn("p", F.lit(1.0))
+    back = starts.withColumn("p", F.lit(restart))
+    for k in range(1, steps + 1):
+        at = mass.select("query", F.col("node").alias("src"), F.col("p").alias("m")).join(changed, ["query", "src"], "left")
+        first = at.where("is_own").join(own, ["query", "src"]).select("query", F.col("dst").alias("node"), (F.col("m") * F.col("p") * (1 - restart)).alias("p"))
+        rest = at.where("is_own IS NULL").join(base, "src", "left").select("query", F.coalesce("dst", "src").alias("node"), (F.col("m") * F.coalesce("p", F.lit(1.0)) * (1 - restart)).alias("p"))
+        mass = first.unionByName(rest).unionByName(back).groupBy("query", "node").agg(F.sum("p").alias("p"))
+        if k % cut == 0:
+            mass = mass.checkpoint()
+    return mass
+
+
 def walk_summary(distributions: DataFrame, labels: DataFrame, start: int = -1) -> DataFrame:
     """query, step, start_mass, moved: the mass on the query and the total variation from the step before."""
     now = distributions.select("query", "step", "node", "p")

@@ -87,15 +87,11 @@ def walk_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of each label after 40 steps of the walk from rows 0 modulo 50, each a node of its own in the graph."""
     rows = _rows(spark, sf_dir)
     known = rows.where("id % 50 <> 0")
-    asked = similarity.neighbours(rows.where("id % 50 = 0"), known, 200).select(F.col("query_id").alias("query"), "ref_id", "similarity")
+    asked = similarity.neighbours(rows.where("id % 50 = 0"), known, max(known.count(), 1)).select(F.col("query_id").alias("query"), "ref_id", "similarity")
     base = similarity.neighbours(known, known, 7)
-    own = graph.with_queries(base, asked, 7)
-    changed = own.select("query", "src").distinct()
-    rest = graph.neighbour_transitions(base, 7)
-    near = asked.select("query", F.col("ref_id").alias("src")).distinct().join(changed, ["query", "src"], "left_anti").join(rest, "src").select("query", "src", "dst", "p")
-    starts = changed.select("query").distinct().withColumn("node", F.lit(-1).cast("long"))
-    d = graph.walk_distributions(own.unionByName(near), starts)
-    return graph.walk_labels(d.where("step = 40"), _labels(known)).select("query", "label", F.round("score", 6).alias("score"))
+    starts = asked.select("query").distinct().withColumn("node", F.lit(-1).cast("long"))
+    mass = graph.walk(graph.neighbour_transitions(base, 7), graph.with_queries(base, asked, 7), starts)
+    return graph.walk_labels(mass.withColumn("step", F.lit(graph.STEPS)), _labels(known)).select("query", "label", F.round("score", 6).alias("score"))
 
 
 def model_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:

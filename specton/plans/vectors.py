@@ -230,25 +230,13 @@ PROTOTYPES_SQL = f"""WITH {_G}, x AS (SELECT grp, label, unnest(v) AS x, generat
 SELECT grp AS "group", label, max(n) AS views, round(max(CASE WHEN dim = 1 THEN x END), 6) AS first, round(sqrt(sum(x * x)), 6) AS norm FROM m GROUP BY grp, label"""
 
 
-def _walks(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Distributions of the walk from rows 0 modulo 50 over the 7-nearest graph of the other rows."""
+def walk_mass(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All steps of the walk with restart from rows 0 modulo 50 over the 7-nearest graph of the other rows."""
     rows = _rows(spark, sf_dir)
     asked, known = rows.where("id % 50 = 0"), rows.where("id % 50 <> 0")
-    base = similarity.neighbours(known, known, 7)
-    to = similarity.neighbours(asked, known, 7).select("query_id", "ref_id", "similarity")
-    every = graph.neighbour_transitions(base, 7)
-    own = graph.transitions(to.select(F.col("query_id").alias("src"), F.col("ref_id").alias("dst"), (F.pow(F.greatest(F.lit(0.0), F.col("similarity").cast("double")), F.lit(3.0)) + 1e-12).alias("w")))
-    mass = asked.select(F.col("id").alias("query"), F.col("id").alias("node"), F.lit(1.0).alias("p"))
-    edges = every.unionByName(own)
-    for _ in range(3):
-        moved = mass.select("query", F.col("node").alias("src"), F.col("p").alias("m")).join(edges, "src").select("query", F.col("dst").alias("node"), (0.8 * F.col("m") * F.col("p")).alias("p"))
-        mass = moved.unionByName(asked.select(F.col("id").alias("query"), F.col("id").alias("node"), F.lit(0.2).alias("p"))).groupBy("query", "node").agg(F.sum("p").alias("p"))
-    return mass, known
-
-
-def walk_mass(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three steps of the walk with restart, as joins and sums: the form for graphs of any size."""
-    mass, _ = _walks(spark, sf_dir)
+    to = similarity.neighbours(asked, known, 7).select("query_id", "ref_id", "similarity", "rank")
+    own = graph.neighbour_transitions(to, 7).withColumn("query", F.col("src"))
+    mass = graph.walk(graph.neighbour_transitions(similarity.neighbours(known, known, 7), 7), own, asked.select(F.col("id").alias("query"), F.col("id").alias("node")))
     return mass.select("query", "node", F.round("p", 8).alias("p"))
 
 
@@ -260,11 +248,11 @@ m AS (
   SELECT 0 AS step, id AS query, id AS node, CAST(1.0 AS DOUBLE) AS p FROM e WHERE id % 50 = 0
   UNION ALL
   SELECT step, query, node, sum(p) AS p FROM (
-    SELECT m.step + 1 AS step, m.query, t.dst AS node, 0.8 * m.p * t.p AS p FROM m JOIN t ON t.src = m.node WHERE m.step < 3
+    SELECT m.step + 1 AS step, m.query, t.dst AS node, 0.8 * m.p * t.p AS p FROM m JOIN t ON t.src = m.node WHERE m.step < 40
     UNION ALL
-    SELECT DISTINCT m.step + 1, m.query, m.query, CAST(0.2 AS DOUBLE) FROM m WHERE m.step < 3
+    SELECT DISTINCT m.step + 1, m.query, m.query, CAST(0.2 AS DOUBLE) FROM m WHERE m.step < 40
   ) GROUP BY step, query, node
-) SELECT query, node, round(p, 8) AS p FROM m WHERE step = 3"""
+) SELECT query, node, round(p, 8) AS p FROM m WHERE step = 40"""
 
 QUERIES = {
     "classify_by_distance": (classify_by_distance, CLASSIFY_SQL),

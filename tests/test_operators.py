@@ -216,3 +216,17 @@ def test_catalog_and_entry(spark):
 
     assert set(e.oracle_sql()) <= set(e.queries())
     assert e.entry(spark).count() == 100
+
+
+def test_walk_by_joins_equals_the_local_walk(spark):
+    """Two queries with rows of their own in a graph that they share; node 5 has no way out."""
+    base = [(1, 2, 0.5), (1, 3, 0.5), (2, 1, 1.0), (3, 5, 1.0), (4, 1, 1.0)]
+    own = [(7, -1, 1, 0.25), (7, -1, 4, 0.75), (7, 2, -1, 1.0), (8, -1, 3, 1.0)]
+    b = spark.createDataFrame(base, "src long, dst long, p double")
+    o = spark.createDataFrame(own, "query long, src long, dst long, p double")
+    starts = spark.createDataFrame([(7, -1), (8, -1)], "query long, node long")
+    whole = [(q, s, d, p) for q in (7, 8) for s, d, p in base if not any(x[:2] == (q, s) for x in own)] + own
+    want = graph.walk_distributions(spark.createDataFrame(whole, "query long, src long, dst long, p double"), starts, steps=9).where("step = 9")
+    got = {(r.query, r.node): r.p for r in graph.walk(b, o, starts, steps=9).collect() if r.p > 0}
+    want = {(r.query, r.node): r.p for r in want.collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
