@@ -48,13 +48,14 @@ class Vocabulary:
         #: Ids are in order of class: where each class begins.
         self.starts = np.searchsorted(self.classes, np.arange(CLASSES + 1))
 
-    def by_class(self, ids: np.ndarray) -> Iterator[tuple[np.ndarray, int, int]]:
-        """Rows whose words are of one class of several words, with the class's first id and its end."""
-        kinds = self.classes[ids]
+    def by_class(self, ids: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int, int]]]:
+        """Rows in order of their words' classes; and of each class of several words that is among them, which places of
+        that order it has, and its first id and end."""
+        kinds = self.classes[ids].astype(np.uint16)  # of so few bits, numpy sorts by radix
         order = np.argsort(kinds, kind="stable")
         cuts = np.searchsorted(kinds[order], np.arange(CLASSES + 1))
-        for k in np.flatnonzero((np.diff(cuts) > 0) & (np.diff(self.starts) > 1)):
-            yield order[cuts[k] : cuts[k + 1]], self.starts[k], self.starts[k + 1]
+        some = np.flatnonzero((np.diff(cuts) > 0) & (np.diff(self.starts) > 1))
+        return order, list(zip(cuts[some].tolist(), cuts[some + 1].tolist(), self.starts[some].tolist(), self.starts[some + 1].tolist(), strict=True))
 
     def of(self, hashes: np.ndarray) -> np.ndarray:
         if not len(self.hashes):
@@ -106,14 +107,15 @@ class Network:
     """A table of hidden inputs for each word at each place, tanh, a softmax over classes and one over a class's words."""
 
     def __init__(self, flat: np.ndarray | None = None) -> None:
-        shapes = [(2 * WINDOW, VOCABULARY, HIDDEN), (HIDDEN,), (HIDDEN, CLASSES), (CLASSES,), (VOCABULARY, HIDDEN), (VOCABULARY,)]
+        shapes = [(2 * WINDOW, VOCABULARY, HIDDEN), (HIDDEN,), (HIDDEN, CLASSES), (CLASSES,), (VOCABULARY, HIDDEN + 1)]
         sizes = [int(np.prod(s)) for s in shapes]
         if flat is None:
             r = np.random.default_rng(5)
             flat = np.concatenate([r.normal(0, 0.1, sizes[0]), np.zeros(sizes[1]), r.normal(0, 0.1, sizes[2]), np.zeros(sum(sizes[3:]))]).astype(np.float32)
+        #: The last table has a row a word: HIDDEN weights and a bias.
         self.flat = flat
         cuts = np.cumsum(sizes)[:-1]
-        self.table, self.bias, self.out, self.out_bias, self.word, self.word_bias = (p.reshape(s) for p, s in zip(np.split(flat, cuts), shapes, strict=True))
+        self.table, self.bias, self.out, self.out_bias, self.words = (p.reshape(s) for p, s in zip(np.split(flat, cuts), shapes, strict=True))
 
     def hidden(self, context: np.ndarray) -> np.ndarray:
         h = self.table[0][context[:, 0]]
@@ -121,52 +123,74 @@ class Network:
             h = h + self.table[k][context[:, k]]
         return np.tanh(h + self.bias)
 
+    def word_rows(self, v: Vocabulary) -> np.ndarray:
+        """A row a word: its weights, and then what it has without any context."""
+        words = self.words.copy()
+        words[:, HIDDEN] += v.within
+        return words
+
     def log_probabilities(self, context: np.ndarray, ids: np.ndarray, v: Vocabulary) -> np.ndarray:
         h = self.hidden(context)
         z = h @ self.out + self.out_bias
         z -= z.max(1, keepdims=True)
         out = z[np.arange(len(z)), v.classes[ids]] - np.log(np.exp(z).sum(1))
         out[ids == 0] += v.within[0]
-        for rows, a, b in v.by_class(ids):
-            z = h[rows] @ self.word[a:b].T + (self.word_bias[a:b] + v.within[a:b])
-            z -= z.max(1, keepdims=True)
-            out[rows] += z[np.arange(len(rows)), ids[rows] - a] - np.log(np.exp(z).sum(1))
+        order, classes = v.by_class(ids)
+        words, inputs, wanted, inner = self.word_rows(v), np.hstack([h, np.ones((len(h), 1), np.float32)])[order], ids[order], np.zeros(len(h), np.float32)
+        for lo, hi, a, b in classes:
+            z = words[a:b] @ inputs[lo:hi].T
+            z -= z.max(0)
+            own = z[wanted[lo:hi] - a, np.arange(hi - lo)]
+            np.exp(z, out=z)
+            inner[lo:hi] = own - np.log(z.sum(0))
+        out[order] += inner
         return out
 
     def train(self, context: np.ndarray, ids: np.ndarray, v: Vocabulary, rate: float = 0.05) -> None:
         """One step on a batch, each weight (each row of the tables) slowed down by its squared gradients so far."""
         if not hasattr(self, "seen"):
             full = lambda shape: np.full(shape, 1e-6, np.float32)
-            self.seen = [full((2 * WINDOW, VOCABULARY)), full(self.out.shape), full(CLASSES), full(self.word.shape), full(VOCABULARY)]
-        rows, n = np.arange(len(context)), np.float32(len(context))
+            self.seen = [full((2 * WINDOW, VOCABULARY)), full(self.out.shape), full(CLASSES), full(self.words.shape)]
+        rows, n, rate = np.arange(len(context)), np.float32(len(context)), np.float32(rate)
         h = self.hidden(context)
-        z = h @ self.out + self.out_bias
-        z -= z.max(1, keepdims=True)
-        p = np.exp(z)
+        p = h @ self.out
+        p += self.out_bias
+        p -= p.max(1, keepdims=True)
+        np.exp(p, out=p)
         p /= p.sum(1, keepdims=True)
         p[rows, v.classes[ids]] -= 1
         back = p @ self.out.T
-        steps = [(self.out, h.T @ p / n, self.seen[1]), (self.out_bias, p.mean(0), self.seen[2])]
-        for own, a, b in v.by_class(ids):
-            z = h[own] @ self.word[a:b].T + (self.word_bias[a:b] + v.within[a:b])
-            z -= z.max(1, keepdims=True)
-            p = np.exp(z)
-            p /= p.sum(1, keepdims=True)
-            p[np.arange(len(own)), ids[own] - a] -= 1
-            back[own] += p @ self.word[a:b]
-            steps += [(self.word[a:b], p.T @ h[own] / n, self.seen[3][a:b]), (self.word_bias[a:b], p.sum(0) / n, self.seen[4][a:b])]
+        # Words of classes that the batch lacks have no gradient, so all words are updated at once.
+        order, classes = v.by_class(ids)
+        words, inputs, wanted = self.word_rows(v), np.hstack([h, np.ones((len(h), 1), np.float32)])[order], ids[order]
+        grads, inner = np.zeros_like(words), np.zeros_like(inputs)
+        for lo, hi, a, b in classes:
+            # One row a word of the class and one column a place: maxima and sums run over whole rows.
+            z = words[a:b] @ inputs[lo:hi].T
+            z -= z.max(0)
+            np.exp(z, out=z)
+            z /= z.sum(0)
+            z[wanted[lo:hi] - a, np.arange(hi - lo)] -= 1
+            np.matmul(z.T, words[a:b], out=inner[lo:hi])
+            np.matmul(z, inputs[lo:hi], out=grads[a:b])
+        back[order] += inner[:, :HIDDEN]
+        grads /= n
+        steps = [(self.out, h.T @ p / n, self.seen[1]), (self.out_bias, p.mean(0), self.seen[2]), (self.words, grads, self.seen[3])]
         for weights, grad, seen in steps:
             seen += grad * grad
-            weights -= np.float32(rate) * grad / np.sqrt(seen)
+            grad *= rate
+            grad /= np.sqrt(seen)
+            weights -= grad
         back *= 1 - h * h
         for k in range(2 * WINDOW):
-            order = np.argsort(context[:, k], kind="stable")
-            at = context[order, k]
-            first = np.flatnonzero(np.diff(at, prepend=-1))
-            own = at[first]
+            at = context[:, k].astype(np.uint16)  # of so few bits, numpy sorts by radix
+            order = np.argsort(at, kind="stable")
+            at = at[order]
+            first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+            own = at[first].astype(np.intp)
             grad = np.add.reduceat(back[order], first, axis=0) / n
             self.seen[0][k, own] += (grad * grad).mean(1)
-            self.table[k, own] -= (rate * grad / np.sqrt(self.seen[0][k, own])[:, None]).astype(np.float32)
+            self.table[k, own] -= rate * grad / np.sqrt(self.seen[0][k, own])[:, None]
 
 
 def fit(docs: DataFrame, vocab: Vocabulary, rounds: int = ROUNDS) -> Network:

@@ -274,7 +274,7 @@ def test_scores_are_the_sum_of_conditionals(spark, monkeypatch):
         z = hid @ net.out + net.out_bias
         total += z[vocab.classes[ids[i]]] - np.log(np.exp(z).sum())
         own = np.flatnonzero(vocab.classes == vocab.classes[ids[i]])
-        u = net.word[own] @ hid + net.word_bias[own] + vocab.within[own]
+        u = net.words[own, :-1] @ hid + net.words[own, -1] + vocab.within[own]
         total += vocab.within[0] if ids[i] == 0 else (u - np.log(np.exp(u).sum()))[ids[i] == own].item()
     assert abs(rows[2].log_likelihood - total) < 1e-2
 
