@@ -126,14 +126,17 @@ class Network:
     def word_rows(self, v: Vocabulary) -> np.ndarray:
         """A row a word: its weights, and then what it has without any context."""
         words = self.words.copy()
-        words[:, HIDDEN] += v.within
+        words[: len(v.within), HIDDEN] += v.within
         return words
 
     def log_probabilities(self, context: np.ndarray, ids: np.ndarray, v: Vocabulary) -> np.ndarray:
         h = self.hidden(context)
-        z = h @ self.out + self.out_bias
-        z -= z.max(1, keepdims=True)
-        out = z[np.arange(len(z)), v.classes[ids]] - np.log(np.exp(z).sum(1))
+        z = self.out.T @ h.T
+        z += self.out_bias[:, None]
+        z -= z.max(0)
+        out = z[v.classes[ids], np.arange(len(h))]
+        np.exp(z, out=z)
+        out -= np.log(z.sum(0))
         out[ids == 0] += v.within[0]
         order, classes = v.by_class(ids)
         words, inputs, wanted, inner = self.word_rows(v), np.hstack([h, np.ones((len(h), 1), np.float32)])[order], ids[order], np.zeros(len(h), np.float32)
@@ -255,7 +258,7 @@ def score(docs: DataFrame, vocab: Vocabulary, net: Network, text: str = "text")
                 h, bounds = hashed([t if isinstance(t, str) else None for t in s.iloc[k : k + CHUNK]])
                 ids = v.of(h)
                 context = _contexts(ids, bounds)
-                each = np.concatenate([np.zeros(0), *[own.log_probabilities(context[b : b + 16384], ids[b : b + 16384], v) for b in range(0, len(ids), 16384)]])
+                each = np.concatenate([np.zeros(0), *[own.log_probabilities(context[b : b + 8192], ids[b : b + 8192], v) for b in range(0, len(ids), 8192)]])
                 sums = np.concatenate([[0.0], np.cumsum(each, dtype=float)])
                 size = len(bounds) - 1
                 n[k : k + size], total[k : k + size] = np.diff(bounds), sums[bounds[1:]] - sums[bounds[:-1]]
