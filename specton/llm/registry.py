@@ -85,6 +85,24 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op11_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from specton.llm import simhash
+
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from specton.llm import audit
+
+    return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from specton.llm import resampling
+
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 OP10_SQL = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v
@@ -104,6 +122,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from specton.llm import decontaminate, licences
+    from specton.llm import audit, decontaminate, licences, resampling
 
-    return {"op4_benchmark_decontamination": decontaminate.SQL, "op5_licence_scan": licences.sql(), "op10_exact_top_k": OP10_SQL}
+    return {"op4_benchmark_decontamination": decontaminate.SQL, "op5_licence_scan": licences.sql(), "op10_exact_top_k": OP10_SQL, "op12_filter_audit": audit.SQL, "op13_importance_resampling": resampling.SQL}
