@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from specton.plans import analysis, tables, vectors
+from specton.plans import analysis, models, tables, vectors
 
-MODULES = [vectors, tables, analysis]
+MODULES = [vectors, tables, analysis, models]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

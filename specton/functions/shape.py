@@ -29,31 +29,34 @@ def procrustes_distance(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def gpa(shapes: np.ndarray, rounds: int = 20, tolerance: float = 1e-10) -> tuple[np.ndarray, np.ndarray]:
-    """Aligned shapes and their mean, starting from the first."""
+    """Aligned shapes and their mean, starting from the first: done when the mean moves by less than the tolerance."""
     own = np.stack([centre_and_scale(s) for s in shapes])
     mean = own[0]
     for _ in range(rounds):
         own = np.stack([rotate_onto(s, mean) for s in own])
         now = centre_and_scale(own.mean(0))
-        moved, mean = ((now - mean) ** 2).sum(), now
+        moved, mean = np.sqrt(((now - mean) ** 2).sum()), rotate_onto(now, mean)
         if moved < tolerance:
             break
-    return own, mean
+    return np.stack([rotate_onto(s, mean) for s in own]), mean
 
 
 def align_to(mean: np.ndarray, points: np.ndarray) -> np.ndarray:
     return rotate_onto(centre_and_scale(points), mean)
 
 
-def ledoit_wolf(z: np.ndarray) -> tuple[np.ndarray, float]:
-    """Covariance (1 / n, of centred rows) shrunk to a multiple of the identity, and the shrinkage."""
-    n, d = z.shape
-    s = z.T @ z / n
-    mu = np.trace(s) / d
-    d2 = ((s - mu * np.eye(d)) ** 2).sum() / d
-    b2 = min((((z**2).T @ z**2) / n - s * s).sum() / d / n, d2)
-    share = float(np.clip(b2 / d2, 0, 1)) if d2 > 0 else 0.0
-    return share * mu * np.eye(d) + (1 - share) * s, share
+def shrinkage_share(s: np.ndarray, n: int, quartic: float) -> float:
+    """The Ledoit-Wolf share of a scaled identity in a covariance: s is Z'Z / n of n centred rows, quartic the sum of the fourth
+    powers of their lengths. Both add up over any split of the rows."""
+    d = len(s)
+    spread = ((s - np.trace(s) / d * np.eye(d)) ** 2).sum()
+    noise = (quartic - n * (s * s).sum()) / n**2
+    return float(np.clip(min(noise, spread) / spread, 0, 1)) if spread > 0 else 1.0
+
+
+def ledoit_wolf(z: np.ndarray) -> float:
+    """The share for centred rows."""
+    return shrinkage_share(z.T @ z / len(z), len(z), float(((z * z).sum(1) ** 2).sum()))
 
 
 def softmax(scores: np.ndarray, temperature: float = 1.0) -> np.ndarray:
@@ -69,11 +72,17 @@ class Pca:
 
     @classmethod
     def fit(cls, x: np.ndarray, components: int) -> Pca:
-        mean = x.mean(0)
-        values, vectors = np.linalg.eigh(np.cov((x - mean).T, bias=False).reshape(x.shape[1], x.shape[1]))
-        values = np.maximum(values[::-1], 0)
+        z = x - x.mean(0)
+        return cls.of_moments(len(x), x.mean(0), z.T @ z, components)
+
+    @classmethod
+    def of_moments(cls, n: int, mean: np.ndarray, squares: np.ndarray, components: int) -> Pca:
+        """squares: the sum of centred rows' outer products. Each direction points to where its largest component is positive."""
+        values, vectors = np.linalg.eigh(squares / max(1, n - 1))
+        values, vectors = np.maximum(values[::-1], 0), vectors[:, ::-1]
+        vectors = vectors * np.where(vectors[np.abs(vectors).argmax(0), np.arange(len(mean))] < 0, -1.0, 1.0)
         total = values.sum()
-        return cls(mean, vectors[:, ::-1][:, :components], values[:components] / (total if total else 1))
+        return cls(mean, vectors[:, :components], values[:components] / (total if total else 1))
 
     def transform(self, x: np.ndarray) -> np.ndarray:
         return (x - self.mean) @ self.basis
@@ -81,25 +90,33 @@ class Pca:
 
 @dataclass
 class Lda:
-    """Linear discriminants with pooled covariance, a little ridge and equal priors."""
+    """Linear discriminants with a pooled covariance, shrunk to a scaled identity, and equal priors."""
 
     labels: list[str]
     weights: np.ndarray
     offsets: np.ndarray
     temperature: float = 1.0
+    share: float = 0.0
 
     @classmethod
-    def fit(cls, x: np.ndarray, y: list[str], shrink: bool = False) -> Lda:
+    def fit(cls, x: np.ndarray, y: list[str], shrinkage: float | str = "auto") -> Lda:
         labels = sorted(set(y))
         at = np.array([labels.index(v) for v in y])
         means = np.stack([x[at == k].mean(0) for k in range(len(labels))])
         z = x - means[at]
-        cov = ledoit_wolf(z)[0] if shrink else z.T @ z / max(1, len(x) - len(labels))
-        spread = np.trace(cov) / x.shape[1]
-        if len(labels) < 2 or not spread > 0:
+        return cls.of_moments(labels, len(x), means, z.T @ z, float(((z * z).sum(1) ** 2).sum()), shrinkage)
+
+    @classmethod
+    def of_moments(cls, labels: list[str], n: int, means: np.ndarray, within: np.ndarray, quartic: float, shrinkage: float | str = "auto") -> Lda:
+        """within: the sum of outer products of rows less their label's mean; quartic: the sum of these rows' fourth powers."""
+        d = means.shape[1]
+        share = shrinkage_share(within / n, n, quartic) if shrinkage == "auto" else float(shrinkage)
+        cov = within / max(1, n - len(labels))
+        trace = np.trace(cov)
+        if len(labels) < 2 or not (trace > 0 and np.isfinite(trace)):
             raise ValueError("rows don't vary within two labels")
-        w = np.linalg.solve(cov + spread * 1e-8 * np.eye(x.shape[1]), means.T).T
-        return cls(labels, w, -0.5 * (w * means).sum(1))
+        w = np.linalg.solve((1 - share) * cov + trace / d * (share + 1e-8) * np.eye(d), means.T).T
+        return cls(labels, w, -0.5 * (w * means).sum(1), share=share)
 
     def scores(self, x: np.ndarray) -> np.ndarray:
         return x @ self.weights.T + self.offsets
@@ -135,27 +152,25 @@ def fit_temperature(scores: np.ndarray, truth: np.ndarray, steps: int = 80) -> f
 
 @dataclass
 class ShapeLda:
-    """Procrustes mean, principal components and discriminants of landmark shapes."""
+    """Principal components of aligned shapes, laid out as vectors, and discriminants on them."""
 
-    mean: np.ndarray
     pca: Pca
     lda: Lda
 
     @classmethod
-    def fit(cls, shapes: np.ndarray, y: list[str]) -> ShapeLda:
-        own, mean = gpa(shapes)
-        x = own.reshape(len(own), -1)
-        pca = Pca.fit(x, components_for(x.shape[1], len(x), len(set(y))))
-        return cls(mean, pca, Lda.fit(pca.transform(x), y))
+    def fit(cls, x: np.ndarray, y: list[str], components: int | str = "auto", shrinkage: float | str = "auto") -> ShapeLda:
+        k = components_for(x.shape[1], len(x), len(set(y))) if components == "auto" else components
+        pca = Pca.fit(x, k)
+        return cls(pca, Lda.fit(pca.transform(x), y, shrinkage))
 
-    def project(self, shapes: np.ndarray) -> np.ndarray:
-        return self.pca.transform(np.stack([align_to(self.mean, s).ravel() for s in shapes]))
+    def scores(self, x: np.ndarray) -> np.ndarray:
+        return self.lda.scores(self.pca.transform(x))
 
-    def scores(self, shapes: np.ndarray) -> np.ndarray:
-        return self.lda.scores(self.project(shapes))
+    def predict(self, x: np.ndarray) -> list[str]:
+        return self.lda.predict(self.pca.transform(x))
 
-    def predict(self, shapes: np.ndarray) -> list[str]:
-        return self.lda.predict(self.project(shapes))
+    def probabilities(self, x: np.ndarray) -> np.ndarray:
+        return self.lda.probabilities(self.pca.transform(x))
 
 
 def fit_guide(guide: np.ndarray, points: np.ndarray) -> np.ndarray:

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-
 import numpy as np
 import pandas as pd
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from specton.operators.lineage import cut as cut_lineage
+
 STEPS, RESTART = 40, 0.2
 
 
@@ -133,12 +132,7 @@ def walk(base: DataFrame, own: DataFrame, starts: DataFrame, steps: int = STEPS,
     base: src, dst, p, the graph that all queries share; own: query, src, dst, p, rows that for a query take the place of
     the base's for the same source; starts: query, node. A node without a way out keeps its mass. The lineage is cut by a
     checkpoint after every few steps, in the folder the session names in spark.checkpoint.dir."""
-    context = starts.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
-    base, own, starts = (x.checkpoint() for x in (base.select("src", "dst", "p"), own.select("query", "src", "dst", "p"), starts.select("query", "node")))
+    base, own, starts = (cut_lineage(x) for x in (base.select("src", "dst", "p"), own.select("query", "src", "dst", "p"), starts.select("query", "node")))
     changed = own.select("query", "src").distinct().withColumn("is_own", F.lit(True))
     mass = starts.withColumn("p", F.lit(1.0))
     back = starts.withColumn("p", F.lit(restart))
@@ -148,7 +142,7 @@ def walk(base: DataFrame, own: DataFrame, starts: DataFrame, steps: int = STEPS,
         rest = at.where("is_own IS NULL").join(base, "src", "left").select("query", F.coalesce("dst", "src").alias("node"), (F.col("m") * F.coalesce("p", F.lit(1.0)) * (1 - restart)).alias("p"))
         mass = first.unionByName(rest).unionByName(back).groupBy("query", "node").agg(F.sum("p").alias("p"))
         if k % cut == 0:
-            mass = mass.checkpoint()
+            mass = cut_lineage(mass)
     return mass
 
 

@@ -1,34 +1,53 @@
-"""Frozen models: fit on prototypes of training groups, calibrate on held-out groups, score rows, test externally.
+"""Models of labelled groups: fit on prototypes of training groups, calibrated on held-out groups, scored by four methods.
 
-A model is a few small tables (parameters, prototypes, calibration scores) and a JSON document. Scoring sends queries
-to blocks of prototypes, so neither side has to fit a task."""
+The same pipeline fits one model or one for each held-out part of an evaluation: groups have roles under keys (a fold, a
+series, or the only key of a final model), and every step runs for all keys at once: sums of outer products give each key's
+standardizer and its discriminants, and one pass over pairs of blocks gives all nearest groups and all nonconformity
+scores. Small tables of a row a key and dimension are on the driver; rows, groups and folds never are.
+
+Vectors may begin with a block of landmarks (x, y, x, y, ...). These are aligned first: views to their group's mean, prototypes
+and queries to the mean of the training prototypes.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from specton.operators import conformal, evaluate, similarity
+from specton.functions.shape import ShapeLda
+from specton.functions.vectors import doubles
+from specton.operators import conformal, discriminant, evaluate, folds, morphometrics, similarity
+from specton.operators.lineage import cut
 from specton.operators.references import ContractError, assert_none, label_conflicts, prototypes, reused_sources
+from specton.operators.scatter import scatter
 
-VERSION = "specton-model-1"
+#: Nearest groups that vote.
+VOTES = 5
+METHODS = ("distance", "knn", "lda")
+#: Smallest deviation that counts as variation.
+VARIES = 1e-9
 
 
-@dataclass
-class Model:
-    params: DataFrame
-    references: DataFrame  # id, group, label, vector (standardized)
-    calibration: DataFrame  # group, label, score
-    metric: str = "euclidean"
-    k: int = 5
+@dataclass(frozen=True)
+class Layout:
+    """The blocks of a vector, in order. A first block named landmarks is aligned."""
 
+    blocks: tuple[tuple[str, int], ...]
 
-def _groups(rows: DataFrame) -> tuple[list[str], list[str]]:
-    """Labels and groups: the statistical units, which a training set lists on the driver as its folds do."""
-    own = rows.select("label", "group").distinct().collect()
-    return [r.label for r in own], [r.group for r in own]
+    @property
+    def dims(self) -> int:
+        return sum(n for _, n in self.blocks)
+
+    @property
+    def landmarks(self) -> int:
+        """Numbers of the landmark block; 0 without one."""
+        name, n = self.blocks[0]
+        return n if name == "landmarks" else 0
 
 
 def check(rows: DataFrame) -> DataFrame:
@@ -40,25 +59,184 @@ def check(rows: DataFrame) -> DataFrame:
     return rows
 
 
-def _space(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Standardizer of the groups' prototypes, and the prototypes in it, numbered by group."""
+def _numbered(groups: DataFrame) -> DataFrame:
+    return groups.withColumn("id", F.xxhash64("group").bitwiseAND(F.lit((1 << 62) - 1)))
+
+
+def group_prototypes(rows: DataFrame, layout: Layout | None = None) -> DataFrame:
+    """id, group, label, views, vector: the mean of each group's views, its landmarks being their Procrustes mean."""
     proto = prototypes(rows, "group", "label", "vector")
-    params = similarity.fit_standardizer(proto)
-    if params.where("weight > 0").limit(1).count() == 0:
-        raise ContractError("no dimension varies")
-    numbered = proto.withColumn("id", F.xxhash64("group").bitwiseAND(F.lit((1 << 62) - 1)))
-    return params, similarity.standardize(numbered, params).select("id", "group", "label", "vector")
+    if layout and layout.landmarks:
+        n = layout.landmarks
+        own = morphometrics.group_means(rows.select("id", "group", F.slice("vector", 1, n).alias("v")))
+        proto = proto.join(own, "group").withColumn("vector", F.concat("m", F.slice("vector", n + 1, max(1, layout.dims - n)))).drop("m")
+    return _numbered(proto)
+
+
+@dataclass
+class Spaces:
+    """What is learned under each key: the mean shape (with landmarks), means, deviations and weights of dimensions, discriminants;
+    and the training prototypes, standardized, with the sizes of labels."""
+
+    layout: Layout | None
+    shapes: dict[str, np.ndarray]
+    params: dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]]
+    discriminants: dict[str, ShapeLda]
+    references: DataFrame  # key, id, group, label, views, vector
+    sizes: DataFrame  # key, label, size
+
+    def aligned(self, rows: DataFrame) -> DataFrame:
+        """The rows (key, id, vector, ...) with their landmarks turned onto their key's mean shape."""
+        n = self.layout.landmarks if self.layout else 0
+        if not n:
+            return rows
+        shapes = self.shapes
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                pdf = pdf[pdf["key"].isin(list(shapes))].reset_index(drop=True)
+                if len(pdf):
+                    v = np.stack(pdf["vector"])
+                    m = np.stack([shapes[k] for k in pdf["key"]])
+                    own = morphometrics.turned(morphometrics.points(v[:, :n]), m).reshape(len(v), -1)
+                    yield pdf.assign(vector=list(np.concatenate([own, v[:, n:]], 1)))
+
+        return rows.mapInPandas(run, rows.schema)
+
+    def standardized(self, rows: DataFrame) -> DataFrame:
+        """Aligned rows with their vector in the space of their key: ((x - mean) / sd) * weight."""
+        params = self.params
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                parts = []
+                for k, at in pdf.groupby("key").indices.items():
+                    if k in params:
+                        mean, sd, weight = params[k]
+                        own = pdf.iloc[at]
+                        z = np.where(weight == 0, 0.0, (np.stack(own["vector"]) - mean) / np.where(weight == 0, 1.0, sd) * weight)
+                        parts.append(own.assign(vector=list(z)))
+                if parts:
+                    yield pd.concat(parts)
+
+        return rows.mapInPandas(run, rows.schema)
+
+
+def _typed(rows: DataFrame, *more: str) -> DataFrame:
+    return rows.select(F.col("key").cast("string").alias("key"), F.col("id").cast("long").alias("id"), F.col("group").cast("string").alias("group"), F.col("label").cast("string").alias("label"), *more, doubles("vector").alias("vector"))
+
+
+def fit_spaces(training: DataFrame, layout: Layout | None = None, lda: bool = True) -> Spaces:
+    """Everything learned from the training prototypes (key, id, group, label, views, vector) of each key. Keys with one label, or
+    where nothing varies, have no space."""
+    training = cut(_typed(training, "views"))
+    shapes = {}
+    if layout and layout.landmarks:
+        shapes = morphometrics.means(training.select("id", "key", F.slice("vector", 1, layout.landmarks).alias("v")), "key")
+    spaces = Spaces(layout, shapes, {}, {}, training, training)
+    prepared = cut(spaces.aligned(training)) if shapes else training
+    for k, s in scatter(prepared, "key").items():
+        sd = np.sqrt(np.maximum(np.diag(s.total), 0) / max(1, s.n - 1)) if s.n > 1 else np.zeros(len(s.origin))
+        weight = np.where(sd > VARIES, 1.0, 0.0)
+        if layout:
+            weight = weight / np.sqrt(np.repeat([n for _, n in layout.blocks], [n for _, n in layout.blocks]).astype(float))
+        else:
+            weight = weight / np.sqrt(len(sd))
+        if len(s.labels) > 1 and weight.any():
+            spaces.params[k] = (s.mean, np.where(sd > VARIES, sd, 0.0), weight)
+    if lda:
+        n = layout.landmarks if layout else 0
+        spaces.discriminants = discriminant.fit(prepared.withColumn("vector", F.slice("vector", 1, n)) if n else prepared, "key")
+    spaces.references = cut(spaces.standardized(prepared))
+    spaces.sizes = spaces.references.groupBy("key", "label").agg(F.count("*").alias("size"))
+    return spaces
+
+
+@dataclass
+class Scores:
+    """Scores of rows under their keys: method, key, query_id, label, score; and the nearest groups by distance."""
+
+    methods: DataFrame
+    near: DataFrame
+
+
+def score(spaces: Spaces, rows: DataFrame, methods: tuple[str, ...] = METHODS, k: int = VOTES) -> Scores:
+    """Every method's label scores of rows (key, id, group, label, vector)."""
+    aligned = cut(spaces.aligned(_typed(rows)))
+    z = cut(spaces.standardized(aligned))
+    most = max(k, conformal.NEAREST)
+    near = cut(similarity.group_similarities(z, spaces.references, most, "euclidean", "key"))
+    by = ["key", "query_id"]
+    tag = lambda name, own: own.select(F.lit(name).alias("method"), "key", "query_id", "label", "score")
+    parts = []
+    if "distance" in methods:
+        parts.append(tag("distance", similarity.votes(near, spaces.sizes, k, similarity.distance_weight(), by)))
+    if "knn" in methods:
+        cosine = similarity.group_similarities(z, spaces.references, k, "cosine", "key")
+        parts.append(tag("knn", similarity.votes(cosine, spaces.sizes, k, similarity.cosine_weight(), by)))
+    if "lda" in methods and spaces.discriminants:
+        n = spaces.layout.landmarks if spaces.layout else 0
+        own = aligned.withColumn("vector", F.slice("vector", 1, n)) if n else aligned
+        p = discriminant.probabilities(own, spaces.discriminants, "key").where("p > 0")
+        parts.append(tag("lda", p.select("key", F.col("id").alias("query_id"), "label", F.col("p").alias("score"))))
+    if not parts:
+        raise ValueError(f"none of these methods scores here: {methods}")
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return Scores(out, near)
+
+
+def best(scores: DataFrame) -> DataFrame:
+    """method, key, query_id, predicted, score: the highest score, ties to the smallest label."""
+    top = F.min(F.struct((-F.col("score")).alias("s"), F.col("label").alias("l")))
+    return scores.groupBy("method", "key", "query_id").agg(top.alias("b")).select("method", "key", "query_id", F.col("b.l").alias("predicted"), (-F.col("b.s")).alias("score"))
+
+
+def calibration_scores(spaces: Spaces, rows: DataFrame) -> DataFrame:
+    """key, group, label, score: the nonconformity of each calibration group to its own label, the largest of its views'. rows: key, id,
+    group, label, vector."""
+    z = spaces.standardized(spaces.aligned(_typed(rows)))
+    own = z.select("key", F.col("id").alias("query_id"), "group", F.col("label").alias("truth"))
+    similar = similarity.group_similarities(z, spaces.references, conformal.NEAREST, "euclidean", "key")
+    scores = conformal.nonconformity(similar, key=["key"]).join(own, ["key", "query_id"]).where("label = truth")
+    return conformal.by_specimen(scores.select("key", "group", "label", "score"), ["key"])
+
+
+def sets_of(near: DataFrame, calibration: DataFrame) -> DataFrame:
+    """query_id, labels, uncalibrated, valid, unknown by each query's nearest groups under its key. A query has one key."""
+    p = conformal.p_values(conformal.nonconformity(near, key=["key"]), calibration.select("key", "label", "score"), ["key"])
+    return conformal.prediction_sets(p)
 
 
-def fit(rows: DataFrame, metric: str = "euclidean", k: int = 5, share: float = 0.2, seed: int = 17) -> Model:
+# One model.
+
+
+@dataclass
+class Model:
+    spaces: Spaces
+    calibration: DataFrame  # key, group, label, score
+    k: int = VOTES
+    primary: str = "distance"
+
+
+ONLY = "model"
+
+
+def _only(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("key", F.lit(ONLY))
+
+
+def fit(rows: DataFrame, k: int = VOTES, share: float = folds.SHARE, layout: Layout | None = None, lda: bool = False) -> Model:
     """rows: id, group, label, vector. A share of each label's groups is held out for calibration."""
-    labels, groups = _groups(check(rows))
-    held = sorted(evaluate.calibration_split(labels, groups, share, seed))
-    known = rows.where(~F.col("group").isin(held)) if held else rows
-    params, refs = _space(known)
-    cal = similarity.standardize(rows.where(F.col("group").isin(held)), params) if held else rows.limit(0)
-    scores = _nonconformity(cal, refs, metric).where("label = truth").select("group", "label", "score")
-    return Model(params, refs, conformal.by_specimen(scores), metric, k)
+    rows = cut(check(rows).withColumn("group", F.col("group").cast("string")))
+    groups = rows.select("group", "label").distinct()
+    held = cut(folds.with_calibration(groups, ["label"], share).where("held").select("group"))
+    training = group_prototypes(rows.join(held, "group", "left_anti"), layout)
+    spaces = fit_spaces(_only(training), layout, lda)
+    if not spaces.params:
+        raise ContractError("no dimension varies")
+    return Model(spaces, cut(calibration_scores(spaces, _only(rows.join(held, "group", "left_semi")))), k, "lda" if spaces.discriminants else "distance")
 
 
 def _nonconformity(rows: DataFrame, refs: DataFrame, metric: str) -> DataFrame:
@@ -67,40 +245,92 @@ def _nonconformity(rows: DataFrame, refs: DataFrame, metric: str) -> DataFrame:
     return scores.join(rows.select(F.col("id").alias("query_id"), "group", F.col("label").alias("truth")), "query_id")
 
 
-def classify(model: Model, rows: DataFrame) -> DataFrame:
+def classify(model: Model, rows: DataFrame, method: str | None = None) -> DataFrame:
     """query_id, group, truth, predicted, score, labels (the prediction set), valid, unknown. rows: id, group, label, vector."""
-    z = similarity.standardize(rows, model.params)
-    near = similarity.neighbours(z, model.references, model.k, model.metric)
-    weight = similarity.distance_weight() if model.metric == "euclidean" else similarity.cosine_weight()
-    best = similarity.argmax(similarity.label_scores(near, model.references.select(F.col("id").alias("ref_id"), "label"), weight))
-    sets = conformal.prediction_sets(conformal.p_values(_nonconformity(z, model.references, model.metric).select("query_id", "label", "score"), model.calibration))
+    method = method or model.primary
+    found = score(model.spaces, _only(rows), (method,), model.k)
     own = rows.select(F.col("id").alias("query_id"), "group", F.col("label").alias("truth"))
-    return own.join(best.select("query_id", F.col("label").alias("predicted"), "score"), "query_id", "left").join(sets.select("query_id", "labels", "valid", "unknown"), "query_id", "left")
+    top = best(found.methods).select("query_id", "predicted", "score")
+    sets = sets_of(found.near, model.calibration).select("query_id", "labels", "valid", "unknown")
+    return own.join(top, "query_id", "left").join(sets, "query_id", "left")
+
+
+# Evaluation of all methods by the same held-out groups.
+
+
+@dataclass
+class Evaluation:
+    predictions: DataFrame  # method, key, query_id, group, truth, predicted
+    scores: DataFrame  # method, key, query_id, label, score
+    sets: DataFrame  # query_id, group, truth, labels, uncalibrated, valid, unknown
 
 
-def cross_validate(rows: DataFrame, k: int = 5, seed: int = 1, **options) -> DataFrame:
-    """Predictions of each row by a model of the other folds' groups; a label that is missing there gives null."""
-    labels, groups = _groups(check(rows))
-    fold = evaluate.stratified_folds(labels, groups, k, seed)
-    out = None
-    for n in sorted(set(fold.values())):
-        own = [g for g, f in fold.items() if f == n]
-        part = classify(fit(rows.where(~F.col("group").isin(own)), **options), rows.where(F.col("group").isin(own)))
-        out = part if out is None else out.unionByName(part)
-    return out
+def evaluate_held(rows: DataFrame, held: DataFrame, methods: tuple[str, ...] = METHODS, layout: Layout | None = None, share: float = folds.SHARE) -> Evaluation:
+    """Predictions of every row by the pipeline of the groups that aren't held out with it. rows: id, group, label, vector; held:
+    key, group. All keys are fitted and scored together. Keys whose other groups have one label score nothing; a label
+    without training groups under a key isn't evaluated there."""
+    rows = cut(rows.withColumn("group", F.col("group").cast("string")).withColumn("label", F.col("label").cast("string")))
+    groups = rows.select("group", "label").distinct()
+    role = cut(folds.roles(groups, held.select(F.col("key").cast("string").alias("key"), F.col("group").cast("string").alias("group")), share))
+    proto = group_prototypes(rows, layout)
+    of = lambda name: role.where(F.col("role") == name).select("key", "group")
+    spaces = fit_spaces(proto.join(of("training"), "group"), layout, "lda" in methods)
+    asked = cut(rows.join(of("test"), "group").join(spaces.sizes.select("key", "label"), ["key", "label"], "left_semi"))
+    found = score(spaces, asked, methods)
+    calibration = cut(calibration_scores(spaces, rows.join(of("calibration"), "group")))
+    own = asked.select("key", F.col("id").alias("query_id"), "group", F.col("label").alias("truth"))
+    scores = cut(found.methods)
+    return Evaluation(best(scores).drop("score").join(own, ["key", "query_id"]), scores, sets_of(found.near, calibration).join(own.drop("key"), "query_id"))
 
 
-def assert_external(model: Model, rows: DataFrame, training: DataFrame) -> None:
+def fold_held(rows: DataFrame, k: int = folds.FOLDS, seed: int = folds.FOLD_SEED) -> DataFrame:
+    """key, group: stratified folds of the rows' groups."""
+    return folds.stratified(rows.select("group", "label").distinct(), k, seed).select(F.col("fold").cast("string").alias("key"), "group")
+
+
+def series_held(rows: DataFrame) -> DataFrame:
+    """key, group: every series held out in turn. Raises unless all rows have one, there are two at least, and no group is in two."""
+    two = rows.groupBy("group").agg(F.count_distinct("series").alias("n")).agg(F.count_if(F.col("n") > 1).alias("groups_in_two_series"))
+    few = rows.agg(F.count_if(F.col("series").isNull()).alias("without_series"), F.greatest(2 - F.count_distinct("series"), F.lit(0)).alias("missing_series"))
+    assert_none(few.crossJoin(F.broadcast(two)))
+    return rows.select(F.col("series").cast("string").alias("key"), "group").distinct()
+
+
+def method_summary(predictions: DataFrame) -> DataFrame:
+    """method, unit (view or group), evaluated, accuracy, balanced_accuracy. A group's views vote; ties go to the smallest label."""
+    views = predictions.select("method", "truth", "predicted")
+    n = predictions.groupBy("method", "group", "truth", "predicted").agg(F.count("*").alias("n"))
+    vote = F.min(F.when(F.col("predicted").isNotNull(), F.struct((-F.col("n")).alias("n"), F.col("predicted").alias("p"))))
+    groups = n.groupBy("method", "group", "truth").agg(vote.alias("b"), F.max(F.col("predicted").isNull()).alias("open")).select("method", "truth", F.when(~F.col("open"), F.col("b.p")).alias("predicted"))
+    both = views.withColumn("unit", F.lit("view")).unionByName(groups.withColumn("unit", F.lit("group"))).where("predicted IS NOT NULL")
+    by = both.groupBy("method", "unit", "truth").agg(F.count("*").alias("n"), F.count_if(F.col("truth") == F.col("predicted")).alias("hits"))
+    return by.groupBy("method", "unit").agg(F.sum("n").alias("evaluated"), (F.sum("hits") / F.sum("n")).alias("accuracy"), F.avg(F.col("hits") / F.col("n")).alias("balanced_accuracy"))
+
+
+def cross_validate(rows: DataFrame, k: int = folds.FOLDS, seed: int = folds.FOLD_SEED, method: str = "distance", layout: Layout | None = None) -> DataFrame:
+    """query_id, group, truth, predicted, labels, valid, unknown of each row by a model of the other folds' groups."""
+    out = evaluate_held(check(rows), fold_held(rows, k, seed), (method,), layout)
+    return out.predictions.select("query_id", "group", "truth", "predicted").join(out.sets.drop("group", "truth"), "query_id", "left")
+
+
+# Tests on rows that a model hasn't seen.
+
+
+def assert_external(model: Model | None, rows: DataFrame, training: DataFrame) -> None:
     """A test set that shares groups, ids or sources with the training rows is an error."""
     for c in [c for c in ("group", "id", "source_hash") if c in rows.columns and c in training.columns]:
         assert_none(rows.where(F.col(c).isNotNull()).join(training.select(c), c, "left_semi").agg(F.count("*").alias(f"shared_{c}")))
 
 
+def external_report(scored: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Summary of known labels by row, of animals, and the rejection of labels that aren't known. known: label."""
+    labels = known.select(F.col("label").alias("truth")).distinct()
+    seen, novel = scored.join(labels, "truth", "left_semi"), scored.join(labels, "truth", "left_anti")
+    return evaluate.summary(seen), evaluate.summary(evaluate.animals(seen)), evaluate.novel_rejection(novel.withColumnRenamed("truth", "label"))
+
+
 def evaluate_external(model: Model, rows: DataFrame, training: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Summary of known labels by row, of animals, and the rejection of labels that training didn't have."""
     assert_external(model, rows, training)
-    known = training.select("label").distinct()
-    scored = classify(model, rows)
-    seen = scored.join(known.select(F.col("label").alias("truth")), "truth", "left_semi")
-    novel = scored.join(known.select(F.col("label").alias("truth")), "truth", "left_anti")
-    return evaluate.summary(seen), evaluate.summary(evaluate.animals(seen)), evaluate.novel_rejection(novel.withColumnRenamed("truth", "label"))
+    return external_report(classify(model, rows), training)
+
+

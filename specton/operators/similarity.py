@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from specton.functions.vectors import doubles
 
-#: Rows of a reference block and of a query block.
-BLOCK = 4096
+#: Rows of a reference block and of a query block; of a query block where each pair of blocks sorts a matrix.
+BLOCK, ASKED = 4096, 512
 
 
 def fit_standardizer(rows: DataFrame, vector: str = "vector") -> DataFrame:
@@ -75,28 +75,33 @@ def neighbours(queries: DataFrame, references: DataFrame, k: int, metric: str =
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def group_similarities(queries: DataFrame, references: DataFrame, m: int, metric: str = "cosine") -> DataFrame:
+def group_similarities(queries: DataFrame, references: DataFrame, m: int, metric: str = "cosine", key: str | None = None, own_group: bool = True) -> DataFrame:
     """query_id, label, group, similarity (single precision): of all references, enough to know each label's m best
     groups by their best similarity. Queries have id and vector, references label and group too; a reference with the
-    query's id is left out.
+    query's id is left out. With a key only rows of one key meet, and the key comes first in the result. Without own_group,
+    queries have a group too and references of it are left out, before any list is cut.
 
     Each pair of blocks keeps the m best groups of each label by their best similarity there. A group among the m best
     of all is among them in the block of its best reference, so the blocks' lists hold its best similarity, however
     references are dealt."""
-    n, k = references.count(), queries.count()
-    blocks, batches = max(1, -(-n // BLOCK)), max(1, -(-k // BLOCK))
+    of = F.col(key).cast("string") if key else F.lit(None).cast("string")
+    most = lambda d: d.groupBy(of.alias("k")).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    blocks, batches = max(1, -(-most(references) // BLOCK)), max(1, -(-most(queries) // ASKED))
     deal = lambda count: F.pmod(F.xxhash64("id"), F.lit(count)).cast("int")
     every = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
-    refs = references.select(F.col("id").cast("long").alias("id"), doubles("vector").alias("vector"), "label", "group").withColumn("b", deal(blocks)).withColumn("q", every(batches))
-    asks = queries.select(F.col("id").cast("long").alias("id"), doubles("vector").alias("vector")).withColumn("q", deal(batches)).withColumn("b", every(blocks))
+    refs = references.select(of.alias("key"), F.col("id").cast("long").alias("id"), doubles("vector").alias("vector"), "label", "group").withColumn("b", deal(blocks)).withColumn("q", every(batches))
+    asks = queries.select(of.alias("key"), F.col("id").cast("long").alias("id"), doubles("vector").alias("vector"), (F.lit(None) if own_group else F.col("group")).cast("string").alias("own")).withColumn("q", deal(batches)).withColumn("b", every(blocks))
 
     def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        parts = [pd.DataFrame({"query_id": [], "label": [], "group": [], "similarity": []}).astype({"query_id": "int64", "label": object, "group": object, "similarity": "float32"})]
+        parts = [pd.DataFrame({"key": [], "query_id": [], "label": [], "group": [], "similarity": []}).astype({"key": object, "query_id": "int64", "label": object, "group": object, "similarity": "float32"})]
         if len(left) and len(right):
             right = right.sort_values(["label", "group"])
             s = _similarities(np.stack(left["vector"]), np.stack(right["vector"]), metric)
             asked, labels, groups = left["id"].to_numpy(), right["label"].to_numpy(object), right["group"].to_numpy(object)
             s[asked[:, None] == right["id"].to_numpy()[None, :]] = -np.inf
+            if not own_group:
+                own = pd.factorize(np.concatenate([left["own"].to_numpy(object), groups.astype(str)]))[0]
+                s[own[: len(left), None] == own[None, len(left) :]] = -np.inf
             label, group = pd.factorize(labels, use_na_sentinel=False)[0], pd.factorize(groups, use_na_sentinel=False)[0]
             first = np.flatnonzero(np.concatenate([[True], (np.diff(label) != 0) | (np.diff(group) != 0)]))
             s = np.fmax.reduceat(s, first, axis=1)
@@ -105,13 +110,14 @@ def group_similarities(queries: DataFrame, references: DataFrame, m: int, metric
                 order = low + np.argsort(-s[:, low:high], axis=1, kind="stable")[:, :m]
                 value = np.take_along_axis(s, order, 1)
                 rows, at = np.nonzero(value > -np.inf)
-                of = first[order[rows, at]]
-                parts.append(pd.DataFrame({"query_id": asked[rows], "label": labels[of], "group": groups[of], "similarity": value[rows, at]}))
+                where = first[order[rows, at]]
+                parts.append(pd.DataFrame({"key": left["key"].to_numpy(object)[rows], "query_id": asked[rows], "label": labels[where], "group": groups[where], "similarity": value[rows, at]}))
         return pd.concat(parts[1:] or parts)
 
     kinds = {f.name: f.dataType.simpleString() for f in references.schema.fields}
-    found = asks.groupBy("b", "q").cogroup(refs.groupBy("b", "q")).applyInPandas(best, f"query_id long, label {kinds['label']}, `group` {kinds['group']}, similarity float")
-    return found.groupBy("query_id", "label", "group").agg(F.max("similarity").alias("similarity"))
+    found = asks.groupBy("key", "b", "q").cogroup(refs.groupBy("key", "b", "q")).applyInPandas(best, f"key string, query_id long, label {kinds['label']}, `group` {kinds['group']}, similarity float")
+    out = found.groupBy("key", "query_id", "label", "group").agg(F.max("similarity").alias("similarity"))
+    return out.withColumnRenamed("key", key) if key else out.drop("key")
 
 
 def label_scores(votes: DataFrame, labels: DataFrame, weight: Column, balanced: bool = True) -> DataFrame:
@@ -126,6 +132,17 @@ def label_scores(votes: DataFrame, labels: DataFrame, weight: Column, balanced:
     return sums.withColumn("score", F.col("_s") / total).where(F.col("score") > 0).select("query_id", "label", "score")
 
 
+def votes(near: DataFrame, sizes: DataFrame, k: int, weight: Column, by: list[str]) -> DataFrame:
+    """The columns of by, label, score: what the k most similar groups of each query say, ties to the smaller group. near: by, label,
+    group, similarity; sizes: label, size and those columns of by that it has. A label's sum is divided by its size
+    and scores are scaled to 1 a query."""
+    w = Window.partitionBy(*by).orderBy(F.desc("similarity"), "group")
+    top = near.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).withColumn("_w", weight)
+    sums = top.groupBy(*by, "label").agg(F.sum("_w").alias("_s")).join(sizes, [*(c for c in by if c in sizes.columns), "label"])
+    share = F.col("_s") / F.col("size")
+    return sums.withColumn("_s", share).withColumn("score", F.col("_s") / F.sum("_s").over(Window.partitionBy(*by))).where("score > 0").select(*by, "label", "score")
+
+
 def cosine_weight() -> Column:
     return F.greatest(F.lit(1e-6), F.col("similarity").cast("double"))
 

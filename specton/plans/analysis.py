@@ -1,4 +1,4 @@
-"""Queries that SQL doesn't express: projections, shapes, walks with the query in the graph, models, bootstrap."""
+"""Queries that SQL doesn't express: projections, shapes, walks with the query in the graph, bootstrap."""
 
 from __future__ import annotations
 
@@ -9,9 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from specton.functions import shape
-from specton.operators import etl, evaluate, graph, model, projection, similarity
-from specton.plans.vectors import _grouped, _labels, _left_out, _rows
+from specton.operators import etl, evaluate, graph, morphometrics, projection, similarity
+from specton.plans.vectors import _labels, _left_out, _rows
 
 
 def sparse_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,60 +23,16 @@ def dense_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("id", F.size("tag").alias("active"), F.get("tag", F.lit(0)).alias("first"))
 
 
-def _aligned(pdf: pd.DataFrame, means: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Each row's shape, centred, of unit size and turned onto its label's mean, and that mean."""
-    p = np.stack(pdf["v"]).reshape(-1, 19, 2)
-    p = p - p.mean(1, keepdims=True)
-    size = np.sqrt((p * p).sum((1, 2), keepdims=True))
-    if (size == 0).any():
-        raise ValueError("points have no size")
-    p, m = p / size, np.stack([means[x] for x in pdf["label"]])
-    angle = np.arctan2((p[:, :, 0] * m[:, :, 1] - p[:, :, 1] * m[:, :, 0]).sum(1), (p * m).sum((1, 2)))
-    c, s = np.cos(angle)[:, None], np.sin(angle)[:, None]
-    return np.stack([c * p[:, :, 0] - s * p[:, :, 1], s * p[:, :, 0] + c * p[:, :, 1]], 2), m
-
-
-def label_means(rows: DataFrame, rounds: int = 20, tolerance: float = 1e-10) -> dict[str, np.ndarray]:
-    """The Procrustes mean of all rows of each label, starting from the smallest id. A round turns every row onto its
-    label's mean and sums by label and coordinate; a label is done once its mean moves by less than the tolerance. rows:
-    id, label, v (38 numbers)."""
-    first = rows.groupBy("label").agg(F.min_by("v", "id").alias("v")).collect()
-    means = {r.label: shape.centre_and_scale(np.reshape(r.v, (19, 2))) for r in first}
-    turning = set(means)
-    for _ in range(rounds):
-        now = {label: means[label] for label in turning}
-
-        def total(batches: Iterator[pd.DataFrame], now=now) -> Iterator[pd.DataFrame]:
-            sums = {}
-            for pdf in batches:
-                pdf = pdf[pdf["label"].isin(list(now))]
-                if len(pdf):
-                    turned, _ = _aligned(pdf, now)
-                    for label, at in pdf.groupby("label").indices.items():
-                        sums[label] = sums.get(label, 0) + turned[at].sum(0).ravel()
-            for label, x in sums.items():
-                yield pd.DataFrame({"label": label, "dim": range(len(x)), "x": x})
-
-        sums = rows.mapInPandas(total, "label string, dim int, x double").groupBy("label", "dim").agg(F.sum("x").alias("x")).toPandas()
-        for label, pdf in sums.groupby("label"):
-            mean = shape.centre_and_scale(pdf.sort_values("dim")["x"].to_numpy().reshape(19, 2))
-            if np.sqrt(((mean - now[label]) ** 2).sum()) < tolerance:
-                turning.discard(label)
-            means[label] = shape.rotate_onto(mean, now[label])
-        if not turning:
-            break
-    return means
-
-
 def shape_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first 38 components as 19 landmarks: Procrustes distance of each row to its label's mean shape of all rows."""
     rows = _rows(spark, sf_dir).where(F.col("label").isNotNull()).select("id", "label", F.slice("vector", 1, 38).alias("v"))
-    means = label_means(rows)
+    means = morphometrics.means(rows, "label")
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             if len(pdf):
-                turned, m = _aligned(pdf, means)
+                m = np.stack([means[x] for x in pdf["label"]])
+                turned = morphometrics.turned(morphometrics.points(pdf["v"]), m)
                 yield pd.DataFrame({"id": pdf["id"], "label": pdf["label"], "distance": np.round(np.sqrt(((turned - m) ** 2).sum((1, 2))), 6)})
 
     return rows.mapInPandas(measure, "id long, label string, distance double")
@@ -94,13 +49,6 @@ def walk_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.walk_labels(mass.withColumn("step", F.lit(graph.STEPS)), _labels(known)).select("query", "label", F.round("score", 6).alias("score"))
 
 
-def model_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _grouped(_rows(spark, sf_dir))
-    held = F.floor(F.col("id") / 2) % 5 == 0
-    out = model.classify(model.fit(rows.where(~held)), rows.where(held))
-    return out.select("query_id", "truth", "predicted", F.round("score", 6).alias("score"), F.array_join("labels", ",").alias("labels"))
-
-
 def bootstrap_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.bootstrap(evaluate.animals(_left_out(spark, sf_dir)))
 
@@ -112,5 +60,5 @@ def landmark_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "sparse_tags": (sparse_tags, None), "dense_tags": (dense_tags, None), "shape_distances": (shape_distances, None), "walk_traces": (walk_traces, None),
-    "model_predictions": (model_predictions, None), "bootstrap_interval": (bootstrap_interval, None), "landmark_lines": (landmark_lines, None),
+    "bootstrap_interval": (bootstrap_interval, None), "landmark_lines": (landmark_lines, None),
 }

@@ -159,10 +159,10 @@ def test_shapes():
     assert shape.procrustes_distance(a, 3 * a @ np.array([[c, s], [-s, c]]) + 5) < 1e-9
     shapes = np.stack([(a if k % 2 else a * [1, 1.3]) + r.normal(0, 0.02, a.shape) for k in range(40)])
     labels = ["x" if k % 2 else "y" for k in range(40)]
-    m = shape.ShapeLda.fit(shapes, labels)
-    assert np.mean([p == t for p, t in zip(m.predict(shapes), labels)]) == 1
-    p = m.lda.probabilities(m.project(shapes))
-    assert np.allclose(p.sum(1), 1)
+    x = shape.gpa(shapes)[0].reshape(len(shapes), -1)
+    m = shape.ShapeLda.fit(x, labels)
+    assert np.mean([p == t for p, t in zip(m.predict(x), labels)]) == 1
+    assert np.allclose(m.probabilities(x).sum(1), 1)
     with pytest.raises(ValueError):
         shape.Lda.fit(np.ones((4, 2)), ["a", "a", "b", "b"])
     scores = np.where(np.arange(50)[:, None] % 5 < 3, [[20.0, 0.0]], [[0.0, 20.0]])
