@@ -59,6 +59,9 @@ class Scratch:
         return self
 
     def __exit__(self, *_: object) -> None:
+        self.close()
+
+    def close(self) -> None:
         for b in self.shared:
             b.destroy()
         path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)

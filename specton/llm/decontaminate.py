@@ -12,9 +12,11 @@ shingle weighing 1 to 2 by how few items hold it (none counts as one).
 The items' shingles are broadcast while they are at most ``ANCHORS``; a larger benchmark is taken in parts by a hash of
 the shingle, with a pass over the documents for each. Joins without a key here have one side of one row.
 
-Defined results: null, empty or short texts (under five words) have no shingles and match nothing, on either side; items
-of the same words are one, under the smallest item_id; repeated rows of a document give its links once; of equally
-similar windows the first is given; an empty table gives no rows. Extra columns are not read.
+Defined results: null texts and those without words have no shingles and match nothing, on either side; a text of one to four
+words is a single shingle of all its words, so a short item is found in a document that says nothing else; items of the same
+words are one, under the smallest item_id; repeated rows of a document give its links once; of equally similar windows
+the first is given; links of rows with a null doc_id come under null; an empty table gives no rows. Extra columns are not
+read. ``clean`` goes by each row's text, whatever its doc_id: null and repeated ids keep and lose no other rows.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from specton.llm.common import staged
+from specton.llm.common import staged, unused
 
 THRESHOLD = 0.8
 RADIUS = 31
@@ -43,13 +45,13 @@ def _words(text: Column) -> Column:
 
 
 def _shingles(rows: DataFrame, text: str = "text") -> DataFrame:
-    """rows with their text replaced by sh, the hashes of its five-word runs in order; empty without any.
+    """rows with their text replaced by sh, the hashes of its five-word runs in order, or of all words if there are fewer.
 
     No filter may stand on _w or sh here: it would be pushed down to the scan and take each text apart again.
     """
     w = F.col("_w")
     own = F.transform(F.sequence(F.lit(0), F.size(w) - 5), lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(5)]))
-    return rows.withColumn("_w", _words(F.coalesce(F.col(text).cast("string"), F.lit("")))).withColumn("sh", F.when(F.size("_w") >= 5, own).otherwise(F.array().cast("array<long>"))).drop(text, "_w")
+    return rows.withColumn("_w", _words(F.coalesce(F.col(text).cast("string"), F.lit("")))).withColumn("sh", F.when(F.size("_w") >= 5, own).when(F.get("_w", F.lit(0)) != "", F.array(F.xxhash64(F.size("_w"), F.array_join("_w", " ")))).otherwise(F.array().cast("array<long>"))).drop(text, "_w")
 
 
 def _items(benchmark: DataFrame) -> DataFrame:
@@ -108,10 +110,14 @@ def _windows(docs: DataFrame, items: DataFrame, parts: int) -> DataFrame:
 
 def links(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, item_id, start_word, similarity: for each document and item in it, the best window."""
+    return _links(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), benchmark, threshold)
+
+
+def _links(docs: DataFrame, benchmark: DataFrame, threshold: float) -> DataFrame:
+    """The links of docs (doc_id of any type, text)."""
     items = staged(_items(benchmark))
     n = items.agg(F.coalesce(F.sum(F.size("sh")), F.lit(0)).alias("n")).first()["n"]
     weights = staged(_weights(items))
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     windows = staged(_windows(docs, items, max(1, -(-n // ANCHORS))).withColumn("wid", F.md5(F.array_join(F.col("sh").cast("array<string>"), ",").cast("binary"))))
     distinct = windows.groupBy("wid").agg(F.first("sh").alias("sh"))
     counted = staged(_counted(distinct, "wid", weights))
@@ -134,19 +140,22 @@ def links(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs that hold no item, with all their columns."""
-    return docs.join(links(docs, benchmark, threshold).select("doc_id").distinct(), "doc_id", "left_anti")
+    """The rows of docs whose text holds no item, with all their columns."""
+    key = unused(docs, "key")
+    rows = docs.withColumn(key, F.unhex(F.md5(F.col("text").cast("string").cast("binary"))))
+    found = _links(rows.select(F.col(key).alias("doc_id"), "text").where(F.col("text").isNotNull()), benchmark, threshold)
+    return rows.join(found.select(F.col("doc_id").alias(key)).distinct(), key, "left_anti").select(*docs.columns)
 
 
 SQL = f"""
 WITH w AS (
   SELECT doc_id, string_split(trim(regexp_replace(lower(text), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')), ' ') AS w FROM documents WHERE text IS NOT NULL
 ), dw AS (
-  SELECT doc_id, list_transform(range(0, len(w) - 4), lambda i: array_to_string(w[i + 1 : i + 5], ' ')) AS sh FROM w WHERE len(w) >= 5
+  SELECT doc_id, CASE WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(0, len(w) - 4), lambda i: array_to_string(w[i + 1 : i + 5], ' ')) END AS sh FROM w WHERE w[1] <> ''
 ), iw AS (
   SELECT item_id, string_split(trim(regexp_replace(lower(text), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')), ' ') AS w FROM benchmark WHERE text IS NOT NULL
 ), it AS (
-  SELECT min(item_id) AS item_id, sh FROM (SELECT item_id, list_transform(range(0, len(w) - 4), lambda i: array_to_string(w[i + 1 : i + 5], ' ')) AS sh FROM iw WHERE len(w) >= 5) GROUP BY sh
+  SELECT min(item_id) AS item_id, sh FROM (SELECT item_id, CASE WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(0, len(w) - 4), lambda i: array_to_string(w[i + 1 : i + 5], ' ')) END AS sh FROM iw WHERE w[1] <> '') GROUP BY sh
 ), isn AS (
   SELECT item_id, len(sh) AS n, unnest(sh) AS s, generate_subscripts(sh, 1) - 1 AS o FROM it
 ), n AS (SELECT count(*) AS n FROM it),
