@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from specton.llm import decontaminate, langid, neardup, packing, quality
-from specton.llm.common import staged, table
+from specton.llm.common import Scratch, table
 from specton.llm.registry import tokenizer_path
 
 
@@ -52,9 +52,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The last stage's rows. A stage's documents are deleted once those of the next one are written; the last ones stay."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
         if name != STAGES[-1][0]:
-            docs = staged(docs)
+            own = Scratch(spark)
+            docs = own.staged(docs)
+            if before is not None:
+                before.close()
+            before = own
     return docs
