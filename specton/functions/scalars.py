@@ -53,6 +53,21 @@ def multiplicative_hash(i: Column, factor: int, buckets: int) -> Column:
     return product % buckets
 
 
+def product32(a: Column, b: Column) -> Column:
+    """The low 32 bits of a product of two numbers of 32 bits, without leaving 64 bits."""
+    low, high = a.bitwiseAND(F.lit(0xFFFF)), F.shiftrightunsigned(a, 16)
+    upper = F.shiftleft((high * b.bitwiseAND(F.lit(0xFFFF))).bitwiseAND(F.lit(0xFFFF)), 16)
+    return (low * b + upper).bitwiseAND(F.lit(WORD))
+
+
+def mulberry32_at(seed: Column, n: Column) -> Column:
+    """The generator's n-th number (from 0) for a seed, as columns: any draw without those before it."""
+    own = (seed.cast("long") + (n.cast("long") + 1) * 0x6D2B79F5).bitwiseAND(F.lit(WORD))
+    t = product32(own.bitwiseXOR(F.shiftrightunsigned(own, 15)), own.bitwiseOR(F.lit(1)))
+    t = t.bitwiseXOR((t + product32(t.bitwiseXOR(F.shiftrightunsigned(t, 7)), t.bitwiseOR(F.lit(61)))).bitwiseAND(F.lit(WORD)))
+    return t.bitwiseXOR(F.shiftrightunsigned(t, 14)) / 4294967296.0
+
+
 def fnv1a(text: str) -> int:
     """32-bit FNV-1a over UTF-16 code units."""
     h = 2166136261

@@ -81,7 +81,7 @@ def freeze(rows: DataFrame, layout: model.Layout, name: str = "model", id: str |
     views = own.select("id", "group", "label", "vector")
     with_lda = layout.landmarks > 0
     held = model.fold_held(views, folds_)
-    evaluation = cut(model.method_summary(model.evaluate_held(views, held, model.METHODS if with_lda else ("distance", "knn"), layout).predictions))
+    evaluation = cut(model.method_summary(model.evaluate_held(views, held, model.METHODS if with_lda else ("distance", "knn", "walk"), layout).predictions))
     chosen = primary or ("lda" if with_lda else "distance")
     if not evaluation.where((F.col("method") == chosen) & (F.col("evaluated") > 0)).limit(1).count():
         raise ContractError(f"no fold can be evaluated by {chosen}: more groups of each label are needed")
@@ -148,7 +148,7 @@ def contract(frozen: Frozen) -> None:
     rank = F.size("lda.basis")
     rules = {
         "policy": F.col("policy") == POLICY, "protocol": F.col("protocol") == PROTOCOL, "metric": F.col("metric") == METRIC,
-        "primary": F.col("primary").isin("lda", "distance", "knn"), "primary_without_lda": (F.col("primary") != "lda") | F.col("lda").isNotNull(),
+        "primary": F.col("primary").isin(*model.METHODS), "primary_without_lda": (F.col("primary") != "lda") | F.col("lda").isNotNull(),
         "alpha": (c("alpha") >= 0) & (c("alpha") <= 1), "epsilon": (c("epsilon") > 0) & (c("epsilon") < 1), "power": _finite(c("power")) & (c("power") > 0), "balanced": c("balanced").isNotNull(),
         **{n: c(n) > 0 for n in ("k", "steps", "votes", "nearest")},
         "blocks": (F.size("blocks") > 0) & F.forall("blocks", lambda b: (b["dim"] > 0) & b["block"].isNotNull()),
@@ -246,7 +246,7 @@ def evaluate_external(frozen: Frozen, rows: DataFrame) -> Report:
     check_external(frozen, rows)
     own = runtime(frozen)
     rows = cut(distinct_views(_queries(frozen, rows).withColumn("group", F.col("group").cast("string"))))
-    methods = model.METHODS if own.spaces.discriminants else ("distance", "knn")
+    methods = model.METHODS if own.spaces.discriminants else ("distance", "knn", "walk")
     found = model.score(own.spaces, rows.withColumn("key", F.lit(model.ONLY)), methods, own.k)
     known = own.spaces.sizes.select(F.col("label").alias("truth"))
     of = rows.select(F.col("id").alias("query_id"), "group", F.col("label").alias("truth"))

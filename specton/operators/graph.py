@@ -7,9 +7,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from specton.functions.scalars import mulberry32_at
 from specton.operators.lineage import cut as cut_lineage
 
 STEPS, RESTART = 40, 0.2
+#: Edges of a chunk in which a sampled walk looks for its draw.
+CHUNK = 256
 
 
 def clean_edges(edges: DataFrame, allowed: DataFrame | None = None, least: float = 0.0) -> DataFrame:
@@ -146,6 +149,58 @@ def walk(base: DataFrame, own: DataFrame, starts: DataFrame, steps: int = STEPS,
     return mass
 
 
+def _ranges(transitions: DataFrame, key: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Out-edges as ranges of a draw, in order of dst, in two levels: of each source the ends of its chunks, and of each chunk the
+    ends of its edges. No row holds more than about the root of a source's edges, or CHUNK, whichever is more."""
+    w = Window.partitionBy(*key, "src").orderBy("dst")
+    high = F.sum("p").over(w)
+    at = transitions.withColumn("high", high).withColumn("_k", F.row_number().over(w) - 1).withColumn("_n", F.count("*").over(Window.partitionBy(*key, "src")))
+    size = F.greatest(F.lit(CHUNK), F.ceil(F.sqrt("_n")))
+    at = at.withColumn("chunk", F.floor(F.col("_k") / size).cast("int"))
+    edges = at.groupBy(*key, "src", "chunk").agg(F.array_sort(F.collect_list(F.struct("high", "dst"))).alias("edges"))
+    chunks = edges.select(*key, "src", "chunk", F.element_at("edges", -1)["high"].alias("high")).groupBy(*key, "src").agg(F.array_sort(F.collect_list(F.struct("high", "chunk"))).alias("chunks"))
+    return chunks, edges
+
+
+def sample_walks(transitions: DataFrame, walkers: DataFrame, steps: int = STEPS, restart: float = RESTART, key: list[str] | None = None) -> DataFrame:
+    """walker, step, node, restarted: paths of walkers (walker, start, seed, and the columns of key) over transitions (src, dst, p, and
+    the columns of key). At each step a walker draws whether it goes back to its start, and if not, along which edge; without an
+    edge it stays. Draws come from a generator of the walker's own seed and the number drawn so far, so paths are the same
+    under any partitioning. A step is two joins; walkers are rows, so any number of them walks at once."""
+    key = key or []
+    chunks, edges = (cut_lineage(x) for x in _ranges(transitions.select(*key, "src", "dst", "p"), key))
+    now = cut_lineage(walkers.select(*key, "walker", "start", F.col("seed").cast("long").alias("seed")).withColumn("node", F.col("start")).withColumn("drawn", F.lit(0).cast("long")))
+    out = now.select(*key, "walker", F.lit(0).alias("step"), "node", F.lit(False).alias("restarted"))
+    pick = lambda c, draw: F.coalesce(F.get(F.filter(c, lambda e: e["high"] > draw), 0), F.element_at(c, -1))
+    for step in range(1, steps + 1):
+        back = mulberry32_at(F.col("seed"), F.col("drawn")) < restart
+        at = now.withColumn("restarted", back).withColumn("draw", mulberry32_at(F.col("seed"), F.col("drawn") + 1))
+        at = at.join(chunks.withColumnRenamed("src", "node"), [*key, "node"], "left").withColumn("chunk", pick(F.col("chunks"), F.col("draw"))["chunk"]).drop("chunks")
+        at = at.join(edges.withColumnRenamed("src", "node"), [*key, "node", "chunk"], "left")
+        moved = F.coalesce(pick(F.col("edges"), F.col("draw"))["dst"], F.col("node"))
+        # Only an edge needs the second number, also where there is one way alone.
+        used = F.when(F.col("restarted"), 1).otherwise(2)
+        now = at.select(*key, "walker", "start", "seed", F.when(F.col("restarted"), F.col("start")).otherwise(moved).alias("node"), (F.col("drawn") + used).alias("drawn"), "restarted")
+        now = cut_lineage(now)
+        out = out.unionByName(now.select(*key, "walker", F.lit(step).alias("step"), "node", "restarted"))
+        now = now.drop("restarted")
+    return out
+
+
+def walk_options(transitions: DataFrame, starts: DataFrame, restart: float = RESTART) -> DataFrame:
+    """query, src, dst, p, rank: where a walk of each query goes from each node, with the way back to its start merged into an edge
+    that leads there anyway; the likeliest first, ties to the smaller node. transitions: query, src, dst, p; starts: query, node."""
+    start = starts.select("query", F.col("node").alias("dst"))
+    sources = transitions.select("query", "src").distinct()
+    nodes = sources.unionByName(transitions.select("query", F.col("dst").alias("src"))).unionByName(start.select("query", F.col("dst").alias("src"))).distinct()
+    # A node that nothing leads from stays where it is.
+    stuck = nodes.join(sources, ["query", "src"], "left_anti").select("query", "src", F.col("src").alias("dst"), F.lit(1.0).alias("p"))
+    edges = transitions.select("query", "src", "dst", "p").unionByName(stuck).withColumn("p", F.col("p") * (1 - restart))
+    back = nodes.join(start, "query").select("query", "src", "dst", F.lit(restart).alias("p"))
+    own = edges.unionByName(back).groupBy("query", "src", "dst").agg(F.sum("p").alias("p")).where("p > 0")
+    return own.withColumn("rank", F.row_number().over(Window.partitionBy("query", "src").orderBy(F.desc("p"), "dst")))
+
+
 def walk_summary(distributions: DataFrame, labels: DataFrame, start: int = -1) -> DataFrame:
     """query, step, start_mass, moved: the mass on the query and the total variation from the step before."""
     now = distributions.select("query", "step", "node", "p")

@@ -16,19 +16,21 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from specton.functions.shape import ShapeLda
 from specton.functions.vectors import doubles
-from specton.operators import conformal, discriminant, evaluate, folds, morphometrics, similarity
+from specton.operators import conformal, diffusion, discriminant, evaluate, folds, graph, morphometrics, similarity
 from specton.operators.lineage import cut
 from specton.operators.references import ContractError, assert_none, label_conflicts, prototypes, reused_sources
 from specton.operators.scatter import scatter
 
 #: Nearest groups that vote.
 VOTES = 5
-METHODS = ("distance", "knn", "lda")
+METHODS = ("distance", "knn", "walk", "lda")
+#: Neighbours of a node of the similarity graph.
+NEAREST = 7
 #: Smallest deviation that counts as variation.
 VARIES = 1e-9
 
@@ -171,8 +173,12 @@ def score(spaces: Spaces, rows: DataFrame, methods: tuple[str, ...] = METHODS, k
     parts = []
     if "distance" in methods:
         parts.append(tag("distance", similarity.votes(near, spaces.sizes, k, similarity.distance_weight(), by)))
+    cosine = None
+    if {"knn", "walk"} & set(methods):
+        cosine = cut(similarity.group_similarities(z, spaces.references, max(k, NEAREST), "cosine", "key"))
+    if "walk" in methods:
+        parts.append(tag("walk", walk_scores(spaces, z, cosine)))
     if "knn" in methods:
-        cosine = similarity.group_similarities(z, spaces.references, k, "cosine", "key")
         parts.append(tag("knn", similarity.votes(cosine, spaces.sizes, k, similarity.cosine_weight(), by)))
     if "lda" in methods and spaces.discriminants:
         n = spaces.layout.landmarks if spaces.layout else 0
@@ -187,6 +193,35 @@ def score(spaces: Spaces, rows: DataFrame, methods: tuple[str, ...] = METHODS, k
     return Scores(out, near)
 
 
+def _nearest(near: DataFrame, k: int) -> DataFrame:
+    """near with rank, of each query the k most similar groups of all labels, ties to the smaller group."""
+    w = Window.partitionBy("key", "query_id").orderBy(F.desc("similarity"), "group")
+    return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def walk_scores(spaces: Spaces, z: DataFrame, cosine: DataFrame, k: int = NEAREST) -> DataFrame:
+    """key, query_id, label, score: each label's mass over its size after a walk with restart from every query, which is a node of its own in
+    the similarity graph of its key's prototypes. z: key, id, vector; cosine: the k most similar groups of each label and query."""
+    # A group is a node of its own under each key.
+    node = lambda c: F.xxhash64("key", c).bitwiseAND(F.lit((1 << 62) - 1))
+    refs = spaces.references
+    base = cut(_nearest(similarity.group_similarities(refs, refs, k, "cosine", "key"), k).join(refs.select("key", F.col("id").alias("query_id"), F.col("group").alias("of")), ["key", "query_id"]))
+    edges = base.select("key", node("of").alias("query_id"), node("group").alias("ref_id"), "similarity", "rank")
+    bars = base.groupBy("key", F.col("query_id").alias("id")).agg(F.when(F.count("*") >= k, F.min("similarity")).alias("bar"))
+    closer = similarity.pairs_above(z, refs.join(bars, ["key", "id"], "left"), "cosine", "key")
+    names = refs.select("key", F.col("id").alias("ref_id"), "group")
+    own = _nearest(cosine, k).select("key", "query_id", "group", "similarity")
+    asked = closer.join(names, ["key", "ref_id"]).select("key", "query_id", "group", "similarity").unionByName(own).groupBy("key", "query_id", "group").agg(F.max("similarity").alias("similarity"))
+    # A row is asked under one key, so its id names the walk.
+    rows = graph.with_queries(edges, cut(asked.select(F.col("query_id").alias("query"), node("group").alias("ref_id"), "similarity")), k)
+    starts = own.select(F.col("query_id").alias("id")).distinct().select("id", F.lit(-1).cast("long").alias("node"), F.lit(1.0).alias("value"))
+    state, places = diffusion.diffuse(graph.neighbour_transitions(edges, k), starts, graph.STEPS, graph.RESTART, rows.select(F.col("query").alias("id"), "src", "dst", "p"))
+    mass = diffusion.read(state, places, refs.select(node("group").alias("node"), "label"), "label")
+    keys = z.select("key", F.col("id").alias("query_id"))
+    by = mass.withColumnRenamed("id", "query_id").join(keys, "query_id").join(spaces.sizes, ["key", "label"]).withColumn("s", F.col("value") / F.col("size"))
+    return by.withColumn("score", F.col("s") / F.sum("s").over(Window.partitionBy("key", "query_id"))).where("score > 0").select("key", "query_id", "label", "score")
+
+
 def best(scores: DataFrame) -> DataFrame:
     """method, key, query_id, predicted, score: the highest score, ties to the smallest label."""
     top = F.min(F.struct((-F.col("score")).alias("s"), F.col("label").alias("l")))

@@ -1,4 +1,4 @@
-"""Projections of feature vectors: sparse winner-take-all tags, dense random ones, and a graph reservoir."""
+"""Projections of feature vectors: sparse winner-take-all tags, and dense random ones."""
 
 from __future__ import annotations
 
@@ -9,26 +9,38 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Cells, inputs of a cell, share of active cells; steps, restart and bins of the reservoir; hash factors.
+from specton.functions.scalars import mulberry32
+
+#: Cells, inputs of a cell, share of active cells.
 CELLS, FAN_IN, ACTIVE = 2048, 6, 0.05
-STEPS, RESTART, SKETCH = 5, 0.18, 512
-INJECT, GATHER = 2654435761, 2246822519
 
 
 def sparse_projection(dims: int, cells: int = CELLS, fan_in: int = FAN_IN, seed: int = 1337) -> np.ndarray:
-    """A row of fan_in different inputs for each cell."""
+    """A row of fan_in different inputs for each cell. One stream draws them all, and the pool of inputs stays as the cell before
+    has left it, so a seed means the same inputs everywhere."""
     if fan_in >= dims:
         raise ValueError("a cell needs fewer inputs than there are dimensions")
-    r = np.random.default_rng(seed)
-    return np.stack([r.permutation(dims)[:fan_in] for _ in range(cells)])
+    draws, pool = mulberry32(seed), list(range(dims))
+    out = np.empty((cells, fan_in), np.int64)
+    for c in range(cells):
+        for j in range(fan_in):
+            r = j + int(next(draws) * (dims - j))
+            pool[j], pool[r] = pool[r], pool[j]
+        out[c] = pool[:fan_in]
+    return out
 
 
 def dense_projection(dims: int, cells: int = CELLS, seed: int = 1337) -> np.ndarray:
-    return np.random.default_rng([seed, 0x9E3779B9]).normal(size=(cells, dims)).astype(np.float32)
+    """Normal weights in single precision, two from each pair of numbers of the stream."""
+    draws = mulberry32(seed ^ 0x9E3779B9)
+    u, v = np.array([next(draws) for _ in range(2 * (-(-cells * dims // 2)))]).reshape(-1, 2).T
+    r = np.sqrt(-2 * np.log(np.maximum(1e-12, u)))
+    return np.stack([r * np.cos(2 * np.pi * v), r * np.sin(2 * np.pi * v)], 1).ravel()[: cells * dims].reshape(cells, dims).astype(np.float32)
 
 
 def winners(activity: np.ndarray, share: float = ACTIVE) -> np.ndarray:
-    """Rows of 0 and 1 with the highest round(cells * share), ties to the smaller cell; all zero for a zero row."""
+    """Rows of 0 and 1 with the highest round(cells * share) in single precision, ties to the smaller cell; all zero for a zero row."""
+    activity = activity.astype(np.float32)
     n, k = activity.shape[1], max(1, int(np.floor(activity.shape[1] * share + 0.5)))
     out = np.zeros(activity.shape, np.float32)
     order = np.argsort(-activity, axis=1, kind="stable")[:, :min(k, n)]
@@ -51,40 +63,12 @@ def tags(rows: DataFrame, projection: np.ndarray, vector: str = "vector", share:
     return rows.withColumn("tag", tag(F.col(vector).cast("array<double>")))
 
 
-class Reservoir:
-    """Out-edges of a graph with weights that sum to one a node."""
-
-    def __init__(self, nodes: int, edges: list[tuple[int, int, float]]) -> None:
-        own = [(s, t, w) for s, t, w in edges if 0 <= s < nodes and 0 <= t < nodes and np.isfinite(w) and w > 0]
-        self.n = nodes
-        self.src, self.dst = (np.array([e[k] for e in own], np.int64) for k in (0, 1))
-        w = np.array([e[2] for e in own], float)
-        total = np.bincount(self.src, w, nodes)
-        self.w = w / np.where(total > 0, total, 1)[self.src] if len(own) else w
-        self.stuck = total == 0
-
-    def embed(self, x: np.ndarray) -> np.ndarray:
-        """Positive parts enter at one hashed node, negative at another; after the steps nodes are hashed to bins; unit length."""
-        i = np.arange(len(x), dtype=np.uint64)
-        mass = np.zeros(self.n)
-        for part, offset in ((np.maximum(x, 0), 1), (np.maximum(-x, 0), 2)):
-            at = ((2 * i + np.uint64(offset)) * np.uint64(INJECT) & np.uint64(0xFFFFFFFF)) % np.uint64(self.n)
-            np.add.at(mass, at.astype(np.int64), part)
-        start = mass.copy()
-        for _ in range(STEPS):
-            mass = RESTART * start + (1 - RESTART) * (np.bincount(self.dst, self.w * mass[self.src], self.n) + np.where(self.stuck, mass, 0))
-        bins = ((np.arange(self.n, dtype=np.uint64) + np.uint64(11)) * np.uint64(GATHER) & np.uint64(0xFFFFFFFF)) % np.uint64(SKETCH)
-        out = np.bincount(bins.astype(np.int64), mass, SKETCH)
-        return out / (np.sqrt((out * out).sum()) or 1)
-
-
 def embedder(mode: str, dims: int, **options):
-    """A function of a vector for a mode: none, fly, dense or graph."""
+    """A function of a vector for a mode: none, fly or dense. A graph serves whole tables: ``diffusion.reservoir``."""
     modes = {
         "none": lambda: lambda x: x / (np.sqrt((x * x).sum()) or 1),
         "fly": lambda: (lambda p: lambda x: winners(x[p].sum(1)[None])[0])(sparse_projection(dims, **options)),
         "dense": lambda: (lambda p: lambda x: winners((p @ x)[None])[0])(dense_projection(dims, **options)),
-        "graph": lambda: Reservoir(**options).embed,
     }
     if mode not in modes:
         raise ValueError(f"no such mode: {mode}")

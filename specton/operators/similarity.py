@@ -120,6 +120,32 @@ def group_similarities(queries: DataFrame, references: DataFrame, m: int, metric
     return out.withColumnRenamed("key", key) if key else out.drop("key")
 
 
+def pairs_above(queries: DataFrame, references: DataFrame, metric: str = "cosine", key: str | None = None) -> DataFrame:
+    """query_id, ref_id, similarity (single precision) of pairs more similar than the reference's ``bar`` (null: every pair). Queries have
+    id and vector, references bar too; with a key only rows of one key meet, and the key comes first in the result."""
+    of = F.col(key).cast("string") if key else F.lit(None).cast("string")
+    most = lambda d: d.groupBy(of.alias("k")).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    blocks, batches = max(1, -(-most(references) // BLOCK)), max(1, -(-most(queries) // ASKED))
+    deal = lambda count: F.pmod(F.xxhash64("id"), F.lit(count)).cast("int")
+    every = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
+    side = lambda d, *more: d.select(of.alias("key"), F.col("id").cast("long").alias("id"), doubles("vector").alias("vector"), *more)
+    refs = side(references, F.col("bar").cast("float").alias("bar")).withColumn("b", deal(blocks)).withColumn("q", every(batches))
+    asks = side(queries).withColumn("q", deal(batches)).withColumn("b", every(blocks))
+
+    def above(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        found = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32)]
+        k = left["key"].iloc[0] if len(left) else None
+        if len(left) and len(right):
+            s = _similarities(np.stack(left["vector"]), np.stack(right["vector"]), metric)
+            bar = right["bar"].to_numpy(np.float32)
+            rows, at = np.nonzero(np.isnan(bar)[None, :] | (s > bar[None, :]))
+            found = [left["id"].to_numpy()[rows], right["id"].to_numpy()[at], s[rows, at]]
+        return pd.DataFrame({"key": [k] * len(found[0]), "query_id": found[0], "ref_id": found[1], "similarity": found[2]}).astype({"key": object})
+
+    out = asks.groupBy("key", "b", "q").cogroup(refs.groupBy("key", "b", "q")).applyInPandas(above, "key string, query_id long, ref_id long, similarity float")
+    return out.withColumnRenamed("key", key) if key else out.drop("key")
+
+
 def label_scores(votes: DataFrame, labels: DataFrame, weight: Column, balanced: bool = True) -> DataFrame:
     """query_id, label, score. votes: query_id, ref_id and what weight reads; labels: ref_id, label of all available
     references. A label's sum is divided by its number of references if balanced, and scores are scaled to 1 a query;

@@ -68,7 +68,7 @@ def test_written_and_read_it_scores_alike(spark, landmarks, tmp_path):
     assert all(abs(t - 1) < 1e-9 for t in total.values())
     row = again.row
     assert row.primary == "lda" and row.primary_policy == "landmarks-first-distance-fallback" and row.n_rows == 56
-    assert {r.method for r in again.evaluation.collect()} == {"distance", "knn", "lda"}
+    assert {r.method for r in again.evaluation.collect()} == {"distance", "knn", "walk", "lda"}
     assert again.readiness.where("status = 'ready'").count() == 2
     with pytest.raises(Exception, match="already exists|PATH_ALREADY_EXISTS"):
         frozen.save(landmarks, path)
@@ -195,7 +195,7 @@ def test_external_evaluation(spark, angular):
 
 def test_external_probabilities_are_told_by_group(spark, landmarks):
     got = frozen.evaluate_external(landmarks, spark.createDataFrame(wings(5, 8, 5000), ROWS))
-    assert {r.method for r in got.methods.collect()} == {"distance", "knn", "lda"}
+    assert {r.method for r in got.methods.collect()} == {"distance", "knn", "walk", "lda"}
     assert got.reliability.agg(F.sum("n")).first()[0] == 10
     stats = got.calibration.first()
     assert 0 <= stats.brier <= 2 and abs(stats.top_probability - stats.hit) < 0.5

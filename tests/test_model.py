@@ -168,6 +168,31 @@ def test_folds_and_roles(spark):
         folds.with_calibration(df, ["label"], 0)
 
 
+def walked(z, names, y, q):
+    """The label of the walk from q in the 7-nearest graph of z with q as a node."""
+    n = len(z)
+    unit = lambda v: v / np.sqrt((v * v).sum(-1, keepdims=True))
+    s, to = (unit(z) @ unit(z).T).astype(np.float32), (unit(z) @ unit(q)).astype(np.float32)
+    p = np.zeros((n + 1, n + 1))
+    weight = lambda x: max(0.0, float(x)) ** 3 + 1e-12
+    for i in range(n):
+        near = sorted((j for j in range(n) if j != i), key=lambda j: (-s[i, j], names[j]))[:7]
+        row = {j: s[i, j] for j in near}
+        if to[i] > s[i, near[-1]]:
+            del row[near[-1]]
+            row[n] = to[i]
+        for j, x in row.items():
+            p[i, j] = weight(x)
+    for j in sorted(range(n), key=lambda j: (-to[j], names[j]))[:7]:
+        p[n, j] = weight(to[j])
+    p /= p.sum(1, keepdims=True)
+    at = np.eye(n + 1)[n]
+    for _ in range(40):
+        at = 0.2 * np.eye(n + 1)[n] + 0.8 * at @ p
+    score = {x: sum(at[j] for j in range(n) if y[j] == x) / y.count(x) for x in sorted(set(y))}
+    return max(score, key=score.get)
+
+
 def test_all_methods_by_the_same_folds(spark):
     """Every fold's predictions equal those of a pipeline that sees the other folds alone."""
     rows = made(15, dims=5, views=2, seed=3)
@@ -175,7 +200,7 @@ def test_all_methods_by_the_same_folds(spark):
     held = model.fold_held(df, 3)
     got = model.evaluate_held(df, held)
     found = {(r.method, r.query_id): r.predicted for r in got.predictions.collect()}
-    assert len(found) == 3 * len(rows)
+    assert len(found) == 4 * len(rows)
     role = {(r.key, r.group): r.role for r in folds.roles(df.select("group", "label").distinct(), held).collect()}
     for key in "012":
         proto = {}
@@ -196,6 +221,7 @@ def test_all_methods_by_the_same_folds(spark):
                     for j in top:
                         votes[y[j]] = votes.get(y[j], 0) + (1 / (1 - s[j]) if method == "distance" else max(1e-6, s[j])) / y.count(y[j])
                     assert found[method, i] == max(sorted(votes), key=votes.get), (method, i)
+                assert found["walk", i] == walked(z, names, y, q), i
     s = {(r.method, r.unit): r for r in model.method_summary(got.predictions).collect()}
     assert {m for m, _ in s} == set(model.METHODS)
     assert all(r.evaluated == (90 if unit == "view" else 45) for (_, unit), r in s.items())

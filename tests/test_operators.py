@@ -199,9 +199,6 @@ def test_projections(spark):
     rows = frame(spark, [(1, [float(k) for k in range(20)]), (2, [0.0] * 20)], "id long, vector array<double>")
     got = {r.id: list(r.tag) for r in projection.tags(rows, p).collect()}
     assert len(got[1]) == 5 and got[2] == []
-    g = projection.embedder("graph", 4, nodes=4, edges=[(0, 1, 1.0), (1, 2, 2.0), (2, 3, 1.0), (3, 0, 1.0)])
-    v = g(np.array([1.0, -2, 3, 0]))
-    assert abs((v * v).sum() - 1) < 1e-9 and (v == g(np.array([1.0, -2, 3, 0]))).all()
 
 
 def test_bootstrap(spark):
