@@ -115,3 +115,11 @@ def parse_typed(text: str):
         return x
 
     return json.loads(text, object_hook=back)
+
+
+def table_stream(spark: SparkSession, path: str) -> DataFrame:
+    """A stream of a Parquet table's files, be it a folder of them or one file."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder = where.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(where).isDirectory()
+    stream = spark.readStream.schema(spark.read.parquet(path).schema)
+    return stream.parquet(path) if folder else stream.option("pathGlobFilter", where.getName()).parquet(where.getParent().toString())
