@@ -3,12 +3,14 @@
 Words are counted over all documents. The most frequent ones are the vocabulary, the rest one unknown word; words are
 split into classes of about equal mass. The network sees WINDOW words on both sides of each position, not the word
 itself, and predicts the word: a softmax over classes, and one over the words of the class, both from the hidden state.
-Every document trains it, in one of ROUNDS rounds by a hash: each partition trains its own replica in numpy, and the
-replicas' mean, weighted by words, is the start of the next round. A document's score is the sum over its words of
-log P(word | both sides), and that sum by word.
+Every document trains it, in one of ROUNDS rounds by a hash: documents are dealt to replicas by a hash too, each replica is trained
+in numpy on its documents in order of another hash, and the replicas' mean, weighted by words, is the start of the next
+round. A document's score is the sum over its words of log P(word | both sides), and that sum by word.
 
-Counts and training read all documents; the vocabulary, its classes and the network have a fixed size. Words beyond the
-VOCABULARY most frequent ones share one id as context, and as targets the probability of the unknown word in equal parts.
+Counts and training read all documents; the vocabulary, its classes and the network have a fixed size. There is a replica for
+every ``SHARE`` words, up to ``REPLICAS``: their number, documents and order depend on the corpus alone, so scores don't
+depend on how the table is partitioned. Words beyond the VOCABULARY most frequent ones share one id as context, and as
+targets the probability of the unknown word in equal parts.
 
 Defined results: a null text, or one without words, has no words and score 0; repeated rows are counted and scored each;
 an empty table gives no rows. Columns of the caller are kept, added ones of the same name replace them.
@@ -33,6 +35,8 @@ HIDDEN = 24
 ROUNDS = 2
 BATCH = 4096
 CHUNK = 300
+#: Words of a replica, and replicas at most: beyond, each has more words, and their weights stay under 20 GB a round.
+SHARE, REPLICAS = 1 << 22, 4096
 
 
 @dataclass
@@ -43,6 +47,8 @@ class Vocabulary:
     ids: np.ndarray
     classes: np.ndarray
     within: np.ndarray
+    #: Words of the corpus.
+    total: int = 0
 
     def __post_init__(self) -> None:
         #: Ids are in order of class: where each class begins.
@@ -88,7 +94,7 @@ def vocabulary(docs: DataFrame, size: int = VOCABULARY) -> Vocabulary:
     within[0] = -np.log(kinds)
     h = top["h"].to_numpy(np.int64).astype(np.uint64)
     order = np.argsort(h)
-    return Vocabulary(h[order], (2 + order).astype(np.int32), classes, within.astype(np.float32))
+    return Vocabulary(h[order], (2 + order).astype(np.int32), classes, within.astype(np.float32), int(total["n"]))
 
 
 def _contexts(ids: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -197,7 +203,7 @@ class Network:
 
 
 def fit(docs: DataFrame, vocab: Vocabulary, rounds: int = ROUNDS) -> Network:
-    """Rounds of training on every partition's share of the round and averaging, until every document has taken part.
+    """Rounds of training of every replica on its share of the round and averaging, until every document has taken part.
     Blocks of the weights are averaged apart from each other."""
     with Scratch(docs.sparkSession) as scratch:
         return _rounds(docs.where(F.col("text").isNotNull()), vocab, rounds, scratch)
@@ -205,41 +211,54 @@ def fit(docs: DataFrame, vocab: Vocabulary, rounds: int = ROUNDS) -> Network:
 
 def _rounds(docs: DataFrame, vocab: Vocabulary, rounds: int, scratch: Scratch) -> Network:
     words, net, piece = scratch.broadcast(vocab), Network(), 1 << 14
+    replicas = max(1, min(REPLICAS, -(-vocab.total // SHARE)))
     for number in range(rounds):
         start = scratch.broadcast(net.flat)
-        part = docs.where(F.pmod(F.xxhash64("doc_id", "text", F.lit(23)), F.lit(rounds)) == number).select("text")
+        dealt = docs.where(F.pmod(F.xxhash64("doc_id", "text", F.lit(23)), F.lit(rounds)) == number).select("text", F.xxhash64("doc_id", "text", F.lit(29)).alias("h"))
+        # Rows of one hash are the same document, so their order is no matter.
+        part = small_batches(dealt.withColumn("part", F.pmod(F.xxhash64("h", F.lit(31)), F.lit(replicas)).cast("int")).repartitionById(replicas, "part").sortWithinPartitions("part", "h"))
 
         def train(batches: Iterator[pd.DataFrame], start=start, number=number) -> Iterator[pd.DataFrame]:
-            own, v, hashed, n = Network(start.value.copy()), words.value, Words(), 0
+            own, v, hashed, n, now = Network(start.value.copy()), words.value, Words(), 0, None
+
+            def made() -> Iterator[pd.DataFrame]:
+                if n:
+                    flat = own.flat.astype(np.float32)
+                    cut = [flat[i : i + piece] for i in range(0, len(flat), piece)]
+                    yield pd.DataFrame({"block": range(len(cut)), "n": n, "w": [c.tobytes() for c in cut], "part": np.int32(now)})
+
             for pdf in batches:
-                for k in range(0, len(pdf), CHUNK):
-                    h, bounds = hashed(pdf["text"].iloc[k : k + CHUNK].tolist())
-                    ids = v.of(h)
-                    context = _contexts(ids, bounds)
-                    mixed = np.random.default_rng(number).permutation(len(ids))
-                    for b in range(0, len(ids), BATCH):
-                        at = mixed[b : b + BATCH]
-                        own.train(context[at], ids[at], v)
-                    n += len(ids)
-            if n:
-                flat = own.flat.astype(np.float32)
-                cut = [flat[i : i + piece] for i in range(0, len(flat), piece)]
-                yield pd.DataFrame({"block": range(len(cut)), "n": n, "w": [c.tobytes() for c in cut]})
+                for which, rows in pdf.groupby("part", sort=True):
+                    if now is not None and which != now:
+                        yield from made()
+                        own, n = Network(start.value.copy()), 0
+                    now = which
+                    texts = rows["text"].tolist()
+                    for k in range(0, len(texts), CHUNK):
+                        h, bounds = hashed(texts[k : k + CHUNK])
+                        ids = v.of(h)
+                        context = _contexts(ids, bounds)
+                        mixed = np.random.default_rng(number).permutation(len(ids))
+                        for b in range(0, len(ids), BATCH):
+                            at = mixed[b : b + BATCH]
+                            own.train(context[at], ids[at], v)
+                        n += len(ids)
+            yield from made()
 
         def mean(pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.sort_values("part")
             w = pdf["n"].to_numpy(float)
             total = sum(x * np.frombuffer(b, np.float32).astype(float) for x, b in zip(w, pdf["w"], strict=True))
             return pd.DataFrame({"block": [pdf["block"].iloc[0]], "n": [int(w.sum())], "w": [(total / w.sum()).astype(np.float32).tobytes()]})
 
         schema = "block long, n long, w binary"
-        # Means of means: no group holds more than some 16 replicas' blocks, however many partitions there are.
-        made = scratch.staged(part.mapInPandas(train, schema).withColumn("part", F.spark_partition_id()))
-        parts = (made.agg(F.max("part")).first()[0] or 0) + 1
+        # Means of means: no group holds more than some 16 replicas' blocks, however many there are.
+        made, parts = scratch.staged(part.mapInPandas(train, f"{schema}, part int")), replicas
         while parts > 16:
             groups = -(-parts // 16)
-            made = scratch.staged(made.withColumn("part", F.pmod("part", F.lit(groups))).groupBy("block", "part").applyInPandas(lambda key, pdf: mean(pdf).assign(part=int(key[1])), f"{schema}, part int"))
+            made = scratch.staged(made.withColumn("to", F.pmod("part", F.lit(groups))).groupBy("block", "to").applyInPandas(lambda key, pdf: mean(pdf).assign(part=int(key[1])), f"{schema}, part int"))
             parts = groups
-        got = made.groupBy("block").applyInPandas(lambda pdf: mean(pdf[["block", "n", "w"]]), schema).toArrow().sort_by("block")
+        got = made.groupBy("block").applyInPandas(mean, schema).toArrow().sort_by("block")
         if len(got):
             net = Network(np.frombuffer(b"".join(got["w"].to_pylist()), np.float32).copy())
     return net
