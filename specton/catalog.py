@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from specton.plans import analysis, models, streams, tables, vectors
+from specton.plans import analysis, images, models, streams, tables, vectors
 
-MODULES = [vectors, tables, analysis, models, streams]
+MODULES = [vectors, tables, analysis, models, streams, images]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

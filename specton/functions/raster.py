@@ -48,28 +48,32 @@ def close(mask: np.ndarray, radius: int) -> np.ndarray:
 
 
 def components(mask: np.ndarray) -> tuple[np.ndarray, int]:
-    """4-connected labels from 1 in order of first pixel (0 outside), and their number."""
+    """4-connected labels from 1 in order of first pixel (0 outside), and their number. Rows are taken as runs, and runs of neighbouring
+    rows that overlap are joined, so time goes with the runs and not with the pixels."""
     h, w = mask.shape
-    label = np.where(mask, np.arange(1, h * w + 1).reshape(h, w), 0)
-    while True:  # smallest index spreads along rows and columns, whole runs at a time
-        before = label.copy()
-        for axis in (0, 1):
-            x = label if axis else label.T
-            for flip in (False, True):
-                y = x[:, ::-1] if flip else x
-                run = np.cumsum(y == 0, 1) + np.arange(len(y))[:, None] * (y.shape[1] + 1)
-                big = np.where(y == 0, h * w + 1, y)
-                order = np.argsort(run, axis=None, kind="stable")
-                starts = np.flatnonzero(np.diff(run.ravel()[order], prepend=-1))
-                low = np.minimum.reduceat(big.ravel()[order], starts)
-                filled = np.repeat(low, np.diff(np.append(starts, run.size)))
-                back = np.empty(run.size, filled.dtype)
-                back[order] = filled
-                y[...] = np.where(y == 0, 0, back.reshape(run.shape))
-        if (before == label).all():
+    edge = np.diff(np.pad(mask, ((0, 0), (1, 1))).astype(np.int8), axis=1)
+    row, start = np.nonzero(edge == 1)
+    end = np.nonzero(edge == -1)[1]
+    place = row * (w + 1)
+    first = np.searchsorted(place + end, place + w + 1 + start, side="right")
+    size = np.maximum(np.searchsorted(place + start, place + w + 1 + end, side="left") - first, 0)
+    a = np.repeat(np.arange(len(row)), size)
+    b = np.repeat(first - np.cumsum(size) + size, size) + np.arange(len(a))
+    root = np.arange(len(row))
+    while True:
+        low = np.minimum(root[a], root[b])
+        now = root.copy()
+        np.minimum.at(now, root[a], low)
+        np.minimum.at(now, root[b], low)
+        while (now[now] != now).any():
+            now = now[now]
+        if (now == root).all():
             break
-    ids, inverse = np.unique(label, return_inverse=True)
-    return (inverse.reshape(h, w) + (0 if ids[0] == 0 else 1)), int((ids > 0).sum())
+        root = now
+    ids, own = np.unique(root, return_inverse=True)
+    out = np.zeros((h, w), np.int64)
+    out[mask] = np.repeat(own + 1, end - start)
+    return out, len(ids)
 
 
 def fill_holes(mask: np.ndarray) -> np.ndarray:
@@ -79,27 +83,68 @@ def fill_holes(mask: np.ndarray) -> np.ndarray:
     return mask | ~np.isin(label, outside)
 
 
-def segment(image: np.ndarray, background: np.ndarray | None = None, noise: float = 0.0) -> np.ndarray:
-    """The largest plausible object: colour distance from the border's dominant colour (or a background image) over a
-    threshold, closed and filled; objects along the whole border are no candidates."""
-    if background is None:
-        border = np.concatenate([image[0], image[-1], image[:, 0], image[:, -1]])
-        bins = (border // 16).astype(int) @ np.array([256, 16, 1])
-        own = border[bins == np.bincount(bins).argmax()]
-        reference = own.mean(0)
-        spread = np.sqrt(((own - reference) ** 2).sum(1))
-        limit = max(9.0, 3 * float(np.sort(spread)[len(spread) // 2]) + 5)
-    else:
-        reference, limit = background, max(5.0, 3 * noise + 3)
-    mask = fill_holes(close(np.sqrt(((image - reference) ** 2).sum(-1)) > limit, max(1, round(max(image.shape[:2]) / 160))))
+def border_band(h: int, w: int) -> np.ndarray:
+    """Three pixels along the border, a little inside it: publication frames are one pixel wide."""
+    y, x = np.arange(h)[:, None], np.arange(w)[None, :]
+    edge = np.minimum(np.minimum(x, y), np.minimum(w - 1 - x, h - 1 - y))
+    inset = max(2, int(np.floor(min(h, w) * 0.025 + 0.5)))
+    return (edge >= inset) & (edge < inset + 3)
+
+
+def _middle(x: np.ndarray) -> float:
+    return float(np.sort(x)[len(x) // 2])
+
+
+@dataclass
+class Segmentation:
+    mask: np.ndarray
+    plausible: bool
+    threshold: float
+    noise: float
+    background: np.ndarray
+
+
+def segmented(image: np.ndarray, background: np.ndarray | None = None, alpha: np.ndarray | None = None) -> Segmentation:
+    """The largest plausible object of an image: colour distance, over a threshold, to the border band's dominant colour, or pixel by
+    pixel to the empty background; closed and filled. Objects of under half a hundredth or over four fifths of the image, or that
+    aren't elongated, are only taken if there is no other."""
+    h, w = image.shape[:2]
+    if background is not None and background.shape[:2] != (h, w):
+        raise ValueError("the background has another size")
+    opaque = np.ones((h, w), bool) if alpha is None else alpha > 127
+    band = border_band(h, w) & opaque
+    band = band if band.any() else np.ones((h, w), bool)
+    levels = (np.clip(image[..., :3], 0, 255).astype(int) >> 4) @ np.array([256, 16, 1])
+    own = band & (levels == np.bincount(levels[band]).argmax())
+    dominant = np.array([_middle(image[..., c][own]) for c in range(3)])
+    distance = np.sqrt(((image[..., :3] - (dominant if background is None else background[..., :3])) ** 2).sum(-1) / 3)
+    noise = _middle(distance[own if background is None else band])
+    threshold = max(9.0, 3 * noise + 5) if background is None else max(5.0, 3 * noise + 3)
+    radius = max(1, int(np.floor(max(h, w) / 250 + 0.5)))
+    # Padded, so that an object at the edge stays there.
+    closed = close(np.pad((distance > threshold) & opaque, 2 * radius), radius)[2 * radius : -2 * radius, 2 * radius : -2 * radius]
+    mask = fill_holes(closed)
     label, n = components(mask)
     if not n:
-        return mask
+        return Segmentation(mask, False, threshold, noise, dominant)
     sizes = np.bincount(label.ravel(), minlength=n + 1)
-    for k in np.argsort(-sizes[1:], kind="stable") + 1:
-        if sizes[k] < 0.9 * mask.size:
-            return label == k
-    return label == 1
+    order = np.argsort(-sizes[1:], kind="stable") + 1
+    for k in order:
+        if 0.005 * mask.size <= sizes[k] <= 0.8 * mask.size and 2 <= _elongation(label == k) <= 100:
+            return Segmentation(label == k, True, threshold, noise, dominant)
+    return Segmentation(label == order[0], False, threshold, noise, dominant)
+
+
+def _elongation(mask: np.ndarray) -> float:
+    """The ratio of the long and short second moments."""
+    ys, xs = (v - v.mean() for v in np.nonzero(mask))
+    xx, xy, yy = (xs * xs).sum(), (xs * ys).sum(), (ys * ys).sum()
+    delta = np.hypot(xx - yy, 2 * xy)
+    return float((xx + yy + delta) / max(1.0, xx + yy - delta))
+
+
+def segment(image: np.ndarray, background: np.ndarray | None = None) -> np.ndarray:
+    return segmented(image, background).mask
 
 
 @dataclass
@@ -127,6 +172,14 @@ def quality(mask: np.ndarray) -> Quality:
     return Quality(area, box, [r for r, bad in checks if bad])
 
 
+def length_along(mask: np.ndarray) -> float:
+    """The object's extent along its long axis, a pixel being one wide."""
+    ys, xs = (v - v.mean() for v in np.nonzero(mask))
+    angle = 0.5 * np.arctan2(2 * (xs * ys).sum(), (xs * xs).sum() - (ys * ys).sum())
+    along = xs * np.cos(angle) + ys * np.sin(angle)
+    return float(np.ptp(along)) + 1.0 if len(along) else 0.0
+
+
 def orientation(mask: np.ndarray) -> dict[str, float]:
     """Centre, angle of the long axis (base, the narrower end, to the left), elongation and confidence."""
     ys, xs = np.nonzero(mask)
@@ -218,36 +271,61 @@ def sharpness(image: np.ndarray) -> float:
     return float((4 * y[1:-1, 1:-1] - y[:-2, 1:-1] - y[2:, 1:-1] - y[1:-1, :-2] - y[1:-1, 2:]).var()) if min(y.shape) > 2 else 0.0
 
 
-def illumination_field(frame: np.ndarray, cells: int = 16) -> np.ndarray:
-    """Gain of each cell and channel toward the common brightest level; an error if the frame is too dark."""
-    h, w = frame.shape[:2]
-    ys, xs = (np.linspace(0, n, cells + 1).astype(int) for n in (h, w))
-    pick = lambda b: np.sort(b.reshape(-1, 3), 0)[int(0.9 * (b.shape[0] * b.shape[1] - 1))]
-    grid = np.array([[pick(frame[a:b, c:d].astype(float)) for c, d in zip(xs, xs[1:])] for a, b in zip(ys, ys[1:])])
-    if grid.max() < 12:
+@dataclass
+class Field:
+    """Light over the frame in a coarse grid, and the level that corrected pixels of the reference get in every channel."""
+
+    data: np.ndarray
+    target: float
+
+
+def _spread_light(x: np.ndarray, radius: int) -> np.ndarray:
+    """A separable box mean over what is inside the frame."""
+    for axis in (0, 1):
+        n = x.shape[axis]
+        c = np.concatenate([np.zeros_like(np.take(x, [0], axis)), np.cumsum(x, axis)], axis)
+        low, high = np.maximum(np.arange(n) - radius, 0), np.minimum(np.arange(n) + radius + 1, n)
+        count = (high - low).reshape([-1 if a == axis else 1 for a in range(x.ndim)])
+        x = (np.take(c, high, axis) - np.take(c, low, axis)) / count
+    return x
+
+
+def illumination_field(frame: np.ndarray, longest: int = 128, radius: int = 2) -> Field:
+    """The light of an empty frame: its means in a coarse grid, blurred, so that dust isn't part of it. The common target of all
+    channels is the mean of their ninth deciles, as dark edges may fill half a frame; an error if a channel is too dark."""
+    data = _spread_light(area_average(frame[..., :3], longest)[0], radius)
+    flat = np.sort(data.reshape(-1, 3), 0)
+    levels = flat[int(len(flat) * 0.9)]
+    if (levels < 12).any():
         raise ValueError("the frame is too dark")
-    return (grid.max((0, 1)).mean() / np.maximum(grid, 1)).astype(np.float32)
+    return Field(data.astype(np.float32), float(levels.mean()))
 
 
-def flat_field_correct(image: np.ndarray, field: np.ndarray) -> np.ndarray:
-    """The image with even light; clipped samples stay clipped."""
+def flat_field_correct(image: np.ndarray, field: Field) -> np.ndarray:
+    """The image under even light: each sample times target over the light there, between grid cells by lines; clipped samples stay
+    clipped."""
     h, w = image.shape[:2]
-    gy, gx = (np.clip((np.arange(n) + 0.5) * k / n - 0.5, 0, k - 1) for n, k in ((h, field.shape[0]), (w, field.shape[1])))
+    light = field.data.astype(float)
+    gy, gx = (np.clip((np.arange(n) + 0.5) * k / n - 0.5, 0, k - 1) for n, k in ((h, light.shape[0]), (w, light.shape[1])))
     y0, x0 = np.floor(gy).astype(int), np.floor(gx).astype(int)
-    y1, x1 = np.minimum(y0 + 1, field.shape[0] - 1), np.minimum(x0 + 1, field.shape[1] - 1)
+    y1, x1 = np.minimum(y0 + 1, light.shape[0] - 1), np.minimum(x0 + 1, light.shape[1] - 1)
     fy, fx = (gy - y0)[:, None, None], (gx - x0)[None, :, None]
-    gain = (field[y0][:, x0] * (1 - fx) + field[y0][:, x1] * fx) * (1 - fy) + (field[y1][:, x0] * (1 - fx) + field[y1][:, x1] * fx) * fy
-    return np.where(image == 255, 255, np.clip(np.rint(image * gain), 0, 255)).astype(np.uint8)
+    own = (light[y0][:, x0] * (1 - fx) + light[y0][:, x1] * fx) * (1 - fy) + (light[y1][:, x0] * (1 - fx) + light[y1][:, x1] * fx) * fy
+    return np.where(image >= 255, 255, np.clip(np.rint(image * (field.target / np.maximum(1.0, own))), 0, 255)).astype(np.uint8)
 
 
-def drift(image: np.ndarray, background: np.ndarray, noise: float) -> str:
-    """ok, drift or mismatch: how the border band compares with the profile's."""
+def drift_check(image: np.ndarray, background: np.ndarray, noise: float | None) -> tuple[str, float | None, float]:
+    """ok, drift or mismatch; the median distance of the border bands, and what it may be."""
+    limit = max(6.0, 4 * (noise or 0.0))
     if image.shape != background.shape:
-        return "mismatch"
-    b = max(1, min(image.shape[:2]) // 20)
-    d = np.sqrt(((image.astype(float) - background) ** 2).sum(-1))
-    band = np.sort(np.concatenate([d[:b].ravel(), d[-b:].ravel(), d[:, :b].ravel(), d[:, -b:].ravel()]))
-    return "drift" if band[len(band) // 2] > max(6, 4 * noise) else "ok"
+        return "mismatch", None, limit
+    band = border_band(*image.shape[:2])
+    median = _middle(np.sqrt(((image.astype(float) - background) ** 2).sum(-1) / 3)[band])
+    return ("drift" if median > limit else "ok"), median, limit
+
+
+def drift(image: np.ndarray, background: np.ndarray, noise: float) -> str:
+    return drift_check(image, background, noise)[0]
 
 
 def shape_features(mask: np.ndarray) -> np.ndarray:

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from specton.functions.scalars import mulberry32, shuffled
 
 RESAMPLES = 400
+#: Draws of a row.
+PIECE = 1 << 20
 BOOTSTRAP_SEED = 29
 
 
@@ -73,17 +75,26 @@ def novel_rejection(rows: DataFrame) -> DataFrame:
 def bootstrap(animals: DataFrame, resamples: int = RESAMPLES, seed: int = BOOTSTRAP_SEED) -> DataFrame:
     """low, high of the balanced accuracy under resampling of animals within each label; null if a label has one.
 
-    A resample of a label's n hits is a binomial count, so only the counts of each label are needed: each resample and
-    label is a row, whatever the number of animals."""
-    counts = animals.where(F.col("predicted").isNotNull()).groupBy("truth").agg(F.count("*").alias("n"), F.sum((F.col("truth") == F.col("predicted")).cast("long")).alias("hits"))
-    rows = counts.withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))))
+    Every draw of every resample is made: draw number i of a label's n picks animal floor(u * n), u being a seeded number of the resample,
+    the label and i. Animals of a label are numbered by whether they hit, misses first, so a draw hits from the first hit's
+    number on, and the draws of a resample and label are counted as they are made, without a row for each."""
+    known = animals.where(F.col("predicted").isNotNull())
+    counts = known.groupBy(F.col("truth").cast("string").alias("truth")).agg(F.count("*").alias("n"), F.sum((F.col("truth") == F.col("predicted")).cast("long")).alias("hits"))
+    # A label's draws are cut into pieces, so that no row makes more than PIECE of them.
+    pieces = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / PIECE)))
+    rows = counts.withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1)))).withColumn("piece", pieces)
 
     def draw(batches: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
         for pdf in batches:
-            mean = [np.random.default_rng([seed, int(r), *str(t).encode()]).binomial(int(n), h / n) / n for t, n, h, r in zip(pdf["truth"], pdf["n"], pdf["hits"], pdf["r"], strict=True)]
-            yield pd.DataFrame({"r": pdf["r"], "n": pdf["n"], "mean": mean})
-
-    means = rows.select(F.col("truth").cast("string").alias("truth"), "n", "hits", "r").mapInPandas(draw, "r int, n long, mean double").groupBy("r").agg(F.avg("mean").alias("x"), F.min("n").alias("n"))
+            hit = []
+            for t, n, h, r, piece in zip(pdf["truth"], pdf["n"], pdf["hits"], pdf["r"], pdf["piece"], strict=True):
+                size = min(PIECE, int(n) - int(piece) * PIECE)
+                picks = np.random.default_rng([seed, int(r), int(piece), *str(t).encode()]).integers(0, int(n), size)
+                hit.append(int((picks >= n - h).sum()))
+            yield pd.DataFrame({"r": pdf["r"], "truth": pdf["truth"], "n": pdf["n"], "hit": hit})
+
+    hits = rows.mapInPandas(draw, "r int, truth string, n long, hit long").groupBy("r", "truth").agg((F.sum("hit") / F.max("n")).alias("mean"), F.max("n").alias("n"))
+    means = hits.groupBy("r").agg(F.avg("mean").alias("x"), F.min("n").alias("n"))
     picks = means.agg(F.array_sort(F.collect_list("x")).alias("x"), F.min("n").alias("n"))
     at = lambda q: F.when(F.col("n") >= 2, F.get("x", F.floor(F.size("x") * q).cast("int")))
     return picks.select(at(0.025).alias("low"), at(0.975).alias("high"))

@@ -42,7 +42,10 @@ def among(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def top_edges(edges: DataFrame, n: int, *order) -> DataFrame:
-    """The n heaviest edges, ties by the columns of order."""
+    """The n heaviest edges, ties to the first by the columns of order (those that came first, where a column tells); all of them, as
+    they came, if they are no more."""
+    if edges.limit(n + 1).count() <= n:
+        return edges
     return edges.orderBy(F.desc("w"), *order).limit(n)
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: The order of feature blocks, and groups of a label from which it is ready or weak.
@@ -27,10 +27,15 @@ def view_key(blocks: list[str], version: str = "version", scheme: str = "scheme"
     return F.sha2(F.to_json(F.struct(*parts)), 256)
 
 
+def _last(rows: DataFrame, by: list[str], order: str) -> DataFrame:
+    """Of each key the row with the highest order (nulls are lowest), kept while counting: no task holds all rows of a key."""
+    best = F.max_by(F.struct(*[F.col(c) for c in rows.columns]), F.struct(F.col(order).isNotNull(), F.col(order)))
+    return rows.groupBy(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(by)]).agg(best.alias("_r")).select("_r.*")
+
+
 def distinct_views(rows: DataFrame, group: str, key: str, position: str) -> DataFrame:
     """Per group one row for each key, the last by position."""
-    w = Window.partitionBy(group, key).orderBy(F.desc(position))
-    return rows.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+    return _last(rows, [group, key], position)
 
 
 def label_conflicts(rows: DataFrame, group: str, label: str) -> DataFrame:
@@ -77,8 +82,9 @@ def reused_sources(rows: DataFrame, source_hash: str, group: str) -> DataFrame:
 
 def fingerprint(rows: DataFrame, identity: str) -> DataFrame:
     """n and one value of all rows' identities, whatever their order: sums of two hashes, which merge in any tree."""
-    h = lambda seed: F.sum(F.xxhash64(F.col(identity), F.lit(seed)).cast("decimal(38,0)"))
-    return rows.agg(F.count("*").alias("n"), F.sha2(F.concat_ws(":", F.coalesce(h(1).cast("string"), F.lit("0")), F.coalesce(h(2).cast("string"), F.lit("0"))), 256).alias("fingerprint"))
+    digits = lambda seed: F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col(identity))), 1, 15), 16, 10).cast("decimal(38,0)")
+    total = lambda seed: F.coalesce(F.sum(digits(seed)).cast("string"), F.lit("0"))
+    return rows.agg(F.count("*").alias("n"), F.sha2(F.concat_ws(":", total(1), total(2)), 256).alias("fingerprint"))
 
 
 def reconcile(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
@@ -109,5 +115,4 @@ def upsert(stored: DataFrame, incoming: DataFrame, key: str = "id") -> DataFrame
 
 def last_revision(rows: DataFrame, key: str, revision: str) -> DataFrame:
     """Of each key the row with the highest revision."""
-    w = Window.partitionBy(key).orderBy(F.desc(revision))
-    return rows.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+    return _last(rows, [key], revision)

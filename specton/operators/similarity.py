@@ -15,6 +15,8 @@ from specton.functions.vectors import doubles
 
 #: Rows of a reference block and of a query block; of a query block where each pair of blocks sorts a matrix.
 BLOCK, ASKED = 4096, 512
+#: Cells of a key's range in which order statistics are counted.
+CELLS = 4096
 
 
 def fit_standardizer(rows: DataFrame, vector: str = "vector") -> DataFrame:
@@ -189,10 +191,19 @@ def entropy_bits(scores: DataFrame) -> DataFrame:
 
 
 def order_statistic(rows: DataFrame, key: str, value: str, share: float) -> DataFrame:
-    """key, value: the element at floor(n * share) of the key's sorted values, from 0. Values are counted first, so a
-    hot key costs its distinct values and not its rows."""
-    counts = rows.where(F.col(value).isNotNull()).groupBy(key, value).agg(F.count("*").alias("_n"))
-    w = Window.partitionBy(key)
-    below = F.sum("_n").over(w.orderBy(value)) - F.col("_n")
-    at = F.floor(F.sum("_n").over(w) * share)
-    return counts.withColumn("_b", below).withColumn("_at", at).where((F.col("_b") <= F.col("_at")) & (F.col("_at") < F.col("_b") + F.col("_n"))).select(key, value)
+    """key, value: the element at floor(n * share) of the key's sorted values, from 0.
+
+    Each key's range is cut into CELLS even cells which are counted first; then only the values of the cell that holds the element are put in
+    order, counted by value. What meets in one task is a key's cells, and the distinct values of one of them."""
+    known = rows.where(F.col(value).isNotNull()).select(key, value)
+    x = F.col(value).cast("double")
+    ends = known.groupBy(key).agg(F.min(x).alias("_low"), F.max(x).alias("_high"), F.count("*").alias("_total"))
+    cell = F.when(F.col("_high") > F.col("_low"), F.least(F.lit(CELLS - 1), F.floor((x - F.col("_low")) / (F.col("_high") - F.col("_low")) * CELLS))).otherwise(0).cast("int")
+    placed = known.join(ends, key).withColumn("_cell", cell)
+    cells = placed.groupBy(key, "_cell").agg(F.count("*").alias("_n"), F.max("_total").alias("_total"))
+    below = F.sum("_n").over(Window.partitionBy(key).orderBy("_cell")) - F.col("_n")
+    at = F.floor(F.col("_total") * share)
+    cells = cells.withColumn("_below", below).withColumn("_at", at).where((F.col("_below") <= F.col("_at")) & (F.col("_at") < F.col("_below") + F.col("_n"))).select(key, "_cell", "_below", "_at")
+    counts = placed.join(cells, [key, "_cell"]).groupBy(key, value).agg(F.count("*").alias("_n"), F.max("_below").alias("_below"), F.max("_at").alias("_at"))
+    first = F.col("_below") + F.sum("_n").over(Window.partitionBy(key).orderBy(value)) - F.col("_n")
+    return counts.withColumn("_b", first).where((F.col("_b") <= F.col("_at")) & (F.col("_at") < F.col("_b") + F.col("_n"))).select(key, value)

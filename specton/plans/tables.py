@@ -35,15 +35,22 @@ def reused_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fingerprint_invariance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """n of the order-independent fingerprint, and whether it holds under another dealing of the rows."""
+    """n and value of the order-independent fingerprint of documents, under another dealing of the rows, and without one of them."""
     ids = _t(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("id"))
-    a, b = references.fingerprint(ids, "id"), references.fingerprint(ids.repartition(5, "id"), "id").select(F.col("fingerprint").alias("other"))
-    return a.join(F.broadcast(b)).select("n", (F.col("fingerprint") == F.col("other")).alias("same"))
+    least = ids.agg(F.min("id").alias("id"))
+    cases = {"whole": ids, "dealt": ids.repartition(5, "id"), "less": ids.join(least, "id", "left_anti")}
+    out = None
+    for name, rows in cases.items():
+        own = references.fingerprint(rows, "id").select(F.lit(name).alias("rows"), "n", "fingerprint")
+        out = own if out is None else out.unionByName(own)
+    return out
 
 
 def reconciled_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders, customers = _t(spark, sf_dir, "orders").select(F.col("o_custkey").alias("key")), _t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"))
-    return references.reconcile(orders, customers, "key")
+    """Orders with a returned line against finished orders: what only one side has."""
+    returned = _t(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("key"))
+    finished = _t(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("key"))
+    return references.reconcile(returned, finished, "key")
 
 
 def representatives(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,9 +59,10 @@ def representatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def overlap_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts that training and held-out tables share, by hash: none may be."""
-    train = _t(spark, sf_dir, "documents").select(F.sha2("text", 256).alias("hash"))
-    return _t(spark, sf_dir, "benchmark").select(F.sha2("text", 256).alias("hash")).join(train, "hash", "left_semi").agg(F.count("*").alias("shared"))
+    """Held-out documents (every fifth) whose text, by hash, is also that of another document, by source: none should be."""
+    docs = _t(spark, sf_dir, "documents").select("doc_id", "source", F.sha2("text", 256).alias("hash"))
+    train = docs.where("doc_id % 5 <> 0").select("hash")
+    return docs.where("doc_id % 5 = 0").join(train, "hash", "left_semi").groupBy("source").agg(F.count("*").alias("shared"))
 
 
 def append_new(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,8 +72,9 @@ def append_new(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def last_revision(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _t(spark, sf_dir, "lineitem").withColumn("revision", F.col("l_linenumber"))
-    return references.last_revision(rows, "l_orderkey", "revision").select("l_orderkey", "revision", "l_partkey", "l_suppkey").select("l_orderkey", "revision")
+    """Of each order the last line, by number, part, supplier and day."""
+    rows = _t(spark, sf_dir, "lineitem").withColumn("revision", F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate"))
+    return references.last_revision(rows, "l_orderkey", "revision").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate")
 
 
 def shared_series(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -169,6 +178,8 @@ def rounding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _t(spark, sf_dir, "part").select("p_partkey", scalars.round_half_up(x).cast("long").alias("up"), scalars.round_clamped(x).alias("clamped"))
 
 
+_DIGITS = lambda seed: f"sum(CAST('0x' || md5('{seed}:' || id)[1:15] AS HUGEINT))"
+
 QUERIES = {
     "distinct_views": (distinct_views, "SELECT source, sha256(coalesce(text, '')) AS key, max(doc_id) AS doc_id FROM documents GROUP BY ALL"),
     "label_conflicts": (label_conflicts, "SELECT source, count(DISTINCT lang) AS labels FROM documents GROUP BY source HAVING count(DISTINCT lang) <> 1 OR source IS NULL OR trim(source) = ''"),
@@ -176,12 +187,14 @@ QUERIES = {
 count(CASE WHEN toxic = 0 THEN 1 END) AS males, count(CASE WHEN toxic IS NULL OR toxic NOT IN (0, 1) THEN 1 END) AS unknown_sex, count(DISTINCT d.doc_id % 7) AS series,
 CASE WHEN count(DISTINCT source) >= 10 THEN 'ready' WHEN count(DISTINCT source) >= 5 THEN 'weak' ELSE 'insufficient' END AS status FROM documents d LEFT JOIN labels USING (doc_id) GROUP BY lang"""),
     "reused_sources": (reused_sources, "SELECT sha256(text) AS hash, count(DISTINCT source) AS groups FROM documents WHERE text IS NOT NULL GROUP BY 1 HAVING count(DISTINCT source) > 1"),
-    "fingerprint_invariance": (fingerprint_invariance, "SELECT count(*) AS n, true AS same FROM documents"),
-    "reconciled_keys": (reconciled_keys, "SELECT o_custkey AS key, 'left' AS side FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer) GROUP BY 1 UNION ALL SELECT c_custkey, 'right' FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders) GROUP BY 1"),
+    "fingerprint_invariance": (fingerprint_invariance, f"""WITH r AS (SELECT unnest(['whole', 'dealt', 'less']) AS rows), d AS (SELECT rows, CAST(doc_id AS VARCHAR) AS id FROM r, documents WHERE rows <> 'less' OR CAST(doc_id AS VARCHAR) <> (SELECT min(CAST(doc_id AS VARCHAR)) FROM documents))
+SELECT rows, count(*) AS n, sha256(CAST({_DIGITS(1)} AS VARCHAR) || ':' || CAST({_DIGITS(2)} AS VARCHAR)) AS fingerprint FROM d GROUP BY rows"""),
+    "reconciled_keys": (reconciled_keys, """WITH a AS (SELECT DISTINCT l_orderkey AS key FROM lineitem WHERE l_returnflag = 'R'), b AS (SELECT o_orderkey AS key FROM orders WHERE o_orderstatus = 'F')
+SELECT key, 'left' AS side FROM a WHERE key NOT IN (SELECT key FROM b) UNION ALL SELECT DISTINCT key, 'right' FROM b WHERE key NOT IN (SELECT key FROM a)"""),
     "representatives": (representatives, "SELECT nation, name FROM (SELECT c_nationkey AS nation, c_name AS name, row_number() OVER (PARTITION BY c_nationkey ORDER BY sha256('v1:' || c_name), c_name) AS k FROM customer) WHERE k = 1"),
-    "overlap_guard": (overlap_guard, "SELECT count(*) AS shared FROM benchmark WHERE sha256(text) IN (SELECT sha256(text) FROM documents)"),
+    "overlap_guard": (overlap_guard, "SELECT source, count(*) AS shared FROM documents WHERE doc_id % 5 = 0 AND sha256(text) IN (SELECT sha256(text) FROM documents WHERE doc_id % 5 <> 0) GROUP BY source"),
     "append_new": (append_new, "SELECT c_custkey AS id, 'stored' AS origin FROM customer WHERE c_custkey % 3 <> 0 UNION ALL SELECT c_custkey, 'incoming' FROM customer WHERE c_custkey % 2 = 0 AND c_custkey % 3 = 0"),
-    "last_revision": (last_revision, "SELECT l_orderkey, max(l_linenumber) AS revision FROM lineitem GROUP BY 1"),
+    "last_revision": (last_revision, "SELECT DISTINCT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber DESC, l_partkey DESC, l_suppkey DESC, l_shipdate DESC) AS k FROM lineitem) WHERE k = 1"),
     "shared_series": (shared_series, "SELECT p_brand FROM part WHERE p_partkey % 4 = 0 INTERSECT SELECT p_brand FROM part WHERE p_partkey % 4 <> 0"),
     "node_strength": (node_strength, f"WITH {_STRONG} SELECT id, strength FROM st"),
     "strongest_nodes": (strongest_nodes, f"WITH {_STRONG} SELECT id, strength FROM tn"),
