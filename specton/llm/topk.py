@@ -8,7 +8,8 @@ query batches as Spark groups of a fixed size, and their short lists are merged
 
 Defined results: null vectors and ones with null or non-finite components take no part; a shorter vector counts as
 padded with zeros; rows with the query's own id are not its candidates; equal scores go to the smaller id; repeated
-rows are candidates each; fewer candidates than k give fewer rows; an empty table gives none.
+rows are candidates each; fewer candidates than k give fewer rows; an empty table gives none; vectors so long that a score
+might not fit 64 bits are an error.
 """
 
 from __future__ import annotations
@@ -110,7 +111,11 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, vec_id: str = "vec_
     """query_id, rank from 1, vec_id, score of each query's k best rows. ``is_query`` is a condition on vec_id."""
     rows = staged(quantised(vectors, vec_id, embedding, scale))
     spark = rows.sparkSession
-    counts = rows.agg(F.count("*").alias("n"), F.count(F.when(is_query, 1)).alias("q")).first()
+    square = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
+    counts = rows.agg(F.count("*").alias("n"), F.count(F.when(is_query, 1)).alias("q"), F.max(square).alias("square")).first()
+    # No score, and no part of its sum, is more than the square of the longest vector.
+    if (counts["square"] or 0.0) >= 1 << 62:
+        raise ValueError("vectors are too long: scores would not fit 64 bits")
     groups, batches = -(-max(counts["n"], 1) // GROUP), -(-max(counts["q"], 1) // BATCH)
     parts = max(groups, min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-max(counts["n"], 1) // (4 * BLOCK))))
     blocks = rows.repartitionByRange(parts, "vec_id").sortWithinPartitions("vec_id").mapInPandas(_blocks(groups), _BLOCKS).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(batches - 1))))
