@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from specton.functions import vectors as V
-from specton.operators import conformal, evaluate, graph, similarity
+from specton.operators import conformal, diffusion, evaluate, graph, similarity
 
 
 def _rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -234,10 +234,10 @@ def walk_mass(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All steps of the walk with restart from rows 0 modulo 50 over the 7-nearest graph of the other rows."""
     rows = _rows(spark, sf_dir)
     asked, known = rows.where("id % 50 = 0"), rows.where("id % 50 <> 0")
-    to = similarity.neighbours(asked, known, 7).select("query_id", "ref_id", "similarity", "rank")
-    own = graph.neighbour_transitions(to, 7).withColumn("query", F.col("src"))
-    mass = graph.walk(graph.neighbour_transitions(similarity.neighbours(known, known, 7), 7), own, asked.select(F.col("id").alias("query"), F.col("id").alias("node")))
-    return mass.select("query", "node", F.round("p", 8).alias("p"))
+    edges = graph.neighbour_transitions(similarity.neighbours(known, known, 7), 7).unionByName(graph.neighbour_transitions(similarity.neighbours(asked, known, 7), 7))
+    state, places = diffusion.diffuse(edges, asked.select("id", F.col("id").alias("node"), F.lit(1.0).alias("value")), graph.STEPS, graph.RESTART)
+    mass = diffusion.read(state, places, rows.select(F.col("id").alias("node"), F.col("id").alias("name")), "name")
+    return mass.select(F.col("id").alias("query"), F.col("name").alias("node"), F.round("value", 8).alias("p"))
 
 
 WALK_SQL = f"""WITH RECURSIVE {_E}, p AS (SELECT a.id AS src, b.id AS dst, {_COS} AS similarity FROM e a JOIN e b ON b.id % 50 <> 0 AND a.id <> b.id),
