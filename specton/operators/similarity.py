@@ -15,6 +15,10 @@ from specton.functions.vectors import doubles
 
 #: Rows of a reference block and of a query block; of a query block where each pair of blocks sorts a matrix.
 BLOCK, ASKED = 4096, 512
+#: Rows of a reference block there, which meets few queries at once.
+WIDE = 16384
+#: Squared distances under this share of both squared lengths are taken from differences, so many pairs at a time.
+NEAR, PAIRS = 1e-3, 1 << 16
 #: Cells of a key's range in which order statistics are counted.
 CELLS = 4096
 
@@ -39,10 +43,14 @@ def _similarities(q: np.ndarray, r: np.ndarray, metric: str) -> np.ndarray:
     if metric == "cosine":
         n = np.sqrt((q * q).sum(1)[:, None] * (r * r).sum(1)[None, :])
         return (q @ r.T / np.where(n == 0, 1, n)).astype(np.float32)
-    out = np.empty((len(q), len(r)), np.float32)
-    for i, row in enumerate(q):
-        out[i] = -np.sqrt(((r - row) ** 2).sum(1))
-    return out
+    # By one product of matrices; what is near, and so loses digits to it, is taken again from the differences.
+    size = (q * q).sum(1)[:, None] + (r * r).sum(1)[None, :]
+    square = size - 2 * (q @ r.T)
+    i, j = np.nonzero(square < NEAR * size)
+    for k in range(0, len(i), PAIRS):
+        a, b = i[k : k + PAIRS], j[k : k + PAIRS]
+        square[a, b] = ((q[a] - r[b]) ** 2).sum(1)
+    return (-np.sqrt(np.maximum(square, 0))).astype(np.float32)
 
 
 def neighbours(queries: DataFrame, references: DataFrame, k: int, metric: str = "cosine", exclude: str | None = None) -> DataFrame:
@@ -88,7 +96,7 @@ def group_similarities(queries: DataFrame, references: DataFrame, m: int, metric
     references are dealt."""
     of = F.col(key).cast("string") if key else F.lit(None).cast("string")
     most = lambda d: d.groupBy(of.alias("k")).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
-    blocks, batches = max(1, -(-most(references) // BLOCK)), max(1, -(-most(queries) // ASKED))
+    blocks, batches = max(1, -(-most(references) // WIDE)), max(1, -(-most(queries) // ASKED))
     deal = lambda count: F.pmod(F.xxhash64("id"), F.lit(count)).cast("int")
     every = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
     refs = references.select(of.alias("key"), F.col("id").cast("long").alias("id"), doubles("vector").alias("vector"), "label", "group").withColumn("b", deal(blocks)).withColumn("q", every(batches))

@@ -241,7 +241,7 @@ def test_series_transfer(spark):
 
 
 def test_jackknife_leaves_the_whole_group_out(spark, monkeypatch):
-    monkeypatch.setattr(similarity, "BLOCK", 16)
+    monkeypatch.setattr(similarity, "WIDE", 16)
     monkeypatch.setattr(similarity, "ASKED", 8)
     rows = made(6, dims=4, views=2, seed=5)
     df = spark.createDataFrame(rows, ROWS)

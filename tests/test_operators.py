@@ -132,7 +132,7 @@ def test_model_on_clusters(spark):
 
 
 def test_nonconformity_is_over_all_references(spark, monkeypatch):
-    monkeypatch.setattr(similarity, "BLOCK", 64)
+    monkeypatch.setattr(similarity, "WIDE", 64)
     r = np.random.default_rng(3)
     rows = [(i, "a" if i < 300 else "b" if i < 340 else "c", f"g{i // 2 if i < 300 else i // 3}", [float(x) for x in r.normal(0, 0.1, 4) + (0 if i < 300 else 5)]) for i in range(345)]
     refs = frame(spark, rows, "id long, label string, group string, vector array<double>")
