@@ -6,8 +6,8 @@ from dataclasses import dataclass
 
 import numpy as np
 
-#: Longest side analysed; the normalized frame and its margin; outline, orientation and colour cells.
-ANALYSED, WIDTH, HEIGHT, MARGIN, OUTLINE = 640, 1024, 512, 32, 32
+#: Fixed value: longest side analysed.
+ANALYSED = 640
 
 
 def area_average(image: np.ndarray, longest: int = ANALYSED) -> tuple[np.ndarray, float]:
@@ -199,65 +199,11 @@ def orientation(mask: np.ndarray) -> dict[str, float]:
     return {"cx": float(cx), "cy": float(cy), "angle": float(angle), "elongation": float(np.sqrt(values[1] / max(values[0], 1e-9))), "confidence": float(abs(left - right) / max(left + right, 1e-9))}
 
 
-def normalization(mask: np.ndarray, turn: dict[str, float]) -> np.ndarray:
-    """3 x 3 matrix from image to the normalized frame: turned level, one scale, centred within the margin."""
-    ys, xs = np.nonzero(mask)
-    c, s = np.cos(-turn["angle"]), np.sin(-turn["angle"])
-    u, v = c * xs - s * ys, s * xs + c * ys
-    scale = min((WIDTH - 2 * MARGIN) / max(np.ptp(u), 1), (HEIGHT - 2 * MARGIN) / max(np.ptp(v), 1))
-    tx, ty = (WIDTH - 1) / 2 - scale * (u.max() + u.min()) / 2, (HEIGHT - 1) / 2 - scale * (v.max() + v.min()) / 2
-    return np.array([[scale * c, -scale * s, tx], [scale * s, scale * c, ty], [0, 0, 1]])
-
-
-def resample(image: np.ndarray, matrix: np.ndarray, nearest: bool = False, fill: float = 255) -> np.ndarray:
-    """The image in the normalized frame, bilinear or nearest; outside is filled."""
-    inverse = np.linalg.inv(matrix)
-    y, x = np.mgrid[0:HEIGHT, 0:WIDTH]
-    sx, sy = inverse[0, 0] * x + inverse[0, 1] * y + inverse[0, 2], inverse[1, 0] * x + inverse[1, 1] * y + inverse[1, 2]
-    h, w = image.shape[:2]
-    inside = (sx >= 0) & (sy >= 0) & (sx <= w - 1) & (sy <= h - 1)
-    if nearest:
-        out = image[np.clip(np.rint(sy), 0, h - 1).astype(int), np.clip(np.rint(sx), 0, w - 1).astype(int)]
-        return np.where(inside, out, False)
-    x0, y0 = np.clip(np.floor(sx), 0, w - 2 if w > 1 else 0).astype(int), np.clip(np.floor(sy), 0, h - 2 if h > 1 else 0).astype(int)
-    x1, y1 = np.minimum(x0 + 1, w - 1), np.minimum(y0 + 1, h - 1)
-    fx, fy = (sx - x0)[..., None], (sy - y0)[..., None]
-    out = (image[y0, x0] * (1 - fx) + image[y0, x1] * fx) * (1 - fy) + (image[y1, x0] * (1 - fx) + image[y1, x1] * fx) * fy
-    return np.where(inside[..., None], np.clip(np.rint(out), 0, 255), fill).astype(np.uint8)
-
-
 def iou(a: np.ndarray, b: np.ndarray) -> float:
     either = (a | b).sum()
     return float((a & b).sum() / either) if either else 0.0
 
 
-def register(mask: np.ndarray, target: np.ndarray, stride: int = 8) -> tuple[np.ndarray, float]:
-    """dx, dy, turn, log scale that lay mask on target best, by a bounded search along one parameter at a time, ever finer."""
-    ys, xs = np.nonzero(mask[::stride, ::stride])
-    small = target[::stride, ::stride]
-    cx, cy = (xs.mean(), ys.mean()) if len(xs) else (0, 0)
-
-    def score(p: np.ndarray) -> float:
-        c, s, k = np.cos(p[2]), np.sin(p[2]), np.exp(p[3])
-        x = np.rint(cx + k * (c * (xs - cx) - s * (ys - cy)) + p[0] / stride).astype(int)
-        y = np.rint(cy + k * (s * (xs - cx) + c * (ys - cy)) + p[1] / stride).astype(int)
-        ok = (x >= 0) & (y >= 0) & (x < small.shape[1]) & (y < small.shape[0])
-        moved = np.zeros_like(small)
-        moved[y[ok], x[ok]] = True
-        return iou(moved, small)
-
-    p, step = np.zeros(4), np.array([32.0, 32.0, 0.12, 0.08])
-    best = score(p)
-    while step[0] > 2:
-        tried = [(score(q), i, sign) for i in range(4) for sign in (-1, 1) for q in [p + sign * step * (np.arange(4) == i)]]
-        top = max(tried, key=lambda t: (t[0], -t[1]))
-        if top[0] > best + 1e-12:
-            best, p = top[0], p + top[2] * step * (np.arange(4) == top[1])
-        else:
-            step = step / 2
-    return p, best
-
-
 def luminance(image: np.ndarray) -> np.ndarray:
     return image[..., 0] * 0.2126 + image[..., 1] * 0.7152 + image[..., 2] * 0.0722
 
@@ -326,55 +272,3 @@ def drift_check(image: np.ndarray, background: np.ndarray, noise: float | None)
 
 def drift(image: np.ndarray, background: np.ndarray, noise: float) -> str:
     return drift_check(image, background, noise)[0]
-
-
-def shape_features(mask: np.ndarray) -> np.ndarray:
-    """66 numbers: upper and lower outline in 32 bins along the frame, fill of the box, and its aspect."""
-    ys, xs = np.nonzero(mask)
-    if not len(xs):
-        return np.zeros(2 * OUTLINE + 2)
-    w, h = np.ptp(xs) + 1, np.ptp(ys) + 1
-    b = np.minimum(OUTLINE - 1, (xs - xs.min()) * OUTLINE // w)
-    top, low = np.full(OUTLINE, np.inf), np.full(OUTLINE, -np.inf)
-    np.minimum.at(top, b, ys)
-    np.maximum.at(low, b, ys)
-    middle = (ys.max() + ys.min()) / 2
-    fix = lambda v: np.where(np.isfinite(v), (v - middle) / w, 0)
-    return np.concatenate([fix(top), fix(low), [len(xs) / (w * h), h / w]])
-
-
-def venation_features(image: np.ndarray, mask: np.ndarray) -> np.ndarray:
-    """288 numbers: gradient directions in 9 bins of 8 x 4 cells, each cell of unit length; zero without contrast."""
-    y = np.where(mask, luminance(image.astype(float)), 0)
-    if not mask.any() or y[mask].std() < 1:
-        return np.zeros(288)
-    gy, gx = np.gradient(y)
-    inner = ~dilate(~mask, 2)
-    size = np.hypot(gx, gy) * inner
-    direction = np.minimum(8, (np.mod(np.arctan2(gy, gx), np.pi) / np.pi * 9).astype(int))
-    rows, columns = np.indices(mask.shape)
-    cell = (rows * 4 // mask.shape[0]) * 8 + columns * 8 // mask.shape[1]
-    out = np.bincount((cell * 9 + direction).ravel(), size.ravel(), 288).reshape(32, 9)
-    return (out / np.maximum(np.sqrt((out**2).sum(1, keepdims=True)), 1e-9)).ravel()
-
-
-def lab(image: np.ndarray) -> np.ndarray:
-    c = image / 255.0
-    c = np.where(c <= 0.04045, c / 12.92, ((c + 0.055) / 1.055) ** 2.4)
-    xyz = c @ np.array([[0.4124564, 0.3575761, 0.1804375], [0.2126729, 0.7151522, 0.0721750], [0.0193339, 0.1191920, 0.9503041]]).T / [0.95047, 1, 1.08883]
-    f = np.where(xyz > 216 / 24389, np.cbrt(xyz), (24389 / 27 * xyz + 16) / 116)
-    return np.stack([116 * f[..., 1] - 16, 500 * (f[..., 0] - f[..., 1]), 200 * (f[..., 1] - f[..., 2])], -1)
-
-
-def colour_features(image: np.ndarray, mask: np.ndarray) -> np.ndarray:
-    """112 numbers: of 8 x 2 cells the means of L, a, b, chroma, the two parts of hue, and the spread of L."""
-    v = lab(image[..., :3].astype(float))
-    chroma = np.hypot(v[..., 1], v[..., 2])
-    hue = np.arctan2(v[..., 2], v[..., 1])
-    rows, columns = np.indices(mask.shape)
-    cell = ((rows * 2 // mask.shape[0]) * 8 + columns * 8 // mask.shape[1])[mask]
-    n = np.maximum(np.bincount(cell, minlength=16), 1)
-    mean = lambda x: np.bincount(cell, x[mask], 16) / n
-    light = mean(v[..., 0])
-    spread = np.sqrt(np.maximum(mean(v[..., 0] ** 2) - light**2, 0))
-    return np.stack([light, mean(v[..., 1]), mean(v[..., 2]), mean(chroma), mean(np.cos(hue)), mean(np.sin(hue)), spread], 1).ravel()

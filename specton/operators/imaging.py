@@ -8,13 +8,13 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from specton.functions import raster
+from specton.functions import canvas, cells, raster
 
 RECORD = "path string, status string, reasons array<string>, area long, angle double, elongation double, confidence double, sharpness double, clipped double, shape array<double>, venation array<double>, colour array<double>"
 
 
 def preprocess(images: DataFrame) -> DataFrame:
-    """Of path, width, height, rgba: the object's quality, orientation and normalized features; one that fails has its reason."""
+    """Of path, width, height, rgba: the object's quality, orientation and feature cells; one that fails has its reason."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -25,17 +25,23 @@ def preprocess(images: DataFrame) -> DataFrame:
 
 def _one(path: str, width: int, height: int, rgba: bytes) -> tuple:
     image = np.frombuffer(rgba, np.uint8).reshape(height, width, 4)[..., :3]
-    small, scale = raster.area_average(image)
+    small, _ = raster.area_average(image)
     mask = raster.segment(small)
     q = raster.quality(mask)
     meters = raster.sharpness(small), raster.clipped_fraction(image)
     if not q.area:
         return (path, q.status, q.reasons, 0, None, None, None, *meters, None, None, None)
     turn = raster.orientation(mask)
-    to_frame = raster.normalization(mask, turn)
-    frame = raster.resample(small, to_frame)
-    own = raster.resample(mask, to_frame, nearest=True)
-    return (path, q.status, q.reasons, q.area, turn["angle"], turn["elongation"], turn["confidence"], *meters, raster.shape_features(own), raster.venation_features(frame, own), raster.colour_features(frame, own))
+    matrix = canvas.normalization(mask, turn, (width / mask.shape[1], height / mask.shape[0]))
+    small = cells.downsample(canvas.place(image, mask, matrix))
+    blocks = []
+    for block in (cells.shape, cells.venation, cells.wip):
+        try:
+            blocks.append(block(small))
+        except ValueError as e:
+            blocks.append(None)
+            q.reasons.append(str(e))
+    return (path, q.status, q.reasons, q.area, turn["angle"], turn["elongation"], turn["confidence"], *meters, *blocks)
 
 
 def crops(images: DataFrame, boxes: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ compared pixel by pixel, and its image is to be reviewed.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -82,7 +83,7 @@ def micrometres(ax: Column, ay: Column, bx: Column, by: Column, millimetres: Col
 RECORD = "path string, status string, reasons array<string>, method string, drift string, difference double, limit double, threshold double, area long, length_mm double, area_mm2 double, reliable boolean, size array<double>, mask binary, mask_width int, mask_height int"
 
 
-def preprocess(images: DataFrame, profile: DataFrame, analysed: int = raster.ANALYSED) -> DataFrame:
+def preprocess(images: DataFrame, profile: DataFrame, longest: int = raster.ANALYSED) -> DataFrame:
     """Of each image (path, rig, modality, width, height, rgba; um_per_px if known) under its rig's profile: its object, what is to be reviewed,
     and its metric size: length and area in millimetres, and their logarithms as a feature block if nothing touches the edge.
     An image of another size than its profile's is treated as one without, with the note among the reasons."""
@@ -91,22 +92,46 @@ def preprocess(images: DataFrame, profile: DataFrame, analysed: int = raster.ANA
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame([_one(*row, analysed) for row in zip(*(pdf[c] for c in ("path", "width", "height", "rgba", "um_per_px", "profile", "note")), strict=True)], columns=[c.split()[0] for c in RECORD.split(", ")])
+            yield pd.DataFrame([_one(*row, longest) for row in zip(*(pdf[c] for c in ("path", "width", "height", "rgba", "um_per_px", "profile", "note")), strict=True)], columns=[c.split()[0] for c in RECORD.split(", ")])
 
     return own.select("path", "width", "height", "rgba", "um_per_px", "profile", "note").mapInPandas(run, RECORD)
 
 
-def _one(path: str, width: int, height: int, rgba: bytes, um_per_px: float, profile: dict | None, note: str | None, analysed: int) -> tuple:
-    image = _image(rgba, width, height)[..., :3]
+@dataclass
+class Analysed:
+    """An image under its rig's light, its object in analysed pixels, and what is to be reviewed."""
+
+    image: np.ndarray
+    scale: float
+    own: raster.Segmentation
+    quality: raster.Quality
+    reasons: list[str]
+    state: str | None
+    difference: float | None
+    limit: float | None
+    method: str
+
+    def metric(self, um_per_px: float | None) -> tuple[float | None, float | None, bool | None, list[float] | None]:
+        """Length and area in millimetres, whether nothing is cut off, and the feature block; null without a scale or an object."""
+        if not self.quality.area or um_per_px is None or um_per_px != um_per_px:
+            return None, None, None, None
+        step = um_per_px / 1000 / self.scale
+        length, area = raster.length_along(self.own.mask) * step, self.quality.area * step * step
+        reliable = "touches edge" not in self.quality.reasons
+        return length, area, reliable, [float(np.log(length)), float(np.log(area))] if reliable and length > 0 else None
+
+
+def analysed(image: np.ndarray, profile: dict | None, note: str | None, longest: int = raster.ANALYSED) -> Analysed:
+    """Whole numbers of a struct come as floats if another row of the batch has none."""
     state, difference, limit, background, reasons = None, None, None, None, []
     if profile is not None:
         if profile["field"] is not None:
-            light = np.frombuffer(profile["field"], np.float32).reshape(profile["field_height"], profile["field_width"], 3)
+            light = np.frombuffer(profile["field"], np.float32).reshape(int(profile["field_height"]), int(profile["field_width"]), 3)
             image = raster.flat_field_correct(image, raster.Field(light, profile["target"]))
-        analysed = profile["analysed"]
-    small, scale = raster.area_average(image, analysed)
+        longest = int(profile["analysed"])
+    small, scale = raster.area_average(image, longest)
     if profile is not None:
-        background = np.frombuffer(profile["background"], np.uint8).reshape(profile["background_height"], profile["background_width"], 3)
+        background = np.frombuffer(profile["background"], np.uint8).reshape(int(profile["background_height"]), int(profile["background_width"]), 3)
         state, difference, limit = raster.drift_check(np.clip(np.rint(small), 0, 255), background, profile["noise"])
         if state != "ok":
             background = None
@@ -116,11 +141,11 @@ def _one(path: str, width: int, height: int, rgba: bytes, um_per_px: float, prof
     own = raster.segmented(small, None if background is None else background.astype(float))
     q = raster.quality(own.mask)
     reasons = q.reasons + ([] if own.plausible or not q.area else ["no plausible object"]) + reasons
-    method = "background difference" if background is not None else "border colour"
-    length = area = size = reliable = None
-    if q.area and um_per_px is not None and um_per_px == um_per_px:
-        step = um_per_px / 1000 / scale
-        length, area = raster.length_along(own.mask) * step, q.area * step * step
-        reliable = "touches edge" not in q.reasons
-        size = [float(np.log(length)), float(np.log(area))] if reliable and length > 0 else None
-    return (path, "REVIEW" if reasons else "GOOD", reasons, method, state, difference, limit, own.threshold, q.area, length, area, reliable, size, np.packbits(own.mask).tobytes(), own.mask.shape[1], own.mask.shape[0])
+    return Analysed(image, scale, own, q, reasons, state, difference, limit, "background difference" if background is not None else "border colour")
+
+
+def _one(path: str, width: int, height: int, rgba: bytes, um_per_px: float, profile: dict | None, note: str | None, longest: int) -> tuple:
+    a = analysed(_image(rgba, width, height)[..., :3], profile, note, longest)
+    length, area, reliable, size = a.metric(um_per_px)
+    mask = a.own.mask
+    return (path, "REVIEW" if a.reasons else "GOOD", a.reasons, a.method, a.state, a.difference, a.limit, a.own.threshold, a.quality.area, length, area, reliable, size, np.packbits(mask).tobytes(), mask.shape[1], mask.shape[0])

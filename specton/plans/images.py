@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from specton.operators import rig
+from specton.operators import pairs, rig
 
 #: Side of a drawn image, its pixel size in micrometres, and frames of an empty rig.
 SIDE, MICROMETRES, FRAMES = 160, 20.0, 6
@@ -80,4 +80,28 @@ def rig_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("path", "status", "method", "drift", "area", F.round("length_mm", 3).alias("length_mm"), F.round("area_mm2", 3).alias("area_mm2"), "reliable")
 
 
-QUERIES = {"rig_profiles": (rig_profiles, None), "rig_images": (rig_images, None)}
+#: Canvas and margin of the small drawn images.
+CANVAS, MARGIN = (320, 160), 10
+
+
+def pictured(id: int, modality: str, v: np.ndarray) -> np.ndarray:
+    """The object of four numbers: dark with darker veins where light shines through, or in a colour of three more numbers."""
+    v, y = np.asarray(v), np.mgrid[0:SIDE, 0:SIDE][0]
+    mask = wing(v[:4], SIDE)
+    colour = np.array([90.0, 70, 50]) if modality == "venation" else 70 + 60 * (1 + np.tanh(v[4:7])) / 2
+    own = colour * np.where((y // 4 % 4 == 0) & (modality == "venation"), 0.6, 1.0)[..., None]
+    noise = np.random.default_rng(int(id) % (1 << 31)).normal(0, 1.5, (SIDE, SIDE, 3))
+    return np.clip(np.rint(np.where(mask[..., None], own, [230.0, 228, 225]) + noise), 0, 255).astype(np.uint8)
+
+
+def registered_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows 2 k and 2 k + 1 as the two images of specimen k: overlap before and after registration, and what the cells add up to."""
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").where("vec_id IS NOT NULL AND embedding IS NOT NULL")
+    odd = F.pmod("vec_id", F.lit(2)) == 1
+    named = rows.select(F.floor(F.col("vec_id") / 2).cast("string").alias("specimen"), F.when(odd, pairs.MOVING).otherwise(pairs.STILL).alias("modality"), F.col("vec_id").cast("string").alias("path"), F.col("vec_id").alias("id"), F.slice("embedding", 1, 7).cast("array<double>").alias("v"), F.lit(MICROMETRES).alias("um_per_px"))
+    out = pairs.registered(named, read=pictured, columns=("id", "modality", "v"), size=CANVAS, margin=MARGIN)
+    total = lambda c: F.round(F.aggregate(c, F.lit(0.0), lambda a, x: a + x), 2).alias(c)
+    return out.select("specimen", "still", "moving", "status", F.concat_ws("; ", "reasons").alias("reasons"), *[F.round(c, 4).alias(c) for c in ("initial", "overlap", "scale", "degrees")], *map(total, ("shape", "venation", "wip", "size")))
+
+
+QUERIES = {"registered_pairs": (registered_pairs, None), "rig_profiles": (rig_profiles, None), "rig_images": (rig_images, None)}

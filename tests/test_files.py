@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from specton.functions import raster
+from specton.functions import canvas, cells, raster
 from specton.operators import imaging, references
 from specton.operators.references import ContractError
 from specton.sources import files, sinks
@@ -77,7 +77,7 @@ def silhouette(angle=0.0, dx=0.0, dy=0.0, scale=1.0, n=360):
 
 def frame_mask(image):
     mask = raster.segment(image.astype(float))
-    return raster.resample(mask, raster.normalization(mask, raster.orientation(mask)), nearest=True)
+    return canvas.place(image, mask, canvas.normalization(mask, raster.orientation(mask))).mask
 
 
 def test_segmentation_and_invariance():
@@ -102,9 +102,7 @@ def test_kernels():
     even = raster.flat_field_correct(frame.astype(np.uint8), raster.illumination_field(frame))
     assert even[..., 0].std() < frame[..., 0].std() / 4
     assert raster.drift(frame, frame, 1.0) == "ok" and raster.drift(frame + 40, frame, 1.0) == "drift" and raster.drift(frame[:5], frame, 1) == "mismatch"
-    a, b = silhouette(n=512)[1], silhouette(dx=24, n=512)[1]
-    assert raster.register(a, b)[1] > 0.9
-    assert np.allclose(raster.lab(np.array([[[255.0, 255, 255]]])), [100, 0, 0], atol=0.1)
+    assert np.allclose(cells.lab(np.array([[[255.0, 255, 255]]])), [100, 0, 0], atol=0.1)
 
 
 def test_images_as_rows(spark):
