@@ -13,6 +13,13 @@ from specton.operators import pairs, rig
 
 #: Side of a drawn image, its pixel size in micrometres, and frames of an empty rig.
 SIDE, MICROMETRES, FRAMES = 160, 20.0, 6
+#: Rows a task: an image takes long, but the row that tells it is short, so parts by bytes would be a few tasks of hours.
+IMAGES_A_TASK = 256
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """The rows (id, ...) in parts by their number. Parts go by id, so that a lost one comes back as it was."""
+    return rows.repartition(max(1, -(-rows.count() // IMAGES_A_TASK)), "id")
 
 
 def light(side: int) -> np.ndarray:
@@ -99,7 +106,7 @@ def registered_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").where("vec_id IS NOT NULL AND embedding IS NOT NULL")
     odd = F.pmod("vec_id", F.lit(2)) == 1
     named = rows.select(F.floor(F.col("vec_id") / 2).cast("string").alias("specimen"), F.when(odd, pairs.MOVING).otherwise(pairs.STILL).alias("modality"), F.col("vec_id").cast("string").alias("path"), F.col("vec_id").alias("id"), F.slice("embedding", 1, 7).cast("array<double>").alias("v"), F.lit(MICROMETRES).alias("um_per_px"))
-    out = pairs.registered(named, read=pictured, columns=("id", "modality", "v"), size=CANVAS, margin=MARGIN)
+    out = pairs.registered(spread(named), read=pictured, columns=("id", "modality", "v"), size=CANVAS, margin=MARGIN)
     total = lambda c: F.round(F.aggregate(c, F.lit(0.0), lambda a, x: a + x), 2).alias(c)
     return out.select("specimen", "still", "moving", "status", F.concat_ws("; ", "reasons").alias("reasons"), *[F.round(c, 4).alias(c) for c in ("initial", "overlap", "scale", "degrees")], *map(total, ("shape", "venation", "wip", "size")))
 
