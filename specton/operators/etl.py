@@ -57,6 +57,33 @@ def landmark_state(points: Column) -> tuple[Column, Column, Column]:
     return placed, placed == F.size(points), F.when(first >= 0, first)
 
 
+def mapped(points: Column, matrix: Column) -> Column:
+    """Points x, y through an affine matrix of nine numbers by rows; a point that is null or has no coordinates stays null."""
+    m = [F.get(matrix, F.lit(i)) for i in range(6)]
+    at = lambda p: F.struct((m[0] * p["x"] + m[1] * p["y"] + m[2]).alias("x"), (m[3] * p["x"] + m[4] * p["y"] + m[5]).alias("y"))
+    return F.transform(points, lambda p: F.when(p["x"].isNotNull() & p["y"].isNotNull(), at(p)))
+
+
+def inverse(matrix: Column) -> Column:
+    """The inverse of an affine matrix of nine numbers; an error if it has none."""
+    a, b, c, d, e, f = (F.get(matrix, F.lit(i)) for i in range(6))
+    det = a * e - b * d
+    made = F.array(e / det, -b / det, (b * f - c * e) / det, -d / det, a / det, (c * d - a * f) / det, F.lit(0.0), F.lit(0.0), F.lit(1.0))
+    return F.when(F.abs(det) < 1e-12, F.raise_error(F.lit("the matrix has no inverse"))).when(det.isNotNull(), made)
+
+
+def from_upward(points: Column, height: Column) -> Column:
+    """Points of a table whose y runs up, in an image whose y runs down."""
+    return F.transform(points, lambda p: F.when(p["x"].isNotNull() & p["y"].isNotNull(), F.struct(p["x"].alias("x"), (height - 1 - p["y"]).alias("y"))))
+
+
+def landmark_block(points: Column, matrix: Column, confirmed: Column) -> Column:
+    """x, y, x, y, ... on the canvas, if no point is missing and the view is confirmed, else null: mirror images never mix."""
+    on = mapped(points, matrix)
+    whole = (F.size(points) > 0) & F.forall(on, lambda p: p["x"].isNotNull() & p["y"].isNotNull())
+    return F.when(F.coalesce(confirmed, F.lit(False)) & F.coalesce(whole, F.lit(False)), F.flatten(F.transform(on, lambda p: F.array(p["x"], p["y"]))))
+
+
 def first_middle_last(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
     """Of each group the first, middle and last row."""
     w = Window.partitionBy(*keys)

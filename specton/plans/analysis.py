@@ -182,7 +182,29 @@ def landmark_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return etl.landmark_lines(_rows(spark, sf_dir).select(F.concat(F.lit("v"), F.col("id").cast("string")).alias("file"), v.alias("points")), "points", "file", 19)
 
 
+def landmark_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """19 points of every vector, the first missing where its x is negative, through a similarity of four more components; labelled rows
+    count as confirmed."""
+    e = lambda i: F.get("embedding", F.lit(i) if isinstance(i, int) else i).cast("double")
+    points = F.transform(F.sequence(F.lit(0), F.lit(18)), lambda i: F.struct(F.when((i > 0) | (e(0) >= 0), e(2 * i)).alias("x"), e(2 * i + 1).alias("y")))
+    matrix = F.array(e(38) + 2, -e(39), e(40), e(39), e(38) + 2, e(41), F.lit(0.0), F.lit(0.0), F.lit(1.0))
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").where("embedding IS NOT NULL")
+    block = rows.select("vec_id", etl.landmark_block(points, matrix, F.col("label").isNotNull()).alias("block"))
+    total = F.aggregate("block", F.lit(0.0), lambda a, x: a + x)
+    return block.select("vec_id", F.when(F.col("block").isNull(), 0).otherwise(F.size("block")).cast("long").alias("n"), F.round(F.get("block", F.lit(0)), 6).alias("first_x"), F.round(F.get("block", F.lit(37)), 6).alias("last_y"), F.round(total, 4).alias("total"))
+
+
+BLOCKS_SQL = """
+WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings WHERE embedding IS NOT NULL),
+p AS (SELECT e.*, CAST(i AS INTEGER) AS i, CASE WHEN i > 0 OR v[1] >= 0 THEN v[2 * i + 1] END AS x, v[2 * i + 2] AS y FROM e, range(19) AS r(i)),
+c AS (SELECT vec_id, label, i, (v[39] + 2) * x - v[40] * y + v[41] AS cx, v[40] * x + (v[39] + 2) * y + v[42] AS cy FROM p),
+b AS (SELECT vec_id, count(cx) = 19 AND count(cy) = 19 AND max(label) IS NOT NULL AS whole, max(CASE WHEN i = 0 THEN cx END) AS fx, max(CASE WHEN i = 18 THEN cy END) AS ly, sum(cx) + sum(cy) AS total FROM c GROUP BY vec_id)
+SELECT vec_id, CAST(CASE WHEN whole THEN 38 ELSE 0 END AS BIGINT) AS n, CASE WHEN whole THEN round(fx, 6) END AS first_x, CASE WHEN whole THEN round(ly, 6) END AS last_y, CASE WHEN whole THEN round(total, 4) END AS total FROM b
+"""
+
+
 QUERIES = {
+    "landmark_blocks": (landmark_blocks, BLOCKS_SQL),
     "sparse_tags": (sparse_tags, None), "dense_tags": (dense_tags, None), "shape_distances": (shape_distances, None), "walk_traces": (walk_traces, TRACES_SQL),
     "sampled_walks": (sampled_walks, WALKS_SQL), "walk_options": (walk_options, OPTIONS_SQL), "graph_reservoir": (graph_reservoir, RESERVOIR_SQL),
     "bootstrap_interval": (bootstrap_interval, None), "landmark_lines": (landmark_lines, None),

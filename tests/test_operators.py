@@ -227,3 +227,15 @@ def test_walk_by_joins_equals_the_local_walk(spark):
     got = {(r.query, r.node): r.p for r in graph.walk(b, o, starts, steps=9).collect() if r.p > 0}
     want = {(r.query, r.node): r.p for r in want.collect()}
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+
+
+def test_landmark_blocks(spark):
+    rows = [(1, [(1.0, 2.0), (3.0, 4.0)], [0.0, -2.0, 5.0, 2.0, 0.0, 1.0, 0.0, 0.0, 1.0], True), (2, [(1.0, 2.0), None], [1.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 1.0], True), (3, [(1.0, None)], None, None), (4, [], [1.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 1.0], True), (5, None, None, True), (6, [(1.0, 2.0)], [1.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 1.0], False)]
+    df = spark.createDataFrame(rows, "id int, points array<struct<x double, y double>>, matrix array<double>, confirmed boolean")
+    got = df.select("id", etl.landmark_block(F.col("points"), F.col("matrix"), F.col("confirmed")).alias("b"), etl.mapped(etl.mapped(F.col("points"), F.col("matrix")), etl.inverse(F.col("matrix"))).alias("back"), etl.from_upward(F.col("points"), F.lit(10)).alias("down"))
+    out = {r.id: r for r in got.collect()}
+    assert out[1].b == [1.0, 3.0, -3.0, 7.0] and [out[i].b for i in range(2, 7)] == [None] * 5
+    assert [(p.x, p.y) for p in out[1].back] == [(1.0, 2.0), (3.0, 4.0)] and out[2].back[1] is None and out[5].back is None
+    assert [(p.x, p.y) for p in out[1].down] == [(1.0, 7.0), (3.0, 5.0)] and out[2].down[1] is None and out[3].down == [None]
+    with pytest.raises(Exception, match="no inverse"):
+        spark.sql("SELECT array(1.0D, 2.0D, 0.0D, 2.0D, 4.0D, 0.0D, 0.0D, 0.0D, 1.0D) AS m").select(etl.inverse(F.col("m"))).collect()
