@@ -81,6 +81,15 @@ def test_reservoir(spark):
         assert np.allclose(got[i], sketch / (np.sqrt((sketch**2).sum()) or 1), atol=1e-12)
 
 
+def test_reservoir_spreads_nodes_not_rows(spark, monkeypatch):
+    """What is spread doesn't grow with the rows: no row takes part in a diffusion."""
+    monkeypatch.setattr(diffusion, "diffuse", None)
+    rows = spark.range(50).select("id", F.array(F.sin("id"), F.lit(None).cast("double"), F.cos("id")).alias("vector"))
+    edges = spark.createDataFrame([(0, 1, 5.0), (1, 2, 1.0), (2, 0, 2.0)], "src long, dst long, w double")
+    got = diffusion.reservoir(rows, edges, 4, bins=4).collect()
+    assert len(got) == 50 and all(abs(sum(x * x for x in r.sketch) - 1) < 1e-9 for r in got)
+
+
 def test_generator_as_columns(spark):
     rows = [(s, n) for s in (0, 1, 1337, 2**31, 2**32 - 1) for n in range(5)]
     got = {(r.s, r.n): r.u for r in spark.createDataFrame(rows, "s long, n long").select("s", "n", scalars.mulberry32_at(F.col("s"), F.col("n")).alias("u")).collect()}
