@@ -109,6 +109,18 @@ def test_left_out_scores_equal_refits(spark, monkeypatch, views, block):
     assert {r.group for r in lone.where("scores IS NULL").join(df.select("id", "group"), "id").collect()} == {"c0"}
 
 
+def test_left_out_scores_by_moments_and_by_pairs(spark, monkeypatch):
+    """Moments give what pairs of blocks give, and then no row meets another."""
+    df = spark.createDataFrame(made(8, dims=6, views=2), ROWS).repartition(3)
+    read = lambda: {r.id: r.scores for r in discriminant.left_out_scores(df).collect()}
+    with monkeypatch.context() as m:
+        m.setattr(discriminant, "_with_quartics", None)
+        a = read()
+    monkeypatch.setattr(discriminant, "MOMENTS", 0)
+    b = read()
+    assert a.keys() == b.keys() and all(np.allclose(a[k], b[k], rtol=1e-9) for k in a)
+
+
 def test_temperature(spark):
     r = np.random.default_rng(2)
     scores, truth = r.normal(0, 6, (200, 3)), r.integers(0, 3, 200)
