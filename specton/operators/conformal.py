@@ -30,7 +30,7 @@ def jackknife(rows: DataFrame, metric: str = "cosine", m: int = NEAREST) -> Data
     """group, label, score: each group scored against its own label with all its rows left out, so that views can't vouch for
     one another. A heuristic: sets from it aren't valid. A label's only group has no score. rows: id, group, label, vector."""
     own = rows.select(F.col("id").alias("query_id"), "group", F.col("label").alias("truth"))
-    similar = group_similarities(rows, rows, m, metric, own_group=False)
+    similar = group_similarities(rows, rows, m, metric, own_group=False, own_label=True)
     scores = nonconformity(similar, m).join(own, "query_id").where("label = truth")
     return by_specimen(scores.select("group", "label", "score"))
 

@@ -239,3 +239,41 @@ def test_landmark_blocks(spark):
     assert [(p.x, p.y) for p in out[1].down] == [(1.0, 7.0), (3.0, 5.0)] and out[2].down[1] is None and out[3].down == [None]
     with pytest.raises(Exception, match="no inverse"):
         spark.sql("SELECT array(1.0D, 2.0D, 0.0D, 2.0D, 4.0D, 0.0D, 0.0D, 0.0D, 1.0D) AS m").select(etl.inverse(F.col("m"))).collect()
+
+
+@pytest.mark.parametrize("metric", ["cosine", "euclidean"])
+def test_blocks_and_slices_keep_the_best(spark, monkeypatch, metric):
+    """Small blocks and slices, many ties, a vector that isn't a number; lists are as short as they are asked to be."""
+    monkeypatch.setattr(similarity, "WIDE", 7)
+    monkeypatch.setattr(similarity, "BLOCK", 9)
+    monkeypatch.setattr(similarity, "SLICE", 20)
+    r = np.random.default_rng(3)
+    v = r.integers(-1, 2, (40, 3)).astype(float) + 0.25
+    rows = [(i, f"g{i // 2}", "ab"[i // 2 % 2], v[i].tolist()) for i in range(40)]
+    df = spark.createDataFrame(rows, "id long, group string, label string, vector array<double>")
+    s = similarity._similarities(v, v, metric)
+    wide = (v @ v.T / np.sqrt((v * v).sum(1)[:, None] * (v * v).sum(1)) if metric == "cosine" else -np.sqrt(((v[:, None] - v[None]) ** 2).sum(2))).astype(np.float32)
+    assert np.allclose(s, wide, atol=1e-6)
+    near = {}
+    for x in similarity.neighbours(df, df, 4, metric, exclude="group").orderBy("rank").collect():
+        near.setdefault(x.query_id, []).append(x.ref_id)
+    for i in range(40):
+        assert near[i] == sorted((j for j in range(40) if j // 2 != i // 2), key=lambda j: (-wide[i, j], j))[:4]
+    lists = similarity.group_similarities(df, df, 1, metric, overall=3)
+    own = similarity.group_similarities(df, df, 2, metric, own_label=True)
+    assert own.join(df.select(F.col("id").alias("query_id"), F.col("label").alias("l")), "query_id").where("l <> label").count() == 0
+    found, labelled = {}, {}
+    for x in lists.collect():
+        found.setdefault(x.query_id, []).append((-x.similarity, x.group))
+    for x in own.collect():
+        labelled.setdefault(x.query_id, []).append((-x.similarity, x.group))
+    for i in range(40):
+        best = {}
+        for j in range(40):
+            if j != i:
+                best[f"g{j // 2}"] = max(best.get(f"g{j // 2}", -np.inf), wide[i, j])
+        order = sorted(best, key=lambda g: (-best[g], g))
+        same = [g for g in order if int(g[1:]) % 2 == i // 2 % 2]
+        assert [g for _, g in sorted(found[i])][:3] == order[:3] and [g for _, g in sorted(labelled[i])][:2] == same[:2]
+    nan = df.withColumn("vector", F.when(F.col("id") == 3, F.array(*[F.lit(float("nan"))] * 3)).otherwise(F.col("vector")))
+    assert similarity.neighbours(nan, nan, 2, metric).count() == 80
