@@ -166,8 +166,7 @@ def score(spaces: Spaces, rows: DataFrame, methods: tuple[str, ...] = METHODS, k
     """Every method's label scores of rows (key, id, group, label, vector)."""
     aligned = cut(spaces.aligned(_typed(rows)))
     z = cut(spaces.standardized(aligned))
-    most = max(k, conformal.NEAREST)
-    near = cut(similarity.group_similarities(z, spaces.references, most, "euclidean", "key"))
+    near = cut(similarity.group_similarities(z, spaces.references, conformal.NEAREST, "euclidean", "key", overall=k))
     by = ["key", "query_id"]
     tag = lambda name, own: own.select(F.lit(name).alias("method"), "key", "query_id", "label", "score")
     parts = []
@@ -175,7 +174,7 @@ def score(spaces: Spaces, rows: DataFrame, methods: tuple[str, ...] = METHODS, k
         parts.append(tag("distance", similarity.votes(near, spaces.sizes, k, similarity.distance_weight(), by)))
     cosine = None
     if {"knn", "walk"} & set(methods):
-        cosine = cut(similarity.group_similarities(z, spaces.references, max(k, NEAREST), "cosine", "key"))
+        cosine = cut(similarity.group_similarities(z, spaces.references, 0, "cosine", "key", overall=max(k, NEAREST)))
     if "walk" in methods:
         parts.append(tag("walk", walk_scores(spaces, z, cosine)))
     if "knn" in methods:
@@ -201,11 +200,11 @@ def _nearest(near: DataFrame, k: int) -> DataFrame:
 
 def walk_scores(spaces: Spaces, z: DataFrame, cosine: DataFrame, k: int = NEAREST) -> DataFrame:
     """key, query_id, label, score: each label's mass over its size after a walk with restart from every query, which is a node of its own in
-    the similarity graph of its key's prototypes. z: key, id, vector; cosine: the k most similar groups of each label and query."""
+    the similarity graph of its key's prototypes. z: key, id, vector; cosine: the k most similar groups of each query."""
     # A group is a node of its own under each key.
     node = lambda c: F.xxhash64("key", c).bitwiseAND(F.lit((1 << 62) - 1))
     refs = spaces.references
-    base = cut(_nearest(similarity.group_similarities(refs, refs, k, "cosine", "key"), k).join(refs.select("key", F.col("id").alias("query_id"), F.col("group").alias("of")), ["key", "query_id"]))
+    base = cut(_nearest(similarity.group_similarities(refs, refs, 0, "cosine", "key", overall=k), k).join(refs.select("key", F.col("id").alias("query_id"), F.col("group").alias("of")), ["key", "query_id"]))
     edges = base.select("key", node("of").alias("query_id"), node("group").alias("ref_id"), "similarity", "rank")
     bars = base.groupBy("key", F.col("query_id").alias("id")).agg(F.when(F.count("*") >= k, F.min("similarity")).alias("bar"))
     closer = similarity.pairs_above(z, refs.join(bars, ["key", "id"], "left"), "cosine", "key")
@@ -214,9 +213,9 @@ def walk_scores(spaces: Spaces, z: DataFrame, cosine: DataFrame, k: int = NEARES
     asked = closer.join(names, ["key", "ref_id"]).select("key", "query_id", "group", "similarity").unionByName(own).groupBy("key", "query_id", "group").agg(F.max("similarity").alias("similarity"))
     # A row is asked under one key, so its id names the walk.
     rows = graph.with_queries(edges, cut(asked.select(F.col("query_id").alias("query"), node("group").alias("ref_id"), "similarity")), k)
-    starts = own.select(F.col("query_id").alias("id")).distinct().select("id", F.lit(-1).cast("long").alias("node"), F.lit(1.0).alias("value"))
-    state, places = diffusion.diffuse(graph.neighbour_transitions(edges, k), starts, graph.STEPS, graph.RESTART, rows.select(F.col("query").alias("id"), "src", "dst", "p"))
-    mass = diffusion.read(state, places, refs.select(node("group").alias("node"), "label"), "label")
+    starts = own.select("key", F.col("query_id").alias("id")).distinct().select("key", "id", F.lit(-1).cast("long").alias("node"), F.lit(1.0).alias("value"))
+    ways = graph.neighbour_transitions(edges, k).join(refs.select("key", node("group").alias("src")), "src")
+    mass = diffusion.gathered(ways, starts, refs.select(node("group").alias("node"), "label"), "label", graph.STEPS, graph.RESTART, rows.select(F.col("query").alias("id"), "src", "dst", "p"), "key")
     keys = z.select("key", F.col("id").alias("query_id"))
     by = mass.withColumnRenamed("id", "query_id").join(keys, "query_id").join(spaces.sizes, ["key", "label"]).withColumn("s", F.col("value") / F.col("size"))
     return by.withColumn("score", F.col("s") / F.sum("s").over(Window.partitionBy("key", "query_id"))).where("score > 0").select("key", "query_id", "label", "score")
@@ -233,7 +232,7 @@ def calibration_scores(spaces: Spaces, rows: DataFrame) -> DataFrame:
     group, label, vector."""
     z = spaces.standardized(spaces.aligned(_typed(rows)))
     own = z.select("key", F.col("id").alias("query_id"), "group", F.col("label").alias("truth"))
-    similar = similarity.group_similarities(z, spaces.references, conformal.NEAREST, "euclidean", "key")
+    similar = similarity.group_similarities(z, spaces.references, conformal.NEAREST, "euclidean", "key", own_label=True)
     scores = conformal.nonconformity(similar, key=["key"]).join(own, ["key", "query_id"]).where("label = truth")
     return conformal.by_specimen(scores.select("key", "group", "label", "score"), ["key"])
 

@@ -61,6 +61,33 @@ def test_diffusion_equals_products(spark, monkeypatch, width, chunk, once):
         assert np.allclose(got[v], at, atol=1e-12), v
 
 
+@pytest.mark.parametrize(("slab", "wide"), [(1 << 17, 256), (1 << 17, 2), (5, 256)])
+def test_gathered_equals_products(spark, monkeypatch, slab, wide):
+    """Graphs of two parts, rows changed for single vectors, names of several nodes, in one task a block or over many."""
+    monkeypatch.setattr(diffusion, "SLAB", slab)
+    monkeypatch.setattr(diffusion, "WIDTH", min(wide, 64))
+    monkeypatch.setattr(diffusion, "WIDEST", wide)
+    one, two = made_graph(), [(i + 100, j + 100, w) for i, j, w in made_graph(12, 4)]
+    edges = spark.createDataFrame([("a", *e) for e in one] + [("b", *e) for e in two], f"key string, {EDGES}").repartition(4)
+    starts = spark.createDataFrame([("a", v, v, 1.0) for v in range(7)] + [("b", v, -1, 1.0) for v in range(7, 12)], "key string, id long, node long, value double")
+    own = [(3, 5, 29, 0.25), (3, 5, 2, 0.75), (3, 29, 1, 1.0), *[x for v in range(7, 12) for x in ((v, -1, 100 + v, 1.0), (v, 105, -1, 0.5), (v, 105, 101, 0.5))]]
+    names = spark.createDataFrame([(i, f"n{i % 3}") for i in [*range(30), *range(100, 112)]], "node long, name string")
+    got = {(r.id, r.name): r.value for r in diffusion.gathered(edges, starts, names, "name", 7, 0.3, spark.createDataFrame(own, "id long, src long, dst long, p double"), "key").collect()}
+    for v in range(12):
+        at, n = ({i: i for i in range(30)}, 30) if v < 7 else ({**{100 + i: i for i in range(12)}, -1: 12}, 13)
+        p = matrix([(at[i], at[j], w) for i, j, w in (one if v < 7 else two)], n)
+        for src in {s for i, s, _, _ in own if i == v}:
+            p[at[src]] = 0
+            for _, _, j, w in [x for x in own if x[:2] == (v, src)]:
+                p[at[src], at[j]] = w
+        first = np.eye(n)[v if v < 7 else 12]
+        x = first
+        for _ in range(7):
+            x = 0.3 * first + 0.7 * x @ p
+        for k in range(3):
+            assert abs(got.get((v, f"n{k}"), 0) - sum(x[i] for node, i in at.items() if node >= 0 and node % 3 == k)) < 1e-12
+
+
 def test_reservoir(spark):
     edges = [(0, 1, 5.0), (1, 2, 1.0), (1, 0, 3.0), (2, 3, 2.0), (9, 0, 1.0), (0, 9, 1.0), (2, 2, -1.0), (3, 0, float("inf"))]
     rows = [(1, [0.2, -0.4, 1.0]), (2, [0.0, 0.0, 0.0]), (3, [-1.0, 5.0, 0.0])]
