@@ -13,6 +13,8 @@ from specton.functions.scalars import mulberry32
 
 #: Cells, inputs of a cell, share of active cells.
 CELLS, FAN_IN, ACTIVE = 2048, 6, 0.05
+#: Rows projected at once, so that memory doesn't follow the batches.
+AT_ONCE = 128
 
 
 def sparse_projection(dims: int, cells: int = CELLS, fan_in: int = FAN_IN, seed: int = 1337) -> np.ndarray:
@@ -55,9 +57,12 @@ def tags(rows: DataFrame, projection: np.ndarray, vector: str = "vector", share:
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in batches:
-            x = np.stack([np.asarray(v, float) for v in s]) if len(s) else np.zeros((0, 1))
-            a = x[:, projection].sum(2) if sparse and len(s) else x @ projection.T if len(s) else x
-            yield pd.Series([np.flatnonzero(t).astype(np.int32) for t in winners(a, share)] if len(s) else [])
+            found: list[np.ndarray] = []
+            for k in range(0, len(s), AT_ONCE):
+                x = np.stack([np.asarray(v, float) for v in s.iloc[k : k + AT_ONCE]])
+                a = x[:, projection].sum(2) if sparse else x @ projection.T
+                found += [np.flatnonzero(t).astype(np.int32) for t in winners(a, share)]
+            yield pd.Series(found)
 
     tag = F.pandas_udf(run, "array<int>")
     return rows.withColumn("tag", tag(F.col(vector).cast("array<double>")))

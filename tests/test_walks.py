@@ -203,3 +203,23 @@ def test_projections_follow_their_seed():
     near, far = a + np.array([(next(draws) - 0.5) * 0.05 for _ in range(32)]), np.array([next(draws) - 0.5 for _ in range(32)])
     cosine = lambda x, y: x @ y / np.sqrt((x @ x) * (y @ y))
     assert cosine(embed(a), embed(near)) > cosine(embed(a), embed(far)) + 0.3
+
+
+@pytest.mark.parametrize("kind", ["sparse", "dense"])
+def test_tags_are_made_by_slices(spark, monkeypatch, kind):
+    """No more rows at once than a slice has, whatever a batch holds."""
+    p = projection.sparse_projection(8, 40, 3) if kind == "sparse" else projection.dense_projection(8, 40)
+    whole = projection.winners
+    monkeypatch.setattr(projection, "AT_ONCE", 7)
+
+    def few(a, share):
+        assert len(a) <= 7
+        return whole(a, share)
+
+    monkeypatch.setattr(projection, "winners", few)
+    v = np.random.default_rng(5).normal(size=(50, 8))
+    rows = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, vector array<double>").coalesce(1)
+    got = {r.id: r.tag for r in projection.tags(rows, p).collect()}
+    for i in range(50):
+        a = v[i][p].sum(1) if kind == "sparse" else p @ v[i]
+        assert got[i] == np.flatnonzero(whole(a[None])[0]).tolist()
