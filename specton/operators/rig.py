@@ -66,9 +66,10 @@ def _profile(rig: str, modality: str, kind: str, bg: dict, card: dict | None, an
 
 
 def options(images: DataFrame, profile: DataFrame) -> DataFrame:
-    """The images (rig, modality, width, height, ...) with profile, a struct that is null if there is none of their size, and note."""
+    """The images (rig, modality, width, height, ...) with profile, a struct that is null if there is none of their size, and note.
+    Profiles are a row a rig and modality, and are sent to the images, which would otherwise meet by rig in a few tasks."""
     found = profile.select(F.col("rig"), F.col("modality"), F.struct(*[c.split()[0] for c in PROFILE.split(", ")]).alias("profile"))
-    joined = images.join(found, ["rig", "modality"], "left")
+    joined = images.join(F.broadcast(found), ["rig", "modality"], "left")
     fits = (F.col("profile.width") == F.col("width")) & (F.col("profile.height") == F.col("height"))
     note = F.when(F.col("rig").isNull() | F.col("modality").isNull() | F.col("profile").isNull(), "no profile").when(~fits, "another size")
     return joined.withColumn("note", note).withColumn("profile", F.when(fits, F.col("profile")))

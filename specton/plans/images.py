@@ -22,6 +22,13 @@ def spread(rows: DataFrame) -> DataFrame:
     return rows.repartition(max(1, -(-rows.count() // IMAGES_A_TASK)), "id")
 
 
+def spread_by_rig(rows: DataFrame) -> DataFrame:
+    """The rows (id, rig, ...) in parts by their number, each of few rigs, so that few tasks have sums of one."""
+    n, rigs = rows.agg(F.count("*"), F.count_distinct("rig")).first()
+    parts = max(1, -(-n // IMAGES_A_TASK))
+    return rows.repartition(parts, "rig", F.pmod(F.xxhash64("id"), F.lit(max(1, parts // max(1, rigs)))))
+
+
 def light(side: int) -> np.ndarray:
     """Light that falls off to the corners, with a colour cast and a speck of dust."""
     y, x = np.mgrid[0:side, 0:side].astype(float)
@@ -76,14 +83,14 @@ def empty_frames(rows: DataFrame, side: int = SIDE) -> DataFrame:
 
 
 def rig_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = rig.profiles(empty_frames(_rows(spark, sf_dir)))
+    out = rig.profiles(empty_frames(spread_by_rig(_rows(spark, sf_dir))))
     return out.select("rig", "frames", *[F.round(c, 3).alias(c) for c in ("noise", "target", "red", "green", "blue", "limit")])
 
 
 def rig_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every drawn image under the profile of its rig."""
     rows = _rows(spark, sf_dir)
-    out = rig.preprocess(drawn(rows), rig.profiles(empty_frames(rows)))
+    out = rig.preprocess(drawn(spread(rows)), rig.profiles(empty_frames(spread_by_rig(rows))))
     return out.select("path", "status", "method", "drift", "area", F.round("length_mm", 3).alias("length_mm"), F.round("area_mm2", 3).alias("area_mm2"), "reliable")
 
 

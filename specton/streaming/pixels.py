@@ -24,6 +24,8 @@ from specton.operators.similarity import order_statistic
 
 #: Pixels of a tile, sampled pixels of a frame at least, tiles held at once.
 TILE, SAMPLES, HELD = 1 << 16, 20_000, 64
+#: Parts of a tile's partial sums that are added up before the whole.
+MERGED = 16
 _SUMS = "session string, tile int, width int, height int, n long, total binary, s1 binary, s2 binary"
 _STATE = "width int, height int, n long, total binary, s1 binary, s2 binary"
 
@@ -100,8 +102,9 @@ def merged(parts: DataFrame) -> DataFrame:
         first = pdf.iloc[0]
         return pd.DataFrame([_row(first.session, first.tile, first.width, first.height, *total)], columns=pdf.columns)
 
-    # A group is the partial sums of one tile: a row for each task that saw it.
-    return parts.groupBy("session", "tile").applyInPandas(add, _SUMS)
+    # A group is the partial sums of one tile: a row for each task that saw it, so they are added up in two rounds.
+    some = parts.groupBy("session", "tile", F.pmod(F.xxhash64("s1", "n"), F.lit(MERGED))).applyInPandas(add, _SUMS)
+    return some.groupBy("session", "tile").applyInPandas(add, _SUMS)
 
 
 def noise(tiles: DataFrame) -> DataFrame:

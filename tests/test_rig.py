@@ -117,3 +117,22 @@ def test_components_equal_a_flood_fill():
                         want[i, j] = k
                         todo += [(i + 1, j), (i - 1, j), (i, j + 1), (i, j - 1)]
         assert n == k and (label == want).all()
+
+
+def test_images_dont_meet_by_rig(spark):
+    """Images stay where they are, and frames lie in parts by number with few rigs each."""
+    from specton.plans import images as plans
+
+    own = spark.range(2000).select(F.col("id"), F.pmod("id", F.lit(4)).cast("string").alias("rig"), F.array(F.lit(0.1)).alias("v"))
+    parts = plans.spread_by_rig(own).withColumn("p", F.spark_partition_id())
+    assert parts.groupBy("p").agg(F.count_distinct("rig").alias("n")).agg(F.max("n")).first()[0] <= 4 and parts.rdd.getNumPartitions() == 8
+    assert parts.groupBy("rig").agg(F.count_distinct("p").alias("n")).agg(F.max("n")).first()[0] <= 2
+    profile = spark.createDataFrame([], rig.PROFILE).repartition(2)
+    images = own.select("rig", F.lit("m").alias("modality"), F.lit(1).alias("width"), F.lit(1).alias("height"))
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = rig.options(images, profile)._jdf.queryExecution().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
