@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import uuid
 from dataclasses import dataclass, replace
+from functools import partial
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Row, SparkSession
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 from specton.functions.shape import Lda, Pca, ShapeLda
 from specton.functions.vectors import doubles
 from specton.operators import conformal, discriminant, evaluate, folds, model, references
-from specton.operators.lineage import cut
+from specton.operators.lineage import at_once, cut
 from specton.operators.references import ContractError, assert_none
 
 #: Fixed values of the contract.
@@ -75,50 +76,61 @@ def freeze(rows: DataFrame, layout: model.Layout, name: str = "model", id: str |
     """Fit, calibrate and evaluate on rows (id, group, label, vector; series, sex and source_hash if there are any). Without a chosen
     method landmarks are scored by discriminants and anything else by distance."""
     spark = rows.sparkSession
-    rows = cut(model.check(rows.withColumn("vector", doubles("vector")).withColumn("group", F.col("group").cast("string")).withColumn("label", F.col("label").cast("string"))))
-    _check_vectors(rows, layout)
+    rows = cut(rows.withColumn("vector", doubles("vector")).withColumn("group", F.col("group").cast("string")).withColumn("label", F.col("label").cast("string")))
+    at_once(lambda: model.check(rows), lambda: _check_vectors(rows, layout))
     own = cut(distinct_views(rows))
     views = own.select("id", "group", "label", "vector")
     with_lda = layout.landmarks > 0
-    held = model.fold_held(views, folds_)
-    evaluation = cut(model.method_summary(model.evaluate_held(views, held, model.METHODS if with_lda else ("distance", "knn", "walk"), layout).predictions))
+    calibrates, proto = at_once(
+        lambda: cut(folds.with_calibration(views.select("group", "label").distinct(), ["label"]).where("held").select("group")),
+        lambda: cut(model.group_prototypes(views, layout)),
+    )
     chosen = primary or ("lda" if with_lda else "distance")
-    if not evaluation.where((F.col("method") == chosen) & (F.col("evaluated") > 0)).limit(1).count():
-        raise ContractError(f"no fold can be evaluated by {chosen}: more groups of each label are needed")
-    fitted = model.fit(views, layout=layout, lda=False)
-    spaces = fitted.spaces
+
+    def evaluated() -> DataFrame:
+        found = model.evaluate_held(views, model.fold_held(views, folds_), model.METHODS if with_lda else ("distance", "knn", "walk"), layout, proto=proto)
+        out = cut(model.method_summary(found.predictions))
+        if not out.where((F.col("method") == chosen) & (F.col("evaluated") > 0)).limit(1).count():
+            raise ContractError(f"no fold can be evaluated by {chosen}: more groups of each label are needed")
+        return out
+
+    ready = references.readiness(rows.select("label", "group", _column(rows, "series"), F.lit(1 if with_lda else None).alias("landmarks"), _column(rows, "sex")), "label", "group", "series", "landmarks", "sex")
+    role = F.when(F.col("_c").isNotNull(), "calibration").otherwise("training")
+    provenance = own.join(calibrates.withColumn("_c", F.lit(True)), "group", "left").select("id", "group", _column(own, "series"), _column(own, "source_hash"), "view", role.alias("role"))
+    evaluation, (values, refs, calibration), provenance, ready = at_once(evaluated, lambda: _fitted(views, proto, calibrates, layout), lambda: cut(provenance), lambda: cut(ready))
+    row = Row(
+        version=VERSION, id=id or uuid.uuid4().hex, name=name, feature_version=feature_version, preprocessing_version=preprocessing_version, landmark_scheme=scheme,
+        blocks=[Row(block=b, dim=n) for b, n in layout.blocks], policy=POLICY, protocol=PROTOCOL, metric=METRIC, primary=chosen,
+        primary_policy="chosen" if primary else "landmarks-first-distance-fallback", classifier=Row(**CLASSIFIER), **values,
+        n_references=refs.count(), n_calibration=calibration.count(), n_rows=own.count(), fingerprint=_fingerprint(refs, calibration),
+    )
+    return Frozen(spark.createDataFrame([row], SCHEMA), refs, calibration, provenance, evaluation, ready)
+
+
+def _fitted(views: DataFrame, proto: DataFrame, calibrates: DataFrame, layout: model.Layout) -> tuple[dict, DataFrame, DataFrame]:
+    """The packed parameters as the document names them, the references and the calibration scores."""
+    training = cut(proto.join(calibrates, "group", "left_anti").withColumn("key", F.lit(model.ONLY)))
+    spaces = model.fit_spaces(training, layout, lda=False)
+    if not spaces.params:
+        raise ContractError("no dimension varies")
     mean, sd, weight = (np.asarray(x, np.float32).astype(float) for x in spaces.params[model.ONLY])
     shape = spaces.shapes.get(model.ONLY)
     shape = None if shape is None else np.asarray(shape, np.float32).astype(float)
     spaces = replace(spaces, params={model.ONLY: (mean, np.where(weight == 0, 0.0, sd), weight)}, shapes={} if shape is None else {model.ONLY: shape})
-    groups = views.select("group", "label").distinct()
-    calibrates = cut(folds.with_calibration(groups, ["label"]).where("held").select("group"))
-    training = model.group_prototypes(views.join(calibrates, "group", "left_anti"), layout).withColumn("key", F.lit(model.ONLY))
     aligned = cut(spaces.aligned(model._typed(training, "views")))
     lda = None
-    if with_lda:
+    if layout.landmarks:
         m, t = discriminant.calibrated(aligned.select("id", "group", "label", F.slice("vector", 1, layout.landmarks).alias("vector")))
         lda = Row(labels=m.lda.labels, mean=_floats(m.pca.mean), basis=[_floats(b) for b in m.pca.basis.T], explained=m.pca.explained.tolist(), weights=[_floats(w) for w in m.lda.weights], offsets=m.lda.offsets.tolist(), temperature=t.value, share=m.lda.share)
     refs = cut(spaces.standardized(aligned).select("id", "group", "label", "views", F.col("vector").cast("array<float>").alias("vector")))
     spaces = replace(spaces, references=refs.withColumn("key", F.lit(model.ONLY)))
     calibration = cut(model.calibration_scores(spaces, views.join(calibrates, "group").withColumn("key", F.lit(model.ONLY))).select("group", "label", "score"))
-    role = F.when(F.col("_c").isNotNull(), "calibration").otherwise("training")
-    provenance = own.join(calibrates.withColumn("_c", F.lit(True)), "group", "left").select("id", "group", _column(own, "series"), _column(own, "source_hash"), "view", role.alias("role"))
-    ready = references.readiness(rows.select("label", "group", _column(rows, "series"), F.lit(1 if with_lda else None).alias("landmarks"), _column(rows, "sex")), "label", "group", "series", "landmarks", "sex")
-    row = Row(
-        version=VERSION, id=id or uuid.uuid4().hex, name=name, feature_version=feature_version, preprocessing_version=preprocessing_version, landmark_scheme=scheme,
-        blocks=[Row(block=b, dim=n) for b, n in layout.blocks], policy=POLICY, protocol=PROTOCOL, metric=METRIC, primary=chosen,
-        primary_policy="chosen" if primary else "landmarks-first-distance-fallback", classifier=Row(**CLASSIFIER),
-        mean=_floats(mean), sd=_floats(np.where(weight == 0, 0.0, sd)), weight=_floats(weight), landmark_mean=_floats(shape), lda=lda,
-        n_references=refs.count(), n_calibration=calibration.count(), n_rows=own.count(), fingerprint=_fingerprint(refs, calibration),
-    )
-    return Frozen(spark.createDataFrame([row], SCHEMA), refs, calibration, cut(provenance), evaluation, cut(ready))
+    return {"mean": _floats(mean), "sd": _floats(np.where(weight == 0, 0.0, sd)), "weight": _floats(weight), "landmark_mean": _floats(shape), "lda": lda}, refs, calibration
 
 
 def save(frozen: Frozen, path: str) -> None:
     """Write the tables to a new folder, the document last: without it a folder is no model."""
-    for name in TABLES:
-        getattr(frozen, name).write.parquet(f"{path}/{name}")
+    at_once(*(partial(getattr(frozen, name).write.parquet, f"{path}/{name}") for name in TABLES))
     frozen.document.coalesce(1).write.parquet(f"{path}/document")
 
 
@@ -225,11 +237,12 @@ def check_external(frozen: Frozen, rows: DataFrame) -> None:
     """A test row that shares its group, id, vector or source with any row behind the model is an error, and so are a source under
     two groups and rows without a label."""
     keyed = rows.withColumn("view", F.sha2(F.to_json(F.struct(doubles("vector").alias("vector"))), 256)).withColumn("group", F.col("group").cast("string"))
-    assert_none(keyed.agg(F.count_if(F.trim(F.coalesce(F.col("label").cast("string"), F.lit(""))) == "").alias("without_label"), (F.count("*") == 0).cast("int").alias("no_rows")))
+    broken = [keyed.agg(F.count_if(F.trim(F.coalesce(F.col("label").cast("string"), F.lit(""))) == "").alias("without_label"), (F.count("*") == 0).cast("int").alias("no_rows"))]
     for c in ("group", "id", "view", *(["source_hash"] if "source_hash" in rows.columns else [])):
-        assert_none(keyed.where(F.col(c).isNotNull()).join(frozen.provenance.select(c), c, "left_semi").agg(F.count("*").alias(f"shared_{c}")))
+        broken.append(keyed.where(F.col(c).isNotNull()).join(frozen.provenance.select(c), c, "left_semi").agg(F.count("*").alias(f"shared_{c}")))
     if "source_hash" in rows.columns:
-        assert_none(references.reused_sources(keyed.where("source_hash IS NOT NULL"), "source_hash", "group").agg(F.count("*").alias("sources_of_two_groups")))
+        broken.append(references.reused_sources(keyed.where("source_hash IS NOT NULL"), "source_hash", "group").agg(F.count("*").alias("sources_of_two_groups")))
+    at_once(*(partial(assert_none, b) for b in broken))
 
 
 @dataclass
@@ -265,4 +278,5 @@ def evaluate_external(frozen: Frozen, rows: DataFrame) -> Report:
         animal = p.join(views, "group").groupBy("group", "truth", "label").agg((F.sum("score") / F.max("v")).alias("score")).groupBy("group", "truth").agg(top.alias("b"))
         bins = evaluate.reliability(animal.select((-F.col("b.s")).alias("confidence"), (F.col("b.l") == F.col("truth")).cast("int").alias("hit")))
     valid = sets.join(known, "truth", "left_semi").select("group", "truth", "labels", "valid")
-    return Report(cut(model.method_summary(predictions)), cut(conformal.summarize(valid)), cut(novel), None if stats is None else cut(stats), None if bins is None else cut(bins))
+    tables = (model.method_summary(predictions), conformal.summarize(valid), novel, stats, bins)
+    return Report(*at_once(*(partial(lambda t: None if t is None else cut(t), t) for t in tables)))

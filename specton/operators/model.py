@@ -13,16 +13,17 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from specton.functions.shape import ShapeLda
 from specton.functions.vectors import doubles
 from specton.operators import conformal, diffusion, discriminant, evaluate, folds, graph, morphometrics, similarity
-from specton.operators.lineage import cut
+from specton.operators.lineage import at_once, cut
 from specton.operators.references import ContractError, assert_none, label_conflicts, prototypes, reused_sources
 from specton.operators.scatter import scatter
 
@@ -54,10 +55,11 @@ class Layout:
 
 def check(rows: DataFrame) -> DataFrame:
     """The training contract: ids, labels and groups, one label a group, no source under two groups."""
-    assert_none(rows.agg(F.count_if(F.col("id").isNull()).alias("without_id"), F.count_if(F.col("group").isNull() | F.col("label").isNull()).alias("without_group_or_label"), (F.count("id") - F.count_distinct("id")).alias("repeated_ids"), F.greatest(2 - F.count_distinct("label"), F.lit(0)).alias("missing_labels")))
-    assert_none(label_conflicts(rows, "group", "label").agg(F.count("*").alias("groups_with_two_labels")))
+    own = rows.agg(F.count_if(F.col("id").isNull()).alias("without_id"), F.count_if(F.col("group").isNull() | F.col("label").isNull()).alias("without_group_or_label"), (F.count("id") - F.count_distinct("id")).alias("repeated_ids"), F.greatest(2 - F.count_distinct("label"), F.lit(0)).alias("missing_labels"))
+    broken = [own, label_conflicts(rows, "group", "label").agg(F.count("*").alias("groups_with_two_labels"))]
     if "source_hash" in rows.columns:
-        assert_none(reused_sources(rows.where("source_hash IS NOT NULL"), "source_hash", "group").agg(F.count("*").alias("sources_of_two_groups")))
+        broken.append(reused_sources(rows.where("source_hash IS NOT NULL"), "source_hash", "group").agg(F.count("*").alias("sources_of_two_groups")))
+    at_once(*(partial(assert_none, b) for b in broken))
     return rows
 
 
@@ -166,17 +168,26 @@ def score(spaces: Spaces, rows: DataFrame, methods: tuple[str, ...] = METHODS, k
     """Every method's label scores of rows (key, id, group, label, vector)."""
     aligned = cut(spaces.aligned(_typed(rows)))
     z = cut(spaces.standardized(aligned))
-    near = cut(similarity.group_similarities(z, spaces.references, conformal.NEAREST, "euclidean", "key", overall=k))
+    # Distances and the walk read nothing of each other.
+    distances = lambda: cut(similarity.group_similarities(z, spaces.references, conformal.NEAREST, "euclidean", "key", overall=k))
+
+    def cosines() -> tuple[DataFrame | None, DataFrame | None]:
+        if not {"knn", "walk"} & set(methods):
+            return None, None
+        nearest = lambda: cut(similarity.group_similarities(z, spaces.references, 0, "cosine", "key", overall=max(k, NEAREST)))
+        if "walk" not in methods:
+            return nearest(), None
+        cosine, graph_ = at_once(nearest, lambda: _reference_graph(spaces, z))
+        return cosine, walk_scores(spaces, z, cosine, graph_)
+
+    near, (cosine, walked) = at_once(distances, cosines)
     by = ["key", "query_id"]
     tag = lambda name, own: own.select(F.lit(name).alias("method"), "key", "query_id", "label", "score")
     parts = []
     if "distance" in methods:
         parts.append(tag("distance", similarity.votes(near, spaces.sizes, k, similarity.distance_weight(), by)))
-    cosine = None
-    if {"knn", "walk"} & set(methods):
-        cosine = cut(similarity.group_similarities(z, spaces.references, 0, "cosine", "key", overall=max(k, NEAREST)))
-    if "walk" in methods:
-        parts.append(tag("walk", walk_scores(spaces, z, cosine)))
+    if walked is not None:
+        parts.append(tag("walk", walked))
     if "knn" in methods:
         parts.append(tag("knn", similarity.votes(cosine, spaces.sizes, k, similarity.cosine_weight(), by)))
     if "lda" in methods and spaces.discriminants:
@@ -198,24 +209,33 @@ def _nearest(near: DataFrame, k: int) -> DataFrame:
     return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def walk_scores(spaces: Spaces, z: DataFrame, cosine: DataFrame, k: int = NEAREST) -> DataFrame:
-    """key, query_id, label, score: each label's mass over its size after a walk with restart from every query, which is a node of its own in
-    the similarity graph of its key's prototypes. z: key, id, vector; cosine: the k most similar groups of each query."""
-    # A group is a node of its own under each key.
-    node = lambda c: F.xxhash64("key", c).bitwiseAND(F.lit((1 << 62) - 1))
+def _node(c: str) -> Column:
+    """A group is a node of its own under each key."""
+    return F.xxhash64("key", c).bitwiseAND(F.lit((1 << 62) - 1))
+
+
+def _reference_graph(spaces: Spaces, z: DataFrame, k: int = NEAREST) -> tuple[DataFrame, DataFrame]:
+    """The k nearest of each prototype under its key, and the prototypes that each row of z changes: it is nearer than their kth."""
     refs = spaces.references
     base = cut(_nearest(similarity.group_similarities(refs, refs, 0, "cosine", "key", overall=k), k).join(refs.select("key", F.col("id").alias("query_id"), F.col("group").alias("of")), ["key", "query_id"]))
-    edges = base.select("key", node("of").alias("query_id"), node("group").alias("ref_id"), "similarity", "rank")
+    edges = base.select("key", _node("of").alias("query_id"), _node("group").alias("ref_id"), "similarity", "rank")
     bars = base.groupBy("key", F.col("query_id").alias("id")).agg(F.when(F.count("*") >= k, F.min("similarity")).alias("bar"))
-    closer = similarity.pairs_above(z, refs.join(bars, ["key", "id"], "left"), "cosine", "key")
+    return edges, cut(similarity.pairs_above(z, refs.join(bars, ["key", "id"], "left"), "cosine", "key"))
+
+
+def walk_scores(spaces: Spaces, z: DataFrame, cosine: DataFrame, graph_: tuple[DataFrame, DataFrame] | None = None, k: int = NEAREST) -> DataFrame:
+    """key, query_id, label, score: each label's mass over its size after a walk with restart from every query, which is a node of its own in
+    the similarity graph of its key's prototypes. z: key, id, vector; cosine: the k most similar groups of each query."""
+    refs = spaces.references
+    edges, closer = graph_ or _reference_graph(spaces, z, k)
     names = refs.select("key", F.col("id").alias("ref_id"), "group")
     own = _nearest(cosine, k).select("key", "query_id", "group", "similarity")
     asked = closer.join(names, ["key", "ref_id"]).select("key", "query_id", "group", "similarity").unionByName(own).groupBy("key", "query_id", "group").agg(F.max("similarity").alias("similarity"))
     # A row is asked under one key, so its id names the walk.
-    rows = graph.with_queries(edges, cut(asked.select(F.col("query_id").alias("query"), node("group").alias("ref_id"), "similarity")), k)
+    rows = graph.with_queries(edges, cut(asked.select(F.col("query_id").alias("query"), _node("group").alias("ref_id"), "similarity")), k)
     starts = own.select("key", F.col("query_id").alias("id")).distinct().select("key", "id", F.lit(-1).cast("long").alias("node"), F.lit(1.0).alias("value"))
-    ways = graph.neighbour_transitions(edges, k).join(refs.select("key", node("group").alias("src")), "src")
-    mass = diffusion.gathered(ways, starts, refs.select(node("group").alias("node"), "label"), "label", graph.STEPS, graph.RESTART, rows.select(F.col("query").alias("id"), "src", "dst", "p"), "key")
+    ways = graph.neighbour_transitions(edges, k).join(refs.select("key", _node("group").alias("src")), "src")
+    mass = diffusion.gathered(ways, starts, refs.select(_node("group").alias("node"), "label"), "label", graph.STEPS, graph.RESTART, rows.select(F.col("query").alias("id"), "src", "dst", "p"), "key")
     keys = z.select("key", F.col("id").alias("query_id"))
     by = mass.withColumnRenamed("id", "query_id").join(keys, "query_id").join(spaces.sizes, ["key", "label"]).withColumn("s", F.col("value") / F.col("size"))
     return by.withColumn("score", F.col("s") / F.sum("s").over(Window.partitionBy("key", "query_id"))).where("score > 0").select("key", "query_id", "label", "score")
@@ -299,19 +319,18 @@ class Evaluation:
     sets: DataFrame  # query_id, group, truth, labels, uncalibrated, valid, unknown
 
 
-def evaluate_held(rows: DataFrame, held: DataFrame, methods: tuple[str, ...] = METHODS, layout: Layout | None = None, share: float = folds.SHARE) -> Evaluation:
+def evaluate_held(rows: DataFrame, held: DataFrame, methods: tuple[str, ...] = METHODS, layout: Layout | None = None, share: float = folds.SHARE, proto: DataFrame | None = None) -> Evaluation:
     """Predictions of every row by the pipeline of the groups that aren't held out with it. rows: id, group, label, vector; held:
     key, group. All keys are fitted and scored together. Keys whose other groups have one label score nothing; a label
-    without training groups under a key isn't evaluated there."""
+    without training groups under a key isn't evaluated there. proto: the rows' ``group_prototypes``, if there are any."""
     rows = cut(rows.withColumn("group", F.col("group").cast("string")).withColumn("label", F.col("label").cast("string")))
-    groups = rows.select("group", "label").distinct()
-    role = cut(folds.roles(groups, held.select(F.col("key").cast("string").alias("key"), F.col("group").cast("string").alias("group")), share))
-    proto = group_prototypes(rows, layout)
+    held = cut(held.select(F.col("key").cast("string").alias("key"), F.col("group").cast("string").alias("group")))
+    role = cut(folds.roles(rows.select("group", "label").distinct(), held, share))
+    proto = group_prototypes(rows, layout) if proto is None else proto
     of = lambda name: role.where(F.col("role") == name).select("key", "group")
     spaces = fit_spaces(proto.join(of("training"), "group"), layout, "lda" in methods)
     asked = cut(rows.join(of("test"), "group").join(spaces.sizes.select("key", "label"), ["key", "label"], "left_semi"))
-    found = score(spaces, asked, methods)
-    calibration = cut(calibration_scores(spaces, rows.join(of("calibration"), "group")))
+    found, calibration = at_once(lambda: score(spaces, asked, methods), lambda: cut(calibration_scores(spaces, rows.join(of("calibration"), "group"))))
     own = asked.select("key", F.col("id").alias("query_id"), "group", F.col("label").alias("truth"))
     scores = cut(found.methods)
     return Evaluation(best(scores).drop("score").join(own, ["key", "query_id"]), scores, sets_of(found.near, calibration).join(own.drop("key"), "query_id"))

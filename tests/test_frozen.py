@@ -1,6 +1,7 @@
 """Frozen models: written and read they score alike, every rule of the contract raises by name, and tests see no row twice."""
 
 import math
+import threading
 from dataclasses import replace
 
 import numpy as np
@@ -8,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from specton.operators import frozen, model
+from specton.operators.lineage import at_once
 from specton.operators.references import ContractError
 
 ROWS = "id long, group string, label string, vector array<double>"
@@ -199,3 +201,34 @@ def test_external_probabilities_are_told_by_group(spark, landmarks):
     assert got.reliability.agg(F.sum("n")).first()[0] == 10
     stats = got.calibration.first()
     assert 0 <= stats.brier <= 2 and abs(stats.top_probability - stats.hit) < 0.5
+
+
+def test_freezing_takes_few_jobs_side_by_side(spark):
+    sc = spark.sparkContext
+    sc.setJobGroup("freeze", "")
+    try:
+        frozen.freeze(spark.createDataFrame(rays(), ROWS), RAY)
+        jobs = sc.statusTracker().getJobIdsForGroup("freeze")
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    assert 0 < len(jobs) < 250  # 272 when every step waited for the one before
+
+
+def test_steps_at_once_run_together_and_the_first_error_comes_first(spark):
+    barrier, seen = threading.Barrier(3, timeout=60), []
+
+    def step(n, fails=False):
+        barrier.wait()
+        seen.append(spark.sparkContext.getLocalProperty("spark.test.own"))
+        if fails:
+            raise ValueError(str(n))
+        return spark.range(n).count()
+
+    spark.sparkContext.setLocalProperty("spark.test.own", "x")
+    try:
+        assert at_once(lambda: step(3), lambda: step(5), lambda: step(7)) == [3, 5, 7]
+        with pytest.raises(ValueError, match="5"):
+            at_once(lambda: step(3), lambda: step(5, True), lambda: step(7, True))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.test.own", None)
+    assert seen == ["x"] * 6
