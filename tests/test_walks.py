@@ -223,3 +223,16 @@ def test_tags_are_made_by_slices(spark, monkeypatch, kind):
     for i in range(50):
         a = v[i][p].sum(1) if kind == "sparse" else p @ v[i]
         assert got[i] == np.flatnonzero(whole(a[None])[0]).tolist()
+
+
+def test_tiles_sum_what_the_edges_do():
+    r = np.random.default_rng(4)
+    i, j, w, mass = r.integers(0, 50, 1000), np.sort(r.integers(0, 40, 1000)), r.random(1000), r.random((50, 6))
+    j[300:700] = 17
+    j.sort()
+    out, wanted = np.zeros((50, 6)), np.zeros((50, 6))
+    np.add.at(wanted, j, mass[i] * w[:, None])
+    for source, to, share in diffusion._tiles(i, j, w):
+        assert len(np.unique(to)) == len(to) and share.size <= diffusion.TILE**2
+        out[to] += share @ mass[source]
+    assert np.allclose(out, wanted, rtol=1e-13)
