@@ -40,11 +40,16 @@ def light(side: int) -> np.ndarray:
 def wing(v: np.ndarray, side: int) -> np.ndarray:
     """An elongated object, whose turn, place, size and waist come from four numbers."""
     a, dx, dy, s = np.tanh(v[:4])
-    y, x = np.mgrid[0:side, 0:side].astype(float)
+    at = np.arange(side, dtype=float)
+    x, y = (at - side / 2 - dx * side / 20)[None, :], (at - side / 2 - dy * side / 20)[:, None]
     k, c, n = side / 360 * (1 + 0.15 * s), np.cos(a / 2), np.sin(a / 2)
-    u, w = ((x - side / 2 - dx * side / 20) * c + (y - side / 2 - dy * side / 20) * n) / k, (-(x - side / 2 - dx * side / 20) * n + (y - side / 2 - dy * side / 20) * c) / k
-    t = np.clip((u + 110) / 220, 0, 1)
-    return (np.abs(u) < 110) & (np.abs(w - 8 * np.sin(np.pi * t)) < 50 * np.sin(np.pi * t) ** 0.65 * (0.3 + 0.7 * t))
+    u, w = (x * c + y * n) / k, (-x * n + y * c) / k
+    # The outline's bend and width never exceed 8 and 50.
+    near = (np.abs(u) < 110) & (np.abs(w) < 60)
+    t = np.clip((u[near] + 110) / 220, 0, 1)
+    bend = np.sin(np.pi * t)
+    near[near] = np.abs(w[near] - 8 * bend) < 50 * bend**0.65 * (0.3 + 0.7 * t)
+    return near
 
 
 def rgba(mask: np.ndarray | None, seed: int, side: int, gain: float = 1.0, sigma: float = 2.0) -> bytes:
@@ -100,12 +105,12 @@ CANVAS, MARGIN = (320, 160), 10
 
 def pictured(id: int, modality: str, v: np.ndarray) -> np.ndarray:
     """The object of four numbers: dark with darker veins where light shines through, or in a colour of three more numbers."""
-    v, y = np.asarray(v), np.mgrid[0:SIDE, 0:SIDE][0]
+    v, vein = np.asarray(v), (np.arange(SIDE) // 4 % 4 == 0) & (modality == "venation")
     mask = wing(v[:4], SIDE)
     colour = np.array([90.0, 70, 50]) if modality == "venation" else 70 + 60 * (1 + np.tanh(v[4:7])) / 2
-    own = colour * np.where((y // 4 % 4 == 0) & (modality == "venation"), 0.6, 1.0)[..., None]
-    noise = np.random.default_rng(int(id) % (1 << 31)).normal(0, 1.5, (SIDE, SIDE, 3))
-    return np.clip(np.rint(np.where(mask[..., None], own, [230.0, 228, 225]) + noise), 0, 255).astype(np.uint8)
+    own = np.random.default_rng(int(id) % (1 << 31)).normal(0, 1.5, (SIDE, SIDE, 3))
+    own += np.array([[230.0, 228, 225], colour, colour * 0.6]).take(mask * (1 + vein[:, None]), axis=0)
+    return np.clip(np.rint(own, out=own), 0, 255, out=own).astype(np.uint8)
 
 
 def registered_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:

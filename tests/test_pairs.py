@@ -216,3 +216,24 @@ def test_query_of_pairs(spark, sf_dir):
     assert len(rows) == n
     paired = [r for r in rows if r.overlap is not None]
     assert len(paired) > 0.9 * n and all(r.overlap >= r.initial for r in paired) and np.mean([r.overlap > 0.9 for r in paired]) > 0.95
+
+
+def test_kernels_give_what_their_plain_forms_do():
+    r = np.random.default_rng(8)
+    image, mask = r.integers(0, 256, (40, 60, 3)).astype(np.uint8), np.zeros((40, 60), bool)
+    mask[5:33, 8:50] = r.random((28, 42)) < 0.9
+    assert all((a == b).all() for a, b in zip(raster.pixels(mask), np.nonzero(mask), strict=True))
+    assert not raster.border_band(40, 60).flags.writeable
+    turn = np.array([[1.7, 0.3, 2.0], [-0.3, 1.7, 11.0], [0, 0, 1.0]])
+    placed, back = canvas.place(image, mask, turn, width=96, height=64), np.linalg.inv(turn)
+    for y, x in zip(*np.nonzero(placed.mask), strict=True):
+        sx, sy = (back[k, 0] * x + back[k, 1] * y + back[k, 2] for k in (0, 1))
+        x0, y0 = int(sx), int(sy)
+        x1, y1, fx, fy = min(x0 + 1, 59), min(y0 + 1, 39), sx - x0, sy - y0
+        own = (image[y0, x0] * (1 - fx) + image[y0, x1] * fx) * (1 - fy) + (image[y1, x0] * (1 - fx) + image[y1, x1] * fx) * fy
+        assert (placed.rgb[y, x] == np.rint(own)).all()
+    assert placed.mask.sum() > 1000 and not placed.rgb[~placed.mask].any()
+    small = cells.downsample(placed)
+    own = placed.rgb.astype(int) * placed.signal[..., None]
+    n = placed.signal.reshape(16, 4, 24, 4).sum((1, 3))
+    assert (small.rgb == own.reshape(16, 4, 24, 4, 3).sum((1, 3)) / np.maximum(n, 1)[..., None]).all() and (small.signal == n / 16).all()
