@@ -33,6 +33,8 @@ CLASSES = 96
 WINDOW = 2
 HIDDEN = 24
 ROUNDS = 2
+#: Sums up to which exponentials, their sums and products keep full precision.
+REACH = 60.0
 BATCH = 4096
 CHUNK = 300
 #: Words of a replica, and replicas at most: beyond, each has more words, and their weights stay under 20 GB a round.
@@ -109,6 +111,12 @@ def _contexts(ids: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return out
 
 
+def _far(weights: np.ndarray, bias: np.ndarray | float = 0.0) -> bool:
+    """Whether a row's sum with hidden values, which lie between -1 and 1, may leave what exponentials of single precision take without
+    their maximum taken off first."""
+    return not (np.abs(weights) @ np.ones(weights.shape[1], np.float32) + np.abs(bias)).max() <= REACH
+
+
 class Network:
     """A table of hidden inputs for each word at each place, tanh, a softmax over classes and one over a class's words."""
 
@@ -124,10 +132,11 @@ class Network:
         self.table, self.bias, self.out, self.out_bias, self.words = (p.reshape(s) for p, s in zip(np.split(flat, cuts), shapes, strict=True))
 
     def hidden(self, context: np.ndarray) -> np.ndarray:
-        h = self.table[0][context[:, 0]]
+        h = self.table[0].take(context[:, 0], axis=0)
         for k in range(1, 2 * WINDOW):
-            h = h + self.table[k][context[:, k]]
-        return np.tanh(h + self.bias)
+            h += self.table[k].take(context[:, k], axis=0)
+        h += self.bias
+        return np.tanh(h, out=h)
 
     def word_rows(self, v: Vocabulary) -> np.ndarray:
         """A row a word: its weights, and then what it has without any context."""
@@ -139,16 +148,19 @@ class Network:
         h = self.hidden(context)
         z = self.out.T @ h.T
         z += self.out_bias[:, None]
-        z -= z.max(0)
+        if _far(self.out.T, self.out_bias):
+            z -= z.max(0)
         out = z[v.classes[ids], np.arange(len(h))]
         np.exp(z, out=z)
         out -= np.log(z.sum(0))
         out[ids == 0] += v.within[0]
         order, classes = v.by_class(ids)
         words, inputs, wanted, inner = self.word_rows(v), np.hstack([h, np.ones((len(h), 1), np.float32)])[order], ids[order], np.zeros(len(h), np.float32)
+        far = _far(words)
         for lo, hi, a, b in classes:
             z = words[a:b] @ inputs[lo:hi].T
-            z -= z.max(0)
+            if far:
+                z -= z.max(0)
             own = z[wanted[lo:hi] - a, np.arange(hi - lo)]
             np.exp(z, out=z)
             inner[lo:hi] = own - np.log(z.sum(0))
@@ -164,27 +176,35 @@ class Network:
         h = self.hidden(context)
         p = h @ self.out
         p += self.out_bias
-        p -= p.max(1, keepdims=True)
+        if _far(self.out.T, self.out_bias):
+            p -= p.max(1, keepdims=True)
         np.exp(p, out=p)
-        p /= p.sum(1, keepdims=True)
-        p[rows, v.classes[ids]] -= 1
+        # Exponentials stay as they are: what is made of them is scaled, which is smaller.
+        total = p @ np.ones(CLASSES, np.float32)
+        p[rows, v.classes[ids]] -= total
+        scale = 1 / total
         back = p @ self.out.T
+        back *= scale[:, None]
         # Words of classes that the batch lacks have no gradient, so all words are updated at once.
         order, classes = v.by_class(ids)
         words, inputs, wanted = self.word_rows(v), np.hstack([h, np.ones((len(h), 1), np.float32)])[order], ids[order]
-        grads, inner = np.zeros_like(words), np.zeros_like(inputs)
+        grads, inner, far = np.zeros_like(words), np.zeros_like(inputs), _far(words)
+        places = np.arange(len(h))
         for lo, hi, a, b in classes:
             # One row a word of the class and one column a place: maxima and sums run over whole rows.
             z = words[a:b] @ inputs[lo:hi].T
-            z -= z.max(0)
+            if far:
+                z -= z.max(0)
             np.exp(z, out=z)
-            z /= z.sum(0)
-            z[wanted[lo:hi] - a, np.arange(hi - lo)] -= 1
+            total = z.sum(0)
+            z[wanted[lo:hi] - a, places[: hi - lo]] -= total
+            each = (1 / total)[:, None]
             np.matmul(z.T, words[a:b], out=inner[lo:hi])
-            np.matmul(z, inputs[lo:hi], out=grads[a:b])
+            inner[lo:hi] *= each
+            np.matmul(z, inputs[lo:hi] * each, out=grads[a:b])
         back[order] += inner[:, :HIDDEN]
         grads /= n
-        steps = [(self.out, h.T @ p / n, self.seen[1]), (self.out_bias, p.mean(0), self.seen[2]), (self.words, grads, self.seen[3])]
+        steps = [(self.out, (h * scale[:, None]).T @ p / n, self.seen[1]), (self.out_bias, scale @ p / n, self.seen[2]), (self.words, grads, self.seen[3])]
         for weights, grad, seen in steps:
             seen += grad * grad
             grad *= rate
@@ -197,9 +217,12 @@ class Network:
             at = at[order]
             first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
             own = at[first].astype(np.intp)
-            grad = np.add.reduceat(back[order], first, axis=0) / n
-            self.seen[0][k, own] += (grad * grad).mean(1)
-            self.table[k, own] -= rate * grad / np.sqrt(self.seen[0][k, own])[:, None]
+            grad = np.add.reduceat(back.take(order, axis=0), first, axis=0)
+            grad /= n
+            seen = self.seen[0][k, own] + np.einsum("ij,ij->i", grad, grad) / np.float32(HIDDEN)
+            self.seen[0][k, own] = seen
+            grad *= (rate / np.sqrt(seen))[:, None]
+            self.table[k, own] -= grad
 
 
 def fit(docs: DataFrame, vocab: Vocabulary, rounds: int = ROUNDS) -> Network:

@@ -396,3 +396,24 @@ def test_pipeline_takes_odd_rows(spark, sf_dir, tmp_path):
         out = p.run(spark, str(folder))
         assert (out.count() > 0) == (name == "odd") and "sequence_id" in out.columns
         assert len({x for x in set(os.listdir(spark.conf.get("spark.checkpoint.dir"))) - before if x.startswith("scratch-")}) <= 1
+
+
+def test_network_steps_with_and_without_maxima_taken_off(monkeypatch):
+    r = np.random.default_rng(3)
+    classes = np.concatenate([[0], np.sort(r.integers(1, lm.CLASSES, lm.VOCABULARY - 1))]).astype(np.int32)
+    v = lm.Vocabulary(np.arange(lm.VOCABULARY - 2, dtype=np.uint64), np.arange(2, lm.VOCABULARY, dtype=np.int32), classes, np.full(lm.VOCABULARY, -4.0, np.float32))
+    context, ids = r.integers(0, lm.VOCABULARY, (2000, 2 * lm.WINDOW)).astype(np.int32), r.integers(0, lm.VOCABULARY, 2000).astype(np.int32)
+    start = lm.Network().flat + r.normal(0, 0.2, lm.Network().flat.shape).astype(np.float32)
+
+    def after(reach, factor=1.0):
+        monkeypatch.setattr(lm, "REACH", reach)
+        net = lm.Network(start * np.float32(factor))
+        net.train(context, ids, v)
+        return net.flat, net.log_probabilities(context, ids, v)
+
+    assert not lm._far(lm.Network(start.copy()).words)
+    for a, b in zip(after(60.0), after(-1.0), strict=True):
+        assert np.allclose(a, b, rtol=1e-3, atol=1e-4)
+    # Sums far over what a single-precision exponential takes.
+    assert lm._far(lm.Network(start * np.float32(200)).words) and lm._far(np.full((2, 2), np.nan, np.float32))
+    assert all(np.isfinite(x).all() for x in after(60.0, 200.0))
