@@ -20,6 +20,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
@@ -37,6 +38,8 @@ ROUNDS = 2
 REACH = 60.0
 BATCH = 4096
 CHUNK = 300
+#: First bits of a hash by which words are looked up, and products that a block of classes may have too many at least.
+SLOT, FILL = 17, 4096
 #: Words of a replica, and replicas at most: beyond, each has more words, and their weights stay under 20 GB a round.
 SHARE, REPLICAS = 1 << 22, 4096
 
@@ -55,20 +58,51 @@ class Vocabulary:
     def __post_init__(self) -> None:
         #: Ids are in order of class: where each class begins.
         self.starts = np.searchsorted(self.classes, np.arange(CLASSES + 1))
-
-    def by_class(self, ids: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int, int]]]:
-        """Rows in order of their words' classes; and of each class of several words that is among them, which places of
-        that order it has, and its first id and end."""
-        kinds = self.classes[ids].astype(np.uint16)  # of so few bits, numpy sorts by radix
-        order = np.argsort(kinds, kind="stable")
-        cuts = np.searchsorted(kinds[order], np.arange(CLASSES + 1))
-        some = np.flatnonzero((np.diff(cuts) > 0) & (np.diff(self.starts) > 1))
-        return order, list(zip(cuts[some].tolist(), cuts[some + 1].tolist(), self.starts[some].tolist(), self.starts[some + 1].tolist(), strict=True))
+        #: Where the hashes with each beginning of SLOT bits begin.
+        self.slots = np.searchsorted(self.hashes >> np.uint64(64 - SLOT), np.arange((1 << SLOT) + 1, dtype=np.uint64)).astype(np.int32)
+        sizes = np.diff(self.starts)
+        #: A row a class: its words, filled up with VOCABULARY; and which of its class each word is.
+        self.members = np.where(np.arange(max(sizes)) < sizes[:, None], self.starts[:-1, None] + np.arange(max(sizes)), VOCABULARY).astype(np.int32)
+        self.nth = np.arange(len(self.classes)) - self.starts[self.classes]
+
+    def blocks(self, ids: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Classes of several words that are among the ids, some at once that are alike in words and in places. A row a class:
+        its places (``len(ids)`` fills up), its words (``VOCABULARY`` fills up), and where in an array of class, word and place
+        the word of each place is."""
+        kinds = self.classes.take(ids).astype(np.uint16)  # of so few bits, numpy sorts by radix
+        order, nth = np.append(np.argsort(kinds, kind="stable"), len(ids)), np.append(self.nth.take(ids), 0)
+        found, sizes = np.bincount(kinds, minlength=CLASSES), np.diff(self.starts)
+        cuts = np.cumsum(found) - found
+        some = np.flatnonzero((found > 0) & (sizes > 1))
+        some = some[np.argsort(sizes[some], kind="stable")]
+        begins, wide, area = [], 0, 0
+        for k, (n, size) in enumerate(zip(found[some].tolist(), sizes[some].tolist(), strict=True)):
+            wide, area = max(wide, n), area + n * size
+            # What fills up is at most half of what a block has, or little.
+            if not begins or (k + 1 - begins[-1]) * wide * size > area + max(area // 2, FILL):
+                begins.append(k)
+                wide, area = n, n * size
+        for a, b in pairwise([*begins, len(some)]):
+            block, size = some[a:b], sizes[some[b - 1]]
+            n = found[block][:, None]
+            place = np.arange(n.max())
+            # Beyond the end of the order is what fills up.
+            places = order.take(np.where(place < n, cuts[block][:, None] + place, len(ids)))
+            wanted = nth.take(places)
+            wanted += np.arange(0, size * (b - a), size)[:, None]
+            wanted *= len(place)
+            wanted += place
+            yield places, self.members[block, :size], wanted
 
     def of(self, hashes: np.ndarray) -> np.ndarray:
         if not len(self.hashes):
             return np.zeros(len(hashes), np.int32)
-        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        slot = (hashes >> np.uint64(64 - SLOT)).astype(np.intp)
+        at = self.slots[slot]
+        # Few slots have more than one hash; only what isn't the first one is searched for.
+        other = np.flatnonzero(self.slots[slot + 1] - at > 1)
+        at[other] = np.searchsorted(self.hashes, hashes[other])
+        at = np.minimum(at, len(self.hashes) - 1)
         return np.where(self.hashes[at] == hashes, self.ids[at], 0).astype(np.int32)
 
 
@@ -117,6 +151,13 @@ def _far(weights: np.ndarray, bias: np.ndarray | float = 0.0) -> bool:
     return not (np.abs(weights) @ np.ones(weights.shape[1], np.float32) + np.abs(bias)).max() <= REACH
 
 
+def _inputs(h: np.ndarray) -> np.ndarray:
+    """Hidden values and a 1 for the bias; the last row is no place, all 0."""
+    out = np.zeros((len(h) + 1, HIDDEN + 1), np.float32)
+    out[:-1, :HIDDEN], out[:-1, HIDDEN] = h, 1
+    return out
+
+
 class Network:
     """A table of hidden inputs for each word at each place, tanh, a softmax over classes and one over a class's words."""
 
@@ -130,6 +171,8 @@ class Network:
         self.flat = flat
         cuts = np.cumsum(sizes)[:-1]
         self.table, self.bias, self.out, self.out_bias, self.words = (p.reshape(s) for p, s in zip(np.split(flat, cuts), shapes, strict=True))
+        #: The classes' weights and, next to them, biases as one table.
+        self.output = flat[cuts[1] : cuts[3]].reshape(HIDDEN + 1, CLASSES)
 
     def hidden(self, context: np.ndarray) -> np.ndarray:
         h = self.table[0].take(context[:, 0], axis=0)
@@ -139,73 +182,73 @@ class Network:
         return np.tanh(h, out=h)
 
     def word_rows(self, v: Vocabulary) -> np.ndarray:
-        """A row a word: its weights, and then what it has without any context."""
-        words = self.words.copy()
+        """A row a word: its weights, and then what it has without any context. The last row is no word: its exponential is 0."""
+        words = np.zeros((VOCABULARY + 1, HIDDEN + 1), np.float32)
+        words[:-1] = self.words
         words[: len(v.within), HIDDEN] += v.within
+        words[-1, HIDDEN] = -1e30
         return words
 
     def log_probabilities(self, context: np.ndarray, ids: np.ndarray, v: Vocabulary) -> np.ndarray:
-        h = self.hidden(context)
-        z = self.out.T @ h.T
-        z += self.out_bias[:, None]
+        inputs = _inputs(self.hidden(context))
+        z = inputs[:-1] @ self.output
         if _far(self.out.T, self.out_bias):
-            z -= z.max(0)
-        out = z[v.classes[ids], np.arange(len(h))]
+            z -= z.max(1, keepdims=True)
+        out = z[np.arange(len(z)), v.classes[ids]]
         np.exp(z, out=z)
-        out -= np.log(z.sum(0))
+        out -= np.log(z @ np.ones(CLASSES, np.float32))
         out[ids == 0] += v.within[0]
-        order, classes = v.by_class(ids)
-        words, inputs, wanted, inner = self.word_rows(v), np.hstack([h, np.ones((len(h), 1), np.float32)])[order], ids[order], np.zeros(len(h), np.float32)
-        far = _far(words)
-        for lo, hi, a, b in classes:
-            z = words[a:b] @ inputs[lo:hi].T
+        words, inner = self.word_rows(v), np.zeros(len(inputs), np.float32)
+        far = _far(words[:-1])
+        for places, rows, wanted in v.blocks(ids):
+            z = words.take(rows, axis=0) @ inputs.take(places, axis=0).transpose(0, 2, 1)
             if far:
-                z -= z.max(0)
-            own = z[wanted[lo:hi] - a, np.arange(hi - lo)]
+                z -= z.max(1, keepdims=True)
+            own = z.take(wanted)
             np.exp(z, out=z)
-            inner[lo:hi] = own - np.log(z.sum(0))
-        out[order] += inner
+            inner[places] = own - np.log(np.ones(z.shape[1], np.float32) @ z)
+        out += inner[:-1]
         return out
 
     def train(self, context: np.ndarray, ids: np.ndarray, v: Vocabulary, rate: float = 0.05) -> None:
         """One step on a batch, each weight (each row of the tables) slowed down by its squared gradients so far."""
         if not hasattr(self, "seen"):
             full = lambda shape: np.full(shape, 1e-6, np.float32)
-            self.seen = [full((2 * WINDOW, VOCABULARY)), full(self.out.shape), full(CLASSES), full(self.words.shape)]
-        rows, n, rate = np.arange(len(context)), np.float32(len(context)), np.float32(rate)
+            self.seen = [full((2 * WINDOW, VOCABULARY)), full(self.output.shape), full(self.words.shape)]
+        n, rate = np.float32(len(context)), np.float32(rate)
         h = self.hidden(context)
-        p = h @ self.out
-        p += self.out_bias
+        inputs = _inputs(h)
+        p = inputs[:-1] @ self.output
         if _far(self.out.T, self.out_bias):
             p -= p.max(1, keepdims=True)
         np.exp(p, out=p)
         # Exponentials stay as they are: what is made of them is scaled, which is smaller.
         total = p @ np.ones(CLASSES, np.float32)
-        p[rows, v.classes[ids]] -= total
-        scale = 1 / total
+        p.reshape(-1)[np.arange(len(h)) * CLASSES + v.classes[ids]] -= total
+        scale = 1 / (total * n)
         back = p @ self.out.T
         back *= scale[:, None]
         # Words of classes that the batch lacks have no gradient, so all words are updated at once.
-        order, classes = v.by_class(ids)
-        words, inputs, wanted = self.word_rows(v), np.hstack([h, np.ones((len(h), 1), np.float32)])[order], ids[order]
-        grads, inner, far = np.zeros_like(words), np.zeros_like(inputs), _far(words)
-        places = np.arange(len(h))
-        for lo, hi, a, b in classes:
-            # One row a word of the class and one column a place: maxima and sums run over whole rows.
-            z = words[a:b] @ inputs[lo:hi].T
+        words, inner, grads = self.word_rows(v), [np.zeros((1, HIDDEN), np.float32)], [np.zeros((1, HIDDEN + 1), np.float32)]
+        far = _far(words[:-1])
+        # In which row of the blocks' gradients each place and each word is; the first is of none.
+        place_at, word_at, places_before, words_before = np.zeros(len(inputs), np.intp), np.zeros(len(words), np.intp), 1, 1
+        for places, rows, wanted in v.blocks(ids):
+            own, x = words.take(rows, axis=0), inputs.take(places, axis=0)
+            z = own @ x.transpose(0, 2, 1)
             if far:
-                z -= z.max(0)
+                z -= z.max(1, keepdims=True)
             np.exp(z, out=z)
-            total = z.sum(0)
-            z[wanted[lo:hi] - a, places[: hi - lo]] -= total
-            each = (1 / total)[:, None]
-            np.matmul(z.T, words[a:b], out=inner[lo:hi])
-            inner[lo:hi] *= each
-            np.matmul(z, inputs[lo:hi] * each, out=grads[a:b])
-        back[order] += inner[:, :HIDDEN]
-        grads /= n
-        steps = [(self.out, (h * scale[:, None]).T @ p / n, self.seen[1]), (self.out_bias, scale @ p / n, self.seen[2]), (self.words, grads, self.seen[3])]
-        for weights, grad, seen in steps:
+            z *= (1 / (n * (np.ones(z.shape[1], np.float32) @ z)))[:, None]
+            z.reshape(-1)[wanted] -= 1 / n
+            inner.append((z.transpose(0, 2, 1) @ own[:, :, :HIDDEN]).reshape(-1, HIDDEN))
+            grads.append((z @ x).reshape(-1, HIDDEN + 1))
+            place_at[places] = np.arange(places_before, places_before + places.size).reshape(places.shape)
+            word_at[rows] = np.arange(words_before, words_before + rows.size).reshape(rows.shape)
+            places_before, words_before = places_before + places.size, words_before + rows.size
+        back += np.concatenate(inner).take(place_at[:-1], axis=0)
+        grad = np.concatenate(grads).take(word_at[:-1], axis=0)
+        for weights, grad, seen in [(self.output, np.vstack([(p.T @ (h * scale[:, None])).T, scale @ p]), self.seen[1]), (self.words, grad, self.seen[2])]:
             seen += grad * grad
             grad *= rate
             grad /= np.sqrt(seen)
@@ -213,16 +256,20 @@ class Network:
         back *= 1 - h * h
         for k in range(2 * WINDOW):
             at = context[:, k].astype(np.uint16)  # of so few bits, numpy sorts by radix
-            order = np.argsort(at, kind="stable")
-            at = at[order]
-            first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-            own = at[first].astype(np.intp)
-            grad = np.add.reduceat(back.take(order, axis=0), first, axis=0)
-            grad /= n
-            seen = self.seen[0][k, own] + np.einsum("ij,ij->i", grad, grad) / np.float32(HIDDEN)
+            # Words that occur once come last: they need no sum.
+            once = np.bincount(at, minlength=VOCABULARY) == 1
+            order = np.argsort(at + VOCABULARY * once.take(at).astype(np.uint16), kind="stable")
+            at, rows, several = at.take(order), back.take(order, axis=0), len(at) - int(once.sum())
+            own, grad = at[several:], rows[several:]
+            if several:
+                first = np.flatnonzero(np.concatenate([[True], at[1:several] != at[: several - 1]]))
+                # Two numbers as a complex one: half as many sums.
+                sums = np.add.reduceat(rows[:several].view(np.complex64), first, axis=0).view(np.float32)
+                own, grad = np.concatenate([at[first], own]), np.concatenate([sums, grad])
+            seen = self.seen[0][k].take(own) + np.einsum("ij,ij->i", grad, grad) / np.float32(HIDDEN)
             self.seen[0][k, own] = seen
             grad *= (rate / np.sqrt(seen))[:, None]
-            self.table[k, own] -= grad
+            self.table[k, own] = self.table[k].take(own, axis=0) - grad
 
 
 def fit(docs: DataFrame, vocab: Vocabulary, rounds: int = ROUNDS) -> Network:
