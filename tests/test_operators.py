@@ -277,3 +277,51 @@ def test_blocks_and_slices_keep_the_best(spark, monkeypatch, metric):
         assert [g for _, g in sorted(found[i])][:3] == order[:3] and [g for _, g in sorted(labelled[i])][:2] == same[:2]
     nan = df.withColumn("vector", F.when(F.col("id") == 3, F.array(*[F.lit(float("nan"))] * 3)).otherwise(F.col("vector")))
     assert similarity.neighbours(nan, nan, 2, metric).count() == 80
+
+
+@pytest.mark.parametrize("metric", ["cosine", "euclidean"])
+@pytest.mark.parametrize("run", [1, 8, 64])
+def test_screened_pairs_are_those_of_double_precision(monkeypatch, metric, run):
+    """The best of each part and of all, and pairs over a bar: with ties, far from the origin, copies, and groups of several rows."""
+    monkeypatch.setattr(similarity, "RUN", run)
+    monkeypatch.setattr(similarity, "PRODUCT", 64)
+    r = np.random.default_rng(run)
+    for kind in range(4):
+        n, h, d = 500, 9, 6
+        x, q = r.normal(size=(n, d)), r.normal(size=(h, d))
+        if kind == 1:
+            x, q = np.round(x), np.round(q)
+        elif kind == 2:
+            x, q = x + 1e3, q + 1e3
+        elif kind == 3:
+            x[:] = x[r.integers(0, 40, n)]
+            q[:5] = x[:5]
+        label = np.sort(r.integers(0, 4, n))
+        bounds = np.append(np.flatnonzero(np.diff(label, prepend=-1)), n)
+        group = np.cumsum((r.random(n) < 0.7) | (np.diff(label, prepend=-1) > 0)) - 1
+        order = r.permutation(group.max() + 1)
+        dropped = (r.integers(0, h, 20), r.integers(0, n, 20))
+        screen = similarity.Screen(x, metric, bounds)
+        every = similarity._exact(similarity._unit(q) if metric == "cosine" else q, screen.r, np.repeat(np.arange(h), n), np.tile(np.arange(n), h), metric).reshape(h, n)
+        bar = r.choice(every.ravel(), n).astype(np.float32)
+        bar[::50] = -np.inf
+        by = np.argsort(bar)
+        rows, at, value = similarity.Screen(x[by], metric, np.array([0, n])).above(q, bar[by])
+        assert {(a, int(by[b])) for a, b in zip(rows.tolist(), at, strict=True)} == {(a, b) for a, b in zip(*(k.tolist() for k in np.nonzero(every > bar)), strict=True)}
+        every[dropped] = -np.inf
+        first = np.flatnonzero(np.diff(group, prepend=-1))
+        best = np.maximum.reduceat(every, first, axis=1)
+        wanted = set()
+        for k, part in [*((3, label[first] == x) for x in range(4)), (5, label[first] >= 0)]:
+            for i in range(h):
+                at = np.flatnonzero(part & (best[i] > -np.inf))
+                wanted |= {(i, int(g), float(best[i, g])) for g in at[np.lexsort((order[at], -best[i, at]))][:k]}
+        rows, at, value = screen.best(q, dropped, order[group], 3, 5, group)
+        got = [(int(i), int(group[a]), float(v)) for i, a, v in zip(rows, at, value, strict=True)]
+        assert len(got) == len(wanted) and set(got) == wanted
+
+
+def test_screen_leaves_numbers_it_cant_hold():
+    x = np.array([[1e30, 1.0], [0.0, np.nan], [2.0, 1.0]])
+    assert similarity.Screen(x, "euclidean", np.array([0, 3])).best(x[2:], (np.array([], int),) * 2, np.arange(3), 1) is None
+    assert similarity.Screen(x[2:], "cosine", np.array([0, 1])).best(x[1:2], (np.array([], int),) * 2, np.arange(1), 1) is None
