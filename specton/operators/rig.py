@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from specton.functions import raster
+from specton.operators.lineage import cut
 from specton.operators.references import assert_none
 from specton.streaming import pixels
 
@@ -31,10 +32,12 @@ def profiles(frames: DataFrame, analysed: int = raster.ANALYSED) -> DataFrame:
 
     Under transmitted light the background is the light; under reflected light only a grey card, if there is one, tells it. An
     error: a modality without background frames, of two kinds, or with a card of another size; a light field that is too dark."""
-    keys = frames.where(F.col("data").isNotNull()).groupBy("rig", "modality").agg(F.count_if(F.col("role") == "background").alias("n"), F.count_distinct("kind").alias("kinds"), F.count_if(~F.col("kind").isin("transmitted", "reflected") | ~F.col("role").isin("background", "card")).alias("odd"))
+    # A row a burst and size, and a few a tile: frames are long to make or read, so they are passed through twice and not for every rule.
+    seen = cut(pixels.sizes(frames, ["rig", "modality", "kind", "role"]))
+    keys = seen.groupBy("rig", "modality").agg(F.sum(F.when(F.col("role") == "background", F.col("n")).otherwise(0)).alias("n"), F.count_distinct("kind").alias("kinds"), F.sum(F.when(~F.col("kind").isin("transmitted", "reflected") | ~F.col("role").isin("background", "card"), F.col("n")).otherwise(0)).alias("odd"))
     assert_none(keys.agg(F.count_if(F.col("n") == 0).alias("without_background"), F.count_if(F.col("kinds") != 1).alias("kinds"), F.coalesce(F.sum("odd"), F.lit(0)).alias("unknown_kind_or_role")))
-    own = frames.withColumn("session", F.concat_ws(SEPARATOR, "rig", "modality", "kind", "role"))
-    tiles = pixels.sums(pixels.check(own))
+    pixels.check_sizes(seen, ["rig", "modality", "kind", "role"])
+    tiles = cut(pixels.sums(frames.withColumn("session", F.concat_ws(SEPARATOR, "rig", "modality", "kind", "role"))))
     parts = F.split("session", SEPARATOR)
     mean = pixels.images(tiles).join(pixels.noise(tiles).select("session", "noise"), "session", "left")
     named = mean.select(*[F.get(parts, F.lit(i)).alias(c) for i, c in enumerate(("rig", "modality", "kind", "role"))], F.struct("width", "height", "frames", "data", "noise").alias("m"))
@@ -140,13 +143,14 @@ def analysed(image: np.ndarray, profile: dict | None, note: str | None, longest:
     elif note == "another size":
         reasons.append(note)
     own = raster.segmented(small, None if background is None else background.astype(float))
-    q = raster.quality(own.mask)
+    # What was segmented is one component.
+    q = raster.quality(own.mask, 1)
     reasons = q.reasons + ([] if own.plausible or not q.area else ["no plausible object"]) + reasons
     return Analysed(image, scale, own, q, reasons, state, difference, limit, "background difference" if background is not None else "border colour")
 
 
 def _one(path: str, width: int, height: int, rgba: bytes, um_per_px: float, profile: dict | None, note: str | None, longest: int) -> tuple:
-    a = analysed(_image(rgba, width, height)[..., :3], profile, note, longest)
+    a = analysed(np.ascontiguousarray(_image(rgba, width, height)[..., :3]), profile, note, longest)
     length, area, reliable, size = a.metric(um_per_px)
     mask = a.own.mask
     return (path, "REVIEW" if a.reasons else "GOOD", a.reasons, a.method, a.state, a.difference, a.limit, a.own.threshold, a.quality.area, length, area, reliable, size, np.packbits(mask).tobytes(), mask.shape[1], mask.shape[0])

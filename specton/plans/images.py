@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -29,12 +30,15 @@ def spread_by_rig(rows: DataFrame) -> DataFrame:
     return rows.repartition(parts, "rig", F.pmod(F.xxhash64("id"), F.lit(max(1, parts // max(1, rigs)))))
 
 
+@lru_cache(maxsize=8)
 def light(side: int) -> np.ndarray:
     """Light that falls off to the corners, with a colour cast and a speck of dust."""
     y, x = np.mgrid[0:side, 0:side].astype(float)
     r = ((x - side / 2) ** 2 + (y - side / 2) ** 2) / (side / 2) ** 2
     speck = np.where(np.hypot(x - side * 0.5, y - side * 0.3) < side / 40, 0.35, 1.0)
-    return (235 * (1 - 0.45 * np.minimum(1, r / 2)) * speck)[..., None] * [1.0, 0.9, 0.78]
+    out = (235 * (1 - 0.45 * np.minimum(1, r / 2)) * speck)[..., None] * [1.0, 0.9, 0.78]
+    out.setflags(write=False)
+    return out
 
 
 def wing(v: np.ndarray, side: int) -> np.ndarray:
@@ -53,8 +57,13 @@ def wing(v: np.ndarray, side: int) -> np.ndarray:
 
 
 def rgba(mask: np.ndarray | None, seed: int, side: int, gain: float = 1.0, sigma: float = 2.0) -> bytes:
-    own = light(side) * gain * (1.0 if mask is None else np.where(mask, 0.39, 1.0)[..., None]) + np.random.default_rng(seed).normal(0, sigma, (side, side, 3))
-    return np.dstack([np.clip(np.rint(own), 0, 255), np.full((side, side), 255)]).astype(np.uint8).tobytes()
+    own = np.random.default_rng(seed).normal(0, sigma, (side, side, 3))
+    own += light(side) * gain if mask is None else light(side) * gain * np.where(mask, 0.39, 1.0)[..., None]
+    out = np.full((side, side, 4), 255, np.uint8)
+    whole = np.clip(np.rint(own, out=own), 0, 255, out=own).astype(np.uint8)
+    for c in range(3):
+        out[..., c] = whole[..., c]
+    return out.tobytes()
 
 
 def _rows(spark: SparkSession, sf_dir: str) -> DataFrame:

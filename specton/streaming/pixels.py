@@ -30,12 +30,22 @@ _SUMS = "session string, tile int, width int, height int, n long, total binary,
 _STATE = "width int, height int, n long, total binary, s1 binary, s2 binary"
 
 
+def sizes(frames: DataFrame, by: list[str]) -> DataFrame:
+    """The columns of by, width, height, n, bad: frames with data, and those of another length than their size needs."""
+    bad = F.count_if(F.octet_length("data") != 4 * F.col("width") * F.col("height"))
+    return frames.where(F.col("data").isNotNull()).groupBy(*by, "width", "height").agg(F.count("*").alias("n"), bad.alias("bad"))
+
+
+def check_sizes(seen: DataFrame, by: list[str]) -> None:
+    """One size a session, and as many bytes as it needs."""
+    assert_none(seen.agg(F.coalesce(F.sum("bad"), F.lit(0)).alias("data_length")))
+    own = seen.where(F.col("width").isNotNull() & F.col("height").isNotNull()).groupBy(*by).agg(F.count("*").alias("k"))
+    assert_none(own.agg(F.count_if(F.col("k") > 1).alias("sessions_of_two_sizes")))
+
+
 def check(frames: DataFrame) -> DataFrame:
     """One size a session, and as many bytes as it needs."""
-    with_data = frames.where(F.col("data").isNotNull())
-    assert_none(with_data.agg(F.count_if(F.octet_length("data") != 4 * F.col("width") * F.col("height")).alias("data_length")))
-    sizes = with_data.groupBy("session").agg(F.count_distinct("width", "height").alias("k"))
-    assert_none(sizes.agg(F.count_if(F.col("k") > 1).alias("sessions_of_two_sizes")))
+    check_sizes(sizes(frames, ["session"]), ["session"])
     return frames
 
 

@@ -136,3 +136,30 @@ def test_images_dont_meet_by_rig(spark):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_frames_are_passed_through_twice(spark):
+    """Frames are long to make: one pass for all rules, one for the sums, however many steps read these."""
+    made = spark.sparkContext.accumulator(0)
+
+    def draw(batches):
+        for pdf in batches:
+            made.add(len(pdf))
+            yield pdf.assign(data=[images.rgba(None, int(i), 32) for i in pdf["frame"]])
+
+    rows = spark.range(6).selectExpr("'a' AS rig", "'venation' AS modality", "'transmitted' AS kind", "'background' AS role", "id AS frame", "32 AS width", "32 AS height", "CAST(NULL AS BINARY) AS data")
+    assert rig.profiles(rows.mapInPandas(draw, rows.schema)).count() == 1
+    assert made.value <= 12
+
+
+def test_an_image_drawn_and_lit_by_kept_parts():
+    """What all images of a rig share is made once, and gives the same bytes."""
+    mask = images.wing(np.array([0.1, 0.2, -0.1, 0.3]), 40)
+    own = images.light(40) * 1.0 * np.where(mask, 0.39, 1.0)[..., None] + np.random.default_rng(3).normal(0, 2.0, (40, 40, 3))
+    assert images.rgba(mask, 3, 40) == np.dstack([np.clip(np.rint(own), 0, 255), np.full((40, 40), 255)]).astype(np.uint8).tobytes()
+    assert images.light(40) is images.light(40) and not images.light(40).flags.writeable
+    frame = np.frombuffer(images.rgba(None, 1, 40), np.uint8).reshape(40, 40, 4)[..., :3]
+    field = raster.illumination_field(frame, 8)
+    first = raster.flat_field_correct(frame, field)
+    kept = raster._kept_gain.cache_info().hits
+    assert (raster.flat_field_correct(frame, raster.Field(field.data.copy(), field.target)) == first).all() and raster._kept_gain.cache_info().hits == kept + 1
