@@ -236,3 +236,52 @@ def test_tiles_sum_what_the_edges_do():
         assert len(np.unique(to)) == len(to) and share.size <= diffusion.TILE**2
         out[to] += share @ mass[source]
     assert np.allclose(out, wanted, rtol=1e-13)
+
+
+def test_vectors_of_a_block_walk_by_slices(spark, monkeypatch):
+    """One copy of the graph for all vectors, whatever number of them walks at once; and all steps of the queries."""
+    monkeypatch.setattr(diffusion, "TASKS", 1)
+    monkeypatch.setattr(diffusion, "WIDEST", 3)
+    monkeypatch.setattr(diffusion, "CELLS", 1)
+    n, edges = 30, made_graph()
+    starts = spark.createDataFrame([(v, v, 1.0) for v in range(20)], "id long, node long, value double")
+    names = spark.createDataFrame([(i, i) for i in range(n)], "node long, name long")
+    out = diffusion.gathered(spark.createDataFrame(edges, EDGES).repartition(3), starts, names, "name", graph.STEPS, graph.RESTART)
+    got = {(r.id, r.name): r.value for r in out.collect()}
+    p = matrix(edges, n)
+    at = np.eye(n)[:20]
+    for _ in range(graph.STEPS):
+        at = 0.2 * np.eye(n)[:20] + 0.8 * at @ p
+    assert all(abs(got.get((v, i), 0.0) - at[v, i]) < 1e-14 for v in range(20) for i in range(n))
+    assert out.select(F.spark_partition_id()).distinct().count() == 1
+
+
+def test_graphs_of_more_nodes_walk_in_a_task(spark, monkeypatch):
+    monkeypatch.setattr(diffusion, "diffuse", None)
+    n = (1 << 17) + 10
+    edges = spark.range(n).select(F.col("id").alias("src"), ((F.col("id") + 1) % n).alias("dst"), F.lit(1.0).alias("p"))
+    starts = spark.createDataFrame([(5, n - 1, 1.0)], "id long, node long, value double")
+    got = {r.name: r.value for r in diffusion.gathered(edges, starts, edges.select(F.col("src").alias("node"), F.col("src").alias("name")), "name", 2, 0.5).collect()}
+    assert got == {n - 1: 0.5, 0: 0.25, 1: 0.25}
+
+
+def test_small_changes_are_followed_in_single_precision(monkeypatch):
+    r = np.random.default_rng(2)
+    n, wide = 400, 5
+    i, j = np.repeat(np.arange(n), 4), r.integers(0, n, 4 * n)
+    j[:300] = 7
+    w = r.random(4 * n)
+    w /= np.bincount(i, w)[i]
+    ways = diffusion._Ways(i, j, w, n)
+    kinds = []
+    step = diffusion._Ways.step
+    monkeypatch.setattr(diffusion._Ways, "step", lambda self, mass, out: (kinds.append(mass.dtype), step(self, mass, out)))
+    origin = (ways.number[np.arange(wide)] * wide + np.arange(wide), np.ones(wide))
+    none = np.array([], int)
+    got = sum(x.astype(float) for x in diffusion._stepped(ways, origin, (none, none, np.array([])), wide, 40, 0.2, True))
+    p = np.zeros((n, n))
+    np.add.at(p, (i, j), w)
+    at = first = np.eye(n)[:wide]
+    for _ in range(40):
+        at = 0.2 * first + 0.8 * at @ p
+    assert np.abs(got[ways.number].T - at).max() < 1e-11 and np.dtype(np.float32) in kinds and kinds[0] == float
