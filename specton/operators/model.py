@@ -235,7 +235,7 @@ def walk_scores(spaces: Spaces, z: DataFrame, cosine: DataFrame, graph_: tuple[D
     rows = graph.with_queries(edges, cut(asked.select(F.col("query_id").alias("query"), _node("group").alias("ref_id"), "similarity")), k)
     starts = own.select("key", F.col("query_id").alias("id")).distinct().select("key", "id", F.lit(-1).cast("long").alias("node"), F.lit(1.0).alias("value"))
     ways = graph.neighbour_transitions(edges, k).join(refs.select("key", _node("group").alias("src")), "src")
-    mass = diffusion.gathered(ways, starts, refs.select(_node("group").alias("node"), "label"), "label", graph.STEPS, graph.RESTART, rows.select(F.col("query").alias("id"), "src", "dst", "p"), "key")
+    mass = diffusion.gathered(ways, starts, refs.select(_node("group").alias("node"), "label"), "label", graph.STEPS, graph.RESTART, rows.select(F.col("query").alias("id"), "src", "dst", "p"), "key", single=True)
     keys = z.select("key", F.col("id").alias("query_id"))
     by = mass.withColumnRenamed("id", "query_id").join(keys, "query_id").join(spaces.sizes, ["key", "label"]).withColumn("s", F.col("value") / F.col("size"))
     return by.withColumn("score", F.col("s") / F.sum("s").over(Window.partitionBy("key", "query_id"))).where("score > 0").select("key", "query_id", "label", "score")
